@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, line_dedup, minhash, mixing, url_filter
+from siltstone.llm import decontaminate, hamming_dedup, line_dedup, minhash, mixing, url_filter
 from siltstone.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -48,12 +48,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs)
 
 
+def op10_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = hamming_dedup.near_groups(table(spark, sf_dir, "documents"), k=2)
+    return groups.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op6_fingerprints": op6_fingerprints,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
+    "op10_hamming_dedup": op10_hamming_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
