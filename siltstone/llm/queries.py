@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, hamming_dedup, line_dedup, minhash, mixing, url_filter
+from siltstone.llm import decontaminate, hamming_dedup, line_dedup, minhash, mixing, toxicity, url_filter
 from siltstone.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -26,6 +26,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_texts(docs, model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.LEAST_SCORE).cast("int").alias("predicted"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -55,6 +62,7 @@ def op10_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op4_toxicity": op4_toxicity,
     "op6_fingerprints": op6_fingerprints,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
