@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, hamming_dedup, line_dedup, minhash, mixing, toxicity, url_filter
+from siltstone.llm import decontaminate, hamming_dedup, line_dedup, minhash, mixing, pii, toxicity, url_filter
 from siltstone.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -26,6 +26,17 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    entities = F.col("__entities")
+    return replaced.select(
+        "doc_id",
+        F.size(entities).cast("long").alias("n_entities"),
+        F.size(F.array_distinct(F.transform(entities, lambda e: F.struct(e["kind"], F.lower(e["entity"]))))).cast("long").alias("n_distinct"),
+        "text",
+    )
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +73,7 @@ def op10_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pii": op2_pii,
     "op4_toxicity": op4_toxicity,
     "op6_fingerprints": op6_fingerprints,
     "op7_url_filter": op7_url_filter,
