@@ -7,7 +7,6 @@ text's shingles. The share of equal numbers estimates the Jaccard similarity.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -71,9 +70,9 @@ def edited_text(text: str, other: str) -> str:
 
 
 _OUT = pa.schema(
-    [("edge", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+    [("edge", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
 )
-_DDL = "edge int, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_DDL = "edge int, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 INNER, FIRST, LAST = 0, 1, 2
 #: Documents fingerprinted at a time.
 GROUP = 256
@@ -85,9 +84,8 @@ def _compared(rows: list[tuple], words: WordHashes) -> list[tuple]:
     edited = [edited_text(a[1], b[1]) for a, b in zip(docs, rows[1:], strict=True)]
     own = fingerprints([r[1] for r in rows], words)
     other = fingerprints(edited, words)
-    show = lambda x: base64.b64encode(x).decode()
     return [
-        (INNER, d[0], None, len(d[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), show(f), show(g), likeness(f, g), likeness(f, h))
+        (INNER, d[0], None, len(d[1]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), f, g, likeness(f, g), likeness(f, h))
         for d, e, f, g, h in zip(docs, edited, own[:-1], other, own[1:], strict=True)
     ]
 
@@ -124,7 +122,7 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     named = docs.select(docs[doc_id].cast("long").alias("doc_id"), text_or_empty(docs, text).alias("text"))
     dealt = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     found = written(dealt.mapInArrow(_in_order, _DDL), "fingerprints")
-    columns = [c for c in found.columns if c not in ("edge", "text")]
+    columns = [F.hex(c).alias(c) if c.endswith("fingerprint") else c for c in found.columns if c not in ("edge", "text")]
 
     def borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
