@@ -209,3 +209,11 @@ def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     """docs without the long lines that many documents hold, except in the largest id that holds them."""
     cut = apply_bitmaps(docs, keep_bitmaps(docs, doc_id, text, least_chars, least_docs), doc_id, text)
     return cut.drop("__n_lines", "__n_dropped")
+
+
+def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with its column of text lengths, if it has one, set to the texts' code points."""
+    if length not in docs.columns:
+        return docs
+    kind = docs.schema[length].dataType
+    return docs.withColumn(length, F.length(text).cast(kind))

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_or_empty
+from siltstone.llm.common import free_name, text_or_empty
 
 #: Labelled rows that the dictionaries and weights are fitted on at most, toxic and ordinary: those of least hash.
 MOST_TOXIC, MOST_ORDINARY = 1_500, 3_000
@@ -192,5 +192,6 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", score: str =
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that score LEAST_SCORE or more; all columns and all other rows as they are."""
     model = fit(docs, labels, doc_id, text)
-    scored = score_texts(docs, model, text, "__score")
-    return scored.where(F.col("__score") < LEAST_SCORE).select(*(f"`{c}`" for c in docs.columns))
+    name = free_name(docs.columns, "__score")
+    scored = score_texts(docs, model, text, name)
+    return scored.where(F.col(name) < LEAST_SCORE).select(*(f"`{c}`" for c in docs.columns))
