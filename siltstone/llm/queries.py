@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, hamming_dedup, line_dedup, minhash, mixing, pii, toxicity, url_filter
+from siltstone.llm import attention_lm, decontaminate, hamming_dedup, line_dedup, minhash, mixing, pii, toxicity, url_filter
 from siltstone.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -44,6 +44,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.LEAST_SCORE).cast("int").alias("predicted"))
 
 
+def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_attention_lm": op5_attention_lm,
     "op6_fingerprints": op6_fingerprints,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_hamming_dedup": op10_hamming_dedup,
 }
 
+#: op5's model isn't SQL; its base score is tested against a brute-force version.
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": """
 WITH cut AS (
