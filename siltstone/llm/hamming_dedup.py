@@ -5,12 +5,14 @@ most CHUNKS * (ERRORS + 1) - 1 numbers have, by the pigeonhole principle, a chun
 which at most ERRORS numbers differ. Every chunk is enumerated with each choice of
 ERRORS numbers left out; signatures that agree in such a key meet in its bucket, so no
 pair under that distance is missed. A pair at similarity 0.8 escapes all chunks with
-probability (1 - 0.737)**10, about 2e-6.
+probability (1 - 0.819)**8, about 1e-6.
 
 Documents of one shingle set are one node, so copies never multiply. A bucket doesn't
-list its pairs: each member is tested against the bucket's least member on full sets;
-then only members of buckets that still hold several components are tested across
-those components, until every pair of a bucket is tested or within one component.
+list its pairs: for a few rounds its members are tested against one pivot each
+on full sets, and members that got into one component are done with each other. The
+members of buckets that still hold several components are then compared by sketch where
+they lie, and only pairs across components that may be similar enough are tested on
+full sets. So every pair of a bucket is tested, excluded, or within one component.
 """
 
 from __future__ import annotations
@@ -26,19 +28,21 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import WordHashes, mixed, shingles, text_or_empty, written
 from siltstone.llm.components import connected
-from siltstone.llm.line_dedup import NO_ID
 from siltstone.llm.minhash import signatures
 
-CHUNKS, CHUNK, ERRORS, BITS = 10, 5, 1, 16
+CHUNKS, CHUNK, ERRORS, BITS = 8, 4, 1, 16
 #: Link from this share on: intersection * SHARE[1] >= union * SHARE[0].
 SHARE = (80, 100)
-#: Pairs that meet across components are tested on full sets if at most so many of the numbers differ:
-#: at similarity 0.8 more differ with probability 2e-9.
-MOST_APART = 29
+#: A sketch: the least hash of each of so many ranges, in a byte. Of two sets at similarity 0.8 more than
+#: MOST_APART places differ (102 do on average, 9 is the deviation) with probability 9e-7.
+PLACES, MOST_APART = 512, 147
+#: Masks under which the least member of a bucket is its pivot, one for each round; members of a bucket compared at once.
+PIVOTS, BLOCK = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D), 4096
 WORDS = 5
 
-_PREPARED = "doc long, mark long, n_shingles long, node binary, sig binary, keys array<long>"
-_NAMES = ["doc", "mark", "n_shingles", "node", "sig", "keys"]
+_PREPARED = "doc long, mark long, n_shingles long, set binary, sketch binary, keys array<long>"
+_LARGEST = np.iinfo(np.int64).max
+_NAMES = ["doc", "mark", "n_shingles", "set", "sketch", "keys"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
 
 
@@ -55,6 +59,16 @@ def chunk_keys(sigs: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1).view(np.int64)
 
 
+def sketch_of(hashes: np.ndarray) -> bytes:
+    """For each of PLACES equal ranges of the sorted hashes a byte of its least one, 0 if it has none."""
+    starts = np.searchsorted(hashes, np.arange(PLACES, dtype=np.uint64) * np.uint64(2**64 // PLACES))
+    ends = np.append(starts[1:], len(hashes))
+    out = np.zeros(PLACES, np.uint8)
+    some = ends > starts
+    out[some] = 1 + (hashes[starts[some]] % np.uint64(255)).astype(np.uint8)
+    return out.tobytes()
+
+
 def _prepare(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -65,8 +79,8 @@ def _prepare(k: int):
                 sets = [np.unique(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 sigs = signatures(flat, offsets, CHUNKS * CHUNK, seed=10).astype(np.uint16)
                 keys = chunk_keys(sigs).tolist()
-                nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                columns = [batch.column("doc"), batch.column("mark"), [len(s) for s in sets], nodes, [s.tobytes() for s in sigs], [q if len(s) else None for q, s in zip(keys, sets, strict=True)]]
+                ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+                columns = [batch.column("doc"), batch.column("mark"), [len(s) for s in sets], ids, [sketch_of(s) for s in sets], [q if len(s) else None for q, s in zip(keys, sets, strict=True)]]
                 yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
     return run
@@ -77,19 +91,19 @@ def _linked(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        seen: dict[bytes, np.ndarray] = {}
+        seen: dict[str, np.ndarray] = {}
 
-        def full(node: bytes, text: str) -> np.ndarray:
-            if node not in seen:
+        def full(text: str) -> np.ndarray:
+            if text not in seen:
                 while len(seen) >= 32:
                     del seen[next(iter(seen))]
-                seen[node] = np.unique(shingles([text.encode("utf-8", "surrogatepass")], k, words)[0])
-            return seen[node]
+                seen[text] = np.unique(shingles([text.encode("utf-8", "surrogatepass")], k, words)[0])
+            return seen[text]
 
         for batch in batches:
             keep = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                x, y = full(a, ta), full(b, tb)
+            for ta, tb in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
+                x, y = full(ta), full(tb)
                 less, more = sorted((len(x), len(y)))
                 both = len(np.intersect1d(x, y, assume_unique=True)) if less * SHARE[1] >= more * SHARE[0] else 0
                 keep.append(both > 0 and both * SHARE[1] >= (len(x) + len(y) - both) * SHARE[0])
@@ -98,79 +112,151 @@ def _linked(k: int):
     return run
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep the pairs whose signatures differ in at most MOST_APART numbers."""
+def _far(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, size: int) -> np.ndarray:
+    """Which rows of sketches x, of sets of the sizes, can't be linked with sketch y of a set of ``size``."""
+    less, more = np.minimum(sizes, size), np.maximum(sizes, size)
+    apart = (x != y).sum(axis=1)
+    # a place differs only if an element that one set lacks is in it: a ninth of both sizes at most
+    return (less * SHARE[1] < more * SHARE[0]) | (apart > np.minimum(MOST_APART, (sizes + size) // 9))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by bucket and blocks: the pairs (a, b) of different components that aren't far apart by sketch."""
+
+    def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        node, root, size, block, first, second = (rows.column(c).to_numpy() for c in ("node", "root", "n_shingles", "block", "i", "j"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        keys = np.array(rows.column("keys").to_pylist(), np.int64)
+        here = rows.column("key")[0].as_py()
+        a, b = [], []
+        for k in range(len(node) - 1):
+            other = root[k + 1 :] != root[k]
+            if first[0] != second[0]:  # two blocks of one bucket: only across them
+                other &= block[k + 1 :] != block[k]
+            rest = np.flatnonzero(other) + k + 1
+            near = rest[~_far(sketch[rest], sketch[k], size[rest], size[k])] if len(rest) else rest
+            # a pair meets in many buckets: it is told of in that of its least common key
+            near = near[np.where(keys[near] == keys[k], keys[near], _LARGEST).min(axis=1) == here] if len(near) else near
+            a += [int(node[k])] * len(near)
+            b += node[near].tolist()
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            yield batch.select(["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= MOST_APART))
+        if not batch.num_rows:
+            continue
+        k, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+        cuts = (np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
+        for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            group = (k[start], i[start], j[start])
+            if held and group != last:
+                yield pairs(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            last = group
+    if held:
+        yield pairs(held)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     one = pairs.join(texts.toDF("a", "ta"), "a")
-    return one.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked(k), "a binary, b binary")
+    return one.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked(k), "a long, b long")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """(doc, mark, n_shingles, component) for each row of docs: the least id of its near-duplicate group.
 
-    doc is the id (NO_ID for null, which counts as the least) and mark the text's hash. A text
-    with fewer than k words is one shingle; a null or empty text, or one of white space, has
-    none and is a group of its own. Repeated rows, and all texts of one shingle set, are linked. An
-    empty table gives no rows.
+    doc is the id and mark the text's hash. A text with fewer than k words is one shingle; a
+    null or empty text, or one of white space, has none and is linked with nothing. Rows of one id
+    are one document, linked by any of its texts. Rows without an id take no part: their
+    component is null. An empty table gives no rows.
     """
-    named = docs.select(
-        F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_or_empty(docs, text)).alias("mark"), text_or_empty(docs, text).alias("text")
-    )
+    named = docs.select(docs[doc_id].cast("long").alias("doc"), F.xxhash64(text_or_empty(docs, text)).alias("mark"), text_or_empty(docs, text).alias("text"))
     rows = written(named.mapInArrow(_prepare(k), _PREPARED), "prepared")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc", "mark", "sig", "keys")).alias("one"))
-    nodes = written(nodes.select("node", "one.*"), "nodes")
+    full = rows.where("set is not null and doc is not null")
+    # one node for each shingle set, named by the least document that has it
+    nodes = written(full.groupBy("set").agg(F.min(F.struct("doc", "mark", "n_shingles", "sketch", "keys")).alias("one")).select("set", F.col("one.doc").alias("node"), "one.mark", "one.n_shingles", "one.sketch", "one.keys"), "nodes")
 
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    met = written(keyed.join(buckets, "key"), "met")
-    wanted = met.select("node").distinct().join(nodes.select("node", "doc", "mark"), "node")
-    texts = written(named.join(wanted, ["doc", "mark"]).dropDuplicates(["node"]).select("node", "text"), "texts")
-
-    tested = met.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    edges = written(verified(tested, texts, k), "links")
-    labels = connected(edges)
-    crossing = _across(met, labels, nodes)
-    late = written(verified(crossing, texts, k), "links")
-    if late.limit(1).count():
-        labels = connected(labels.unionByName(late))
-
-    labelled = nodes.select("node", "doc").join(labels.toDF("node", "root"), "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("doc").alias("component"))
-    named_nodes = labelled.select("node", "root").join(least, "root").select("node", "component")
-    return rows.join(named_nodes, "node", "left").select("doc", "mark", "n_shingles", F.coalesce("component", "doc").alias("component"))
-
-
-def _across(met: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The untested pairs (a, b) of buckets that hold several components, one of each component, near by signature."""
-    with_root = met.join(labels.toDF("node", "root"), "node", "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root"))
-    open_keys = with_root.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    left = written(with_root.join(open_keys, "key").where("node <> pivot"), "open")
-    other = left.toDF("key", "b", "pivot_b", "root_b")
-    pairs = left.join(other, "key").where("node < b and root <> root_b").select(F.col("node").alias("a"), "b").distinct()
-    sigs = nodes.select("node", "sig")
-    both = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_apart, "a binary, b binary")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
+    met = written(keyed.join(shared, "key"), "met")
+    wanted = met.select("node").distinct().join(nodes.select("node", "mark"), "node")
+    texts = written(named.join(wanted, (named["doc"] == wanted["node"]) & (named["mark"] == wanted["mark"])).groupBy("node", wanted["mark"]).agg(F.first("text").alias("text")).select("node", "text"), "texts")
+
+    labels = None
+    for mask in PIVOTS:
+        left = _open(met, labels)
+        masked = F.col("node").bitwiseXOR(F.lit(mask)).alias("masked")
+        pivots = left.groupBy("key").agg(F.min(masked).alias("pivot"))
+        # a node is tested once in a round: with the least pivot of all its buckets
+        near = left.select("key", "node", masked).join(pivots, "key").where("masked <> pivot").groupBy("node").agg(F.min("pivot").bitwiseXOR(F.lit(mask)).alias("pivot"))
+        near = near.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        labels = _joined(labels, verified(_apart(near, labels), texts, k))
+    labels = _joined(labels, verified(_rest(_open(met, labels), nodes), texts, k))
+    # a root is the least node of its component, and a node the least document of its set
+    named_sets = nodes.select("set", "node").join(labels.toDF("node", "root"), "node", "left").select("set", F.coalesce("root", "node").alias("root"))
+    return rows.join(named_sets, "set", "left").select("doc", "mark", "n_shingles", F.coalesce("root", "doc").alias("component"))
+
+
+def _with_roots(rows: DataFrame, labels: DataFrame | None, node: str, root: str) -> DataFrame:
+    if labels is None:
+        return rows.withColumn(root, F.col(node))
+    return rows.join(labels.toDF(node, "__root"), node, "left").withColumn(root, F.coalesce("__root", node)).drop("__root")
+
+
+def _open(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, node, root): the rows of the buckets that hold several components."""
+    if labels is None:
+        return met.withColumn("root", F.col("node"))
+    rooted = _with_roots(met, labels, "node", "root")
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return written(rooted.join(several, "key").select("key", "node", "root"), "open")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    if labels is None:
+        return pairs
+    return _with_roots(_with_roots(pairs, labels, "a", "x"), labels, "b", "y").where("x <> y").select("a", "b")
+
+
+def _joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    edges = written(edges, "links")
+    if labels is None:
+        return connected(edges)
+    return connected(labels.unionByName(edges)) if edges.limit(1).count() else labels
+
+
+def _rest(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of open buckets, across components, that aren't far apart by sketch.
+
+    Buckets are compared where they lie, in blocks of BLOCK members: a larger one is spread
+    over a task for each two of its blocks.
+    """
+    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = left.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    full = spread.join(nodes.select("node", "n_shingles", "sketch", "keys"), "node").select(
+        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_shingles", "sketch", "keys"
+    )
+    dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """One row of each near-duplicate group of docs: that of the least id (and of its texts the least hash).
+    """One row of each near-duplicate group of docs: that of the least id, and of its texts the one of least hash.
 
-    All columns stay as they are. Rows that are alone in their group all stay; of rows repeated with one id and text one stays.
+    All columns stay as they are. A text without words is a group of its own; rows without an id all stay.
     """
     groups = near_groups(docs, doc_id, text, k)
-    best = groups.where("doc = component").groupBy("component").agg(F.min("mark").alias("mark"), F.count("*").alias("n"))
-    lone = groups.where("n_shingles = 0").select(F.col("doc").alias("component"), "mark").distinct().withColumn("n", F.lit(1))
-    best = written(best.join(lone.select("component"), "component", "left_anti").unionByName(lone).distinct(), "keepers")
+    best = written(groups.where("doc = component").groupBy("doc").agg(F.min("mark").alias("mark"), F.count("*").alias("n")), "keepers")
     kept = docs.join(
-        best.select(F.col("component").alias("__doc"), F.col("mark").alias("__mark")),
-        (F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)) == F.col("__doc")) & (F.xxhash64(text_or_empty(docs, text)) == F.col("__mark")),
+        best.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")),
+        (docs[doc_id].cast("long") == F.col("__doc")) & (F.xxhash64(text_or_empty(docs, text)) == F.col("__mark")),
     )
     if best.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__doc", "__mark"])
-    return kept.select(*(docs[c] for c in docs.columns))
+        kept = kept.dropDuplicates(["__doc"])
+    return kept.select(*(docs[c] for c in docs.columns)).unionByName(docs.where(docs[doc_id].isNull()))
