@@ -1,0 +1,161 @@
+import math
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltstone.llm import attention_lm as A
+from siltstone.llm import mixing, pii, toxicity, url_filter
+from tests.llm.conftest import frame
+from tests.llm.test_decontaminate import FOLD
+
+
+def test_url_rules(spark):
+    from siltstone.llm.queries import URL_RULES
+
+    urls = [
+        "http://EXAMPLE.com/en/a", "https://www.example.com/en/?q", "https://a.www.example.com/en/x#y", "http://x.net/es/", "http://net/fr/", "http://net.org/fr/", "http://badnet/es/", "ftp://com", "com/en/", None, "",
+        "x://y.com/?a://b.net/es/", "http://example.com/e", "http://[::1]/en/", "http://a..com//", "http://" + "a." * 300 + "com/",
+    ]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string")
+    rules = spark.createDataFrame([*URL_RULES, (None, "/", "block")], "host string, path string, action string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, rules).collect()}
+    assert len(got) == len(urls) + 1 and got[0]["host"] == "clash" and got[0]["host_"] == "example.com"
+    for i, u in enumerate(urls):
+        rest = (u or "").partition("://")[2]
+        host, path = re.match(r"[^/?#]*", rest)[0].translate(FOLD), re.match(r"[^/?#]*([^?#]*)", rest)[1]
+        fits = [(len(h + p), h + p, a) for h, p, a in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, None, "allow"))
+        assert (got[i]["host_"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, *best[1:]), u
+    assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_bloom_misses_nothing(spark):
+    keys = spark.range(500).select(F.concat(F.lit("k"), "id").alias("key"))
+    bloom = url_filter.blocked_bloom(keys, "key", 31)
+    other = spark.range(500, 1500).select(F.concat(F.lit("k"), "id").alias("key"))
+    assert url_filter.possible(keys, "key", bloom, 31).count() == 500
+    assert url_filter.possible(other, "key", bloom, 31).count() < 100
+
+
+def test_mixing(spark, sample):
+    docs = frame(spark, [*sample, (None, "x")])
+    mixed = mixing.mix_sources(docs, {"src0": 1.0}, total=5 * docs.count())
+    assert mixed.columns == [*docs.columns, "copy_"]
+    n = Counter(r["doc_id"] for r in mixed.collect())
+    assert 0.85 < sum(n.values()) / (5 * docs.count()) < 1.15
+    again = Counter(r["doc_id"] for r in mixing.mix_sources(docs.repartition(5), {"src0": 1.0}, total=5 * docs.count()).collect())
+    assert n == again
+    assert mixing.mix_sources(docs, {"src1": 1.0}).count() == 0 and mixing.mix_sources(docs.limit(0)).count() == 0
+    table = spark.range(1).select(mixing.poisson_table(F.lit(900.0)).alias("t")).first()[0]
+    assert table[0] == 0 and abs(table[899] - 0.4956) < 1e-3 and abs(table[-1] - 1) < 1e-9
+
+
+def test_pii():
+    text = "Mr. John Müller wrote to Frau Anna Schmidt at john.smith@mail7.example.com, +1 (017) 555-7713, 97.51.17.173, card 4845168114407329. John, SCHMIDT and Schmidt; SSN 123-45-6789. Господин Иван Петров."
+    new, told = pii.rewrite(text)
+    kinds = Counter(k for k, _, _ in told)
+    assert kinds == {"given": 4, "family": 4, "email": 1, "phone": 1, "ip": 1, "card": 1, "ssn": 1}
+    by = {e: s for _, e, s in told}
+    assert all(e not in new for _, e, _ in told if len(e) > 4) and len(set(by.values())) == len(by)
+    assert by["John"] in pii.GIVEN["m"] and by["Anna"] in pii.GIVEN["f"]
+    assert re.fullmatch(r"[а-яё]+", by["Петров"].lower()) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", by["+1 (017) 555-7713"])
+    digits = [int(c) for c in by["4845168114407329"]]
+    assert pii._luhn(digits[:-1]) == digits[-1]
+    assert pii.surrogate("email", "A.B@c.ORG").lower() == pii.surrogate("email", "a.b@C.org").lower()
+    assert pii.surrogate("email", "a.b@c.org") != pii.surrogate("email", "a.b@c.org", b"another key")
+
+
+@pytest.mark.parametrize("size", [2, 3, 10, 257, 1000])
+def test_permutation(size):
+    v = [pii._shifted(i, size, b"k") for i in range(size)]
+    assert sorted(v) == list(range(size)) and all(a != b for a, b in enumerate(v))
+
+
+def test_pii_table(spark):
+    docs = spark.createDataFrame([(1, "a@b.com and c@d.com"), (2, "A@b.com"), (3, None), (4, "")], "doc_id long, text string")
+    replaced = pii.replace_pii(docs)
+    assert pii.collisions(pii.surrogate_table(replaced)).count() == 0
+    rows = {r["doc_id"]: r for r in replaced.collect()}
+    assert rows[3]["text"] is None and rows[4]["text"] == "" and len(rows[1]["__entities"]) == 2
+    clash = spark.createDataFrame([("x", "a", "s", 1), ("x", "b", "s", 1), ("x", "c", "c", 1)], "kind string, entity string, surrogate string, n long")
+    assert {r["problem"] for r in pii.collisions(clash).collect()} == {"shared", "kept"}
+
+
+def test_toxicity_on_held_out_documents(spark):
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.1"
+    texts = dict(zip(*pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True))
+    labels = pq.read_table(f"{d}/labels.parquet").to_pydict()
+    label = {i: t for i, t in zip(labels["doc_id"], labels["toxic"], strict=True) if i in texts}
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    model = toxicity.Model([texts[i] for i in label if label[i] and not out(i)], [texts[i] for i in label if not label[i] and not out(i)])
+    distance = model.distance()
+    scores = {i: model.score(texts[i], distance) for i in label if out(i)}
+    toxic, clean = [[s for i, s in scores.items() if label[i] == k] for k in (1, 0)]
+    assert sum(s >= 0.7 for s in toxic) / len(toxic) > 0.6 and sum(s >= 0.7 for s in clean) / len(clean) < 0.02
+    assert 0 <= model.score("", distance) < 0.7
+
+
+def test_toxicity_without_labels(spark, sample):
+    docs = frame(spark, sample)
+    none = spark.createDataFrame([(None, 1, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(docs, none)
+    assert kept.count() == len(sample) and kept.columns == docs.columns
+
+
+def test_language_model(spark, sample, monkeypatch):
+    monkeypatch.setattr(A, "STEPS", 20)
+    monkeypatch.setattr(A, "BLOCK_BYTES", 100_000)
+    rows = [*sample, (None, "not learnt from")]
+    got = A.score_texts(frame(spark, rows)).collect()
+    tokens = [(d, [*re.findall("[^\x20\x09-\x0d]+", (t or "").translate(FOLD)), ""]) for d, t in rows]
+    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 10 == 0
+    counts = Counter(w for d, ws in tokens if not held(d) for w in ws)
+    n, v = sum(counts.values()), len(counts)
+    want = sorted(((d, held(d), len(ws), sum(counts[w] > 0 for w in ws), n, round(sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for d, ws in tokens), key=repr)
+    assert sorted(((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got), key=repr) == want
+    assert all(r["score"] < 0 for r in got)
+    assert A.score_texts(frame(spark, sample).limit(0)).count() == 0
+
+
+def test_windows_score_each_code_once_and_sum_to_one():
+    import numpy as np
+
+    for n in (1, 2, 31, 32, 33, 100):
+        at = A.windows(np.zeros(n))[:, A.WINDOW - A.STRIDE :]
+        assert sorted(at[at >= 0].tolist()) == list(range(n))
+    tables = A.Tables({i: i % 7 for i in range(500)}, 600)
+    tables.learn_next({5: 3, 700: 2})
+    assert np.allclose(np.exp(tables.next).sum(axis=1), 1, atol=1e-4)
+    assert abs(np.exp(tables.other[tables.code == A.OTHER]).sum() - 1) < 1e-9
+
+
+def test_gradients():
+    import numpy as np
+
+    draw = np.random.default_rng(0)
+    net = A.Attention()
+    net.p = {k: w.astype(np.float64) for k, w in net.p.items()}
+    seen, absent = draw.integers(0, A.INPUTS, (2, A.WINDOW)), np.zeros((2, A.WINDOW), bool)
+    absent[0, :16] = True
+    last, codes = seen[:, A.WINDOW - A.STRIDE :], draw.integers(-1, A.CODES, (2, A.STRIDE))
+    table = draw.standard_normal((A.INPUTS, A.CODES))
+
+    def loss():
+        logits = net.forward(seen, absent)[0] @ net.p["out"] + table[last]
+        logp = logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
+        return -(np.take_along_axis(logp, np.maximum(codes, 0)[:, :, None], 2)[:, :, 0] * (codes >= 0)).sum() / (codes >= 0).sum()
+
+    grads = net._gradients(seen, absent, last, codes, table)
+    for name in ("wq", "wk", "wv", "out", "pos"):
+        i = (3, 5)
+        net.p[name][i] += 1e-5
+        up = loss()
+        net.p[name][i] -= 2e-5
+        down = loss()
+        net.p[name][i] += 1e-5
+        assert abs((up - down) / 2e-5 - grads[name][i]) < 1e-5, name
