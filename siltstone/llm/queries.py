@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import attention_lm, decontaminate, hamming_dedup, line_dedup, minhash, mixing, pii, toxicity, url_filter
+from siltstone.llm import attention_lm, bwt_merge, decontaminate, hamming_dedup, line_dedup, minhash, mixing, pii, toxicity, url_filter
 from siltstone.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -37,6 +37,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bwt_merge.repeated_spans(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -78,6 +84,7 @@ def op10_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
+    "op3_bwt_merge": op3_bwt_merge,
     "op4_toxicity": op4_toxicity,
     "op5_attention_lm": op5_attention_lm,
     "op6_fingerprints": op6_fingerprints,
