@@ -26,7 +26,7 @@ from siltstone.llm.line_dedup import NO_ID
 
 LENGTH, GRAM, SYMBOL = 100, 32, 25
 #: Starts of a string's pieces; suffixes of a shard; suffixes merged at once; bytes hashed at once.
-PLACES, SHARD, MOST, CHUNK = LENGTH - GRAM + 1, 1 << 15, 1 << 18, 2 << 20
+PLACES, SHARD, MOST, CHUNK = LENGTH - GRAM + 1, 1 << 14, 56_000, 2 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 REMOVED, FRAGMENT = 0, 1
@@ -152,6 +152,11 @@ def _several(h: np.ndarray, f: np.ndarray, doc: np.ndarray, at: np.ndarray) -> p
     return _rows(FRAGMENT, h[~alone], f[~alone], doc[~alone], at[~alone])
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """x in 16 bits if it fits: those are sorted by radix."""
+    return x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x
+
+
 class Transform:
     """The Burrows-Wheeler transform of strings of symbols, with the suffix that each row is.
 
@@ -164,15 +169,20 @@ class Transform:
     @classmethod
     def of(cls, symbol: np.ndarray, suffix: np.ndarray, following: np.ndarray, before: np.ndarray) -> Transform:
         """symbol: of each suffix, 0 if it is empty; following: index of the suffix one symbol on; before: the symbol before."""
-        rank = np.unique(symbol, return_inverse=True)[1]
+        rank = _narrow(symbol)
+        groups = 0
         while True:  # prefix doubling over this shard alone
-            order = np.lexsort((rank[following], rank))
-            new = np.concatenate([[0], np.cumsum((np.diff(rank[order]) != 0) | (np.diff(rank[following][order]) != 0))])
-            after = np.empty_like(rank)
-            after[order] = new
-            if after.max(initial=0) == rank.max(initial=0):
+            then = rank[following]
+            order = np.argsort(then, kind="stable")
+            order = order[np.argsort(rank[order], kind="stable")]
+            x, y = rank[order], then[order]
+            new = np.concatenate([[0], np.cumsum((x[1:] != x[:-1]) | (y[1:] != y[:-1]))])
+            rank = np.empty(len(order), np.int64)
+            rank[order] = new
+            rank, following = _narrow(rank), following[following]
+            if new[-1] == groups:
                 break
-            rank, following = after, following[following]
+            groups = new[-1]
         order = np.argsort(rank, kind="stable")
         return cls(before[order], suffix[order], int((symbol == 0).sum()))
 
@@ -183,7 +193,7 @@ def refine(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarra
     One round takes the rows in the order so far and deals them, stably, by the symbol before
     them: then rows agree with the merged order in one symbol more. Ends when nothing moves.
     """
-    both = np.concatenate([a.bwt, b.bwt])
+    both = _narrow(np.concatenate([a.bwt, b.bwt]))
     na, n = len(a.bwt), len(both)
     head = np.concatenate([np.zeros(a.empty, np.int8), np.ones(b.empty, np.int8)])
     side = np.concatenate([np.zeros(na, np.int8), np.ones(n - na, np.int8)])
