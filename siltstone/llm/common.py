@@ -17,7 +17,19 @@ FOLD_TEXT = str.maketrans(UPPER, LOWER)
 FOLD_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
+#: Rows of a batch that goes to a Python worker: rows are whole documents here.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS, so that a batch of long documents fits a worker."""
+    if int(spark.conf.get(_BATCH, "10000")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +45,7 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage there, and outlives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

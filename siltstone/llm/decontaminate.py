@@ -123,11 +123,11 @@ def _search(texts: list[str | None], blocks: list[Phrases]) -> list[tuple[int, l
     ]
 
 
-def _shards(blocks_of, others: list[str]):
+def _shards(blocks_of, others: list[str], text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = blocks_of.value
         for batch in batches:
-            texts = batch.column("__text")
+            texts = batch.column(text)
             ends, size = [], 0
             for i, n in enumerate(pc.binary_length(texts).to_pylist()):
                 size += (n or 0) // 4
@@ -138,7 +138,7 @@ def _shards(blocks_of, others: list[str]):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                found = _search(part.column("__text").to_pylist(), blocks)
+                found = _search(part.column(text).to_pylist(), blocks)
                 columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)]
                 yield pa.record_batch([*(part.column(c) for c in others), *columns], [*others, "__n_words", "__starts", "__ends", "__items"])
 
@@ -190,7 +190,8 @@ def find_contamination(
     """
     keep = [doc_id] if keep is None else keep
     spark = docs.sparkSession
-    chosen = docs.select(*(docs[c] for c in keep), text_or_empty(docs, text).alias("__text"))
+    inner = text if text in keep else "__text"  # sent once, even if it is to be kept
+    chosen = docs.select(*(docs[c] for c in keep), *([] if text in keep else [text_or_empty(docs, text).alias(inner)]))
     blocks = list(benchmark_blocks(benchmark, item_id, item_text)) or [[]]
     kinds = {f.name: f.dataType.simpleString() for f in chosen.schema}
     added = "__n_words long, __starts array<int>, __ends array<int>, __items array<long>"
@@ -200,14 +201,14 @@ def find_contamination(
 
     if len(blocks) == 1:
         sent = spark.sparkContext.broadcast([Phrases(blocks[0], window)])
-        return chosen.mapInArrow(_shards(sent, keep), ddl(keep))
-    marked = chosen.withColumn("__mark", F.xxhash64("__text"))
+        return chosen.mapInArrow(_shards(sent, keep, inner), ddl(keep))
+    marked = chosen.withColumn("__mark", F.xxhash64(F.coalesce(F.col(f"`{inner}`"), F.lit(""))))
     kinds |= {"__mark": "bigint", "__pass": "int"}
     every = None
     for k, block in enumerate(blocks):
         sent = spark.sparkContext.broadcast([Phrases(block, window)])
         one = marked.withColumn("__pass", F.lit(k))
-        found = one.mapInArrow(_shards(sent, [*keep, "__mark", "__pass"]), ddl([*keep, "__mark", "__pass"]))
+        found = one.mapInArrow(_shards(sent, [*keep, "__mark", "__pass"], inner), ddl([*keep, "__mark", "__pass"]))
         every = found if every is None else every.unionByName(found)
     # equal rows have equal results: met once, then as often as they came
     each = every.groupBy(*keep, "__mark", "__n_words").agg(

@@ -181,12 +181,13 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", score: str =
         model = sent.value
         distance = model.distance()
         for batch in batches:
-            scores = [model.score(t.as_py() or "", distance) for t in batch.column("__text")]
-            yield pa.record_batch([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], score])
+            scores = [model.score(t.as_py() or "", distance) for t in batch.column(inner)]
+            yield pa.record_batch([*(batch.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, score])
 
     kept = [c for c in docs.columns if c.lower() != score.lower()]
     ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), f"`{score}` double"])
-    return docs.select(*kept, text_or_empty(docs, text).alias("__text")).mapInArrow(run, ddl)
+    inner = text if text in kept else "__text"
+    return docs.select(*kept, *([] if text in kept else [F.col(text).alias(inner)])).mapInArrow(run, ddl)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
