@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import FOLD_TEXT, small_or_plain, text_or_empty, written
+from siltstone.llm.common import FOLD_BYTES, small_or_plain, text_or_empty, written
 
 SPACE = " \t\n\v\f\r"
 #: A line key of fewer code points is left alone; so is one that fewer documents hold.
@@ -40,8 +40,9 @@ _FOUND_ARROW = pa.schema(
 DROP, PENDING, EDGE = 0, 1, 2
 
 
-def line_key(line: str) -> str:
-    return line.strip(SPACE).translate(FOLD_TEXT)
+def line_key(line: str) -> bytes:
+    """The line stripped, A-Z lower-cased, as UTF-8."""
+    return line.strip(SPACE).encode("utf-8", "surrogatepass").translate(FOLD_BYTES)
 
 
 def _long_lines(least_chars: int):
@@ -52,8 +53,8 @@ def _long_lines(least_chars: int):
                 found: dict[bytes, list[int]] = {}
                 lines = text.split("\n")
                 for i, line in enumerate(lines):
-                    if len(line) >= least_chars and len(key := line_key(line)) >= least_chars:
-                        found.setdefault(xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass")), []).append(i)
+                    if len(line) >= least_chars and len(line.strip(SPACE)) >= least_chars:
+                        found.setdefault(xxhash.xxh3_128_digest(line_key(line)), []).append(i)
                 for h, at in found.items():
                     hashes += h
                     docs.append(doc)
@@ -153,10 +154,11 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     named = docs.select(
         F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text_or_empty(docs, text)).alias("mark"), text_or_empty(docs, text).alias("text")
     )
-    lines = named.mapInArrow(_long_lines(least_chars), _LINES)
+    # written first: to find the ranges' borders the rows are read twice
+    lines = written(named.mapInArrow(_long_lines(least_chars), _LINES), "lines")
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc()]
     dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order, F.col("at"))
-    found = written(dealt.mapInArrow(_stream(least_docs), _FOUND), "lines")
+    found = written(dealt.mapInArrow(_stream(least_docs), _FOUND), "runs")
 
     edges = found.where(F.col("kind") == EDGE).groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.max("doc").alias("top"))
     edges = small_or_plain(edges.where(F.col("all_docs") >= least_docs), MOST_EDGES)

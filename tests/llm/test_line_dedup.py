@@ -9,7 +9,7 @@ def brute(rows, least=5):
     held = {}
     for doc, text in rows:
         for line in (text or "").split("\n"):
-            if len(L.line_key(line)) >= 40:
+            if len(L.line_key(line).decode()) >= 40:
                 held.setdefault(L.line_key(line), set()).add(doc)
     out = []
     for doc, text in rows:
