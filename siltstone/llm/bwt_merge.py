@@ -13,7 +13,6 @@ LENGTH / SYMBOL are the intervals of equal strings; no merged suffix is sorted a
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +99,9 @@ def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at >> 8, at & 255
 
 
-def _rows(kind: int, h: np.ndarray, f: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _rows(kind: int, h: np.ndarray | None, f: np.ndarray | None, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Rows of one kind; hashes that nothing needs any more are 0, which takes no room."""
+    h, f = (np.zeros(len(doc), np.int64) if x is None else x for x in (h, f))
     return pa.record_batch([pa.array(np.full(len(doc), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(doc), pa.array(at)], schema=_FOUND)
 
 
@@ -120,7 +121,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, f, doc, at = h[order], f[order], doc[order], at[order]
             first = np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])]) if len(h) else np.zeros(0, bool)
             yield _rows(FRAGMENT, h[first], f[first], doc[first], at[first])
-            yield _rows(REMOVED, mixed(doc[~first].view(np.uint64)), f[~first], doc[~first], at[~first])
+            yield _rows(REMOVED, mixed(doc[~first].view(np.uint64)), None, doc[~first], at[~first])
             a = b
 
 
@@ -133,13 +134,13 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         kind, h, f, doc, at = (batch.column(c).to_numpy() for c in _FOUND.names)
         done = kind == REMOVED
-        yield _rows(REMOVED, h[done], f[done], doc[done], at[done])
+        yield _rows(REMOVED, None, None, doc[done], at[done])
         h, f, doc, at = (x[~done] for x in (h, f, doc, at))
         if not len(h):
             continue
         new = np.concatenate([[last != (h[0], f[0])], (h[1:] != h[:-1]) | (f[1:] != f[:-1])])
         last = (h[-1], f[-1])
-        yield _rows(REMOVED, h[~new], f[~new], doc[~new], at[~new])
+        yield _rows(REMOVED, None, None, doc[~new], at[~new])
         held = [np.concatenate([x, y[new]]) for x, y in zip(held, (h, f, doc, at), strict=True)]
         open_from = int(np.searchsorted(held[0], h[-1]))
         yield _several(*(x[:open_from] for x in held))
@@ -147,9 +148,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _several(*held)
 
 
-def _several(h: np.ndarray, f: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def _several(h: np.ndarray, _: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     alone = np.concatenate([[True], h[1:] != h[:-1]]) & np.concatenate([h[1:] != h[:-1], [True]]) if len(h) else np.zeros(0, bool)
-    return _rows(FRAGMENT, h[~alone], f[~alone], doc[~alone], at[~alone])
+    return _rows(FRAGMENT, h[~alone], None, doc[~alone], at[~alone])
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -275,13 +276,40 @@ def repeated(pieces: list[bytes], counts: np.ndarray, docs: np.ndarray, starts:
     return out
 
 
-_PIECES = "h long, doc long, at long, piece binary"
+_PIECES = "h long, doc long, start long, count int, piece binary"
+#: Strings whose anchor is fewer bytes after their start share the CORE bytes from the anchor on; the others those that end with it.
+HALF = PLACES // 2 + 1
+CORE = LENGTH - HALF + 1
+
+
+def halves(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, pieces: list[bytes]) -> tuple[list[int], ...]:
+    """(key, index, start, count, piece): fragments cut in two, by where in its strings the anchor is, with longer anchors.
+
+    A common anchor has many different surroundings. What all strings of a half share is
+    over twice as long, so that few other fragments have it.
+    """
+    lengths = np.array([len(p) for p in pieces], np.int64)
+    begins = np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    rolling = Rolling(np.frombuffer(b"".join(pieces), np.uint8))
+    place = begins[:, None] + np.minimum(np.arange(PLACES)[None, :], (lengths - GRAM)[:, None])
+    anchor = (rolling.of(place, GRAM) == h.view(np.uint64)[:, None]).argmax(axis=1)  # the leftmost
+    out: tuple[list, ...] = ([], [], [], [], [])
+    cut = np.clip(anchor - HALF + 1, 0, counts)  # strings before it have their anchor far from their start
+    near = np.flatnonzero(cut < counts)
+    far = np.flatnonzero(cut > 0)
+    keys = (mixed(rolling.of((begins + anchor)[near], CORE) + np.uint64(1)), mixed(rolling.of((begins + anchor)[far] - HALF, HALF + GRAM) + np.uint64(2)))
+    for which, key, low, high in ((near, keys[0], cut, counts), (far, keys[1], np.zeros_like(cut), cut)):
+        for i, k in zip(which.tolist(), key.view(np.int64).tolist(), strict=True):
+            a, b = int(low[i]), int(high[i])
+            for column, value in zip(out, (k, i, int(starts[i]) + a, b - a, pieces[i][a : b + LENGTH - 1]), strict=True):
+                column.append(value)
+    return out
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of fragments, from (doc, text, list of (h, at))."""
+    """The bytes of halved fragments, from (doc, text, list of (h, at))."""
     for batch in batches:
-        h, docs, ats, out = [], [], [], []
+        h, docs, ats, found = [], [], [], []
         for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted")), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             for w in wanted:
@@ -289,16 +317,19 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 h.append(w["h"])
                 docs.append(doc)
                 ats.append(w["at"])
-                out.append(data[start : start + count + LENGTH - 1])
-        yield pa.record_batch([pa.array(h, pa.int64()), pa.array(docs, pa.int64()), pa.array(ats, pa.int64()), pa.array(out, pa.binary())], ["h", "doc", "at", "piece"])
+                found.append(data[start : start + count + LENGTH - 1])
+        for a in range(0, len(h), 4096):
+            part = slice(a, a + 4096)
+            starts, counts = _unpack(np.array(ats[part], np.int64))
+            key, at, start, count, piece = halves(np.array(h[part], np.int64), starts, counts, found[part])
+            yield pa.record_batch([pa.array(key, pa.int64()), pa.array([docs[a + i] for i in at], pa.int64()), pa.array(start, pa.int64()), pa.array(count, pa.int32()), pa.array(piece, pa.binary())], ["h", "doc", "start", "count", "piece"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by anchor: (doc, start, end) of the strings that start earlier too, whole anchors at a time."""
 
     def tell(rows: pa.Table) -> pa.RecordBatch:
-        doc, at = rows.column("doc").to_numpy(), rows.column("at").to_numpy()
-        start, count = _unpack(at)
+        doc, start, count = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc", "start", "count"))
         gone = repeated(rows.column("piece").to_pylist(), count, doc, start)
         where = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.concatenate([[0], np.cumsum(count)])[:-1], count)
         row = np.repeat(np.arange(len(doc)), count)
@@ -308,18 +339,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.record_batch([pa.array(doc[y[new]]), pa.array(x[new]), pa.array(x[last] + LENGTH)], ["doc", "start", "end"])
 
     held: list[pa.RecordBatch] = []
-    size, last = 0, None
+    size, last, alone = 0, None, False
     for batch in batches:
         if not batch.num_rows:
             continue
         h = batch.column("h").to_numpy()
         cuts = (np.flatnonzero(h[1:] != h[:-1]) + 1).tolist()
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            if held and h[a] != last and size >= MOST:
-                yield tell(pa.Table.from_batches(held))
-                held, size = [], 0
+            if held and h[a] != last:
+                if alone:  # a key with one fragment has no repeats
+                    held.pop()
+                    size -= LENGTH + HALF
+                if size >= MOST:
+                    yield tell(pa.Table.from_batches(held))
+                    held, size = [], 0
+            alone = b - a == 1 and h[a] != last
             held.append(batch.slice(a, b - a))
-            size += (b - a) * (LENGTH + PLACES // 2)
+            size += (b - a) * (LENGTH + HALF)
             last = h[a]
     if held:
         yield tell(pa.Table.from_batches(held))
@@ -364,15 +400,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     keyed = _keyed(docs, doc_id, text)
     dealt = keyed.repartition("doc")
-    once = keyed.select("doc", "text")
-    once = once.dropDuplicates(["doc"]) if _has_repeats(once) else once
+    repeats = _has_repeats(keyed)
+    once = keyed.select("doc", "text").dropDuplicates(["doc"]) if repeats else keyed.select("doc", "text")
     order = ["h", "f", "doc", "at"]
     found = once.mapInArrow(_cut, _FOUND_DDL).repartition("h").sortWithinPartitions(*order).mapInArrow(_settle, _FOUND_DDL)
     found = written(found, "fragments")
 
     wanted = found.where(F.col("kind") == FRAGMENT).groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
-    pieces = dealt.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_pieces, _PIECES)
-    merged = pieces.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_merge, "doc long, start long, `end` long")
+    pieces = (once if repeats else dealt).join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_pieces, _PIECES)
+    merged = pieces.repartition("h").sortWithinPartitions("h", "doc", "start").mapInArrow(_merge, "doc long, start long, `end` long")
     start, count = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
     settled = found.where(F.col("kind") == REMOVED).select("doc", start.alias("start"), (start + count + LENGTH - 1).alias("end"))
     spans = settled.unionByName(merged).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
