@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_or_empty
 
 KEY = b"siltstone"
 
