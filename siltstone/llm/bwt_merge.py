@@ -407,7 +407,8 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = written(found, "fragments")
 
     wanted = found.where(F.col("kind") == FRAGMENT).groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
-    pieces = (once if repeats else dealt).join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_pieces, _PIECES)
+    # all columns of the dealt texts, though doc_id isn't needed: so that both uses share one exchange
+    pieces = (once if repeats else dealt).join(wanted, "doc").mapInArrow(_pieces, _PIECES)
     merged = pieces.repartition("h").sortWithinPartitions("h", "doc", "start").mapInArrow(_merge, "doc long, start long, `end` long")
     start, count = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
     settled = found.where(F.col("kind") == REMOVED).select("doc", start.alias("start"), (start + count + LENGTH - 1).alias("end"))
