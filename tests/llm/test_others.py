@@ -128,9 +128,9 @@ def test_windows_score_each_code_once_and_sum_to_one():
     for n in (1, 2, 31, 32, 33, 100):
         at = A.windows(np.zeros(n))[:, A.WINDOW - A.STRIDE :]
         assert sorted(at[at >= 0].tolist()) == list(range(n))
-    tables = A.Tables({i: i % 7 for i in range(500)}, 600)
-    tables.learn_next({5: 3, 700: 2})
-    assert np.allclose(np.exp(tables.next).sum(axis=1), 1, atol=1e-4)
+    tables = A.Tables({i: i % 7 for i in range(500)}, 3000)
+    tables.learn_next(np.array([5, 700]), np.array([3.0, 2.0]))
+    assert np.allclose(np.exp(tables.next).sum(axis=1), 1, atol=1e-3) and np.allclose(np.exp(tables.next_group).sum(axis=1), 1, atol=1e-3)
     assert abs(np.exp(tables.other[tables.code == A.OTHER]).sum() - 1) < 1e-9
 
 
@@ -142,8 +142,8 @@ def test_gradients():
     net.p = {k: w.astype(np.float64) for k, w in net.p.items()}
     seen, absent = draw.integers(0, A.INPUTS, (2, A.WINDOW)), np.zeros((2, A.WINDOW), bool)
     absent[0, :16] = True
-    last, codes = seen[:, A.WINDOW - A.STRIDE :], draw.integers(-1, A.CODES, (2, A.STRIDE))
-    table = draw.standard_normal((A.INPUTS, A.CODES))
+    last, codes = seen[:, A.WINDOW - A.STRIDE :], draw.integers(-1, A.GROUPS, (2, A.STRIDE))
+    table = draw.standard_normal((A.INPUTS, A.GROUPS))
 
     def loss():
         logits = net.forward(seen, absent)[0] @ net.p["out"] + table[last]
