@@ -17,7 +17,7 @@ FORMATS = ("pdf", "markdown", "txt", "text")
 ALIASES = {"md": "markdown"}
 
 
-def source_format(name: str | None) -> str:
+def known_format(name: str | None) -> str:
     name = ALIASES.get(name, name)
     if name not in FORMATS:
         raise IngestionError(f"unsupported source_format {name!r}")
@@ -108,12 +108,10 @@ def parsed(raw: DataFrame, strict: bool = True) -> DataFrame:
 
 def ingest_document(spark: SparkSession, seller_id: str, document_id: str, *, source_format: str, text=None, content=None, path=None, root=".", **described) -> DataFrame:
     """One document, from a text, from bytes, or from a file under root: one row of schemas.DOCUMENT."""
-    from siltstone.sources import corpus
-
     for name, value in (("seller_id", seller_id), ("document_id", document_id)):
         if not isinstance(value, str) or not value.strip(T.SPACES):
             raise IngestionError(f"{name} is required")
-    kind = corpus.source_format(source_format)
+    kind = known_format(source_format)
     if sum(x is not None for x in (text, content, path)) != 1:
         raise IngestionError("provide exactly one of text, content, or path")
     if text is not None and kind == "pdf":
@@ -143,8 +141,9 @@ def ingest_seller_corpus(spark: SparkSession, seller_id: str, *, root: str, cata
         raise IngestionError(f"{bad['path']}: {bad['scope']}")
     paths = [r[0] for r in listed.select("path").distinct().collect()]  # one tenant's catalog
     files = spark.read.format("binaryFile").load([f"{root}/{p}" for p in paths]).select("path", "content")
-    tail = F.lower(F.col("f.path"))
-    joined = listed.alias("c").join(F.broadcast(files).alias("f"), tail.endswith(F.concat(F.lit("/"), F.lower("c.path"))), "left")
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    joined = listed.alias("c").join(files.alias("f"), F.col("f.path") == F.concat(F.lit(f"{base}/"), F.col("c.path")), "left")
     raw = joined.select("document_at", "c.seller_id", "c.document_id", "c.document_name", "c.policy_type", "c.version", "c.created_at", "c.updated_at", F.col("c.format").alias("source_format"), F.col("c.path").alias("source_path"), "f.content")
     return parsed(raw, strict)
 
