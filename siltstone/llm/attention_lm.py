@@ -2,9 +2,10 @@
 
 Subwords are reduced to CODES: the commonest ones of the corpus, an end, and "other",
 which is spread over all other subwords by their counts. The model is a table of the
-next code given the last one (counted over a share of the training documents, so it
-grows with the corpus), corrected by a causal self-attention head that is trained on
-windows of a bounded number of them. The head weighs GROUPS of codes, so that a score
+next code given the last one, counted over all training documents, corrected by a causal
+self-attention head that is trained on all their windows: one task starts it on about
+WARM_BYTES of text, then every task goes on with the documents it has, and the weights
+are averaged by windows. The head weighs GROUPS of codes, so that a score
 costs as much for many codes as for few: P(code) = P(group | window) P(code | group, last).
 Windows overlap: WINDOW codes are seen, the last STRIDE scored, so that each code is
 scored once with at least WINDOW - STRIDE codes of context (fewer only where a text begins).
@@ -38,8 +39,10 @@ CODES, HASHED, GROUPS = 2048, 255, 64
 OTHER, END, BOS = CODES - 2, CODES - 1, CODES
 INPUTS = CODES + 1 + HASHED
 WINDOW, STRIDE, WIDTH = 48, 32, 16
-#: One training document in SHARE is tokenized for the tables; on MOST_DOCS of them at most the attention is trained.
-SHARE, MOST_DOCS, STEPS, BATCH = 16, 1_500, 1_500, 64
+#: UTF-8 bytes of the texts on which one task starts the attention, least steps of that, windows of a step there and later.
+WARM_BYTES, STEPS, BATCH, LATER_BATCH = 4 << 20, 1_500, 64, 256
+#: Tasks, at most, that train at a time and send their weights; windows that such a task holds and shuffles.
+UNITS, HELD = 256, 8_192
 SMOOTH_WORD, SMOOTH_CODE = 0.1, 0.5
 #: UTF-8 bytes of a block of documents, whose distinct words one task holds.
 BLOCK_BYTES = 12 << 20
@@ -162,19 +165,46 @@ class Attention:
         s /= s.sum(axis=2, keepdims=True)
         return s @ v, (x, q, k, v, s)
 
-    def train(self, seen: np.ndarray, absent: np.ndarray, last: np.ndarray, codes: np.ndarray, table: np.ndarray, seed: int = 6) -> None:
-        """Adam over batches of windows. last, codes: (n, STRIDE) inputs and groups to predict, -1 where there are none."""
-        draw = np.random.default_rng(seed)
-        m = {n: np.zeros_like(w) for n, w in self.p.items()}
-        r = {n: np.zeros_like(w) for n, w in self.p.items()}
-        for step in range(1, STEPS + 1):
-            b = draw.integers(0, len(seen), BATCH)
-            for name, g in self._gradients(seen[b], absent[b], last[b], codes[b], table).items():
+    def train(self, made: tuple[np.ndarray, ...], table: np.ndarray, steps: int, seed: int = 6) -> None:
+        """Adam over shuffled batches: each window once, and again until there have been ``steps`` of them.
+
+        made: seen, absent, last, codes: (n, STRIDE) inputs and groups to predict, -1 where there are none.
+        """
+        draw, n = np.random.default_rng(seed), len(made[0])
+        step_by, each = self._adam(), -(-n // BATCH)
+        total, step = each * max(1, -(-steps // each)), 0
+        while step < total:
+            order = draw.permutation(n)
+            for a in range(0, n, BATCH):
+                step += 1
+                b = order[a : a + BATCH]
+                step_by(self._gradients(*(x[b] for x in made), table), 0.01 * min(1.0, 2 * (1 - step / (total + 1))))
+
+    def train_on(self, parts: Iterator[tuple[np.ndarray, ...]], table: np.ndarray, seed: int = 7) -> int:
+        """Go on at a low rate, each window of each part once; the number of windows."""
+        draw, step_by, windows_seen = np.random.default_rng(seed), self._adam(), 0
+        for made in parts:
+            order = draw.permutation(len(made[0]))
+            for a in range(0, len(order), LATER_BATCH):
+                b = order[a : a + LATER_BATCH]
+                step_by(self._gradients(*(x[b] for x in made), table), 0.002)
+            windows_seen += len(order)
+        return windows_seen
+
+    def _adam(self):
+        m, r = ({n: np.zeros_like(w) for n, w in self.p.items()} for _ in range(2))
+        step = 0
+
+        def by(gradients: dict[str, np.ndarray], rate: float) -> None:
+            nonlocal step
+            step += 1
+            for name, g in gradients.items():
                 m[name] += 0.1 * (g - m[name])
                 r[name] += 0.01 * (g * g - r[name])
-                rate = 0.01 * min(1.0, 2 * (1 - step / (STEPS + 1)))
                 self.p[name] -= np.float32(rate) * (m[name] / (1 - 0.9**step)) / (np.sqrt(r[name] / (1 - 0.99**step)) + 1e-8)
 
+        return by
+
     def _gradients(self, seen, absent, last, codes, table) -> dict[str, np.ndarray]:
         p = self.p
         o, (x, q, k, v, s) = self.forward(seen, absent)
@@ -183,7 +213,7 @@ class Attention:
         d = np.exp(logits)
         d /= d.sum(axis=2, keepdims=True)
         real = codes >= 0
-        np.put_along_axis(d, np.maximum(codes, 0)[:, :, None], np.take_along_axis(d, np.maximum(codes, 0)[:, :, None], 2) - 1, 2)
+        d.reshape(-1)[np.arange(codes.size) * d.shape[-1] + np.maximum(codes, 0).reshape(-1)] -= 1
         d *= real[:, :, None] / np.float32(max(1, real.sum()))
         do = d @ p["out"].T
         ds = do @ v.transpose(0, 2, 1)
@@ -194,7 +224,9 @@ class Attention:
         dx[:, WINDOW - STRIDE :] += dq @ p["wq"].T
         flat = lambda a: a.reshape(-1, a.shape[-1])
         de = np.zeros_like(p["e"])
-        np.add.at(de, seen.reshape(-1), flat(dx))
+        order = np.argsort(seen, axis=None, kind="stable")
+        which, at = np.unique(seen.reshape(-1)[order], return_index=True)
+        de[which] = np.add.reduceat(flat(dx)[order], at)
         return {
             "e": de, "pos": dx.sum(axis=0), "wq": flat(x[:, WINDOW - STRIDE :]).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv), "out": flat(o).T @ flat(d),
         }
@@ -203,7 +235,7 @@ class Attention:
 class Model:
     def __init__(self, tables: Tables, content: bytes):
         self.tables, self.attention, self.content = tables, Attention(), content
-        self._encoding = None
+        self._encoding, self.n_windows = None, 0
 
     def __getstate__(self):
         return self.__dict__ | {"_encoding": None}
@@ -213,12 +245,18 @@ class Model:
             self._encoding = encoding(self.content)
         return self._encoding.encode_to_numpy(folded(text), disallowed_special=())
 
-    def fit(self, sequences: list[np.ndarray]) -> None:
-        made = [self._windows(*self.tables.sequence(ids)[:2]) for ids in sequences]
+    def parts(self, documents: Iterator[np.ndarray], held: float = math.inf) -> Iterator[tuple[np.ndarray, ...]]:
+        """Windows of documents' ids, as Attention.train takes them: about ``held`` at a time."""
+        made, n = [], 0
+        for ids in documents:
+            seen, absent, last, codes = self._windows(*self.tables.sequence(ids)[:2])
+            made.append((seen, absent, last, np.where(codes < 0, -1, self.tables.group[codes])))
+            n += len(seen)
+            if n >= held:
+                yield tuple(np.concatenate(x) for x in zip(*made, strict=True))
+                made, n = [], 0
         if made:
-            seen, absent, last, codes = (np.concatenate(x) for x in zip(*made, strict=True))
-            groups = np.where(codes < 0, -1, self.tables.group[codes])
-            self.attention.train(seen, absent, last, groups, self.tables.next_group)
+            yield tuple(np.concatenate(x) for x in zip(*made, strict=True))
 
     @staticmethod
     def _windows(inputs: np.ndarray, codes: np.ndarray):
@@ -280,38 +318,91 @@ def _tokenized(content: bytes):
     return run
 
 
-def fit(train: DataFrame, text: str = "text", path: str = TOKENIZER) -> Model:
-    """Learn from training documents: tables from one in SHARE of them, attention from at most MOST_DOCS of those.
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        lists = batch.column("ids")
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        yield from (flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
 
-    Without training documents all subwords are equally likely.
-    """
+
+def fit(train: DataFrame, text: str = "text", path: str = TOKENIZER) -> Model:
+    """Learn from all training documents, each row as often as it comes. Without any, all subwords are equally likely."""
     content = vocabulary(path)
     n_subwords = encoding(content).n_vocab
-    share = train.select(F.xxhash64(text_or_empty(train, text)).alias("at"), text_or_empty(train, text).alias("text"))
-    few = share.where(F.pmod("at", F.lit(SHARE * 4)) < 4)
-    sample = written(few.mapInArrow(_tokenized(content), "at long, ids array<int>"), "subwords")
-    counts = dict(sample.select(F.explode("ids").alias("i")).groupBy("i").count().collect())  # one row a subword at most
-    tables = Tables(counts, n_subwords)
+    # rows are told apart by all their columns, so that copies of a text under other ids part
+    named = train.select(F.xxhash64(*train.columns).alias("at"), text_or_empty(train, text).alias("text"))
+    sample = written(named.mapInArrow(_tokenized(content), "at long, ids array<int>"), "subwords")
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(INPUTS * CODES, np.int32)
+    def subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_subwords, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                inputs, codes, _ = tables.sequence(np.array(ids, np.int64))
-                np.add.at(n, inputs.astype(np.int64) * CODES + codes, 1)
+            n += np.bincount(batch.column("ids").flatten().to_numpy(), minlength=n_subwords)
         some = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(some), pa.array(n[some].astype(np.int64))], ["k", "n"])
+        yield pa.record_batch([pa.array(some), pa.array(n[some])], ["k", "n"])
 
-    found = sample.mapInArrow(pairs, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()  # one row a pair of codes at most
-    tables.learn_next(found.column("k").to_numpy(), found.column("n").to_numpy().astype(np.float64))
+    def summed(run) -> tuple[np.ndarray, np.ndarray]:
+        found = sample.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+        return found.column("k").to_numpy(), found.column("n").to_numpy()
+
+    tables = Tables(dict(zip(*(x.tolist() for x in summed(subwords)), strict=True)), n_subwords)  # one row a subword at most
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(INPUTS * CODES, np.int64)
+        for ids in _documents(batches):
+            inputs, codes, _ = tables.sequence(ids)
+            np.add.at(n, inputs.astype(np.int64) * CODES + codes, 1)
+        some = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(some), pa.array(n[some])], ["k", "n"])
+
+    keys, counts = summed(pairs)  # one row a pair of codes at most
+    tables.learn_next(keys, counts.astype(np.float64))
     model = Model(tables, content)
-    size = sample.count()
-    part = min(1.0, MOST_DOCS / max(1, size))
-    few = sample.where(F.pmod(F.xxhash64("at"), F.lit(1_000_000)) < math.ceil(part * 1_000_000)).select("ids").collect()
-    model.fit([np.array(r["ids"], np.int64) for r in few])
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    model.n_windows = _train(model, sample, max(1, -(-size // WARM_BYTES)), STEPS)
     return model
 
 
+def _train(model: Model, sample: DataFrame, shares: int, steps: int) -> int:
+    """Train the attention on all rows of (at, ids): first on one of ``shares``, then on the others from there. The number of windows."""
+    spark = sample.sparkSession
+    share = F.pmod("at", F.lit(shares))
+
+    def trained(rows: DataFrame, run) -> int:
+        sent = spark.sparkContext.broadcast(model)
+
+        def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mine = sent.value
+            net = Attention()
+            net.p = {n: w.copy() for n, w in mine.attention.p.items()}
+            n = run(mine, net, _documents(batches))
+            if n:
+                yield pa.record_batch([pa.array([n]), pa.array([b"".join(net.p[x].tobytes() for x in net.NAMES)])], ["n", "weights"])
+
+        found = rows.mapInArrow(weights, "n long, weights binary").collect()  # a row a task
+        if found:
+            flat = np.average([np.frombuffer(r["weights"], np.float32) for r in found], axis=0, weights=[r["n"] for r in found]).astype(np.float32)
+            at = 0
+            for name in Attention.NAMES:
+                w = model.attention.p[name]
+                model.attention.p[name] = flat[at : at + w.size].reshape(w.shape)
+                at += w.size
+        sent.unpersist()
+        return sum(r["n"] for r in found)
+
+    def start(mine: Model, net: Attention, documents: Iterator[np.ndarray]) -> int:
+        n = 0
+        for made in mine.parts(documents):
+            net.train(made, mine.tables.next_group, steps)
+            n = len(made[0])
+        return n
+
+    def go_on(mine: Model, net: Attention, documents: Iterator[np.ndarray]) -> int:
+        return net.train_on(mine.parts(documents, HELD), mine.tables.next_group)
+
+    n = trained(sample.where(share == 0).repartition(1).sortWithinPartitions("at"), start)
+    return n + (trained(sample.where(share != 0).coalesce(UNITS), go_on) if shares > 1 else 0)
+
+
 #: The end of a text, as a word: no word is empty.
 _END = b""
 

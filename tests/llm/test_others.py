@@ -122,6 +122,27 @@ def test_language_model(spark, sample, monkeypatch):
     assert A.score_texts(frame(spark, sample).limit(0)).count() == 0
 
 
+def test_language_model_learns_from_all_training_documents(spark, sample, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(A, "STEPS", 20)
+    monkeypatch.setattr(A, "WARM_BYTES", 50_000)
+    model = A.fit(frame(spark, sample).select("doc_id", "text"))
+    tokens = A.encoding(A.vocabulary())
+    ids = [tokens.encode_to_numpy(A.folded(t or "")) for _, t in sample]
+    want = A.Tables(Counter(np.concatenate(ids).tolist()), tokens.n_vocab)
+    made = [want.sequence(x)[:2] for x in ids]
+    keys = np.concatenate([a.astype(np.int64) * A.CODES + b for a, b in made])
+    want.learn_next(*np.unique(keys, return_counts=True))
+    assert (model.tables.code == want.code).all() and np.allclose(model.tables.other, want.other)
+    assert np.allclose(model.tables.next, want.next) and (model.tables.group == want.group).all()
+    assert model.n_windows == sum(len(A.windows(a)) for a, _ in made)
+    texts = [t or "" for _, t in sample]
+    start = A.Model(want, model.content)
+    start.attention.p["out"] *= 0
+    assert sum(model.scores(texts)) > sum(start.scores(texts))
+
+
 def test_windows_score_each_code_once_and_sum_to_one():
     import numpy as np
 
