@@ -8,6 +8,7 @@ text's shingles. The share of equal numbers estimates the Jaccard similarity.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ from siltstone.llm.common import WordHashes, shingles, text_or_empty, written
 
 #: Permutations, bytes kept of each number, words of a shingle, least similarity.
 PERMUTATIONS, KEPT_BYTES, WORDS, LEAST = 128, 2, 5, 0.8
-#: Bands of a signature; a pair at similarity s meets in one with probability 1 - (1 - s**(128/16))**16, 0.947 at 0.8.
-BANDS = 16
+#: Largest probability with which a pair at the least similarity shares no band, and with which its signatures differ too much.
+LOSS = 1e-6
+#: Members of a band's bucket that are compared at once.
+MEMBERS = 4096
 #: Shingles hashed at a time: what fits a core's cache.
 BLOCK = 1 << 16
 
@@ -136,8 +139,24 @@ def fingerprint_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     return found.where(F.col("edge") == INNER).select(*columns).unionByName(edges.mapInArrow(borders, _DDL).select(*columns))
 
 
+def bands_for(least: float) -> int:
+    """The fewest bands, all of one size, in one of which a pair at ``least`` meets but for a probability of LOSS; all numbers if none are enough."""
+    fits = (n for n in range(1, PERMUTATIONS + 1) if PERMUTATIONS % n == 0 and (1 - least ** (PERMUTATIONS // n)) ** n <= LOSS)
+    return next(fits, PERMUTATIONS)
+
+
+def least_equal(least: float) -> int:
+    """The most equal numbers that signatures of a pair at ``least`` have but for a probability of LOSS."""
+    below = 0.0
+    for n in range(PERMUTATIONS + 1):
+        below += math.comb(PERMUTATIONS, n) * least**n * (1 - least) ** (PERMUTATIONS - n)
+        if below > LOSS:
+            return n
+    return PERMUTATIONS
+
+
 def signature_bands(docs: DataFrame, doc_id: str, text: str, k: int, bands: int) -> DataFrame:
-    """(doc, set, band, key): for each document with words its shingle set's hash and its band keys."""
+    """(doc, set, keys, signature): for each document with words its shingle set's hash, band keys and signature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = WordHashes()
@@ -147,25 +166,75 @@ def signature_bands(docs: DataFrame, doc_id: str, text: str, k: int, bands: int)
             full = np.flatnonzero(np.diff(offsets))
             each = [hashlib.blake2b(np.unique(flat[offsets[i] : offsets[i + 1]]).tobytes(), digest_size=16).hexdigest() for i in full]
             rows = PERMUTATIONS // bands
-            keys = [[hashlib.blake2b(sigs[i, j * rows : (j + 1) * rows].tobytes(), digest_size=8, salt=b"%d" % j).hexdigest() for j in range(bands)] for i in full]
-            yield pd.DataFrame({"doc": b["doc"].to_numpy()[full], "set": each, "keys": keys})
+            hashed = lambda i, j: hashlib.blake2b(sigs[i, j * rows : (j + 1) * rows].tobytes(), digest_size=8, salt=b"%d" % j).digest()
+            keys = [np.frombuffer(b"".join(hashed(i, j) for j in range(bands)), np.int64) for i in full]
+            yield pd.DataFrame({"doc": b["doc"].to_numpy()[full], "set": each, "keys": keys, "signature": [sigs[i].tobytes() for i in full]})
 
     named = docs.where(docs[doc_id].isNotNull()).select(docs[doc_id].cast("long").alias("doc"), text_or_empty(docs, text).alias("text"))
-    return named.mapInPandas(run, "doc long, set string, keys array<string>")
+    return named.mapInPandas(run, "doc long, set string, keys array<long>, signature binary")
+
+
+def _met(equal: int):
+    """Over rows sorted by bucket and blocks: the pairs (a, b) with ``equal`` equal numbers, in the bucket of their least common key."""
+
+    def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        doc, block, i, j = (rows.column(c).to_numpy() for c in ("doc", "block", "i", "j"))
+        sigs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint32).reshape(len(doc), -1)
+        keys = np.array(rows.column("keys").to_pylist(), np.int64)
+        here = rows.column("key")[0].as_py()
+        a, b = [], []
+        for n in range(len(doc) - 1):
+            rest = np.arange(n + 1, len(doc))
+            if i[0] != j[0]:  # two blocks of one bucket: only across them
+                rest = rest[block[rest] != block[n]]
+            near = rest[(sigs[rest] == sigs[n]).sum(axis=1) >= equal]
+            near = near[np.where(keys[near] == keys[n], keys[near], np.iinfo(np.int64).max).min(axis=1) == here]
+            a += [int(doc[n])] * len(near)
+            b += doc[near].tolist()
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
+            cuts = (np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                group = (k[start], i[start], j[start])
+                if held and group != last:
+                    yield pairs(held)
+                    held = []
+                held.append(batch.slice(start, end - start))
+                last = group
+        if held:
+            yield pairs(held)
+
+    return run
 
 
-def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, least: float = LEAST, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+def near_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, least: float = LEAST, bands: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): near-duplicate pairs (a, b, jaccard) of class representatives, and (doc, rep) of all documents.
 
     A class holds the documents of one shingle set, its representative is the least id. Pairs
-    meet in a signature band and are verified on their full sets. Rows without an id, and texts
-    without words, take no part; a document stated twice with one id counts once.
+    meet in a signature band, are compared by signature where they lie, a large bucket in
+    blocks, and are verified on their full sets. With the bands of bands_for a pair at ``least``
+    is missed with a probability of 2 * LOSS at most, as long as single numbers are enough bands
+    for that (from 0.11 on). Rows without an id, and texts without words, take no part; a
+    document stated twice with one id counts once.
     """
-    found = written(signature_bands(docs, doc_id, text, k, bands), "bands")
-    reps = found.groupBy("set").agg(F.min(F.struct("doc", "keys")).alias("one")).select("set", "one.doc", "one.keys")
+    found = written(signature_bands(docs, doc_id, text, k, bands or bands_for(least)), "bands")
+    reps = written(found.groupBy("set").agg(F.min(F.struct("doc", "keys", "signature")).alias("one")).select("set", "one.doc", "one.keys", "one.signature"), "representatives")
     members = found.select("doc", "set").distinct().join(reps.select("set", F.col("doc").alias("rep")), "set").select("doc", "rep")
     keyed = reps.select("doc", F.explode("keys").alias("key"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc") < F.col("y.doc"))).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).distinct()
+    blocks = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / F.lit(MEMBERS)).cast("int").alias("blocks"))
+    placed = keyed.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    spread = placed.select("key", "doc", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    full = spread.join(reps.select("doc", "keys", "signature"), "doc").select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc", "keys", "signature")
+    pairs = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_met(least_equal(least)), "a long, b long").where("a < b").distinct()
     texts = docs.select(docs[doc_id].cast("long").alias("__doc"), text_or_empty(docs, text).alias("__text")).dropDuplicates(["__doc"])
     both = pairs.join(texts, F.col("a") == F.col("__doc")).select("a", "b", F.col("__text").alias("ta"))
     both = both.join(texts, F.col("b") == F.col("__doc")).select("a", "b", "ta", F.col("__text").alias("tb"))

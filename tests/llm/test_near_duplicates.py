@@ -118,3 +118,26 @@ def test_banded_pairs_are_verified(spark, unique):
         assert j >= 0.8 and abs(j - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 1e-9
     near = {(a, b) for a, b in combinations(sorted(set(reps.values())), 2) if len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])}
     assert near <= set(found)
+
+
+@pytest.mark.parametrize("members", [4096, 3])
+def test_banded_pairs_are_complete_at_the_threshold(spark, monkeypatch, members):
+    monkeypatch.setattr(M, "MEMBERS", members)
+    # single words as shingles: 8 of 10 are shared at exactly 0.8, or 12 of 14 above it
+    rows = []
+    for n in range(150):
+        own = [f"w{n}x{i}" for i in range(14)]
+        first, second = (own[:9], own[1:10]) if n % 3 else (own[:13], own[1:14])
+        rows += [(2 * n, " ".join(first)), (2 * n + 1, " ".join(second))]
+    rows += [(1000 + i, " ".join(["same", *(f"v{j}" for j in range(40)), f"end{i}"])) for i in range(8)]
+    sets = {d: shingle_set(t, 1) for d, t in rows}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = [(r["a"], r["b"]) for r in M.near_pairs(frame(spark, rows), k=1)[0].collect()]
+    assert len(want) == 150 + 28 and len(found) == len(set(found)) and set(found) == want
+
+
+def test_bands_follow_the_least_similarity():
+    for least in (0.5, 0.7, 0.8, 0.9):
+        n = M.bands_for(least)
+        assert (1 - least ** (M.PERMUTATIONS // n)) ** n <= 1e-6
+    assert M.bands_for(0.8) == 32 and M.least_equal(0.8) < 0.66 * M.PERMUTATIONS
