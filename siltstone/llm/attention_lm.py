@@ -157,12 +157,15 @@ class Attention:
         """seen: (n, WINDOW) inputs; absent: where there are none. Attention output (n, STRIDE, WIDTH) and what backward needs."""
         p = self.p
         x = p["e"][seen] + p["pos"]
-        q, k, v = x[:, WINDOW - STRIDE :] @ p["wq"], x @ p["wk"], x @ p["wv"]
-        s = q @ k.transpose(0, 2, 1) / np.float32(math.sqrt(WIDTH)) + _mask()
-        s += np.where(absent, np.float32(-1e9), np.float32(0))[:, None, :]
+        flat = x.reshape(-1, WIDTH)
+        q, k, v = x[:, WINDOW - STRIDE :] @ p["wq"], (flat @ p["wk"]).reshape(x.shape), (flat @ p["wv"]).reshape(x.shape)
+        s = (q * np.float32(1 / math.sqrt(WIDTH))) @ k.transpose(0, 2, 1)
+        s += _mask()
+        some = np.flatnonzero(absent.any(axis=1))
+        s[some] += np.where(absent[some], np.float32(-1e9), np.float32(0))[:, None, :]
         s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
+        s /= (s @ np.ones(WINDOW, s.dtype))[:, :, None]
         return s @ v, (x, q, k, v, s)
 
     def train(self, made: tuple[np.ndarray, ...], table: np.ndarray, steps: int, seed: int = 6) -> None:
@@ -207,28 +210,33 @@ class Attention:
 
     def _gradients(self, seen, absent, last, codes, table) -> dict[str, np.ndarray]:
         p = self.p
+        flat = lambda a: a.reshape(-1, a.shape[-1])
         o, (x, q, k, v, s) = self.forward(seen, absent)
-        logits = o @ p["out"] + table[last]
-        logits -= logits.max(axis=2, keepdims=True)
-        d = np.exp(logits)
-        d /= d.sum(axis=2, keepdims=True)
-        real = codes >= 0
-        d.reshape(-1)[np.arange(codes.size) * d.shape[-1] + np.maximum(codes, 0).reshape(-1)] -= 1
-        d *= real[:, :, None] / np.float32(max(1, real.sum()))
-        do = d @ p["out"].T
-        ds = do @ v.transpose(0, 2, 1)
+        # softmax in one array; sums over the last axis are products with ones, which are faster
+        d = flat(o) @ p["out"]
+        d += table[last.reshape(-1)]
+        d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        d /= (d @ np.ones(d.shape[1], d.dtype))[:, None]
+        real = codes.reshape(-1) >= 0
+        d.reshape(-1)[np.arange(codes.size) * d.shape[1] + np.maximum(codes, 0).reshape(-1)] -= 1
+        d *= (real / np.float32(max(1, real.sum()))).astype(d.dtype)[:, None]
+        do = (d @ p["out"].T).reshape(o.shape)
         dv = s.transpose(0, 2, 1) @ do
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) / np.float32(math.sqrt(WIDTH))
+        ds = do @ v.transpose(0, 2, 1)
+        # the sum of ds * s over the keys is that of do * o over the width
+        ds -= (do * o).sum(axis=2, keepdims=True)
+        ds *= s
+        ds *= np.float32(1 / math.sqrt(WIDTH))
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dk @ p["wk"].T + dv @ p["wv"].T
-        dx[:, WINDOW - STRIDE :] += dq @ p["wq"].T
-        flat = lambda a: a.reshape(-1, a.shape[-1])
+        dx = (flat(dk) @ p["wk"].T + flat(dv) @ p["wv"].T).reshape(x.shape)
+        dx[:, WINDOW - STRIDE :] += (flat(dq) @ p["wq"].T).reshape(dq.shape)
         de = np.zeros_like(p["e"])
         order = np.argsort(seen, axis=None, kind="stable")
         which, at = np.unique(seen.reshape(-1)[order], return_index=True)
         de[which] = np.add.reduceat(flat(dx)[order], at)
         return {
-            "e": de, "pos": dx.sum(axis=0), "wq": flat(x[:, WINDOW - STRIDE :]).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv), "out": flat(o).T @ flat(d),
+            "e": de, "pos": dx.sum(axis=0), "wq": flat(x[:, WINDOW - STRIDE :]).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv), "out": flat(o).T @ d,
         }
 
 
