@@ -143,6 +143,24 @@ def test_language_model_learns_from_all_training_documents(spark, sample, monkey
     assert sum(model.scores(texts)) > sum(start.scores(texts))
 
 
+def test_language_model_learns_from_few_texts_and_from_many_copies(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(A, "STEPS", 5)
+    for text in ("one text of a few words", "another text", "a third one"):
+        model = A.fit(frame(spark, [(1, text)]).select("doc_id", "text"))
+        assert model.n_windows == 1 and np.ptp(model.tables.next) > 0
+    sent = []
+    monkeypatch.setattr(A, "WARM_BYTES", 1_000)
+    average = np.average
+    monkeypatch.setattr(np, "average", lambda x, **k: (sent.append(sum(map(np.size, x))), average(x, **k))[1])
+    copies = [(i, "a hot text that a third of all rows hold") for i in range(300)]
+    model = A.fit(frame(spark, copies).select("doc_id", "text"))
+    one = sum(w.size for w in model.attention.p.values())
+    # copies under other ids part, and tasks send weights, never documents
+    assert model.n_windows == 300 and len(sent) == 2 and max(sent) <= A.UNITS * one
+
+
 def test_windows_score_each_code_once_and_sum_to_one():
     import numpy as np
 
