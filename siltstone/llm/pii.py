@@ -3,14 +3,17 @@
 A surrogate is a keyed permutation of all strings of the entity's shape: the same entity
 gets the same surrogate in every document (coreference, without any table), two entities
 never share one (distinctness holds by construction, and ``collisions`` checks it), and no
-entity keeps its own. So documents are rewritten where they are read, without a shuffle.
+entity keeps its own, if it has a letter or digit that another can stand for: letters of
+scripts without an alphabet here stand for those of their kind and Unicode page. So documents are rewritten where they are read, without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,10 +99,37 @@ def _mapped(places: list[tuple[int, int]], key: bytes, kind: str, shape: str) ->
     return out[::-1]
 
 
+def _kind_of(c: str) -> tuple | None:
+    """What letters outside LETTERS and _IDEOGRAPHS have in common that stand for each other; None for all else, and for letters that have a lower case."""
+    category = unicodedata.category(c)
+    if category[0] != "L" or c in _CLASS or ord(c) in _IDEOGRAPHS or (c.lower() != c and len(c.lower()) == 1):
+        return None
+    words = tuple(unicodedata.name(c, "").split()[:2])
+    large = words in (("HANGUL", "SYLLABLE"), ("CJK", "UNIFIED"))
+    back = len(c.upper()) == 1 and c.upper().lower() == c  # else its upper case is another letter's
+    return words, category, back, None if large else ord(c) >> 8
+
+
+@cache
+def _alphabets() -> dict[tuple, str]:
+    found: dict[tuple, list[str]] = {}
+    for c in map(chr, range(0x80, 0x32400)):
+        kind = _kind_of(c)
+        if kind is not None:
+            found.setdefault(kind, []).append(c)
+    return {k: "".join(v) for k, v in found.items()}
+
+
+@cache
+def _other_alphabet(c: str) -> str | None:
+    kind = _kind_of(c)
+    return None if kind is None else _alphabets().get(kind)
+
+
 def shaped(text: str, key: bytes, kind: str) -> str:
     """Letters and digits permuted within script, vowels and consonants; case follows the original; the rest stays."""
     low = [c.lower() if len(c.lower()) == 1 else c for c in text]
-    alphabet = [DIGITS if c in DIGITS else LETTERS[_CLASS[c][0]] if c in _CLASS else _IDEOGRAPHS if ord(c) in _IDEOGRAPHS else None for c in low]
+    alphabet = [DIGITS if c in DIGITS else LETTERS[_CLASS[c][0]] if c in _CLASS else _IDEOGRAPHS if ord(c) in _IDEOGRAPHS else _other_alphabet(c) if c > "\x7f" else None for c in low]
     places = [(a.index(ord(c)) if a is _IDEOGRAPHS else a.index(c), len(a)) for c, a in zip(low, alphabet, strict=True) if a is not None]
     shape = "".join(c if a is None else "#" if a is DIGITS else chr(0x4E00) if a is _IDEOGRAPHS else a[0] for c, a in zip(low, alphabet, strict=True))
     values = iter(_mapped(places, key, kind, shape))

@@ -68,6 +68,20 @@ def test_pii():
     assert pii.surrogate("email", "a.b@c.org") != pii.surrogate("email", "a.b@c.org", b"another key")
 
 
+def test_pii_of_scripts_without_an_alphabet():
+    names = ["김민준", "박서연", "さくら", "サクラ", "محمد", "שלמה", "สมชาย", "कमल", "Łł", "Ğğ", "Աննա", "𠀋𠀌"]
+    for name in names:
+        new, told = pii.rewrite(f"Mr. {name} came")
+        assert [e for _, e, _ in told] == [name] and new != f"Mr. {name} came"
+        made = told[0][2]
+        assert len(made) == len(name) and all(ord(a) >> 8 == ord(b) >> 8 or a >= "\u3400" for a, b in zip(name, made, strict=True))
+        assert [c.isupper() for c in made] == [c.isupper() for c in name]
+        assert pii.surrogate("family", name.upper()).lower() == pii.surrogate("family", name).lower()
+    letters = [chr(i) for i in range(0x5D0, 0x5EB)]
+    assert len({pii.surrogate("family", a + b) for a in letters for b in letters}) == len(letters) ** 2
+    assert "ł" not in pii.surrogate("family", "ł")
+
+
 @pytest.mark.parametrize("size", [2, 3, 10, 257, 1000])
 def test_permutation(size):
     v = [pii._shifted(i, size, b"k") for i in range(size)]
