@@ -10,6 +10,7 @@ ranks; hits are located by sampled suffix positions and merged to removal spans.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ SHARD_WORDS = 2_000_000
 _WORDS = bytes(
     c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256)
 )
+#: A word of words_of in the text itself.
+_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -237,3 +240,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     if docs.columns.count(text) != 1:
         raise ValueError(f"docs needs one column {text}")
     return find_contamination(docs, benchmark, doc_id, text, keep=docs.columns).where(~is_contaminated()).select(*(f"`{c}`" for c in docs.columns))
+
+
+def text_spans(text: str | None, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
+    """Code point offsets, ends exclusive, of spans of words: from each one's first word to the end of its last."""
+    if not starts:
+        return []
+    words = [m.span() for m in _WORD.finditer(text or "")]
+    return [(words[a][0], words[b - 1][1]) for a, b in zip(starts, ends, strict=True)]
+
+
+def _cut(text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for t, starts, ends in zip(*(batch.column(c).to_pylist() for c in (text, "__starts", "__ends")), strict=True):
+                for a, b in reversed(text_spans(t, starts, ends)):
+                    t = t[:a] + t[b:]
+                out.append(t)
+            kept = [c for c in batch.schema.names if c not in ("__starts", "__ends")]
+            yield pa.record_batch([pa.array(out, pa.string()) if c == text else batch.column(c) for c in kept], kept)
+
+    return run
+
+
+def remove_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs, every row, with all passages that are hit cut out of the text, however small their share is.
+
+    What separates words stays, and null texts stay null. The pipeline drops contaminated
+    documents and doesn't call this.
+    """
+    if docs.columns.count(text) != 1:
+        raise ValueError(f"docs needs one column {text}")
+    found = find_contamination(docs, benchmark, doc_id, text, keep=docs.columns).select(*(f"`{c}`" for c in docs.columns), "__starts", "__ends")
+    return found.mapInArrow(_cut(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

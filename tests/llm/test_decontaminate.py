@@ -73,3 +73,15 @@ def test_drops_contaminated_and_keeps_columns(spark, items):
     assert kept.columns == docs.columns and {r[0] for r in kept.collect()} == {2, 3}
     assert D.decontaminate(docs.where(F.lit(False)), bench).count() == 0
     assert D.decontaminate(docs, bench.where(F.lit(False))).count() == 3
+
+
+def test_passages_are_cut_out(spark):
+    item = " ".join(f"Item{i}" for i in range(20))
+    long = " ".join(f"own{i}" for i in range(900))
+    rows = [(1, f"é {long}, {item.upper()}! {long}"), (2, item), (3, long), (4, None), (5, f"a {item} b\n{item} c"), (5, f"a {item} b\n{item} c"), (None, "")]
+    docs, bench = frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")
+    cut = D.remove_passages(docs, bench)
+    assert cut.columns == docs.columns
+    want = [(1, f"é {long}, ! {long}"), (2, ""), (3, long), (4, None), (5, "a  b\n c"), (5, "a  b\n c"), (None, "")]
+    assert sorted(((r["doc_id"], r["text"]) for r in cut.collect()), key=repr) == sorted(want, key=repr)
+    assert {r[0] for r in D.decontaminate(docs, bench).select("doc_id").collect()} == {1, 3, 4, None}
