@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -17,15 +18,20 @@ FOLD_TEXT = str.maketrans(UPPER, LOWER)
 FOLD_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-#: Rows of a batch that goes to a Python worker: rows are whole documents here.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Most rows, and most bytes, of a batch that goes to a Python worker: rows are whole documents here, some of them long.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+_BOUNDS = (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES))
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's rows of an Arrow batch to BATCH_ROWS, so that a batch of long documents fits a worker."""
-    if int(spark.conf.get(_BATCH, "10000")) not in range(1, BATCH_ROWS + 1):
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    """Lower the session's bounds of an Arrow batch to BATCH_ROWS and BATCH_BYTES, so that a batch of long documents fits a worker.
+
+    They are read when a plan runs, which is after the operator has returned: so they stay. A lower bound isn't raised.
+    """
+    for name, most in _BOUNDS:
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if not 1 <= now <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,23 +40,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Unset, it is a temporary one if all tasks run in this process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage there, and outlives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage there, and outlives lost executors.
+
+    It is there until the session ends, or until ``forget`` is called for it.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that no plan will read again; other DataFrames are left alone."""
+    for table in tables:
+        path = getattr(table, "_written_at", None)
+        if path:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def small_or_plain(df: DataFrame, most: int) -> DataFrame:
