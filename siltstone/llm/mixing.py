@@ -4,20 +4,27 @@ Each source has a target mean repetition rate; each document's count of copies i
 drawn by inverting the Poisson distribution of that rate at a uniform number hashed
 from the seed and the document's id. Counts so depend on nothing but seed, id and
 rate: any executor that recomputes a row draws the same. Copies are then put in one
-global random order by a hash of seed, id and copy number.
+global random order by a hash of seed, id and copy number: the hash deals them to
+partitions, and orders them within their partition.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import free_name, small_or_plain
 
-#: Sources whose rates are broadcast at most; with more, the join is an ordinary one.
-MOST_SOURCES = 5_000
+#: Sources whose rates are broadcast at most; with more, the join is an ordinary one over so many parts of each source.
+MOST_SOURCES, PARTS = 5_000, 64
+#: Copies of a row that one task makes: a row with more is dealt to several.
+COPIES = 1_000
 #: Hexadecimal digits of the hash that make the uniform number: 52 bits, exact in a double.
 DIGITS = 13
 
@@ -28,16 +35,34 @@ def uniform(seed: int, key: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("double") / F.lit(float(16**DIGITS))
 
 
-def poisson_table(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until what is left can't be drawn: an array of doubles."""
-    far = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    start = F.struct((-rate).alias("log"), F.array(F.exp(-rate)).alias("cdf"))
+@lru_cache(maxsize=64)
+def poisson_window(rate: float) -> tuple[int, np.ndarray]:
+    """The least count k that can be drawn, and P(X <= k), P(X <= k + 1), ...: 24 deviations of the rate and a constant, however large it is.
+
+    What lies beyond, under 1e-30, can't be told from 0 and 1 by a number of 52 bits.
+    """
+    far = 12 * math.sqrt(rate) + 40
+    least, most = max(0, math.floor(rate - far)), math.ceil(rate + far)
+    steps = np.log(rate / np.arange(least + 1, most + 1, dtype=np.float64))
+    log = np.concatenate([[0.0], np.cumsum(steps)])
+    share = np.exp(log - log.max())
+    below = np.cumsum(share)
+    return least, below / below[-1]
+
+
+def poisson_counts(rate: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The Poisson distributions of the rates inverted at u: how many k have P(X <= k) <= u. Null and other rates that aren't positive give 0."""
+    out = np.zeros(len(rate), np.int64)
+    for value in np.unique(rate[rate > 0]).tolist():
+        mine = rate == value
+        least, below = poisson_window(value)
+        out[mine] = least + np.searchsorted(below, u[mine], "right")
+    return out
 
-    def add(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log(rate) - F.log(k.cast("double"))
-        return F.struct(log.alias("log"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + F.exp(log))).alias("cdf"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), far), start, add)["cdf"]).otherwise(F.array(F.lit(1.0)))
+def _drawn(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for rate, u in parts:
+        yield pd.Series(poisson_counts(rate.to_numpy(np.float64), u.to_numpy(np.float64)))
 
 
 def source_rates(docs: DataFrame, source: str, weights: Mapping[str, float] | None, total: float | None) -> DataFrame:
@@ -74,18 +99,26 @@ def mix_sources(
 
     Adds ``number``, 1 to the row's count of copies, with underscores at its end if docs has
     such a column. Rows of one key draw the same count (repeated rows, and all rows whose key
-    is null). An empty table stays empty. ``shuffle=False`` leaves out the global order.
+    is null). An empty table stays empty. Rates may be large: what a draw costs grows with their
+    root, and the copies of one row are made by many tasks. ``shuffle=False`` leaves out the
+    global order.
     """
     number = free_name(docs.columns, number)
-    rates = source_rates(docs, source, weights, total).select("__source", poisson_table(F.col("__rate")).alias("__cdf"))
-    rates = small_or_plain(rates, MOST_SOURCES)
-    joined = docs.join(rates, docs[source].eqNullSafe(rates["__source"]))
-    u = uniform(seed, docs[key])
-    drawn = joined.select(*(docs[c] for c in docs.columns), F.size(F.filter("__cdf", lambda c: c <= u)).alias("__count"))
-    copies = drawn.where("__count > 0").select(
-        *(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__count"))).alias(number)
-    )
+    rates = source_rates(docs, source, weights, total)
+    small = small_or_plain(rates, MOST_SOURCES)
+    on = docs[source].eqNullSafe(small["__source"])
+    if small is rates:  # many sources, one of which may have most rows: each meets its rate in PARTS keys
+        small = rates.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("__part"))
+        on = docs[source].eqNullSafe(small["__source"]) & (F.pmod(F.xxhash64(docs[key]), F.lit(PARTS)) == small["__part"])
+    joined = docs.join(small, on)
+    drawn = joined.select(*(docs[c] for c in docs.columns), F.pandas_udf(_drawn, "long")("__rate", uniform(seed, docs[key])).alias("__count")).where("__count > 0")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    runs = drawn.select(*own, "__count", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__count"), F.lit(COPIES).cast("long"))).alias("__from"))
+    if (rates.agg(F.max("__rate")).first()[0] or 0) > COPIES:
+        runs = runs.repartition(F.xxhash64(F.col(f"`{key}`"), "__from"))
+    upto = F.least("__count", F.col("__from") + (COPIES - 1))
+    copies = runs.select(*own, F.explode(F.sequence(F.col("__from").cast("int"), upto.cast("int"))).alias(number))
     if not shuffle:
         return copies
-    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col(number)).cast("binary"))
-    return copies.orderBy(order, F.col(key), F.col(number))
+    order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.col(number)).cast("binary"))
+    return copies.repartition(order).sortWithinPartitions(order, F.col(f"`{key}`"), F.col(number))

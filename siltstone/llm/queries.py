@@ -135,7 +135,7 @@ WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, (SELECT sum(n) FROM n) / (SELECT count(*) FROM n) / n AS rate FROM n),
 logs AS (
   SELECT source, k, -rate + CASE WHEN k = 0 THEN 0 ELSE sum(CASE WHEN k = 0 THEN 0 ELSE ln(rate) - ln(k) END) OVER (PARTITION BY source ORDER BY k) END AS lp
-  FROM r, range(0, 400) AS t(k)
+  FROM r, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT) + 1)) AS t(k)
 ), cdf AS (SELECT source, k, sum(exp(lp)) OVER (PARTITION BY source ORDER BY k) AS p FROM logs),
 u AS (
   SELECT doc_id, source, text, CAST('0x' || substr(md5('17:' || CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents

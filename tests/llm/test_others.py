@@ -49,8 +49,46 @@ def test_mixing(spark, sample):
     again = Counter(r["doc_id"] for r in mixing.mix_sources(docs.repartition(5), {"src0": 1.0}, total=5 * docs.count()).collect())
     assert n == again
     assert mixing.mix_sources(docs, {"src1": 1.0}).count() == 0 and mixing.mix_sources(docs.limit(0)).count() == 0
-    table = spark.range(1).select(mixing.poisson_table(F.lit(900.0)).alias("t")).first()[0]
-    assert table[0] == 0 and abs(table[899] - 0.4956) < 1e-3 and abs(table[-1] - 1) < 1e-9
+
+
+def test_poisson_is_inverted_at_any_rate():
+    import time
+
+    import numpy as np
+
+    u = (np.arange(2000) + 0.5) / 2000
+    for rate in (1e-9, 0.3, 1.0, 7.5, 41.0):
+        p, below, want = math.exp(-rate), math.exp(-rate), []
+        table = [below]
+        for k in range(1, 200):
+            p *= rate / k
+            below += p
+            table.append(below)
+        want = [sum(c <= x for c in table) for x in u.tolist()]
+        assert mixing.poisson_counts(np.full(2000, rate), u).tolist() == want
+    assert mixing.poisson_counts(np.array([np.nan, 0.0, -1.0, 900.0]), np.array([0.5, 0.5, 0.5, 0.4957])).tolist() == [0, 0, 0, 900]
+    began = time.perf_counter()
+    n = mixing.poisson_counts(np.full(2000, 1e7), u)
+    assert time.perf_counter() - began < 1 and abs(n.mean() - 1e7) < 10 and abs(n.std() / math.sqrt(1e7) - 1) < 0.01
+
+
+def test_many_copies_of_a_row_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 10)
+    docs = spark.createDataFrame([(1, "rare", "a"), *((i, "often", "b") for i in range(2, 30))], "doc_id long, source string, text string")
+    mixed = mixing.mix_sources(docs, {"rare": 50.0, "often": 1.0}, total=400)
+    rows = mixed.collect()
+    copies = sorted(r["copy"] for r in rows if r["doc_id"] == 1)
+    assert copies == list(range(1, len(copies) + 1)) and 320 < len(copies) < 460
+    places = [i for i, r in enumerate(rows) if r["doc_id"] == 1]
+    assert places != list(range(places[0], places[0] + len(places)))
+
+
+def test_many_sources_are_joined_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "hot" if i % 3 else f"s{i}", "t") for i in range(90)] + [(None, None, "t")], "doc_id long, source string, text string")
+    key = lambda df: sorted(map(repr, df.collect()))
+    want = key(mixing.mix_sources(docs))
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    assert key(mixing.mix_sources(docs)) == want
 
 
 def test_pii():
