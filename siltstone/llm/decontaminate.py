@@ -6,12 +6,16 @@ phrase has can't be part of a hit, nor can two neighbours that no phrase has sid
 side, so the index covers only the runs of words between them; positions map back to
 the whole text. Phrases are searched backward, all at once, through wavelet-matrix
 ranks; hits are located by sampled suffix positions and merged to removal spans.
+
+The benchmark may be large: its items come to the driver as a stream, MOST_WINDOWS
+windows at a time in packed arrays, and each such block is one pass over the documents.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import text_or_empty
+from siltstone.llm.common import forget, text_or_empty, written
 from siltstone.llm.fm_index import FMIndex
 
 #: Words of a window; a document is contaminated if so much of it, or more, is hit.
 WINDOW, LEAST_SHARE = 13, 1 / 20
-#: UTF-8 bytes of benchmark text that are sent to the tasks at once; a larger benchmark is searched in several passes.
-BLOCK_BYTES = 16 << 20
+#: Windows that are sent to the tasks at once, some 100 bytes each; a larger benchmark is searched in several passes.
+MOST_WINDOWS = 1_000_000
+#: UTF-8 bytes of the items that the driver fetches at once, about; bytes of a text that are cut into words at once.
+FETCHED, CUT = 4 << 20, 1 << 20
 #: Words of an index shard; a longer document is a shard of its own.
 SHARD_WORDS = 2_000_000
 
@@ -42,29 +48,62 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
+def stream_words(text: str) -> Iterator[bytes]:
+    """words_of a long text, without a list of all of them."""
+    data = text.encode("utf-8", "surrogatepass").translate(_WORDS)
+    a = 0
+    while a < len(data):
+        b = data.find(b" ", a + CUT)
+        b = len(data) if b < 0 else b
+        yield from data[a:b].split()
+        a = b
+
+
 class Phrases:
-    """The distinct windows of benchmark items, in symbols 1 .. n of the words they hold."""
+    """The distinct windows of benchmark items, in symbols 1 .. n of the words they hold, and the items that have each.
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW):
+    A piece of an item has at least a window's words, or is a whole shorter item.
+    """
+
+    def __init__(self, pieces: Iterable[tuple[object, list[bytes]]], window: int = WINDOW):
         self.code: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            words = [self.code.setdefault(w, len(self.code) + 1) for w in words_of(text)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                found.setdefault(tuple(words[i : i + window]), set()).add(item)
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.shortest = int(self.lengths.min()) if len(found) else 0
-        self.symbols = np.zeros((len(found), window), np.int64)
-        pairs = set()
-        for row, w in zip(self.symbols, found, strict=True):
-            row[window - len(w) :] = w
-            pairs.update(zip(w, w[1:], strict=False))
+        number: dict[object, int] = {}
+        coded, owner = [], []
+        for item, words in pieces:
+            if words:
+                coded.append(np.fromiter((self.code.setdefault(w, len(self.code) + 1) for w in words), np.int32, len(words)))
+                owner.append(number.setdefault(item, len(number)))
+        self.ids = list(number)
         self.base = len(self.code) + 1
-        self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), np.int64)
-        self.single = np.zeros(self.base, bool)
-        self.single[np.array([w[0] for w in found if len(w) == 1], np.int64)] = True
         self.bits = max(1, (self.base - 1).bit_length())
-        self.items = [sorted(x) for x in found.values()]
+        self.single = np.zeros(self.base, bool)
+        size = np.array([len(c) for c in coded], np.int64)
+        flat = np.concatenate([*coded, np.zeros(0, np.int32)])
+        begins = np.concatenate([[0], np.cumsum(size)])[:-1]
+        inner = np.ones(len(flat), bool)
+        inner[begins] = False
+        then = np.flatnonzero(inner)
+        self.pairs = np.unique(flat[then - 1].astype(np.int64) * self.base + flat[then])
+        windows = np.maximum(1, size - window + 1)
+        piece = np.repeat(np.arange(len(size)), windows)
+        start = begins[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+        before = np.maximum(window - size, 0)[piece]  # empty places at the left of a short window
+        every = np.zeros((len(piece), window), np.int32)
+        for j in range(window):
+            some = before <= j
+            every[some, j] = flat[start[some] + j - before[some]]
+        rows = every.view(np.dtype((np.void, window * 4)))[:, 0]
+        _, first, which = np.unique(rows, return_index=True, return_inverse=True)
+        self.symbols = every[first]
+        self.lengths = window - before[first]
+        self.shortest = int(self.lengths.min(initial=window)) if len(first) else 0
+        self.single[self.symbols[self.lengths == 1, -1]] = True
+        has = np.unique(which * len(self.ids) + np.array(owner, np.int64)[piece]) if len(piece) else np.zeros(0, np.int64)
+        self._item = (has % max(1, len(self.ids))).astype(np.int32)
+        self._item_at = np.searchsorted(has // max(1, len(self.ids)), np.arange(len(first) + 1))
+
+    def items(self, phrase: int) -> list:
+        return [self.ids[i] for i in self._item[self._item_at[phrase] : self._item_at[phrase + 1]].tolist()]
 
     def hits(self, codes: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, phrase) of all occurrences in codes; breaks[i] says that i begins a document."""
@@ -97,7 +136,7 @@ class Phrases:
         return where[index.locate(rows)], np.repeat(some, count)
 
 
-def _search(texts: list[str | None], blocks: list[Phrases]) -> list[tuple[int, list[int], list[int], list[int]]]:
+def _search(texts: list[str | None], phrases: Phrases) -> list[tuple[int, list[int], list[int], list]]:
     """For each text of a shard: its words, the merged spans of words that are hit, and the items."""
     words = [words_of(t) for t in texts]
     counts = np.array([len(w) for w in words], np.int64)
@@ -105,16 +144,15 @@ def _search(texts: list[str | None], blocks: list[Phrases]) -> list[tuple[int, l
     breaks = np.zeros(offsets[-1], bool)
     breaks[offsets[:-1][counts > 0]] = True
     change = np.zeros(offsets[-1] + 1, np.int32)
-    items: dict[int, set[int]] = {}
-    for block in blocks:
-        get = block.code.get
-        codes = np.fromiter((get(w, 0) for doc in words for w in doc), np.int64, offsets[-1])
-        at, phrase = block.hits(codes, breaks)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + block.lengths[phrase], -1)
-        doc = np.searchsorted(offsets, at, "right") - 1
-        for d, p in np.unique(np.stack([doc, phrase], 1), axis=0).tolist():
-            items.setdefault(d, set()).update(block.items[p])
+    items: dict[int, set] = {}
+    get = phrases.code.get
+    codes = np.fromiter((get(w, 0) for doc in words for w in doc), np.int64, offsets[-1])
+    at, phrase = phrases.hits(codes, breaks)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + phrases.lengths[phrase], -1)
+    doc = np.searchsorted(offsets, at, "right") - 1
+    for d, p in np.unique(np.stack([doc, phrase], 1), axis=0).tolist():
+        items.setdefault(d, set()).update(phrases.items(p))
     covered = np.cumsum(change[:-1]) > 0
     begins = np.flatnonzero(covered & (breaks | ~np.concatenate([[False], covered[:-1]]))) if len(covered) else np.zeros(0, np.int64)
     last = np.concatenate([breaks[1:], [True]]) if len(covered) else breaks
@@ -126,9 +164,10 @@ def _search(texts: list[str | None], blocks: list[Phrases]) -> list[tuple[int, l
     ]
 
 
-def _shards(blocks_of, others: list[str], text: str):
+def _shards(sent, others: list[str], text: str, item: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = blocks_of.value
+        phrases = sent.value
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(item))
         for batch in batches:
             texts = batch.column(text)
             ends, size = [], 0
@@ -141,8 +180,8 @@ def _shards(blocks_of, others: list[str], text: str):
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                found = _search(part.column(text).to_pylist(), blocks)
-                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)]
+                found = _search(part.column(text).to_pylist(), phrases)
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)]
                 yield pa.record_batch([*(part.column(c) for c in others), *columns], [*others, "__n_words", "__starts", "__ends", "__items"])
 
     return run
@@ -165,17 +204,36 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*(batch.column(c) for c in rest), *columns], [*rest, "__starts", "__ends"])
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items with an id and a text, in blocks of about block_bytes of text."""
+_WHOLE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, window: int = WINDOW, most: int | None = None) -> Iterator[Phrases]:
+    """The windows of all items with an id and a text, MOST_WINDOWS at a time; a long item may be in several blocks.
+
+    Ids are whole numbers, else they are taken as text. The driver holds about FETCHED bytes of items and one block.
+    """
+    most = most or MOST_WINDOWS
+    kind = "long" if benchmark.schema[item_id].dataType.simpleString() in _WHOLE else "string"
     items = benchmark.where(benchmark[item_id].isNotNull() & benchmark[text].isNotNull()).select(
-        benchmark[item_id].cast("long").alias("item"), benchmark[text].alias("text")
+        benchmark[item_id].cast(kind).alias("item"), benchmark[text].alias("text")
     )
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()
-        if rows:
-            yield [(r["item"], r["text"]) for r in rows]
+    if size > FETCHED:
+        items = items.repartition(-(-size // FETCHED), F.xxhash64("item", "text"))
+    held: list[tuple[object, list[bytes]]] = []
+    room = most
+    for row in items.toLocalIterator():
+        words, tail = stream_words(row["text"]), []
+        while fresh := list(islice(words, room if tail else room + window - 1)):
+            piece = tail + fresh
+            held.append((row["item"], piece))
+            tail = piece[len(piece) - window + 1 :]
+            room -= max(1, len(piece) - window + 1)
+            if room <= 0:
+                yield Phrases(held, window)
+                held, room = [], most
+    if held:
+        yield Phrases(held, window)
 
 
 def find_contamination(
@@ -184,45 +242,54 @@ def find_contamination(
     """For each row of docs: the columns ``keep`` (doc_id alone if None), and
 
     __n_words long, __starts and __ends array<int> (maximal runs of hit words, ends
-    exclusive) and __items array<long> (ids of the items with a window in the text, sorted).
+    exclusive) and __items, an array of the ids of the items with a window in the text, sorted
+    (long, or string if the ids aren't whole numbers).
 
     A null or empty text, or one without words, has no words and no hits. Items without id, text
     or words have no windows; rows of one item id are one item. Every row is judged by itself:
-    repeated rows and null ids too. The documents aren't shuffled, unless the benchmark is over
-    BLOCK_BYTES: each block of it is then a pass over the documents, and the passes meet by row.
+    repeated rows and null ids too. The documents aren't shuffled, unless the benchmark has over
+    MOST_WINDOWS windows: each block of it is then a pass over the documents whose hits are
+    written, and they meet the documents by id and hash of the text.
     """
     keep = [doc_id] if keep is None else keep
     spark = docs.sparkSession
     inner = text if text in keep else "__text"  # sent once, even if it is to be kept
     chosen = docs.select(*(docs[c] for c in keep), *([] if text in keep else [text_or_empty(docs, text).alias(inner)]))
-    blocks = list(benchmark_blocks(benchmark, item_id, item_text)) or [[]]
-    kinds = {f.name: f.dataType.simpleString() for f in chosen.schema}
-    added = "__n_words long, __starts array<int>, __ends array<int>, __items array<long>"
-
-    def ddl(columns: list[str]) -> str:
-        return ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), added])
-
-    if len(blocks) == 1:
-        sent = spark.sparkContext.broadcast([Phrases(blocks[0], window)])
-        return chosen.mapInArrow(_shards(sent, keep, inner), ddl(keep))
-    marked = chosen.withColumn("__mark", F.xxhash64(F.coalesce(F.col(f"`{inner}`"), F.lit(""))))
-    kinds |= {"__mark": "bigint", "__pass": "int"}
-    every = None
-    for k, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast([Phrases(block, window)])
-        one = marked.withColumn("__pass", F.lit(k))
-        found = one.mapInArrow(_shards(sent, [*keep, "__mark", "__pass"], inner), ddl([*keep, "__mark", "__pass"]))
-        every = found if every is None else every.unionByName(found)
-    # equal rows have equal results: met once, then as often as they came
-    each = every.groupBy(*keep, "__mark", "__n_words").agg(
-        F.flatten(F.collect_list("__starts")).alias("__starts"), F.flatten(F.collect_list("__ends")).alias("__ends"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"), F.count_if(F.col("__pass") == 0).alias("__times"),
-    )
-    merged = each.select(*keep, "__n_words", "__items", "__times", "__starts", "__ends").mapInArrow(
-        _merged, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "__n_words long, __items array<long>, __times long, __starts array<int>, __ends array<int>"])
+    whole = benchmark.schema[item_id].dataType.simpleString() in _WHOLE
+    item = pa.int64() if whole else pa.string()
+    added = f"__n_words long, __starts array<int>, __ends array<int>, __items array<{'long' if whole else 'string'}>"
+    blocks = benchmark_blocks(benchmark, item_id, item_text, window)
+    now, after = next(blocks, None) or Phrases([], window), next(blocks, None)
+
+    def searched(rows: DataFrame, phrases: Phrases, kept: list[str]):
+        sent = spark.sparkContext.broadcast(phrases)
+        ddl = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), added])
+        return rows.mapInArrow(_shards(sent, kept, inner, item), ddl), sent
+
+    if after is None:
+        return searched(chosen, now, keep)[0]
+    mark = F.xxhash64(F.coalesce(F.col(f"`{inner}`"), F.lit("")))
+    narrow = docs.select(docs[doc_id].alias("__id"), docs[text].alias(inner)).withColumn("__mark", mark)
+    passes = []
+    while now is not None:
+        found, sent = searched(narrow, now, ["__id", "__mark"])
+        passes.append(written(found.where(F.size("__items") > 0) if passes else found, "pass"))
+        sent.unpersist()
+        now, after = after, next(blocks, None)
+    every = passes[0]
+    for one in passes[1:]:
+        every = every.unionByName(one)
+    # equal rows have equal results
+    each = every.groupBy("__id", "__mark", "__n_words").agg(
+        F.collect_set(F.struct("__starts", "__ends")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__items")))).alias("__items")
     )
-    again = merged.select("*", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))).alias("__n"))
-    return again.select(*keep, "__n_words", "__starts", "__ends", "__items")
+    part = lambda c: F.flatten(F.transform("__spans", lambda s: s[c])).alias(c)
+    each = each.select("__id", "__mark", "__n_words", "__items", part("__starts"), part("__ends"))
+    merged = written(each.mapInArrow(_merged, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in each.schema)), "merged")
+    forget(*passes)
+    own = docs.select(*(docs[c] for c in keep), docs[doc_id].alias("__id2"), F.xxhash64(text_or_empty(docs, text)).alias("__mark2"))
+    met = own.join(merged, own["__id2"].eqNullSafe(merged["__id"]) & (own["__mark2"] == merged["__mark"]))
+    return met.select(*(own[c] for c in keep), "__n_words", "__starts", "__ends", "__items")
 
 
 def hit_words() -> Column:

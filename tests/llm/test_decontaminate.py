@@ -57,13 +57,44 @@ def test_index_matches_scan():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
-@pytest.mark.parametrize("block_bytes", [D.BLOCK_BYTES, 60])
-def test_matches_brute_force(spark, sample, items, monkeypatch, block_bytes):
-    monkeypatch.setattr(D.benchmark_blocks, "__defaults__", (block_bytes,))
+@pytest.mark.parametrize("most", [D.MOST_WINDOWS, 7])
+def test_matches_brute_force(spark, sample, items, monkeypatch, most):
+    monkeypatch.setattr(D, "MOST_WINDOWS", most)
+    monkeypatch.setattr(D, "FETCHED", 50 * most)
     rows = [*sample, (None, SPECIAL[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = D.find_contamination(frame(spark, rows), bench).select("doc_id", "__n_words", D.hit_words(), "__items").collect()
     assert sorted(map(tuple, found), key=repr) == brute(rows, [i for i in items if i[0] is not None])
+    named = D.find_contamination(frame(spark, rows), bench.withColumn("item_id", F.concat(F.lit("q"), "item_id")), keep=["text", "doc_id"])
+    want = brute(rows, [(f"q{i}", t) for i, t in items if i is not None])
+    assert sorted(map(tuple, named.select("doc_id", "__n_words", D.hit_words(), "__items").collect()), key=repr) == want
+
+
+def test_blocks_of_windows_lose_none(spark, monkeypatch):
+    monkeypatch.setattr(D, "CUT", 10)
+    text = " ".join(f"w{i % 37}" for i in range(200))
+    assert list(D.stream_words(text)) == D.words_of(text)
+    bench = spark.createDataFrame([(1, text), (2, "a b"), (3, " ".join(text.split()[:13])), (4, "")], "item_id long, text string")
+    for most in (1, 5, 50, 10_000):
+        windows = {}
+        for block in D.benchmark_blocks(bench, "item_id", "text", 13, most):
+            names = {v: k for k, v in block.code.items()}
+            for p, row in enumerate(block.symbols.tolist()):
+                windows.setdefault(tuple(names[c] for c in row if c), set()).update(block.items(p))
+        words = D.words_of(text)
+        want = {tuple(words[i : i + 13]): {1} for i in range(188)} | {(b"a", b"b"): {2}}
+        want[tuple(words[:13])] = {1, 3}
+        assert windows == want
+
+
+def test_a_large_benchmark_is_packed():
+    import pickle
+
+    draw = np.random.default_rng(4)
+    pieces = [(i, [b"%d" % x for x in draw.integers(0, 5_000, 400)]) for i in range(500)]
+    block = D.Phrases(pieces)
+    assert len(block.symbols) == 500 * 388 and len(pickle.dumps(block)) < 100 * len(block.symbols)
+    assert block.items(0) == [i for i, w in pieces if tuple(block.symbols[0]) in {tuple(block.code[x] for x in w[k : k + 13]) for k in range(388)}]
 
 
 def test_drops_contaminated_and_keeps_columns(spark, items):
