@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import FOLD_BYTES, text_or_empty, written
+from siltstone.llm.common import FOLD_BYTES, bounded_batches, text_or_empty, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,10 +40,12 @@ OTHER, END, BOS = CODES - 2, CODES - 1, CODES
 INPUTS = CODES + 1 + HASHED
 WINDOW, STRIDE, WIDTH = 48, 32, 16
 #: UTF-8 bytes of the texts on which one task starts the attention, least steps of that, windows of a step there and later.
-WARM_BYTES, STEPS, BATCH, LATER_BATCH = 4 << 20, 1_500, 64, 256
+WARM_BYTES, STEPS, BATCH, LATER_BATCH = 4 << 20, 1_500, 64, 128
 #: Tasks, at most, that train at a time and send their weights; windows that such a task holds and shuffles.
 UNITS, HELD = 256, 8_192
 SMOOTH_WORD, SMOOTH_CODE = 0.1, 0.5
+#: Logits aren't larger: their exponentials stay finite without a look for the largest.
+MOST_LOGIT = 60
 #: UTF-8 bytes of a block of documents, whose distinct words one task holds.
 BLOCK_BYTES = 12 << 20
 
@@ -143,6 +145,20 @@ def _mask() -> np.ndarray:
     return np.where(np.arange(WINDOW)[None, :] <= query, 0.0, -1e9).astype(np.float32)
 
 
+class Scratch(dict):
+    """Arrays that are written anew in every step: fresh ones would cost more than the sums in them."""
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        found = self.get(name)
+        if found is None or found.shape != shape:
+            found = self[name] = np.empty(shape, self.kind)
+        return found
+
+    def __init__(self, kind):
+        super().__init__()
+        self.kind = kind
+
+
 class Attention:
     """One head over the window; its output is a correction of the logits of groups."""
 
@@ -152,21 +168,29 @@ class Attention:
         draw = np.random.default_rng(seed)
         small = lambda *shape: (draw.standard_normal(shape) * 0.3 / math.sqrt(WIDTH)).astype(np.float32)
         self.p = {"e": small(INPUTS, WIDTH) * 3, "pos": small(WINDOW, WIDTH), "wq": small(WIDTH, WIDTH) * 3, "wk": small(WIDTH, WIDTH) * 3, "wv": small(WIDTH, WIDTH) * 3, "out": small(WIDTH, GROUPS) * 0.1}
+        self._room = Scratch(np.float32)
 
-    def forward(self, seen: np.ndarray, absent: np.ndarray):
-        """seen: (n, WINDOW) inputs; absent: where there are none. Attention output (n, STRIDE, WIDTH) and what backward needs."""
-        p = self.p
-        x = p["e"][seen] + p["pos"]
-        flat = x.reshape(-1, WIDTH)
-        q, k, v = x[:, WINDOW - STRIDE :] @ p["wq"], (flat @ p["wk"]).reshape(x.shape), (flat @ p["wv"]).reshape(x.shape)
-        s = (q * np.float32(1 / math.sqrt(WIDTH))) @ k.transpose(0, 2, 1)
+    def __getstate__(self):
+        return self.__dict__ | {"_room": Scratch(np.float32)}
+
+    def forward(self, seen: np.ndarray, absent: np.ndarray, room: Scratch):
+        """seen: (n, WINDOW) inputs; absent: where there are none, all or none of a row's first places. Attention output (n, STRIDE, WIDTH) and what backward needs."""
+        p, n, late = self.p, len(seen), slice(WINDOW - STRIDE, WINDOW)
+        x = np.take(p["e"], seen, axis=0, out=room("x", n, WINDOW, WIDTH), mode="clip")
+        x += p["pos"]
+        scored = room("scored", n, STRIDE, WIDTH)
+        scored[:] = x[:, late]
+        side = lambda name, a, w: np.matmul(a.reshape(-1, WIDTH), w, out=room(name, a.shape[0] * a.shape[1], WIDTH)).reshape(a.shape)
+        q, k, v = side("q", scored, p["wq"] * room.kind(1 / math.sqrt(WIDTH))), side("k", x, p["wk"]), side("v", x, p["wv"])
+        s = np.matmul(q, k.transpose(0, 2, 1), out=room("s", n, STRIDE, WINDOW))
         s += _mask()
         some = np.flatnonzero(absent.any(axis=1))
-        s[some] += np.where(absent[some], np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
+        if len(some):
+            s[some] += np.where(absent[some], room.kind(-1e9), room.kind(0))[:, None, :]
+        np.minimum(s, MOST_LOGIT, out=s)
         np.exp(s, out=s)
-        s /= (s @ np.ones(WINDOW, s.dtype))[:, :, None]
-        return s @ v, (x, q, k, v, s)
+        s /= (s @ np.ones(WINDOW, room.kind))[:, :, None]
+        return np.matmul(s, v, out=room("o", n, STRIDE, WIDTH)), (x, scored, q, k, v, s)
 
     def train(self, made: tuple[np.ndarray, ...], table: np.ndarray, steps: int, seed: int = 6) -> None:
         """Adam over shuffled batches: each window once, and again until there have been ``steps`` of them.
@@ -210,34 +234,38 @@ class Attention:
 
     def _gradients(self, seen, absent, last, codes, table) -> dict[str, np.ndarray]:
         p = self.p
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        o, (x, q, k, v, s) = self.forward(seen, absent)
-        # softmax in one array; sums over the last axis are products with ones, which are faster
-        d = flat(o) @ p["out"]
-        d += table[last.reshape(-1)]
-        d -= d.max(axis=1, keepdims=True)
+        room = self._room if self._room.kind == p["e"].dtype.type else Scratch(p["e"].dtype.type)
+        n, groups = len(seen), p["out"].shape[1]
+        o, (x, scored, q, k, v, s) = self.forward(seen, absent, room)
+        rows = lambda a: a.reshape(-1, WIDTH)
+        d = np.matmul(rows(o), p["out"], out=room("d", n * STRIDE, groups))
+        d += np.take(table, last.reshape(-1), axis=0, out=room("table", n * STRIDE, groups), mode="clip") if table.dtype == d.dtype else table[last.reshape(-1)]
+        np.minimum(d, MOST_LOGIT, out=d)
         np.exp(d, out=d)
-        d /= (d @ np.ones(d.shape[1], d.dtype))[:, None]
-        real = codes.reshape(-1) >= 0
-        d.reshape(-1)[np.arange(codes.size) * d.shape[1] + np.maximum(codes, 0).reshape(-1)] -= 1
-        d *= (real / np.float32(max(1, real.sum()))).astype(d.dtype)[:, None]
-        do = (d @ p["out"].T).reshape(o.shape)
-        dv = s.transpose(0, 2, 1) @ do
-        ds = do @ v.transpose(0, 2, 1)
+        wanted = codes.reshape(-1)
+        weight = (wanted >= 0) / room.kind(max(1, (wanted >= 0).sum()))
+        d *= (weight / (d @ np.ones(groups, d.dtype))).astype(d.dtype)[:, None]
+        real = np.flatnonzero(wanted >= 0)
+        d.reshape(-1)[real * groups + wanted[real]] -= weight[real]
+        do = np.matmul(d, p["out"].T, out=room("do", n * STRIDE, WIDTH)).reshape(o.shape)
+        dv = np.matmul(s.transpose(0, 2, 1), do, out=room("dv", n, WINDOW, WIDTH))
+        ds = np.matmul(do, v.transpose(0, 2, 1), out=room("ds", n, STRIDE, WINDOW))
         # the sum of ds * s over the keys is that of do * o over the width
-        ds -= (do * o).sum(axis=2, keepdims=True)
+        ds -= np.einsum("ij,ij->i", rows(do), rows(o)).reshape(n, STRIDE, 1)
         ds *= s
-        ds *= np.float32(1 / math.sqrt(WIDTH))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = (flat(dk) @ p["wk"].T + flat(dv) @ p["wv"].T).reshape(x.shape)
-        dx[:, WINDOW - STRIDE :] += (flat(dq) @ p["wq"].T).reshape(dq.shape)
+        dq = np.matmul(ds, k, out=room("dq", n, STRIDE, WIDTH))
+        dq *= room.kind(1 / math.sqrt(WIDTH))
+        dk = np.matmul(ds.transpose(0, 2, 1), q, out=room("dk", n, WINDOW, WIDTH))
+        dx = np.matmul(rows(dk), p["wk"].T, out=room("dx", n * WINDOW, WIDTH))
+        dx += np.matmul(rows(dv), p["wv"].T, out=room("more", n * WINDOW, WIDTH))
+        placed = dx.reshape(x.shape)
+        placed[:, WINDOW - STRIDE :] += np.matmul(rows(dq), p["wq"].T, out=room("own", n * STRIDE, WIDTH)).reshape(dq.shape)
         de = np.zeros_like(p["e"])
-        order = np.argsort(seen, axis=None, kind="stable")
-        which, at = np.unique(seen.reshape(-1)[order], return_index=True)
-        de[which] = np.add.reduceat(flat(dx)[order], at)
-        return {
-            "e": de, "pos": dx.sum(axis=0), "wq": flat(x[:, WINDOW - STRIDE :]).T @ flat(dq), "wk": flat(x).T @ flat(dk), "wv": flat(x).T @ flat(dv), "out": flat(o).T @ d,
-        }
+        order = np.argsort(seen.astype(np.uint16), axis=None, kind="stable")  # by radix
+        told = seen.reshape(-1)[order]
+        first = np.flatnonzero(np.concatenate([[True], told[1:] != told[:-1]]))
+        de[told[first]] = np.add.reduceat(np.take(dx, order, axis=0, out=room("sorted", n * WINDOW, WIDTH), mode="clip"), first)
+        return {"e": de, "pos": placed.sum(axis=0), "wq": rows(scored).T @ rows(dq), "wk": rows(x).T @ rows(dk), "wv": rows(x).T @ rows(dv), "out": rows(o).T @ d}
 
 
 class Model:
@@ -273,9 +301,15 @@ class Model:
         last = at[:, WINDOW - STRIDE :]
         return np.where(absent, BOS, inputs[at]), absent, np.where(last < 0, BOS, inputs[last]), np.where(last < 0, -1, codes[last])
 
-    def scores(self, texts: list[str | bytes], block: int = 48) -> list[float]:
-        """The natural logarithm of each text's probability: windows of all texts in batches, without the training's bookkeeping."""
-        made = [self.tables.sequence(self.ids(t)) for t in texts]
+    def scores(self, texts: list[str | bytes]) -> list[float]:
+        """The natural logarithm of each text's probability."""
+        return self.scores_of([self.ids(t) for t in texts])
+
+    def scores_of(self, documents: list[np.ndarray], block: int = 48) -> list[float]:
+        """The same for documents of subwords: windows of all of them in batches, without the training's bookkeeping."""
+        made = [self.tables.sequence(ids) for ids in documents]
+        if not made:
+            return []
         p, table, group = self.attention.p, self.tables.next, self.tables.group
         share = np.exp(self.tables.next_group)
         scale = np.float32(1 / math.sqrt(WIDTH))
@@ -316,14 +350,18 @@ class Model:
         return [float(s + x[2]) for s, x in zip(sums, made, strict=True)]
 
 
-def _tokenized(content: bytes):
+def tokenized(docs: DataFrame, content: bytes) -> DataFrame:
+    """docs (learn boolean, text and other columns) with mark, the text's hash, and ids, its subwords, in place of the text."""
+    kept = [c for c in docs.columns if c != "text"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoding(content)
         for batch in batches:
             ids = [tokens.encode_ordinary(folded(t)) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("at"), pa.array(ids, pa.list_(pa.int32()))], ["at", "ids"])
+            yield pa.record_batch([*(batch.column(c) for c in [*kept, "mark"]), pa.array(ids, pa.list_(pa.int32()))], [*kept, "mark", "ids"])
 
-    return run
+    ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "mark long, ids array<int>"])
+    return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(run, ddl)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -334,12 +372,16 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 
 
 def fit(train: DataFrame, text: str = "text", path: str = TOKENIZER) -> Model:
-    """Learn from all training documents, each row as often as it comes. Without any, all subwords are equally likely."""
+    """Learn from all rows of train, each as often as it comes. Without any, all subwords are equally likely."""
     content = vocabulary(path)
-    n_subwords = encoding(content).n_vocab
     # rows are told apart by all their columns, so that copies of a text under other ids part
     named = train.select(F.xxhash64(*train.columns).alias("at"), text_or_empty(train, text).alias("text"))
-    sample = written(named.mapInArrow(_tokenized(content), "at long, ids array<int>"), "subwords")
+    return learn(written(tokenized(named, content), "subwords"), content)
+
+
+def learn(sample: DataFrame, content: bytes) -> Model:
+    """A model of all rows of the written table (at, ids)."""
+    n_subwords = encoding(content).n_vocab
 
     def subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(n_subwords, np.int64)
@@ -352,7 +394,8 @@ def fit(train: DataFrame, text: str = "text", path: str = TOKENIZER) -> Model:
         found = sample.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
         return found.column("k").to_numpy(), found.column("n").to_numpy()
 
-    tables = Tables(dict(zip(*(x.tolist() for x in summed(subwords)), strict=True)), n_subwords)  # one row a subword at most
+    seen, times = summed(subwords)  # one row a subword at most
+    tables = Tables(dict(zip(seen.tolist(), times.tolist(), strict=True)), n_subwords)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(INPUTS * CODES, np.int64)
@@ -365,11 +408,16 @@ def fit(train: DataFrame, text: str = "text", path: str = TOKENIZER) -> Model:
     keys, counts = summed(pairs)  # one row a pair of codes at most
     tables.learn_next(keys, counts.astype(np.float64))
     model = Model(tables, content)
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = sum(n * len(b) for n, b in zip(times.tolist(), subword_bytes(content, seen), strict=True))
     model.n_windows = _train(model, sample, max(1, -(-size // WARM_BYTES)), STEPS)
     return model
 
 
+def subword_bytes(content: bytes, ids: np.ndarray) -> list[bytes]:
+    tokens = encoding(content)
+    return [tokens.decode_single_token_bytes(i) for i in ids.tolist()]
+
+
 def _train(model: Model, sample: DataFrame, shares: int, steps: int) -> int:
     """Train the attention on all rows of (at, ids): first on one of ``shares``, then on the others from there. The number of windows."""
     spark = sample.sparkSession
@@ -449,23 +497,54 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
 
     A null text is empty: its one token is the end. Rows with a null id are scored, not learnt
     from. Repeated rows count and score as often as they come. Scores are log10 probabilities;
-    without any training document the base score is null.
+    without any training document the base score is null. Texts are told apart, within one id,
+    by a hash of 64 bits.
     """
+    bounded_batches(docs.sparkSession)
+    content = vocabulary(path)
     named = docs.select(docs[doc_id].alias("doc_id"), text_or_empty(docs, text).alias("text")).withColumn("held_out", held_out("doc_id"))
-    model = fit(named.where(~F.col("held_out")), "text", path)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    subwords = written(tokenized(named, content), "subwords")
+    model = learn(subwords.where(~F.col("held_out")).select(F.xxhash64("doc_id", "mark").alias("at"), "ids"), content)
+    scored = _scored(subwords, model)
+    base = _base_scores(named.withColumn("mark", F.xxhash64("text"))).alias("b")
+    both = base.join(scored.alias("s"), F.col("b.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("b.mark") == F.col("s.mark")))
+    return both.select("b.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def _scored(subwords: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, mark, score) of the distinct rows of (doc_id, mark, ids)."""
+    sent = subwords.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                scores = [x / math.log(10) for x in model.scores_of(list(_documents([part])))]
+                yield pa.record_batch([part.column("doc_id"), part.column("mark"), pa.array(scores, pa.float64())], ["doc_id", "mark", "score"])
+
+    kind = subwords.schema["doc_id"].dataType.simpleString()
+    return subwords.select("doc_id", "mark", "ids").mapInArrow(run, f"doc_id {kind}, mark long, score double").groupBy("doc_id", "mark").agg(F.min("score").alias("score"))
+
+
+def _base_scores(named: DataFrame) -> DataFrame:
+    """(doc_id, mark, held_out, n_tokens, n_known, train_tokens, base_score) of rows of (doc_id, text, held_out, mark)."""
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    placed = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).withColumn("learn", (~F.col("held_out")).cast("int"))
-    placed = placed.withColumn("text", F.col("text").cast("binary"))
-    dealt = placed.repartition("block")
+    placed = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(blocks))).withColumn("learn", (~F.col("held_out")).cast("int"))
+    dealt = placed.withColumn("text", F.col("text").cast("binary")).repartition("block")
     words = dealt.sortWithinPartitions("block").mapInArrow(_block_words, "word long, block long, n long")  # all columns: one exchange of the texts serves both uses
-    by_word = Window.partitionBy("word")
-    counted = words.withColumn("total", F.sum("n").over(by_word)).withColumn("first", F.row_number().over(by_word.orderBy("block")))
-    other = counted.where("n <> total").select("block", "word", "total")
+    # a common word is in every block: its counts are summed in parts, and each part is told the total
+    parts = math.isqrt(blocks - 1) + 1
+    words = words.withColumn("part", F.pmod("block", F.lit(parts)))
+    in_part = Window.partitionBy("word", "part")
+    counted = words.withColumn("in_part", F.sum("n").over(in_part)).withColumn("first", F.row_number().over(in_part.orderBy("block")))
+    firsts = counted.where("first = 1").select("word", "part", "in_part")
+    totals = firsts.groupBy("word").agg(F.sum("in_part").alias("total"))
+    told = firsts.select("word", "part").join(totals, "word")
+    other = counted.join(told, ["word", "part"]).where("n <> total").select("block", "word", "total")
 
     def score(docs_part: pa.Table, counts: pa.Table) -> pa.Table:
-        model = sent.value
         texts, learn = docs_part.column("text").to_pylist(), docs_part.column("learn").to_pylist()
         own, each = Counter(), []
         for t, yes in zip(texts, learn, strict=True):
@@ -488,22 +567,16 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
             n_tokens.append(len(ws))
             n_known.append(len(ws) - sum(map(unknown.__contains__, ws)))
             sums.append(math.fsum(map(value.__getitem__, ws)))
-        del each, own, value
-        scores = []
-        for a in range(0, len(texts), 64):
-            scores += [x / math.log(10) for x in model.scores(texts[a : a + 64])]
         return pa.table({
-            "doc_id": docs_part.column("doc_id"), "held_out": docs_part.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "log_sum": pa.array(sums, pa.float64()), "score": pa.array(scores, pa.float64()),
+            **{c: docs_part.column(c) for c in ("doc_id", "mark", "held_out")}, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "log_sum": pa.array(sums, pa.float64()),
         })
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_sum double, score double")
-    distinct = F.count_if((F.col("first") == 1) & (F.col("total") > 0))
-    whole = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), distinct.alias("distinct"), F.max("block"))
+    kind = named.schema["doc_id"].dataType.simpleString()
+    summed = dealt.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(score, f"doc_id {kind}, mark long, held_out boolean, n_tokens long, n_known long, log_sum double")
+    whole = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("total") > 0).alias("distinct"))
     scale = F.log10(F.col("train_tokens") + SMOOTH_WORD * (F.col("distinct") + 1))
     base = F.when(F.col("train_tokens") > 0, F.col("log_sum") - F.col("n_tokens") * scale)
-    return scored.crossJoin(F.broadcast(whole)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
+    return summed.crossJoin(F.broadcast(whole)).select("doc_id", "mark", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"))
 
 
 def is_held_out(doc_id: int) -> bool:

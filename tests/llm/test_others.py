@@ -225,6 +225,50 @@ def test_windows_score_each_code_once_and_sum_to_one():
     assert abs(np.exp(tables.other[tables.code == A.OTHER]).sum() - 1) < 1e-9
 
 
+def test_scores_are_those_of_a_plain_forward_pass():
+    import numpy as np
+
+    draw = np.random.default_rng(2)
+    tables = A.Tables({i: 1 + i % 7 for i in range(3000)}, 4000)
+    tables.learn_next(draw.integers(0, A.INPUTS * A.CODES, 4000), draw.integers(1, 9, 4000).astype(float))
+    model = A.Model(tables, b"")
+    p = {k: v.astype(float) for k, v in model.attention.p.items()}
+    softmax = lambda x: [math.exp(v - max(x)) / sum(math.exp(w - max(x)) for w in x) for v in x]
+    documents = [draw.integers(0, 4000, n).astype(np.int32) for n in (0, 1, 31, 75)]
+    for ids, got in zip(documents, model.scores_of(documents), strict=True):
+        inputs, codes, want = tables.sequence(ids)
+        for t, code in enumerate(codes.tolist()):
+            begin = max(0, t // A.STRIDE * A.STRIDE - (A.WINDOW - A.STRIDE))
+            place = lambda i: p["e"][inputs[i]] + p["pos"][i - t // A.STRIDE * A.STRIDE + A.WINDOW - A.STRIDE]  # noqa: B023, E731
+            seen = range(begin, t + 1)
+            query = place(t) @ p["wq"]
+            weight = softmax([float(query @ (place(i) @ p["wk"])) / math.sqrt(A.WIDTH) for i in seen])
+            told = sum(w * (place(i) @ p["wv"]) for w, i in zip(weight, seen, strict=True)) @ p["out"]
+            groups = [math.exp(told[g]) * sum(math.exp(x) for x in tables.next[inputs[t]][tables.group == g].astype(float)) for g in range(A.GROUPS)]
+            mine = tables.group[code]
+            want += math.log(math.exp(told[mine]) * math.exp(float(tables.next[inputs[t], code])) / sum(groups))
+        assert abs(got - want) < 1e-3 * max(1, abs(want))
+
+
+def test_attention_beats_its_table_and_the_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").withColumn("out", A.held_out("doc_id"))
+    model = A.fit(docs.where("not out"))
+    told = A.score_texts(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    texts = [r["text"] or "" for r in docs.where("out").select("text").collect()]
+    whole = sum(model.scores(texts)) / math.log(10)
+    assert abs(told[0] / whole - 1) < 0.01 and told[0] > told[1]
+    model.attention.p["out"] *= 0
+    assert whole > 0.96 * sum(model.scores(texts)) / math.log(10)
+
+
+def test_words_of_many_blocks(spark, sample, monkeypatch):
+    monkeypatch.setattr(A, "STEPS", 5)
+    one = {repr(r["doc_id"]): (r["n_known"], round(r["base_score"], 6)) for r in A.score_texts(frame(spark, sample)).collect()}
+    monkeypatch.setattr(A, "BLOCK_BYTES", 3_000)
+    many = {repr(r["doc_id"]): (r["n_known"], round(r["base_score"], 6)) for r in A.score_texts(frame(spark, sample)).collect()}
+    assert one == many
+
+
 def test_gradients():
     import numpy as np
 
@@ -237,7 +281,7 @@ def test_gradients():
     table = draw.standard_normal((A.INPUTS, A.GROUPS))
 
     def loss():
-        logits = net.forward(seen, absent)[0] @ net.p["out"] + table[last]
+        logits = net.forward(seen, absent, A.Scratch(np.float64))[0] @ net.p["out"] + table[last]
         logp = logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
         return -(np.take_along_axis(logp, np.maximum(codes, 0)[:, :, None], 2)[:, :, 0] * (codes >= 0)).sum() / (codes >= 0).sum()
 
