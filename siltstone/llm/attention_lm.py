@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import FOLD_BYTES, bounded_batches, text_or_empty, written
@@ -492,6 +492,41 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from tell(now, found)
 
 
+#: The block of a row that sums up several words: how many occur, and how often.
+SUMMED = -1
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (word, block, n) sorted by word: (block, word, total) of those whose total isn't n, and rows of SUMMED.
+
+    Only the last word is held, a row a block at most.
+    """
+
+    def tell(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        word, block, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        total = np.add.reduceat(n, starts)
+        each = np.repeat(total, np.diff(np.append(starts, len(word))))
+        some = np.flatnonzero(each != n)
+        columns = (np.append(block[some], SUMMED), np.append(word[some], (total > 0).sum()), np.append(each[some], total.sum()))
+        return pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["block", "word", "total"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        word, block, n = (batch.column(c).to_numpy() for c in ("word", "block", "n"))
+        cut = int(np.searchsorted(word, word[-1]))  # the last word may go on
+        if held and (cut or word[0] != held[-1][0][-1]):
+            yield tell([*held, (word[:cut], block[:cut], n[:cut])])
+            held = []
+        elif cut:
+            yield tell([(word[:cut], block[:cut], n[:cut])])
+        held.append((word[cut:], block[cut:], n[cut:]))
+    if held:
+        yield tell(held)
+
+
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
@@ -534,15 +569,9 @@ def _base_scores(named: DataFrame) -> DataFrame:
     placed = named.withColumn("block", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(blocks))).withColumn("learn", (~F.col("held_out")).cast("int"))
     dealt = placed.withColumn("text", F.col("text").cast("binary")).repartition("block")
     words = dealt.sortWithinPartitions("block").mapInArrow(_block_words, "word long, block long, n long")  # all columns: one exchange of the texts serves both uses
-    # a common word is in every block: its counts are summed in parts, and each part is told the total
-    parts = math.isqrt(blocks - 1) + 1
-    words = words.withColumn("part", F.pmod("block", F.lit(parts)))
-    in_part = Window.partitionBy("word", "part")
-    counted = words.withColumn("in_part", F.sum("n").over(in_part)).withColumn("first", F.row_number().over(in_part.orderBy("block")))
-    firsts = counted.where("first = 1").select("word", "part", "in_part")
-    totals = firsts.groupBy("word").agg(F.sum("in_part").alias("total"))
-    told = firsts.select("word", "part").join(totals, "word")
-    other = counted.join(told, ["word", "part"]).where("n <> total").select("block", "word", "total")
+    # opaque to the optimizer, so that both uses of it share one exchange
+    told = words.repartition("word").sortWithinPartitions("word").mapInArrow(_totals, "block long, word long, total long")
+    other = told.where(F.col("block") != SUMMED)
 
     def score(docs_part: pa.Table, counts: pa.Table) -> pa.Table:
         texts, learn = docs_part.column("text").to_pylist(), docs_part.column("learn").to_pylist()
@@ -573,7 +602,7 @@ def _base_scores(named: DataFrame) -> DataFrame:
 
     kind = named.schema["doc_id"].dataType.simpleString()
     summed = dealt.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(score, f"doc_id {kind}, mark long, held_out boolean, n_tokens long, n_known long, log_sum double")
-    whole = totals.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("total") > 0).alias("distinct"))
+    whole = told.where(F.col("block") == SUMMED).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("word"), F.lit(0)).alias("distinct"))
     scale = F.log10(F.col("train_tokens") + SMOOTH_WORD * (F.col("distinct") + 1))
     base = F.when(F.col("train_tokens") > 0, F.col("log_sum") - F.col("n_tokens") * scale)
     return summed.crossJoin(F.broadcast(whole)).select("doc_id", "mark", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"))
