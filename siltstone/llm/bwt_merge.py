@@ -9,11 +9,16 @@ compared: fragments are dealt to shards, each shard's transform is built over sy
 of SYMBOL bytes, and transforms are merged by refining their interleave symbol by
 symbol (Holt and McMillan, 2014) until it is stable. The refinement's blocks at depth
 LENGTH / SYMBOL are the intervals of equal strings; no merged suffix is sorted again.
+
+A piece that many different fragments would have as their anchor (a ruled line between
+paragraphs) is hot: it is taken only where a string has no other piece, and then the whole
+string is the anchor. So no anchor gathers more fragments than one task can hold. Which
+pieces are hot is found on a sample, as it decides on the way, never on the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ from siltstone.llm.line_dedup import NO_ID
 LENGTH, GRAM, SYMBOL = 100, 32, 25
 #: Starts of a string's pieces; suffixes of a shard; suffixes merged at once; bytes hashed at once.
 PLACES, SHARD, MOST, CHUNK = LENGTH - GRAM + 1, 1 << 14, 56_000, 2 << 20
+#: A piece is hot from about so many different fragments on, counted in one of SAMPLE documents; hot pieces at most; rounds of looking for them.
+HOT, SAMPLE, MOST_HOT, ROUNDS = 4_096, 32, 100_000, 3
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 2**64))
 REMOVED, FRAGMENT = 0, 1
@@ -46,6 +53,7 @@ class Rolling:
                 steps = np.full(n, b, np.uint64)
                 steps[0] = 1
                 self._powers[i] = np.multiply.accumulate(steps)
+        self.data = data
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._powers[1][: len(data)], out=self.sums[1:])
 
@@ -57,10 +65,46 @@ class Rolling:
         return mixed((self.sums[length:] - self.sums[: n]) * self._powers[0][:n])
 
 
-def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+_HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
+
+
+def _least(order: np.ndarray) -> np.ndarray:
+    """The position of the least of every PLACES neighbours; order holds positions in its low half."""
+    least, width = order, 1
+    while width * 2 <= PLACES:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    return (np.minimum(least[: len(least) - (PLACES - width)], least[PLACES - width :]) & _LOW).astype(np.int64)
+
+
+class Hot:
+    """A set of pieces' hashes, with a table of their low bits that most other hashes don't pass."""
+
+    def __init__(self, hashes: Iterable[int] = ()):
+        self.hashes = np.unique(np.array(hashes, np.uint64))
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.hashes & self._low).astype(np.int64)] = True
+
+    _low = np.uint64((1 << 20) - 1)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(x), bool)
+        if len(self.hashes):
+            some = np.flatnonzero(self.bits[(x & self._low).astype(np.int64)])
+            at = np.minimum(np.searchsorted(self.hashes, x[some]), len(self.hashes) - 1)
+            out[some] = self.hashes[at] == x[some]
+        return out
+
+
+def fragments(texts: list[bytes], hot: Hot | None = None) -> tuple[np.ndarray, ...]:
     """(text, start, count, anchor hash, content hash) of every run of strings with one anchor.
 
     A run's strings start at start .. start + count - 1, and cover count + LENGTH - 1 bytes.
+    hot: the pieces that are anchors only of strings without another piece; such a string is a
+    run by itself, and its content its anchor.
     """
     lengths = np.array([len(t) for t in texts], np.int64)
     begins = np.concatenate([[0], np.cumsum(lengths)])
@@ -71,32 +115,42 @@ def fragments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     rolling = Rolling(data)
     grams = rolling.all_of(GRAM)
     # the hash's high half, then the position: the leftmost of equal pieces is least
-    least = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-    width = 1
-    while width * 2 <= PLACES:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = np.minimum(least[: len(least) - (PLACES - width)], least[PLACES - width :])
-    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = (grams & _HIGH) | np.arange(len(grams), dtype=np.uint64)
+    anchor = _least(order)
+    single = np.zeros(len(anchor), bool)
+    if hot and hot.has(grams[anchor[np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))]]).any():
+        order[hot.has(grams)] |= _HIGH
+        anchor = _least(order)
+        single = hot.has(grams[anchor])
     left = np.full(len(anchor), -1, np.int64)  # the text of each string, -1 for those over two texts
     for i, (a, n) in enumerate(zip(begins[:-1].tolist(), lengths.tolist(), strict=True)):
         if n >= LENGTH:
             left[a : a + n - LENGTH + 1] = i
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1])])
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (left[1:] != left[:-1]) | single[1:] | single[:-1]])
     starts = np.flatnonzero(new)
     counts = np.diff(np.append(starts, len(anchor)))
     starts, counts = starts[left[starts] >= 0], counts[left[starts] >= 0]
     text = left[starts]
     content = mixed(rolling.of(starts, counts + LENGTH - 1) + counts.astype(np.uint64))
-    return text, starts - begins[text], counts, grams[anchor[starts]], content
+    return text, starts - begins[text], counts, np.where(single[starts], content, grams[anchor[starts]]), content
 
 
 def _pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return start << 8 | count
+    return start << 32 | count
 
 
 def _unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return at >> 8, at & 255
+    return at >> 32, at & 0xFFFFFFFF
+
+
+def _together(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of strings, those that follow each other in one document as one."""
+    order = np.lexsort((at, doc))
+    doc, (start, count) = doc[order], _unpack(at[order])
+    if not len(doc):
+        return doc, at
+    fresh = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1])]))
+    return doc[fresh], _pack(start[fresh], np.add.reduceat(count, fresh))
 
 
 def _rows(kind: int, h: np.ndarray | None, f: np.ndarray | None, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
@@ -105,8 +159,8 @@ def _rows(kind: int, h: np.ndarray | None, f: np.ndarray | None, doc: np.ndarray
     return pa.record_batch([pa.array(np.full(len(doc), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(f.view(np.int64)), pa.array(doc), pa.array(at)], schema=_FOUND)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments of the documents. Of equal fragments of one chunk only the earliest goes on; the others are settled."""
+def _chunks(batches: Iterator[pa.RecordBatch], hot: Hot) -> Iterator[tuple[np.ndarray, ...]]:
+    """(h, f, doc, at, first, texts by doc) of the fragments of about CHUNK bytes of documents, sorted; first: of equal ones the earliest."""
     for batch in batches:
         docs, texts = batch.column("doc").to_numpy(), [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
         a = 0
@@ -115,20 +169,81 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while b < len(texts) and (b == a or size + len(texts[b]) <= CHUNK):
                 size += len(texts[b])
                 b += 1
-            text, start, count, h, f = fragments(texts[a:b])
+            text, start, count, h, f = fragments(texts[a:b], hot)
             doc, at = docs[a:b][text], _pack(start, count)
             order = np.lexsort((at, doc, f, h))
             h, f, doc, at = h[order], f[order], doc[order], at[order]
             first = np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])]) if len(h) else np.zeros(0, bool)
-            yield _rows(FRAGMENT, h[first], f[first], doc[first], at[first])
-            yield _rows(REMOVED, mixed(doc[~first].view(np.uint64)), None, doc[~first], at[~first])
+            yield h, f, doc, at, first, dict(zip(docs[a:b].tolist(), texts[a:b], strict=True))
             a = b
 
 
+def _cut(sent):
+    """Fragments of the documents. Of equal fragments of one chunk only the earliest goes on; the others are settled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, f, doc, at, first, _ in _chunks(batches, sent.value):
+            yield _rows(FRAGMENT, h[first], f[first], doc[first], at[first])
+            gone, where = _together(doc[~first], at[~first])
+            yield _rows(REMOVED, mixed(gone.view(np.uint64)), None, gone, where)
+
+    return run
+
+
+def hot_pieces(texts: DataFrame) -> Hot:
+    """The pieces that would be the anchor of about HOT different fragments or more, MOST_HOT at most; texts: doc, text.
+
+    Where a piece is such an anchor, the pieces around it that are as common are hot too, or
+    one of them would take its place.
+    """
+    spark = texts.sparkSession
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
+    hot = Hot()
+
+    def common(rows: DataFrame) -> np.ndarray:
+        found = rows.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLE >= HOT).orderBy(F.desc("n"), "h").limit(MOST_HOT - len(hot))
+        return found.select("h").toArrow().column("h").to_numpy().view(np.uint64)
+
+    for _ in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(hot)
+
+        def anchors(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for h, f, _, _, first, _ in _chunks(batches, sent.value):
+                first = first & (h != f)
+                yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(f[first].view(np.int64))], ["h", "f"])
+
+        found = common(some.mapInArrow(anchors, "h long, f long").distinct().withColumn("n", F.lit(1)))
+        if not len(found):
+            break
+        crowded = spark.sparkContext.broadcast((hot, Hot(found)))
+
+        def around(batches: Iterator[pa.RecordBatch], crowded=crowded) -> Iterator[pa.RecordBatch]:
+            hot, now = crowded.value
+            for h, _, doc, at, first, own in _chunks(batches, hot):
+                rows = np.flatnonzero(first & now.has(h))
+                if not len(rows):
+                    continue
+                start, count = _unpack(at[rows])
+                parts = [own[d][a : a + n + LENGTH - 1] for d, a, n in zip(doc[rows].tolist(), start.tolist(), count.tolist(), strict=True)]
+                ends = np.cumsum([len(x) for x in parts])
+                grams = Rolling(np.frombuffer(b"".join(parts), np.uint8)).all_of(GRAM)
+                over = np.zeros(len(grams) + GRAM, np.int64)  # pieces that reach over the end of a fragment don't count
+                for e in ends[:-1].tolist():
+                    over[max(0, e - GRAM + 1) : e] = 1
+                value, n = np.unique(grams[over[: len(grams)] == 0], return_counts=True)
+                yield pa.record_batch([pa.array(value.view(np.int64)), pa.array(n)], ["h", "n"])
+
+        near = common(some.mapInArrow(around, "h long, n long"))
+        sent.unpersist()
+        crowded.unpersist()
+        hot = Hot(np.concatenate([hot.hashes, found, near]))
+    return hot
+
+
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by (h, f, doc, at): later fragments of a class are removed, and the first ones of anchors with several classes go on."""
-    last = (None, None)
-    held = [np.zeros(0, np.int64)] * 4
+    last, several = (None, None), None  # the class of the last row; the last anchor, if it is known to have several
+    wait = tuple(np.zeros(0, np.int64) for _ in range(3))  # the first class of the last anchor, as long as it has no other
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -140,17 +255,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         new = np.concatenate([[last != (h[0], f[0])], (h[1:] != h[:-1]) | (f[1:] != f[:-1])])
         last = (h[-1], f[-1])
-        yield _rows(REMOVED, None, None, doc[~new], at[~new])
-        held = [np.concatenate([x, y[new]]) for x, y in zip(held, (h, f, doc, at), strict=True)]
-        open_from = int(np.searchsorted(held[0], h[-1]))
-        yield _several(*(x[:open_from] for x in held))
-        held = [x[open_from:] for x in held]
-    yield _several(*held)
-
-
-def _several(h: np.ndarray, _: np.ndarray, doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    alone = np.concatenate([[True], h[1:] != h[:-1]]) & np.concatenate([h[1:] != h[:-1], [True]]) if len(h) else np.zeros(0, bool)
-    return _rows(FRAGMENT, h[~alone], None, doc[~alone], at[~alone])
+        yield _rows(REMOVED, None, None, *_together(doc[~new], at[~new]))
+        h, doc, at = (np.concatenate([x, y[new]]) for x, y in zip(wait, (h, doc, at), strict=True))
+        if not len(h):
+            continue
+        same = h[1:] == h[:-1]
+        go = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (h == several if several is not None else False)
+        yield _rows(FRAGMENT, h[go], None, doc[go], at[go])
+        several = h[-1] if go[-1] else None
+        wait = tuple(x[-1:] if not go[-1] else x[:0] for x in (h, doc, at))
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -231,6 +344,18 @@ def refine(a: Transform, b: Transform, depth: int) -> tuple[Transform, np.ndarra
     return merged, at_depth[place]
 
 
+def _names(rolling: Rolling, at: np.ndarray) -> np.ndarray:
+    """Numbers from 1 of the SYMBOL bytes at each place, equal for equal bytes only: hashes sort them, the bytes are compared."""
+    names = np.unique(rolling.of(at, SYMBOL), return_inverse=True)[1] + 1
+    order = np.argsort(names, kind="stable")
+    symbols = np.lib.stride_tricks.sliding_window_view(rolling.data, SYMBOL)
+    then, now = order[:-1], order[1:]
+    equal = names[then] == names[now]
+    if (symbols[at[then[equal]]] != symbols[at[now[equal]]]).any():  # two symbols of one hash
+        names = np.unique(np.ascontiguousarray(symbols[at]).view(np.dtype((np.void, SYMBOL)))[:, 0], return_inverse=True)[1] + 1
+    return names
+
+
 def repeated(pieces: list[bytes], counts: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Whether each string (the first counts[i] of piece i, in order) also starts earlier in one of the pieces."""
     lengths = np.array([len(p) for p in pieces], np.int64)
@@ -242,8 +367,7 @@ def repeated(pieces: list[bytes], counts: np.ndarray, docs: np.ndarray, starts:
     offset = np.arange(len(piece)) - first[piece]
     whole = offset + SYMBOL <= lengths[piece]
     names = np.zeros(len(piece), np.int64)
-    at = begins[piece[whole]] + offset[whole]
-    names[whole] = np.unique(rolling.of(at, SYMBOL), return_inverse=True)[1] + 1
+    names[whole] = _names(rolling, begins[piece[whole]] + offset[whole])
     following = np.where(whole, np.arange(len(piece)) + SYMBOL, np.arange(len(piece)))
     before = np.where(offset >= SYMBOL, names[np.maximum(np.arange(len(piece)) - SYMBOL, 0)], 0)
     # the suffixes within SYMBOL of the end begin no whole symbol; each ends one string
@@ -313,7 +437,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wanted")), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             for w in wanted:
-                start, count = w["at"] >> 8, w["at"] & 255
+                start, count = w["at"] >> 32, w["at"] & 0xFFFFFFFF
                 h.append(w["h"])
                 docs.append(doc)
                 ats.append(w["at"])
@@ -403,14 +527,15 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     repeats = _has_repeats(keyed)
     once = keyed.select("doc", "text").dropDuplicates(["doc"]) if repeats else keyed.select("doc", "text")
     order = ["h", "f", "doc", "at"]
-    found = once.mapInArrow(_cut, _FOUND_DDL).repartition("h").sortWithinPartitions(*order).mapInArrow(_settle, _FOUND_DDL)
+    sent = docs.sparkSession.sparkContext.broadcast(hot_pieces(once.select("doc", "text")))
+    found = once.mapInArrow(_cut(sent), _FOUND_DDL).repartition("h").sortWithinPartitions(*order).mapInArrow(_settle, _FOUND_DDL)
     found = written(found, "fragments")
 
     wanted = found.where(F.col("kind") == FRAGMENT).groupBy("doc").agg(F.collect_list(F.struct("h", "at")).alias("wanted"))
     # all columns of the dealt texts, though doc_id isn't needed: so that both uses share one exchange
     pieces = (once if repeats else dealt).join(wanted, "doc").mapInArrow(_pieces, _PIECES)
     merged = pieces.repartition("h").sortWithinPartitions("h", "doc", "start").mapInArrow(_merge, "doc long, start long, `end` long")
-    start, count = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
+    start, count = F.shiftright("at", 32), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     settled = found.where(F.col("kind") == REMOVED).select("doc", start.alias("start"), (start + count + LENGTH - 1).alias("end"))
     spans = settled.unionByName(merged).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return dealt.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary")

@@ -67,6 +67,58 @@ def test_merged_transforms_equal_a_scan(seed, monkeypatch):
     assert got.tolist() == [first[w] != (d, s) for d, s, w in windows]
 
 
+def ruled(n):
+    """Documents with a long ruled line of their own length between words of their own."""
+    return [(i, f"{i * 7919} begins " + "-" * (150 + i % 37) + f" and {i * 104729} ends " + "=-" * (i % 90)) for i in range(n)]
+
+
+def crowd(texts, hot):
+    """The most different fragments of one anchor."""
+    pairs = np.unique(np.stack(B.fragments(texts, hot)[3:]), axis=1)
+    return np.unique(pairs[0], return_counts=True)[1].max()
+
+
+def test_hot_pieces_are_avoided(spark, monkeypatch):
+    rows = ruled(300)
+    texts = [t.encode() for _, t in rows]
+    monkeypatch.setattr(B, "SAMPLE", 1)
+    monkeypatch.setattr(B, "HOT", 50)
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    hot = B.hot_pieces(docs)
+    assert len(hot) and crowd(texts, hot) < 50 and crowd(texts, None) > 250
+    want = {(d, *x) for (d, _), x in zip(rows, brute([t for _, t in rows]), strict=True)}
+    assert result(B.repeated_spans(docs.toDF("doc_id", "text").repartition(4)).collect()) == want
+
+
+def test_fragments_cover_every_string_once_without_hot_pieces():
+    draw = np.random.default_rng(5)
+    texts = [t.encode() for _, t in ruled(40)] + [b"a" * 500, b"ab" * 200, draw.integers(97, 100, 2000).astype(np.uint8).tobytes(), b""]
+    told = {}
+    every = B.Rolling(np.frombuffer(b"".join(texts), np.uint8)).all_of(B.GRAM)
+    for hot in (None, B.Hot(every[::7]), B.Hot(every)):
+        text, start, count, h, f = B.fragments(texts, hot)
+        strings = [(t, s + i, k) for t, s, n, k in zip(text.tolist(), start.tolist(), count.tolist(), h.tolist(), strict=True) for i in range(n)]
+        assert sorted((t, s) for t, s, _ in strings) == [(t, i) for t, x in enumerate(texts) for i in range(len(x) - B.LENGTH + 1)]
+        for t, s, k in strings:  # equal strings have equal anchors
+            assert told.setdefault((None if hot is None else len(hot), texts[t][s : s + B.LENGTH]), k) == k
+
+
+def test_symbols_are_told_apart_by_their_bytes(monkeypatch):
+    data = np.frombuffer(bytes(range(97, 123)) * 4, np.uint8)
+    rolling = B.Rolling(data)
+    want = B._names(rolling, np.arange(60))
+    monkeypatch.setattr(B.Rolling, "of", lambda self, starts, length: np.zeros(len(starts), np.uint64))
+    got = B._names(rolling, np.arange(60))
+    assert len({*zip(want.tolist(), got.tolist(), strict=True)}) == len(set(want.tolist())) == len(set(got.tolist()))
+
+
+def test_removed_runs_are_joined():
+    doc, at = np.array([2, 1, 1, 1]), B._pack(np.array([5, 30, 0, 10]), np.array([3, 1, 10, 20]))
+    doc, at = B._together(doc, at)
+    start, count = B._unpack(at)
+    assert (doc.tolist(), start.tolist(), count.tolist()) == ([1, 2], [0, 5], [31, 3])
+
+
 def test_fragments_cover_every_string_once():
     draw = np.random.default_rng(4)
     texts = [draw.integers(97, 100, n).astype(np.uint8).tobytes() for n in (0, 99, 100, 101, 350, 2000)]
