@@ -118,6 +118,25 @@ found AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
   coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op3_bwt_merge": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n FROM d),
+piece AS (SELECT doc_id, n, p, substr(x, 2000 * p + 1, 2198) AS x FROM (SELECT *, unnest(range(0, n // 1000 + 1)) AS p FROM n)),
+string AS (
+  SELECT doc_id, 1000 * p + i AS pos, md5_number(substr(x, 2 * i + 1, 200)) AS k
+  FROM (SELECT *, unnest(range(0, greatest(0, least(1000, n - 99 - 1000 * p)))) AS i FROM piece)
+), early AS (SELECT k, min(struct_pack(doc_id := doc_id, pos := pos)) AS one FROM string GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, pos FROM string JOIN early USING (k) WHERE one <> struct_pack(doc_id := string.doc_id, pos := string.pos)),
+edge AS (SELECT doc_id, pos, coalesce(pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100, true) AS fresh FROM gone),
+run AS (SELECT doc_id, pos, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM edge),
+span AS (SELECT doc_id, r, min(pos) AS a, max(pos) + 100 AS b FROM run GROUP BY doc_id, r),
+hole AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM span),
+kept AS (
+  SELECT doc_id, string_agg(substr(x, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS x
+  FROM (SELECT doc_id, a, before FROM hole UNION ALL SELECT n.doc_id, n, coalesce(b, 0) FROM n LEFT JOIN (SELECT doc_id, max(b) AS b FROM span GROUP BY doc_id) USING (doc_id)) JOIN n USING (doc_id) GROUP BY doc_id
+), told AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, ''))) AS kept_sha256
+FROM n LEFT JOIN kept USING (doc_id) LEFT JOIN told USING (doc_id)""",
     "op10_hamming_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_SPACED_WORDS} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM w),
