@@ -1,15 +1,21 @@
 """PII surrogates: each detected entity is replaced by a keyed one of its type, gender, script and format.
 
-A surrogate is a keyed permutation of all strings of the entity's shape: the same entity
-gets the same surrogate in every document (coreference, without any table), two entities
-never share one (distinctness holds by construction, and ``collisions`` checks it), and no
-entity keeps its own, if it has a letter or digit that another can stand for: letters of
-scripts without an alphabet here stand for those of their kind and Unicode page. So documents are rewritten where they are read, without a shuffle.
+A surrogate is a keyed permutation over all entities of its kind: the same entity gets the
+same surrogate in every document and in every spelling (coreference, without any table),
+two entities never share one (distinctness holds by construction), and no entity keeps its
+own. So documents are rewritten where they are read, without a shuffle; what was replaced
+is then checked over the whole table by ``collisions``.
+
+Names in Latin, Cyrillic or Greek letters are numbered, permuted, and spelled in syllables
+of their script with an ending of their gender. Names of other scripts get letters of
+their kind and Unicode page. Numbers keep their punctuation, their country code or country,
+and a valid check digit.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -19,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import written
 
 KEY = b"siltstone"
 
-# Titles by gender, given names by gender, and the letters of each script that stand for each other.
+# Titles by gender, given names by gender (they tell a name without a title, and its bearer's gender), the letters of
+# each script that stand for each other, and the calling codes of two digits (1 and 7 have one, all others three).
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"),
     "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"),
@@ -35,12 +43,17 @@ LETTERS = (
     "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöüãõåæøœ", "çñßýÿšžč",
     "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъьё", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "άέήίόύώ",
 )
+CALLING = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 DIGITS = "0123456789"
+#: Syllables of a name's surrogate, at least.
+LEAST_SYLLABLES = 3
 _CLASS = {c: (i, j) for i, letters in enumerate(LETTERS) for j, c in enumerate(letters)}
 _IDEOGRAPHS = range(0x4E00, 0x9FA6)
 
 _DIGITAL = re.compile(
     r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.]*\w))"
+    r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?![\w:]))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
@@ -48,8 +61,9 @@ _DIGITAL = re.compile(
 )
 _EMAIL = re.compile(r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w@])")
 _TITLE = re.compile(r"(?<!\w)(?P<title>" + "|".join(t for g in ("f", "m") for t in TITLES[g]) + r")(?:\. ?| )(?P<first>[^\W\d_][\w'’-]*)(?: (?P<last>[^\W\d_][\w'’-]*))?")
+_CALLED = re.compile(r"(?<!\w)(?P<first>" + "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True)) + r") (?P<last>[^\W\d_a-z][^\W\d_]+(?:['’-][^\W\d_]+)*)")
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
-_LISTED = {n.lower(): (g, i) for g, names in GIVEN.items() for i, n in enumerate(names)}
+_LISTED = {n.lower(): g for g, names in GIVEN.items() for n in names}
 
 
 def _shifted(x: int, size: int, key: bytes) -> int:
@@ -144,6 +158,90 @@ def shaped(text: str, key: bytes, kind: str) -> str:
     return "".join(out)
 
 
+class Script:
+    """Names of one script: letters that are numbered, plain ones first, and the syllables and endings that spell a surrogate.
+
+    A syllable is a consonant, a vowel, and perhaps a coda, so that any row of them is read in
+    one way only. Names with other than plain letters have an accent on their first vowel.
+    """
+
+    def __init__(self, name: str, plain: str, onsets: str, vowels: str, accented: str, codas: str, endings: dict[str, tuple[str, str]]):
+        self.plain = plain
+        every = (chr(i) for i in range(0x61, 0x2000))
+        self.letters = plain + "".join(c for c in every if c not in plain and unicodedata.name(c, "").startswith(f"{name} SMALL LETTER") and unicodedata.category(c) == "Ll")
+        self.place = {c: i for i, c in enumerate(self.letters)}
+        self.syllables = [o + v + c for o in onsets for v in vowels for c in ("", *codas)]
+        self.vowels, self.accented, self.endings = vowels, accented, endings
+
+    def has(self, word: str) -> bool:
+        return all(c in self.place for c in word)
+
+    def number(self, word: str) -> tuple[int, int]:
+        """How many letters the word's alphabet has, and its place among all words of it, shorter ones first."""
+        base, n = len(self.plain) if all(c in self.plain for c in word) else len(self.letters), 0
+        for c in word:
+            n = n * base + self.place[c] + 1
+        return base, n
+
+    def word(self, base: int, n: int) -> str:
+        out = []
+        while n > 0:
+            n, c = divmod(n - 1, base)
+            out.append(self.letters[c])
+        return "".join(reversed(out))
+
+    def spelled(self, base: int, n: int, key: bytes, kind: str) -> str:
+        """The n-th word's surrogate: a permutation over the words that have as many syllables."""
+        size, k, before = len(self.syllables) ** LEAST_SYLLABLES, LEAST_SYLLABLES, 0
+        while n - before >= size:
+            before, size, k = before + size, size * len(self.syllables), k + 1
+        x = _shifted(n - before, size, hashlib.blake2b(f"{kind}|{base}|{k}".encode(), key=key[:64], digest_size=32).digest())
+        parts = []
+        for _ in range(k):
+            x, part = divmod(x, len(self.syllables))
+            parts.append(self.syllables[part])
+        if base != len(self.plain):
+            parts[0] = parts[0].translate(str.maketrans(self.vowels, self.accented))
+        made = "".join(parts)
+        after_vowel, after_coda = self.endings[kind[-2:]] if kind[-2:] in self.endings else ("", "")
+        return made + (after_vowel if made[-1] in self.vowels + self.accented else after_coda)
+
+    def surrogate(self, word: str, key: bytes, kind: str) -> str:
+        """Spelled, but for a word that would spell itself: it changes places with the next one."""
+        base, n = self.number(word)
+        made = self.spelled(base, n, key, kind)
+        if made == word:
+            return self.spelled(base, n + 1, key, kind)
+        before = self.word(base, n - 1)
+        return before if before and self.spelled(base, n - 1, key, kind) == before else made
+
+
+@cache
+def _scripts() -> tuple[Script, ...]:
+    # Letters of syllables, and endings of given names after a vowel and after a coda.
+    return (
+        Script("LATIN", "abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnprstvwz", "aeiou", "áéíóú", "nrls", {"-f": ("lla", "a"), "-m": ("nd", "o")}),
+        Script("CYRILLIC", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "бвгджзклмнпрстфхчш", "аеиоу", "яёыюэ", "нрлс", {"-f": ("лла", "а"), "-m": ("рт", "ий")}),
+        Script("GREEK", "αβγδεζηθικλμνξοπρσςτυφχψω", "βγδζθκλμνπρστφχ", "αεηιο", "άέήίό", "νρλ", {"-f": ("λλα", "α"), "-m": ("ς", "ος")}),
+    )
+
+
+_RUN = re.compile(r"[^\W\d_]+")
+
+
+def name_surrogate(name: str, key: bytes, kind: str) -> str:
+    """Each run of letters by its script; what is between them stays. The same for every case, in the case of the name."""
+
+    def made(run: str) -> str:
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in run)
+        for script in _scripts():
+            if script.has(low):
+                return _cased(script.surrogate(low, key, kind), run)
+        return shaped(run, key, kind)
+
+    return _RUN.sub(lambda m: made(m[0]), name)
+
+
 def _luhn(digits: list[int]) -> int:
     """The check digit after these digits."""
     total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
@@ -155,38 +253,68 @@ def _digits_into(text: str, digits: list[int]) -> str:
     return "".join(str(next(new)) if c in DIGITS else c for c in text)
 
 
+def _alnum(text: str) -> str:
+    return "".join(c for c in text if c.isalnum())
+
+
+def _iban_check(country: str, body: str) -> str:
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{body}{country}00')) % 97:02d}"
+
+
+def _calling(digits: str) -> int:
+    """How many of the digits after a plus sign are the calling code."""
+    return 1 if digits[:1] in ("1", "7") else 2 if digits[:2] in CALLING else 3
+
+
+def canonical(kind: str, entity: str) -> str:
+    """What all spellings of an entity have in common. A number in (brackets) without a plus sign is one of calling code 1."""
+    if kind == "phone":
+        digits = "".join(c for c in entity if c in DIGITS)
+        return digits if entity.startswith("+") else f"1{digits}"
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(entity).exploded
+    return _alnum(entity).lower() if kind in ("card", "iban", "ssn") else entity.lower()
+
+
+def _like(spelled: str, characters: str) -> str:
+    """The characters in place of the letters and digits of what was spelled."""
+    new = iter(characters)
+    return "".join(next(new) if c.isalnum() else c for c in spelled)
+
+
 def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
-    """The replacement of an entity: the same for every spelling that differs only in case, in that spelling's case."""
+    """The replacement of an entity: the same for every spelling, in that spelling's case and punctuation."""
     if kind == "ip":
         return ".".join(map(str, _mapped([(int(x), 256) for x in entity.split(".")], key, kind, "")))
+    if kind == "ipv6":
+        value = int(ipaddress.IPv6Address(entity))
+        made = ipaddress.IPv6Address(_shifted(value, 1 << 128, hashlib.blake2b(b"ipv6", key=key[:64], digest_size=32).digest()))
+        told = made.compressed if "::" in entity else made.exploded
+        return told.upper() if entity != entity.lower() else told
     if kind == "card":
         digits = [int(c) for c in entity if c in DIGITS]
         body = _mapped([(d, 10) for d in digits[1:-1]], key, kind, f"{digits[0]}{len(digits)}")
         return _digits_into(entity, [digits[0], *body, _luhn([digits[0], *body])])
+    if kind == "iban":
+        whole = _alnum(entity)
+        body = shaped(whole[4:], key, f"iban-{whole[:2]}")
+        return _like(entity, whole[:2] + _iban_check(whole[:2], body) + body)
     if kind == "phone":
-        digits = [int(c) for c in entity if c in DIGITS]
-        country = len(re.match(r"\+?(\d*)", entity)[1]) if entity.startswith("+") else 0
-        country = min(country, 3, len(digits) - 4)
-        head = "".join(map(str, digits[:country]))
-        return _digits_into(entity, digits[:country] + _mapped([(d, 10) for d in digits[country:]], key, kind, f"{head}/{len(digits)}"))
+        digits = canonical(kind, entity)
+        code = _calling(digits)
+        new = _mapped([(int(d), 10) for d in digits[code:]], key, kind, f"{digits[:code]}/{len(digits)}")
+        return _digits_into(entity, [*(map(int, digits[:code]) if entity.startswith("+") else ()), *new])
     if kind == "email":
         name, _, domain = entity.rpartition("@")
         body, _, top = domain.rpartition(".")
         return f"{shaped(name, key, 'mailbox')}@{shaped(body, key, 'domain')}.{top}"
-    if kind.startswith("given"):
-        found = _LISTED.get(entity.lower())
-        if found:
-            gender, i = found
-            return _cased(GIVEN[gender][_mapped([(i, len(GIVEN[gender]))], key, "given", gender)[0]], entity)
-        new = shaped(entity, key, "given")
-        while new.lower() in _LISTED:  # listed names are the surrogates of listed names
-            new = shaped(new, key, "given")
-        return new
+    if kind.startswith(("given", "family")):
+        return name_surrogate(entity, key, kind)
     return shaped(entity, key, kind)
 
 
 def _cased(name: str, like: str) -> str:
-    return name.upper() if len(like) > 1 and like == like.upper() else name.lower() if like == like.lower() else name
+    return name.upper() if len(like) > 1 and like == like.upper() else name if like == like.lower() else name[0].upper() + name[1:]
 
 
 def _valid(kind: str, entity: str) -> bool:
@@ -197,11 +325,24 @@ def _valid(kind: str, entity: str) -> bool:
         return _luhn(digits[:-1]) == digits[-1]
     if kind == "phone":
         return 7 <= sum(c in DIGITS for c in entity) <= 15
+    if kind == "iban":
+        whole = _alnum(entity)
+        return 15 <= len(whole) <= 34 and whole[2:4] == _iban_check(whole[:2], whole[4:])
+    if kind == "ipv6":
+        try:
+            ipaddress.IPv6Address(entity)
+        except ValueError:
+            return False
+        return sum(map(bool, entity.split(":"))) > 2
     return True
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """Non-overlapping (start, end, kind), in order. Bare names count where the text names their bearer with a title."""
+    """Non-overlapping (start, end, kind), in order.
+
+    A name is one with a title, or a listed given name before a capitalised word; where a text
+    has such a name, its bare parts count too.
+    """
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
@@ -216,6 +357,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             names[last] = "family"
         else:
             names.setdefault(first, "family")
+    for m in _CALLED.finditer(text):
+        names.setdefault(m["first"], f"given-{_LISTED[m['first'].lower()]}")
+        names.setdefault(m["last"], "family")
+    for name in list(names):
+        if len(name) > 2:
+            names.setdefault(name.upper(), names[name])
     if names:
         spoken = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)")
         found += [(*m.span(), names[m[0]]) for m in spoken.finditer(text)]
@@ -227,13 +374,13 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 
 def rewrite(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, str, str]]]:
-    """The text with surrogates, and (kind, entity, surrogate) of each replacement."""
+    """The text with surrogates, and (kind, entity, surrogate) of each replacement; a given name's kind tells its gender."""
     parts, told, at = [], [], 0
     for start, end, kind in detect(text):
         entity = text[start:end]
         new = surrogate(kind, entity, key)
         parts += [text[at:start], new]
-        told.append((kind.partition("-")[0], entity, new))
+        told.append((kind, entity, new))
         at = end
     return "".join([*parts, text[at:]]), told
 
@@ -262,14 +409,39 @@ def replace_pii(docs: DataFrame, text: str = "text", key: bytes = KEY, entities:
 
 
 def surrogate_table(replaced: DataFrame, entities: str = "__entities") -> DataFrame:
-    """(kind, entity, surrogate, n) of all replacements; entity and surrogate lower-cased."""
+    """(kind, entity, surrogate, n) of all replacements, entity and surrogate in the form that all their spellings share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = batch.column("kind").to_pylist()
+            forms = [pa.array([canonical(k, x) for k, x in zip(kinds, batch.column(c).to_pylist(), strict=True)], pa.string()) for c in ("entity", "surrogate")]
+            yield pa.record_batch([batch.column("kind"), *forms, batch.column("n")], ["kind", "entity", "surrogate", "n"])
+
     one = replaced.select(F.explode(entities).alias("e"))
-    return one.groupBy("e.kind", F.lower("e.entity").alias("entity"), F.lower("e.surrogate").alias("surrogate")).agg(F.count("*").alias("n"))
+    spelled = one.groupBy("e.kind", "e.entity", "e.surrogate").agg(F.count("*").alias("n"))
+    return spelled.mapInArrow(run, "kind string, entity string, surrogate string, n long").groupBy("kind", "entity", "surrogate").agg(F.sum("n").alias("n"))
 
 
 def collisions(pairs: DataFrame) -> DataFrame:
-    """(kind, problem, value): surrogates of several entities, entities of several surrogates, and entities that kept their own."""
-    shared = pairs.groupBy("kind", "surrogate").agg(F.countDistinct("entity").alias("n")).where("n > 1").select("kind", F.lit("shared").alias("problem"), F.col("surrogate").alias("value"))
-    split = pairs.groupBy("kind", "entity").agg(F.countDistinct("surrogate").alias("n")).where("n > 1").select("kind", F.lit("split").alias("problem"), F.col("entity").alias("value"))
-    same = pairs.where("entity = surrogate").select("kind", F.lit("kept").alias("problem"), F.col("entity").alias("value"))
-    return shared.unionByName(split).unionByName(same)
+    """(kind, problem, value) over a surrogate_table.
+
+    shared: surrogates of several entities; split: entities of several surrogates; kept:
+    entities that kept their own; original: surrogates that are another entity of the table
+    (which itself is replaced, so that the texts still tell the two apart).
+    """
+    told = lambda rows, problem, value: rows.select("kind", F.lit(problem).alias("problem"), F.col(value).alias("value"))
+    shared = pairs.groupBy("kind", "surrogate").agg(F.countDistinct("entity").alias("n")).where("n > 1")
+    split = pairs.groupBy("kind", "entity").agg(F.countDistinct("surrogate").alias("n")).where("n > 1")
+    same = pairs.where("entity = surrogate")
+    others = pairs.where("entity <> surrogate").select("kind", "surrogate").distinct().join(pairs.select("kind", F.col("entity").alias("surrogate")).distinct(), ["kind", "surrogate"])
+    return told(shared, "shared", "surrogate").unionByName(told(split, "split", "entity")).unionByName(told(same, "kept", "entity")).unionByName(told(others, "original", "surrogate"))
+
+
+def replace_checked(docs: DataFrame, text: str = "text", key: bytes = KEY, entities: str = "__entities") -> tuple[DataFrame, DataFrame]:
+    """replace_pii's rows, written, and collisions of them; fails if surrogates are shared, entities split or kept."""
+    replaced = written(replace_pii(docs, text, key, entities), "surrogates")
+    found = written(collisions(surrogate_table(replaced, entities)), "collisions")
+    bad = found.where("problem <> 'original'").limit(5).collect()
+    if bad:
+        raise ValueError(f"surrogates are not distinct and coreferent: {[tuple(r) for r in bad]}")
+    return replaced, found

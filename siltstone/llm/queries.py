@@ -27,7 +27,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    replaced, _ = pii.replace_checked(table(spark, sf_dir, "documents").select("doc_id", "text"))
     entities = F.col("__entities")
     return replaced.select(
         "doc_id",
