@@ -84,6 +84,22 @@ def small_or_plain(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+#: Rows of a key from which on it is hot, at least; hot keys that are broadcast, at most.
+HOT_ROWS, HOT_KEYS = 2_000, 20_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, count: str = "n") -> DataFrame:
+    """rows joined with a table of one row a key and its ``count`` of rows; total: how many rows there are, or more.
+
+    A hot key's row is broadcast, so that its rows stay where they are; there are at most
+    HOT_KEYS of them, as what is hot grows with the total. The others meet by hash.
+    """
+    keys = [key] if isinstance(key, str) else key
+    hot = max(HOT_ROWS, -(-total // HOT_KEYS))
+    many, few = (table.where(c).drop(count) for c in (F.col(count) > hot, F.col(count) <= hot))
+    return rows.join(F.broadcast(many), keys).unionByName(rows.join(F.broadcast(many.select(*keys)), keys, "left_anti").join(few, keys))
+
+
 def free_name(columns: Iterable[str], wanted: str) -> str:
     """``wanted``, with as many underscores as make it differ from all ``columns``, whatever their case."""
     taken = {c.lower() for c in columns}

@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import forget, written
-
-#: Edges of a node from which on it is a hub, at least; hubs that are broadcast, at most.
-HEAVY, HEAVIEST = 10_000, 20_000
+from siltstone.llm.common import forget, hot_join, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One step: neighbours move to the least node near them.
-
-    A node with over HEAVY edges tells its least node by broadcast, so that its edges needn't
-    meet in one task; there are at most HEAVIEST of them, as HEAVY grows with the edges.
-    """
+    """One step: neighbours move to the least node near them; hubs tell theirs by broadcast."""
     near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
     least = near.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
-    heavy = max(HEAVY, 2 * edges.count() // HEAVIEST)
-    hubs = F.broadcast(least.where(F.col("n") > heavy).select("a", "m"))
-    moved = near.join(hubs, "a").unionByName(near.join(hubs, "a", "left_anti").join(least.where(F.col("n") <= heavy).select("a", "m"), "a"))
+    moved = hot_join(near, least, "a", 2 * edges.count())
     if large:
         out = moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordHashes, mixed, shingles, text_or_empty, written
+from siltstone.llm.common import HOT_KEYS, WordHashes, forget, hot_join, mixed, shingles, text_or_empty, written
 from siltstone.llm.components import connected
 from siltstone.llm.minhash import signatures
 
@@ -39,6 +39,8 @@ PLACES, MOST_APART = 512, 147
 #: Masks under which the least member of a bucket is its pivot, one for each round; members of a bucket compared at once.
 PIVOTS, BLOCK = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D), 4096
 WORDS = 5
+#: Pairs of one node, at least, beyond which they are dealt to several tasks.
+PAIRS = 2_000
 
 _PREPARED = "doc long, mark long, n_shingles long, set binary, sketch binary, keys array<long>"
 _LARGEST = np.iinfo(np.int64).max
@@ -161,9 +163,23 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(held)
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, end: str, total: int) -> DataFrame:
+    """pairs with the text of one end. A node of many pairs (a pivot) is dealt to several tasks, its text to each of them."""
+    most = max(PAIRS, -(-total // HOT_KEYS))
+    crowded = F.broadcast(pairs.groupBy(end).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts")).where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    other = "b" if end == "a" else "a"
+    dealt = pairs.join(crowded, end, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    copies = texts.toDF(end, f"t{end}").join(crowded, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copies, [end, "part"]).drop("part")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    one = pairs.join(texts.toDF("a", "ta"), "a")
-    return one.join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_linked(k), "a long, b long")
+    """The pairs (a, b) that are similar enough on the full sets of their texts."""
+    pairs = written(pairs, "pairs")
+    total = pairs.count()
+    both = _with_text(_with_text(pairs, texts, "a", total), texts, "b", total)
+    return both.select("a", "b", "ta", "tb").mapInArrow(_linked(k), "a long, b long")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
@@ -181,8 +197,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     nodes = written(full.groupBy("set").agg(F.min(F.struct("doc", "mark", "n_shingles", "sketch", "keys")).alias("one")).select("set", F.col("one.doc").alias("node"), "one.mark", "one.n_shingles", "one.sketch", "one.keys"), "nodes")
 
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("key")
-    met = written(keyed.join(shared, "key"), "met")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(hot_join(keyed, shared, "key", nodes.count() * CHUNKS * CHUNK), "met")
     wanted = met.select("node").distinct().join(nodes.select("node", "mark"), "node")
     texts = written(named.join(wanted, (named["doc"] == wanted["node"]) & (named["mark"] == wanted["mark"])).groupBy("node", wanted["mark"]).agg(F.first("text").alias("text")).select("node", "text"), "texts")
 
@@ -190,11 +206,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     for mask in PIVOTS:
         left = _open(met, labels)
         masked = F.col("node").bitwiseXOR(F.lit(mask)).alias("masked")
-        pivots = left.groupBy("key").agg(F.min(masked).alias("pivot"))
+        pivots = left.groupBy("key").agg(F.min(masked).alias("pivot"), F.count("*").alias("n"))
         # a node is tested once in a round: with the least pivot of all its buckets
-        near = left.select("key", "node", masked).join(pivots, "key").where("masked <> pivot").groupBy("node").agg(F.min("pivot").bitwiseXOR(F.lit(mask)).alias("pivot"))
+        near = hot_join(left.select("key", "node", masked), pivots, "key", left.count()).where("masked <> pivot").groupBy("node").agg(F.min("pivot").bitwiseXOR(F.lit(mask)).alias("pivot"))
         near = near.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         labels = _joined(labels, verified(_apart(near, labels), texts, k))
+        if left is not met:
+            forget(left)
     labels = _joined(labels, verified(_rest(_open(met, labels), nodes), texts, k))
     # a root is the least node of its component, and a node the least document of its set
     named_sets = nodes.select("set", "node").join(labels.toDF("node", "root"), "node", "left").select("set", F.coalesce("root", "node").alias("root"))
@@ -212,8 +230,8 @@ def _open(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return met.withColumn("root", F.col("node"))
     rooted = _with_roots(met, labels, "node", "root")
-    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    return written(rooted.join(several, "key").select("key", "node", "root"), "open")
+    several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y").select("key", "n")
+    return written(hot_join(rooted, several, "key", met.count()).select("key", "node", "root"), "open")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -236,8 +254,8 @@ def _rest(left: DataFrame, nodes: DataFrame) -> DataFrame:
     Buckets are compared where they lie, in blocks of BLOCK members: a larger one is spread
     over a task for each two of its blocks.
     """
-    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = left.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    placed = hot_join(left, blocks, "key", left.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = placed.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     full = spread.join(nodes.select("node", "n_shingles", "sketch", "keys"), "node").select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_shingles", "sketch", "keys"

@@ -45,8 +45,12 @@ def test_groups_match_brute_force(spark, sample, unique, k):
 
 
 def test_blocks_of_one_bucket(spark, unique, monkeypatch):
+    from siltstone.llm import common
+
     monkeypatch.setattr(H, "BLOCK", 2)
+    monkeypatch.setattr(H, "PAIRS", 2)
     monkeypatch.setattr(H, "PIVOTS", (0,))
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     got = {(r["doc"], r["component"]) for r in H.near_groups(frame(spark, unique), k=2).collect()}
     assert got == {(d, v[1]) for d, v in brute(unique, 2).items()}
 
@@ -73,10 +77,14 @@ def test_pigeonhole_keys():
         assert (H.chunk_keys(a) == H.chunk_keys(b)).any()
 
 
-def test_components(spark):
-    rows = [(1, 2), (3, 2), (5, 4), (7, 7), (9, 1), (None, 3)] + [(100 + i, 101 + i) for i in range(40)]
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_components(spark, monkeypatch, hot):
+    from siltstone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    rows = [(1, 2), (3, 2), (5, 4), (7, 7), (9, 1), (None, 3)] + [(100 + i, 101 + i) for i in range(40)] + [(500, 501 + i) for i in range(30)]
     got = {(r["a"], r["b"]) for r in connected(spark.createDataFrame(rows, "a long, b long")).collect()}
-    assert got == {(2, 1), (3, 1), (9, 1), (5, 4)} | {(100 + i, 100) for i in range(1, 41)}
+    assert got == {(2, 1), (3, 1), (9, 1), (5, 4)} | {(100 + i, 100) for i in range(1, 41)} | {(501 + i, 500) for i in range(30)}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
