@@ -2,10 +2,12 @@
 
 Listed canonical URLs (host and path prefix) are hashed into a Bloom filter of
 256-bit blocks: one block for a key, one bit in each of the block's eight words.
-Every URL's candidate keys (its host and parent domains, each with its path cut
-to the listed prefix lengths) are tested against their one block; what passes
-goes to an exact equi-join with the list, which removes the false positives.
-The longest listed key that is left decides; URLs that none fits are allowed.
+Every distinct URL's candidate keys (each of its host and parent domains that is listed,
+with its path cut to the prefix lengths that this host has on the list) are tested
+against their one block; what passes goes to an exact equi-join with the list, which
+removes the false positives. The longest listed key that is left decides; URLs that none
+fits are allowed. A page, host or rule that a large part of the rows has is hot: its row
+of the smaller table is broadcast, the other rows meet by hash.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import folded, free_name, small_or_plain
+from siltstone.llm.common import folded, free_name, hot_join, small_or_plain
 
 #: Filter bits for each listed key; rows of the filter, and of the list, that are broadcast at most.
 BITS_A_KEY, MOST_BLOCKS, MOST_LISTED = 16, 65_536, 50_000
@@ -76,28 +78,35 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
         .dropna()
         .groupBy("h", "p")
         .agg(F.max("action").alias("action"))
-        .select(F.concat("h", "p").alias("key"), F.size(F.split("h", r"\.")).alias("labels"), F.length("p").alias("cut"), "action")
+        .select("h", F.concat("h", "p").alias("key"), F.size(F.split("h", r"\.")).alias("labels"), F.length("p").alias("cut"), "action")
     )
-    shape = listed.agg(F.count("*"), F.max("labels"), F.array_sort(F.collect_set("cut"))).first()
-    if not shape[0]:
+    n_listed = listed.count()
+    if not n_listed:
         return parted.select("*", F.lit(None).cast("string").alias(names[2]), F.lit("allow").alias(names[3]))
-    blocks = max(1, shape[0] * BITS_A_KEY // (WORDS * WORD_BITS))
+    blocks = max(1, n_listed * BITS_A_KEY // (WORDS * WORD_BITS))
     bloom = small_or_plain(blocked_bloom(listed, "key", blocks), MOST_BLOCKS)
-    exact = small_or_plain(listed.select("key", "action"), MOST_LISTED)
-
+    exact = listed.select("key", "action")
+    close = small_or_plain(exact, MOST_LISTED)
+    most_labels = listed.agg(F.max("labels")).first()[0]
+
+    total = pages.count()
+    urls = parted.groupBy(F.col(names[0]).alias("__host"), F.col(names[1]).alias("__path")).agg(F.count("*").alias("n"))
+    # the listed parents of each host, and the lengths that their paths have
+    cuts = small_or_plain(listed.groupBy(F.col("h").alias("__h")).agg(F.collect_set("cut").alias("__cuts")), MOST_LISTED)
     labels = F.split("__host", r"\.")
     n = F.size(labels)
-    parents = F.transform(
-        F.sequence(F.lit(1), F.least(n, F.lit(shape[1]))), lambda i: F.array_join(F.slice(labels, n - i + 1, i), ".")
-    )
-    cuts = F.filter(F.array(*map(F.lit, shape[2])), lambda c: c <= F.length("__path"))
-    keys = F.flatten(F.transform(parents, lambda h: F.transform(cuts, lambda c: F.concat(h, F.substring(F.col("__path"), F.lit(1), c)))))
-    candidates = parted.select(F.col(names[0]).alias("__host"), F.col(names[1]).alias("__path")).select(
-        "__host", "__path", F.explode(keys).alias("__key")
-    )
-    hits = possible(candidates, "__key", bloom, blocks).join(exact, F.col("__key") == F.col("key"))
+    parents = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(most_labels))), lambda i: F.array_join(F.slice(labels, n - i + 1, i), "."))
+    hosts = urls.groupBy("__host").agg(F.count("*").alias("n"))
+    known = hosts.select("__host", "n", F.explode(parents).alias("__h")).join(cuts, "__h").groupBy("__host", "n").agg(F.collect_list(F.struct("__h", "__cuts")).alias("__parents"))
+    cut = lambda p: F.transform(F.filter(p["__cuts"], lambda c: c <= F.length("__path")), lambda c: F.concat(p["__h"], F.substring(F.col("__path"), F.lit(1), c)))
+    keys = F.flatten(F.transform("__parents", cut))
+    candidates = hot_join(urls.select("__host", "__path"), known, "__host", total).select("__host", "__path", F.explode(keys).alias("key"))
+    passed = possible(candidates, "key", bloom, blocks)
+    if close is exact:
+        hits = hot_join(passed, exact.join(passed.groupBy("key").agg(F.count("*").alias("n")), "key"), "key", total)
+    else:
+        hits = passed.join(close, "key")
     best = hits.groupBy("__host", "__path").agg(F.max(F.struct(F.length("key").alias("long"), "key", "action")).alias("__best"))
-    return (
-        parted.join(best, (parted[names[0]] == best["__host"]) & (parted[names[1]] == best["__path"]), "left")
-        .select(*(parted[c] for c in parted.columns), F.col("__best.key").alias(names[2]), F.coalesce("__best.action", F.lit("allow")).alias(names[3]))
-    )
+    judged = urls.join(best, ["__host", "__path"], "left").toDF(names[0], names[1], "n", "__best")
+    found = hot_join(parted, judged, names[:2], total)
+    return found.select(*(f"`{c}`" for c in parted.columns), F.col("__best.key").alias(names[2]), F.coalesce("__best.action", F.lit("allow")).alias(names[3]))

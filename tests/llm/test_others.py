@@ -13,9 +13,16 @@ from tests.llm.conftest import frame
 from tests.llm.test_decontaminate import FOLD
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_url_rules(spark, monkeypatch, small):
+    from siltstone.llm import common
     from siltstone.llm.queries import URL_RULES
 
+    if not small:
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+        monkeypatch.setattr(url_filter, "MOST_LISTED", 2)
+        monkeypatch.setattr(url_filter, "MOST_BLOCKS", 0)
+
     urls = [
         "http://EXAMPLE.com/en/a", "https://www.example.com/en/?q", "https://a.www.example.com/en/x#y", "http://x.net/es/", "http://net/fr/", "http://net.org/fr/", "http://badnet/es/", "ftp://com", "com/en/", None, "",
         "x://y.com/?a://b.net/es/", "http://example.com/e", "http://[::1]/en/", "http://a..com//", "http://" + "a." * 300 + "com/",
@@ -31,6 +38,20 @@ def test_url_rules(spark):
         best = max(fits, default=(0, None, "allow"))
         assert (got[i]["host_"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, *best[1:]), u
     assert {r["verdict"] for r in url_filter.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
+    assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
+
+
+def test_a_large_list_with_many_lengths(spark):
+    rules = [(f"{'a.' * (i % 3)}h{i % 40}.org", "/" + "p/" * (i % 70), "block" if i % 2 else "allow") for i in range(2_000)]
+    urls = [(i, f"http://x.a.a.h{i % 45}.org/{'p/' * (i % 90)}") for i in range(300)]
+    got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string")).collect()}
+    listed = {}
+    for h, p, a in rules:
+        listed[h, p] = max(a, listed.get((h, p), a))
+    for i, u in urls:
+        host, path = u[7:].split("/", 1)
+        fits = [(len(h + p), h + p, a) for (h, p), a in listed.items() if (host == h or host.endswith("." + h)) and f"/{path}".startswith(p)]
+        assert (got[i]["rule"], got[i]["verdict"]) == max(fits, default=(0, None, "allow"))[1:]
 
 
 def test_bloom_misses_nothing(spark):
