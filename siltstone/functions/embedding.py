@@ -40,7 +40,7 @@ class Embedder:
 
     def __init__(self, dimensions: int = DIMENSIONS, model: str = MODEL):
         if not isinstance(dimensions, int) or isinstance(dimensions, bool) or dimensions < 1:
-            raise IndexingError("dimensions must be a positive integer")
+            raise IndexingError("a vector has a whole number of places, from 1")
         if model not in HASHES:
             raise IndexingError(f"unknown embedding model {model!r}")
         self.dimensions, self.hash, self.known = dimensions, HASHES[model], {}

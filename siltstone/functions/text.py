@@ -105,6 +105,14 @@ def unfenced(content: Column) -> Column:
     return F.when(fenced & (F.locate("```", after) > 0), strip(inner)).when(fenced, after).otherwise(bare)
 
 
+def without_fence(content: str) -> str:
+    """unfenced for one text, where a task has it at hand."""
+    bare = content.strip(SPACES)
+    if not (bare.startswith("```") and bare.endswith("```")):
+        return bare
+    return bare.partition("\n")[2].rpartition("```")[0].strip(SPACES) if "\n" in bare else bare
+
+
 def folded(text: Column) -> Column:
     """Lower case with sharp s written out: equals full case folding but for a few letters of rare scripts."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))

@@ -21,11 +21,11 @@ def checked_config(strategy: str, chunk_size: int, overlap: int, separators: Seq
     if strategy not in ("fixed", "recursive"):
         raise ChunkingError(f"unsupported strategy {strategy!r}")
     if not whole(chunk_size) or chunk_size < 1:
-        raise ChunkingError("chunk_size must be a positive integer")
+        raise ChunkingError("chunk_size counts characters: a whole number from 1")
     if not whole(overlap) or not 0 <= overlap < chunk_size:
         raise ChunkingError("overlap must be an integer smaller than chunk_size")
     if not isinstance(separators, (tuple, list)) or not separators or not all(isinstance(s, str) and s for s in separators):
-        raise ChunkingError("separators must be a non-empty sequence of strings")
+        raise ChunkingError("separators are strings, one at least, none of them empty")
 
 
 def fixed_starts(length: Column, size: int, overlap: int) -> Column:

@@ -1,19 +1,21 @@
-"""The index: a Parquet table in one folder a seller, written by keyed upserts of whole partitions."""
+"""The index: a Parquet table in one folder a seller and bucket of documents, written by keyed upserts of whole buckets."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone import schemas
 from siltstone.errors import IndexingError
 from siltstone.functions import embedding as E
 from siltstone.functions import text as T
+from siltstone.sources import storage
 
 KEYS = ["seller_id", "chunk_id"]
-_FILES_OF_A_SELLER = 8
+#: Buckets of a seller's documents. An upsert rewrites those that its documents are in; a bucket is several files, by size.
+BUCKETS = 64
 
 
 def _required(value: object, name: str) -> str:
@@ -24,14 +26,25 @@ def _required(value: object, name: str) -> str:
 
 def open_index(spark: SparkSession, path: str) -> str:
     """Create the empty index at path if it isn't there; returns the path."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        spark.createDataFrame([], schemas.INDEX).write.partitionBy("seller_id").parquet(path)
+    if not storage.exists(spark, path):
+        spark.createDataFrame([], _STORED).write.partitionBy("seller_id", "bucket").parquet(path)
     return path
 
 
+_STORED = f"{schemas.INDEX}, bucket int"
+
+
+def _stored(spark: SparkSession, path: str, seller_id: str | None = None) -> DataFrame:
+    rows = spark.read.schema(_STORED).parquet(path)
+    return rows if seller_id is None else rows.where(F.col("seller_id") == seller_id)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.INDEX).parquet(path)
+    return _stored(spark, path).drop("bucket")
+
+
+def bucket_of(document_id: str) -> Column:
+    return F.pmod(F.xxhash64(document_id), F.lit(BUCKETS)).cast("int")
 
 
 def mixed_sellers(chunks: DataFrame, seller_id: str) -> DataFrame:
@@ -39,18 +52,18 @@ def mixed_sellers(chunks: DataFrame, seller_id: str) -> DataFrame:
     return chunks.where(~F.col("seller_id").eqNullSafe(F.lit(seller_id)))
 
 
-def index_rows(chunks: DataFrame, *, dimensions: int = E.DIMENSIONS, model: str = E.MODEL, strict: bool = True) -> DataFrame:
-    """Rows of schemas.INDEX: identity hash, metadata as sorted JSON, and vector of each chunk."""
+def index_rows(chunks: DataFrame, *, dimensions: int = E.DIMENSIONS, model: str = E.MODEL, strict: bool = True, order: str | None = None) -> DataFrame:
+    """Rows of schemas.INDEX: identity hash, metadata as sorted JSON, and vector of each chunk; and the column ``order``, if one is named."""
     position = F.col("chunk_position")
     checked = chunks.withColumn("document_id", T.required(F.col("document_id"), "document_id", strict)).withColumn(
-        "chunk_position", F.when(position >= 0, position).otherwise(F.raise_error(F.lit("chunk_position must be a non-negative integer")).cast("int")) if strict else position
+        "chunk_position", F.when(position >= 0, position).otherwise(F.raise_error(F.lit("a chunk's position is a whole number from 0")).cast("int")) if strict else position
     )
-    extra = [c for c in sorted(checked.columns) if c not in ("text", "embedding")]
+    extra = [c for c in sorted(checked.columns) if c not in ("text", "embedding", order)]
     have = lambda c: F.col(c) if c in checked.columns else F.lit(None).cast("string")
     identity = {n: have(n) for n in ("chunk_position", "document_id", "end", "seller_id", "start", "text", "version")}
     named = checked.select(
         "seller_id", E.chunk_id(identity).alias("chunk_id"), "document_id", have("version").alias("version"), F.col("chunk_position").cast("int").alias("chunk_position"), "text",
-        F.to_json(F.struct(*(F.col(f"`{c}`") for c in extra)), {"ignoreNullFields": "false"}).alias("metadata"),
+        F.to_json(F.struct(*(F.col(f"`{c}`") for c in extra)), {"ignoreNullFields": "false"}).alias("metadata"), *([order] if order else []),
     )
     return E.embed(named, dimensions=dimensions, model=model, strict=strict)
 
@@ -67,37 +80,45 @@ def last_of_batch(rows: DataFrame, order: str, keys: list[str] = KEYS) -> DataFr
 
 
 def _store(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Replace the partitions that rows has. The rows may come from the table itself: they are staged first."""
+    """Replace the buckets that rows has. The rows may come from the table itself: they are staged first."""
     staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
-    rows.write.parquet(staged)
+    rows.withColumn("bucket", bucket_of("document_id")).write.parquet(staged)
     try:
-        laid = spark.read.schema(schemas.INDEX).parquet(staged)
-        spread = F.pmod(F.xxhash64("document_id"), F.lit(_FILES_OF_A_SELLER))
+        laid = spark.read.schema(_STORED).parquet(staged)
         (
-            laid.repartition("seller_id", spread)  # a large seller is several files
-            .sortWithinPartitions("seller_id", "document_id", "version", "chunk_position")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seller_id").parquet(path)
+            laid.hint("rebalance", "seller_id", "bucket")  # a large bucket is several files
+            .sortWithinPartitions("seller_id", "bucket", "document_id", "version", "chunk_position")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seller_id", "bucket").parquet(path)
         )
     finally:
-        at = spark._jvm.org.apache.hadoop.fs.Path(staged)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        storage.delete(spark, staged)
+
+
+def _touched(rows: DataFrame) -> list[int]:
+    """The buckets of rows' documents, BUCKETS at most."""
+    return [r[0] for r in rows.select(bucket_of("document_id").alias("bucket")).distinct().collect()]
 
 
-def index_chunks(spark: SparkSession, path: str, seller_id: str, chunks: DataFrame, *, dimensions: int = E.DIMENSIONS, model: str = E.MODEL, replace_documents: bool = False) -> DataFrame:
-    """Embed and upsert one seller's non-empty batch; returns (chunk_position, document_id, chunk_id) of it.
+def index_chunks(
+    spark: SparkSession, path: str, seller_id: str, chunks: DataFrame, *, dimensions: int = E.DIMENSIONS, model: str = E.MODEL, replace_documents: bool = False, order: str | None = None
+) -> DataFrame:
+    """Embed and upsert one seller's non-empty batch; returns (document_id, chunk_position, chunk_id) of it.
 
-    Nothing is written if a chunk is another seller's or a row is bad. With replace_documents
-    all stored chunks of the batch's documents go first, so that none is left of older texts.
+    Nothing is written if a chunk is another seller's or a row is bad. Of several chunks of one
+    key the last counts: by the column ``order``, which isn't stored, or else as the rows come.
+    With replace_documents all stored chunks of the batch's documents go first, so that none is
+    left of older texts.
     """
     seller_id = _required(seller_id, "seller_id")
     if chunks.isEmpty():
-        raise IndexingError("chunks must be a non-empty sequence")
+        raise IndexingError("a batch without chunks can't be indexed")
     if not mixed_sellers(chunks, seller_id).isEmpty():
-        raise IndexingError("every chunk must match seller_id")
-    ordered = chunks.withColumn("__at", F.monotonically_increasing_id())
-    rows = index_rows(ordered.drop("__at"), dimensions=dimensions, model=model).dropDuplicates(KEYS)
+        raise IndexingError(f"the batch has chunks that aren't {seller_id}'s")
+    at = order or "__at"
+    ordered = chunks if order else chunks.withColumn(at, F.monotonically_increasing_id())
+    rows = storage.held(last_of_batch(index_rows(ordered, dimensions=dimensions, model=model, order=at), at), "batch")
     open_index(spark, path)
-    old = read_index(spark, path).where(F.col("seller_id") == seller_id)
+    old = _stored(spark, path, seller_id).where(F.col("bucket").isin(_touched(rows))).drop("bucket")
     if replace_documents:
         old = old.join(rows.select("seller_id", "document_id").distinct(), ["seller_id", "document_id"], "left_anti")
     _store(spark, merged(old, rows), path)
@@ -105,15 +126,18 @@ def index_chunks(spark: SparkSession, path: str, seller_id: str, chunks: DataFra
 
 
 def delete_documents(spark: SparkSession, path: str, seller_id: str, document_ids: list[str]) -> None:
-    """Remove all chunks of some of a seller's documents."""
+    """Remove all chunks of some of a seller's documents; only their buckets are written."""
     seller_id = _required(seller_id, "seller_id")
-    table = read_index(spark, path).where(F.col("seller_id") == seller_id)
-    kept = table.where(~F.col("document_id").isin(document_ids))
-    if kept.isEmpty():
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/seller_id={seller_id}")
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    else:
+    gone = spark.createDataFrame([(d,) for d in document_ids], "document_id string")
+    buckets = _touched(gone)
+    table = _stored(spark, path, seller_id).where(F.col("bucket").isin(buckets))
+    kept = table.join(F.broadcast(gone), "document_id", "left_anti").drop("bucket")
+    left = set(_touched(kept))
+    if left:
         _store(spark, kept, path)
+    for bucket in buckets:
+        if bucket not in left:
+            storage.delete(spark, f"{path}/seller_id={seller_id}/bucket={bucket}")
 
 
 def list_indexed_chunks(spark: SparkSession, path: str, seller_id: str) -> DataFrame:

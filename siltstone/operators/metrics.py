@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone import schemas
 from siltstone.errors import EvaluationError
 
 IDENTITY = ("seller_id", "document_id", "version", "section")
@@ -20,23 +21,26 @@ def identity(prefix: str = "") -> Column:
 
 
 def grade(cases: DataFrame, expected: DataFrame, retrieved: DataFrame, *, case_id: str = "case_id", recall_at: int = 5, rank_at: int = 10) -> DataFrame:
-    """Per case: expected, found (distinct expected identities among the first recall_at), recall, reciprocal_rank, leaked.
+    """Per case: expected, found (distinct expected identities among the first recall_at), recall, reciprocal_rank, leaked, matched.
 
     expected: case_id and the identity columns; retrieved: the same with rank. Nulls in an identity
-    are equal. Cases that expect nothing have null recall and reciprocal rank.
+    are equal. Cases that expect nothing have null recall and reciprocal rank. matched lists the
+    identities that were found, sorted, nulls first.
     """
     want = expected.select(case_id, identity().alias("want")).distinct()
     hits = want.alias("w").join(retrieved.select(case_id, "rank", identity().alias("got")).alias("r"), (F.col(f"w.{case_id}") == F.col(f"r.{case_id}")) & F.col("w.want").eqNullSafe(F.col("r.got")))
     found = hits.groupBy(F.col(f"w.{case_id}").alias(case_id)).agg(
-        F.count_distinct(F.when(F.col("rank") <= recall_at, F.to_json("want"))).alias("found"), F.min(F.when(F.col("rank") <= rank_at, F.col("rank"))).alias("first_rank")
+        F.array_sort(F.collect_set(F.when(F.col("rank") <= recall_at, F.col("want")))).alias("matched"), F.min(F.when(F.col("rank") <= rank_at, F.col("rank"))).alias("first_rank")
     )
     n = want.groupBy(case_id).agg(F.count("*").alias("expected"))
     leaked = retrieved.alias("r").join(cases.select(case_id, F.col("seller_id").alias("case_seller")), case_id).groupBy(case_id).agg(F.count_if(~F.col("seller_id").eqNullSafe(F.col("case_seller"))).alias("leaked"))
     graded = cases.select(case_id).join(n, case_id, "left").join(found, case_id, "left").join(leaked, case_id, "left")
+    matched = F.coalesce("matched", F.array().cast(f"array<{schemas.IDENTITY}>"))
+    graded = graded.withColumn("matched", matched).withColumn("found", F.size("matched"))
     return graded.select(
         case_id, F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"),
         F.when(F.col("expected") > 0, F.coalesce("found", F.lit(0)) / F.col("expected")).alias("recall"),
-        F.when(F.col("expected") > 0, F.coalesce(1 / F.col("first_rank"), F.lit(0.0))).alias("reciprocal_rank"), F.coalesce("leaked", F.lit(0)).alias("leaked"),
+        F.when(F.col("expected") > 0, F.coalesce(1 / F.col("first_rank"), F.lit(0.0))).alias("reciprocal_rank"), F.coalesce("leaked", F.lit(0)).alias("leaked"), "matched",
     )
 
 
@@ -71,7 +75,7 @@ def agreement(expected: Column, actual: Column) -> dict[str, Column]:
 def kappa(labels: DataFrame, expected: str = "expected", actual: str = "actual") -> DataFrame:
     """One row: agreement and cohens_kappa; labels must not be empty."""
     if labels.isEmpty():
-        raise EvaluationError("calibration labels must be non-empty and aligned")
+        raise EvaluationError("agreement needs at least one label")
     return labels.agg(*(c.alias(n) for n, c in agreement(F.col(expected), F.col(actual)).items()))
 
 

@@ -4,67 +4,80 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import embedding as E
+from siltstone.functions import text as T
 from siltstone.operators import metrics, retrieval
+from siltstone.sources import storage
 
 CONFIG = {"strategy": "recursive", "chunk_size": 1000, "overlap": 100, "dimensions": 256, "top_k": 10}
 
 
-def fingerprint(spark: SparkSession, paths: list[str], root: str) -> str:
-    """SHA-256 over the files (few and small) in order of their paths: path, NUL, content, NUL."""
-    files = spark.read.format("binaryFile").load(paths).select(F.substring_index("path", f"{root.rstrip('/')}/", -1).alias("path"), "content")
-    parts = F.array_sort(F.collect_list(F.struct("path", "content")))
-    zero = F.unhex(F.lit("00"))
-    whole = F.aggregate(parts, F.lit(b""), lambda acc, f: F.concat(acc, f["path"].cast("binary"), zero, f["content"], zero))
-    return files.agg(F.sha2(whole, 256)).first()[0]
+def fingerprint(spark: SparkSession, paths: list[str] | DataFrame, root: str) -> str:
+    """SHA-256 over the files in order of their paths: path from root, NUL, content, NUL.
+
+    paths: a list, or a table with the column path of the files as Spark names them. Each file
+    is read and sent to the driver by itself; nothing holds all of them.
+    """
+    files = spark.read.format("binaryFile")
+    named = files.load(paths) if isinstance(paths, list) else files.option("recursiveFileLookup", "true").load(root).join(paths.select("path"), "path", "left_semi")
+    relative = F.substring_index("path", f"{root.rstrip('/')}/", -1).alias("relative")
+    digest = hashlib.sha256()
+    for row in named.select(relative, "content").orderBy("relative").toLocalIterator():
+        digest.update(row["relative"].encode() + b"\0" + bytes(row["content"]) + b"\0")
+    return digest.hexdigest()
 
 
 def tree_snapshot(spark: SparkSession, root: str, definitions: dict, excluded: tuple[str, ...] = (), mutable: tuple[str, ...] = ("status", "blocker", "evidence")) -> str:
     """SHA-256 of a folder's files without the excluded ones, and of its task definitions without what may change."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    kept = [r[0] for r in files.collect() if not any(f"/{x}" in r[0] for x in excluded)]
+    for x in excluded:
+        files = files.where(~F.contains("path", F.lit(f"/{x}")))
     fixed = {**definitions, "features": [{k: v for k, v in f.items() if k not in mutable} for f in definitions["features"]]}
-    return hashlib.sha256((fingerprint(spark, kept, root) + json.dumps(fixed, sort_keys=True)).encode()).hexdigest()
+    return hashlib.sha256((fingerprint(spark, files, root) + json.dumps(fixed, sort_keys=True)).encode()).hexdigest()
 
 
 def run_id(identity: dict) -> str:
     return hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()[:16]
 
 
-def evaluate_retrieval(chunks: DataFrame, cases: DataFrame, expected: DataFrame, *, latency: DataFrame | None = None, model: str, top_k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(metrics, graded cases) of a run over chunks with the identity columns: top ten of every case, graded, and summed up.
+def evaluate_retrieval(
+    chunks: DataFrame, cases: DataFrame, expected: DataFrame, *, latency: DataFrame | None = None, model: str = E.MODEL, dimensions: int = E.DIMENSIONS, top_k: int = 10, measured_at: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(metrics, cases) of a run: the top ten of every case, graded, and summed up in one row.
 
-    cases: case_id, seller_id, query. A case without a vector is executed, finds nothing, and counts as failed.
+    chunks: index rows, or chunk_id, seller_id, the identity columns and text; cases: case_id,
+    seller_id, query. A query that has no vector (null, blank, without words, or of words that
+    cancel) fails its case: it is reported with a reason, is in neither recall nor MRR, and the
+    run doesn't pass. Nor does one with evidence of another seller, or without a graded case.
     """
     order = ("chunk_id", "document_id", "version", "section")
-    found = retrieval.retrieve_batch(chunks, cases.select("case_id", "seller_id", F.col("query").alias("text")), question_id="case_id", order=order, top_k=top_k, model=model)
+    if "embedding" in chunks.columns:
+        model, dimensions = retrieval.one_configuration(chunks) or (model, dimensions)
+    asked = storage.held(E.embed(cases.select("case_id", "seller_id", F.coalesce("query", F.lit("")).alias("query")), text="query", model=model, dimensions=dimensions, strict=False), "asked")
+    vectors = chunks if "embedding" in chunks.columns else E.embed(chunks.select("seller_id", *order, "text"), model=model, dimensions=dimensions, strict=False)
+    found = storage.held(retrieval.top_k_of(vectors, asked, question_id="case_id", vector="embedding", order=order, tenant="seller_id", row_tenant="seller_id", top_k=top_k), "retrieved")
     graded = metrics.grade(cases, expected, found)
-    told = cases.select("case_id", (F.coalesce(F.length("query"), F.lit(0)) == 0).alias("failed"))
-    timed = graded.join(told, "case_id")
-    timed = timed.join(latency, "case_id", "left") if latency is not None else timed.withColumn("latency_ms", F.lit(None).cast("double"))
-    summed = metrics.run_metrics(timed)
-    good = (F.col("error_rate") == 0) & (F.col("seller_leakage_count") == 0) & (F.col("graded_case_count") > 0)
-    return summed.withColumn("status", F.when(good, "passed").otherwise("failed")), timed
-
-
-def evaluate_generation(evidence: DataFrame, cases: DataFrame, judge: Callable[[DataFrame], DataFrame], generate: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(view metrics, judged cases). evidence: case_id, view, seller_id, evidence_seller_id, rank, text; cases: case_id, query, points."""
-    keyed = evidence.join(cases.select("case_id", "query"), "case_id").withColumn("query_id", F.concat_ws("|", "case_id", "view"))
-    answers = generate(keyed)
-    texts = keyed.where("rank <= 5").groupBy("query_id", "case_id", "view", "query").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("rank", "text")))["text"], "\n").alias("evidence_text"),
-        F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("E"), F.col("rank").cast("string")).alias("k"), F.col("text").alias("v")))).alias("by_label"),
-    )
-    joined = answers.join(texts, "query_id").join(cases.select("case_id", "points"), "case_id")
-    cited = F.array_join(F.transform("evidence_ids", lambda e: F.element_at(F.col("by_label"), e)), "\n")
-    judged = judge(joined.withColumn("cited_text", F.coalesce(cited, F.lit(""))))
-    return metrics.view_metrics(judged), judged
+    blank = F.length(T.strip(F.col("query"))) == 0
+    why = F.when(blank, "the query is blank").when(F.col("embedding").isNull(), "the query has no words that make a vector")
+    listed = found.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", "seller_id", *order[1:], "chunk_id", "score"))).alias("retrieved"))
+    told = graded.join(asked.select("case_id", why.alias("error")), "case_id").join(listed, "case_id", "left")
+    told = told.join(latency, "case_id", "left") if latency is not None else told.withColumn("latency_ms", F.lit(None).cast("double"))
+    good = F.col("error").isNull()
+    report = told.select(
+        "case_id", "expected", F.when(good, F.col("found")).alias("found"), F.when(good, F.col("recall")).alias("recall"), F.when(good, F.col("reciprocal_rank")).alias("reciprocal_rank"),
+        F.when(good, F.col("leaked")).otherwise(0).alias("leaked"), F.when(good, F.col("matched")).alias("matched"), "retrieved", F.when(good, F.col("latency_ms")).alias("latency_ms"), (~good).alias("failed"),
+        F.when(~good, F.col("error")).when(F.col("leaked") > 0, "evidence of another seller").alias("failure_reason"),
+    )
+    summed = metrics.run_metrics(report).crossJoin(report.agg(F.count("*").alias("collected"), F.count_if("failed").alias("failed_cases"))).withColumn("executed", F.col("collected") - F.col("failed_cases"))
+    summed = summed.crossJoin(chunks.agg(F.count("*").alias("indexed_chunks"))).withColumn("measured_at", F.lit(measured_at or datetime.now(UTC).isoformat()))
+    passed = (F.col("error_rate") == 0) & (F.col("seller_leakage_count") == 0) & (F.col("graded_case_count") > 0)
+    return summed.withColumn("status", F.when(passed, "passed").otherwise("failed")), report
 
 
 def differences(current: DataFrame, baseline: DataFrame, volatile: tuple[str, ...] = ("latency_ms", "latency_mean", "latency_p50", "measured_at")) -> DataFrame:
@@ -74,26 +87,21 @@ def differences(current: DataFrame, baseline: DataFrame, volatile: tuple[str, ..
     return a.exceptAll(b).withColumn("side", F.lit("current")).unionByName(b.exceptAll(a).withColumn("side", F.lit("baseline")))
 
 
-def save_json(path: str, value: dict) -> None:
-    """Write whole, then rename: a reader sees the old or the new file."""
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    with open(fresh, "w", encoding="utf-8") as out:
-        json.dump(value, out, indent=2, ensure_ascii=False)
-    os.replace(fresh, path)
+def save_json(spark: SparkSession, path: str, value: dict) -> None:
+    storage.write_whole(spark, path, json.dumps(value, indent=2, ensure_ascii=False).encode())
 
 
-def write_baseline(report: dict, path: str, wanted: bool) -> bool:
+def write_baseline(spark: SparkSession, report: dict, path: str, wanted: bool) -> bool:
     """Pin a report only when asked to, and never a failing one."""
     if not wanted or report.get("status") != "passed":
         return False
-    save_json(path, report)
+    save_json(spark, path, report)
     return True
 
 
 def cached(spark: SparkSession, path: str, source_sha256: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
     """The table kept at path for this fingerprint, made anew if there is none or force is set."""
     at = f"{path}/source_sha256={source_sha256}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
-    if force or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if force or not storage.exists(spark, f"{at}/_SUCCESS"):
         make().write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)

@@ -13,22 +13,23 @@ from pyspark.sql import functions as F
 from siltstone.errors import IndexingError
 from siltstone.functions import embedding as E
 from siltstone.operators import index as I
+from siltstone.sources import storage
 
-#: Questions scored in one pass: what is sent to every task. More are scored in blocks of so many.
+#: Questions scored in one pass: what is sent to every task. More are scored in blocks of about so many.
 MOST_QUESTIONS = 4096
 VECTOR_COLUMNS = ("embedding", "embedding_model", "embedding_dimensions")
 
 
 def _checked_k(top_k: int) -> None:
     if not isinstance(top_k, int) or isinstance(top_k, bool) or top_k < 1:
-        raise IndexingError("top_k must be a positive integer")
+        raise IndexingError("top_k is how many chunks are wanted: a whole number from 1")
 
 
 def one_configuration(rows: DataFrame) -> tuple[str, int] | None:
     """The embedding model and dimensions of all rows; None without rows, an error if there are several or an unknown one."""
     found = rows.select("embedding_model", "embedding_dimensions").distinct().limit(2).collect()
     if len(found) > 1 or found and found[0][0] not in E.HASHES:
-        raise IndexingError("seller index must use one supported embedding configuration")
+        raise IndexingError("the chunks to search don't have one known embedding model and size")
     return (found[0][0], found[0][1]) if found else None
 
 
@@ -46,86 +47,99 @@ def retrieve_chunks(spark: SparkSession, path: str, seller_id: str, query: str,
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("seller_id").orderBy(F.desc("score"), "chunk_id")))
 
 
-def retrieve_batch(
-    chunks: DataFrame, questions: DataFrame, *, question_id: str, tenant: str = "seller_id", text: str = "text", order: tuple[str, ...] = ("chunk_id",), top_k: int = 5,
-    dimensions: int = E.DIMENSIONS, model: str = E.MODEL, digits: int | None = None, threshold: float | None = None,
-) -> DataFrame:
-    """(question_id, tenant, rank, score, *order) of each question's top_k in its tenant, or in every one if questions has no tenant.
+def top_k_of(
+    rows: DataFrame, asked: DataFrame, *, question_id: str, vector: str, order: tuple[str, ...], tenant: str | None = None, row_tenant: str | None = None, top_k: int = 5, digits: int = 12
+) -> DataFrame:
+    """(question_id, row_tenant, score, rank, *order) of each question's top_k rows: in its tenant, or in every one, or (without row_tenant) in all.
 
-    Chunks are embedded and scored where they are read: each batch sends on its own best top_k of
-    a question and tenant, and a window ranks what is left, so the exchange carries candidates,
-    not scores. Ties go by the columns ``order``; digits rounds the scores before that. Questions
-    are a stated set, sent to the tasks in blocks of MOST_QUESTIONS.
+    rows: order, row_tenant and a vector, rows with a null in vector or row_tenant left out;
+    asked: question_id, tenant and a vector. The questions are a stated set, sent in blocks of
+    MOST_QUESTIONS: each batch of rows is one matrix product, and sends on only its own best
+    top_k, so that the exchange carries candidates, not scores. Ties go by order.
     """
-    _checked_k(top_k)
-    scoped = tenant in questions.columns
-    asked = questions.select(question_id, *([tenant] if scoped else []), text).dropna()
-    embedder = E.Embedder(dimensions, model)
-    blocks: list[list[tuple]] = [[]]
-    for q in asked.toLocalIterator():
-        counts = embedder.counts(q[text])
-        if counts is None or not counts.any():
-            continue
-        if len(blocks[-1]) >= MOST_QUESTIONS:
-            blocks.append([])
-        blocks[-1].append((q[question_id], q[tenant] if scoped else None, counts))
-    kinds = {c: chunks.schema[c].dataType.simpleString() for c in (tenant, *order)}
-    ddl = f"`{question_id}` {questions.schema[question_id].dataType.simpleString()}, `{tenant}` {kinds[tenant]}, score double, " + ", ".join(f"`{c}` {kinds[c]}" for c in order)
+    spark = rows.sparkSession
+    n = asked.where(F.col(vector).isNotNull()).count()
+    blocks = max(1, -(-n // MOST_QUESTIONS))
+    named = asked.where(F.col(vector).isNotNull()).select(F.col(question_id).alias("q"), (F.col(tenant) if tenant else F.lit(None).cast("string")).alias("t"), F.col(vector).cast("array<double>").alias("v"))
+    keys = [row_tenant] if row_tenant else []
+    kept = [*keys, *order]
+    usable = rows.select(*kept, F.col(vector).cast("array<double>").alias("__v")).dropna(subset=["__v", *keys])
+    ddl = ", ".join([f"`{question_id}` {asked.schema[question_id].dataType.simpleString()}", "score double", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)])
     found = None
-    for block in blocks:
-        sent = chunks.sparkSession.sparkContext.broadcast(block)
-        best = chunks.select(tenant, *order, text).mapInArrow(_scorer(sent, question_id, tenant, text, order, top_k, dimensions, model, digits), ddl)
+    for k in range(blocks):
+        block = named.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == k).toArrow()
+        sent = spark.sparkContext.broadcast((block.column("q").to_pylist(), block.column("t").to_pylist(), _matrix(block.column("v").combine_chunks())))
+        best = usable.mapInArrow(_scorer(sent, question_id, row_tenant, bool(tenant), kept, order, top_k, digits), ddl)
         found = best if found is None else found.unionByName(best)
-    if threshold is not None:
-        found = found.where(F.col("score") >= threshold)
-    window = Window.partitionBy(question_id, tenant).orderBy(F.desc("score"), *order)
+    window = Window.partitionBy(question_id, *keys).orderBy(F.desc("score"), *order)
     return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top_k)
 
 
-def _scorer(sent, question_id, tenant, text, order, top_k, dimensions, model, digits):
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1 if len(lists) else 0)
+
+
+def _scorer(sent, question_id: str, tenant: str | None, scoped: bool, kept: list[str], order: tuple[str, ...], top_k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        embedder = E.Embedder(dimensions, model)
-        everywhere = [i for i, q in enumerate(asked) if q[1] is None]
-        scoped = defaultdict(list)
-        for i, q in enumerate(asked):
-            scoped[q[1]].append(i)
-        matrix = np.array([q[2] for q in asked]).reshape(len(asked), dimensions)
-        norms = np.sqrt((matrix**2).sum(axis=1))
+        ids, tenants, asked = sent.value
+        of_tenant = defaultdict(list)
+        for i, t in enumerate(tenants):
+            of_tenant[t].append(i)
         for batch in batches:
-            by_tenant = defaultdict(list)
-            counts = [embedder.counts(t) for t in batch.column(text).to_pylist()]
-            for row, (t, c) in enumerate(zip(batch.column(tenant).to_pylist(), counts, strict=True)):
-                if c is not None and c.any() and t is not None:
-                    by_tenant[t].append(row)
-            rows, ids, scores = [], [], []
+            if not batch.num_rows or not len(ids):
+                continue
+            vectors = _matrix(batch.column("__v"))
             keys = [batch.column(c).to_pylist() for c in order]
-            for t, members in by_tenant.items():
-                questions = everywhere or scoped.get(t, [])
-                if not questions:
-                    continue
-                m = np.array([counts[r] for r in members])
-                s = (m @ matrix[questions].T) / np.sqrt((m**2).sum(axis=1))[:, None] / norms[questions]
-                s = s if digits is None else np.round(s, digits)
-                tie = sorted(range(len(members)), key=lambda i: tuple(k[members[i]] for k in keys))
-                place = np.empty(len(members), np.int64)
-                place[tie] = np.arange(len(members))
-                for j, q in enumerate(questions):
-                    best = np.lexsort((place, -s[:, j]))[:top_k]
-                    rows += [members[i] for i in best]
-                    ids += [asked[q][0]] * len(best)
-                    scores += s[best, j].tolist()
-            taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.record_batch([pa.array(ids), taken.column(tenant), pa.array(scores, pa.float64()), *(taken.column(c) for c in order)], [question_id, tenant, "score", *order])
+            place = np.empty(batch.num_rows, np.int64)
+            place[sorted(range(batch.num_rows), key=lambda i: tuple(k[i] for k in keys))] = np.arange(batch.num_rows)  # noqa: B023
+            members = defaultdict(list)
+            for i, t in enumerate(batch.column(tenant).to_pylist() if tenant else [None] * batch.num_rows):
+                members[t].append(i)
+            rows, told, scores = [], [], []
+            for t, mine in members.items():
+                questions = of_tenant.get(t, []) if scoped else list(range(len(ids)))
+                mine = np.array(mine)
+                for a in range(0, len(questions), 256):  # a product of bounded size
+                    part = questions[a : a + 256]
+                    s = np.round(vectors[mine] @ asked[part].T, digits)
+                    for j, q in enumerate(part):
+                        best = np.lexsort((place[mine], -s[:, j]))[:top_k]
+                        rows.append(mine[best])
+                        told += [ids[q]] * len(best)
+                        scores.append(s[best, j])
+            if rows:
+                taken = batch.select(kept).take(pa.array(np.concatenate(rows)))
+                yield pa.record_batch([pa.array(told), pa.array(np.concatenate(scores)), *taken.columns], [question_id, "score", *kept])
 
     return run
 
 
+def retrieve_batch(
+    chunks: DataFrame, questions: DataFrame, *, question_id: str, tenant: str = "seller_id", text: str = "text", order: tuple[str, ...] = ("chunk_id",), top_k: int = 5,
+    dimensions: int = E.DIMENSIONS, model: str = E.MODEL, digits: int = 12, threshold: float | None = None,
+) -> DataFrame:
+    """(question_id, tenant, rank, score, *order) of each question's top_k in its tenant, or in every one if questions has no tenant.
+
+    chunks are rows of an index, whose vectors are used (one configuration for all sellers that
+    are read, else an error), or chunks with a text, which are embedded on the way. Questions
+    without a vector find nothing.
+    """
+    _checked_k(top_k)
+    if "embedding" in chunks.columns:
+        configuration = one_configuration(chunks)
+        model, dimensions = configuration or (model, dimensions)
+    else:
+        chunks = E.embed(chunks.select(tenant, *order, text), text=text, dimensions=dimensions, model=model, strict=False)
+        if questions.limit(MOST_QUESTIONS + 1).count() > MOST_QUESTIONS:
+            chunks = storage.held(chunks, "vectors")  # several blocks of questions: embedded once
+    scoped = tenant in questions.columns
+    asked = E.embed(questions.select(question_id, *([tenant] if scoped else []), text).dropna(), text=text, dimensions=dimensions, model=model, strict=False)
+    found = top_k_of(chunks, asked, question_id=question_id, vector="embedding", order=order, tenant=tenant if scoped else None, row_tenant=tenant, top_k=top_k, digits=digits)
+    return found if threshold is None else found.where(F.col("score") >= threshold)
+
+
 def stored_top_k(vectors: DataFrame, queries: DataFrame, *, id_column: str, vector: str, tenant: str | None = None, top_k: int = 5, digits: int = 6) -> DataFrame:
-    """(query_id, id, score, rank) of stored vectors against a stated, small set of them; within their tenant if one is given."""
-    q = queries.select(F.col(id_column).alias("query_id"), F.col(vector).alias("__q"), *([F.col(tenant).alias("__t")] if tenant else []))
-    on = F.col(tenant) == F.col("__t") if tenant else F.lit(True)
-    pairs = vectors.join(F.broadcast(q), on) if queries.limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS else vectors.join(q, on)
-    scored = pairs.select("query_id", F.col(id_column), F.round(E.dot(F.col("__q"), F.col(vector)), digits).alias("score"))
-    window = Window.partitionBy("query_id").orderBy(F.desc("score"), id_column)
-    return scored.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top_k)
+    """(query_id, id, score, rank) of stored vectors against a stated set of them; within their tenant if one is given."""
+    asked = queries.select(F.col(id_column).alias("query_id"), F.col(vector), *([F.col(tenant)] if tenant else []))
+    found = top_k_of(vectors, asked, question_id="query_id", vector=vector, order=(id_column,), tenant=tenant, row_tenant=tenant, top_k=top_k, digits=digits)
+    return found.select("query_id", id_column, "score", "rank")

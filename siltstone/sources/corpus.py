@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from siltstone import schemas
 from siltstone.errors import IngestionError
 from siltstone.functions import text as T
+from siltstone.sources import storage
 from siltstone.sources.pdf import pdf_pages
 
 FORMATS = ("pdf", "markdown", "txt", "text")
@@ -139,11 +141,13 @@ def ingest_seller_corpus(spark: SparkSession, seller_id: str, *, root: str, cata
     bad = listed.where("scope is not null").select("path", "scope").first()
     if bad is not None:
         raise IngestionError(f"{bad['path']}: {bad['scope']}")
-    paths = [r[0] for r in listed.select("path").distinct().collect()]  # one tenant's catalog
-    files = spark.read.format("binaryFile").load([f"{root}/{p}" for p in paths]).select("path", "content")
-    at = spark._jvm.org.apache.hadoop.fs.Path(root)
-    base = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
-    joined = listed.alias("c").join(files.alias("f"), F.col("f.path") == F.concat(F.lit(f"{base}/"), F.col("c.path")), "left")
+    # the seller's folder, and files beside the catalog where a path has one part
+    reader = spark.read.format("binaryFile")
+    found = [reader.option("recursiveFileLookup", "true").load(f"{root}/{seller_id}")] if storage.exists(spark, f"{root}/{seller_id}") else []
+    if not found or not listed.where(~F.contains("path", F.lit("/"))).isEmpty():
+        found.append(spark.read.format("binaryFile").load(root))
+    files = reduce(DataFrame.unionByName, (f.select("path", "content") for f in found))
+    joined = listed.alias("c").join(files.alias("f"), F.col("f.path") == F.concat(F.lit(f"{storage.qualified(spark, root)}/"), F.col("c.path")), "left")
     raw = joined.select("document_at", "c.seller_id", "c.document_id", "c.document_name", "c.policy_type", "c.version", "c.created_at", "c.updated_at", F.col("c.format").alias("source_format"), F.col("c.path").alias("source_path"), "f.content")
     return parsed(raw, strict)
 

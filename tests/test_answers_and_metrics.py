@@ -4,9 +4,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.errors import EvaluationError, GenerationUnavailableError
+from siltstone.errors import EvaluationError, EvaluationUnavailable, GenerationUnavailableError
 from siltstone.functions import text as T
 from siltstone.operators import answers as A
+from siltstone.operators import judging as J
 from siltstone.operators import lifecycle as L
 from siltstone.operators import metrics as M
 from siltstone.operators import reports as R
@@ -64,7 +65,7 @@ def test_unavailable(spark):
     assert "unavailable" in A.generate(evidence(spark), transport=down, strict=False).first()["error"]
     with pytest.raises(GenerationUnavailableError):
         A.post_json("http://127.0.0.1:9/api", {}, 0.2)
-    with pytest.raises(Exception, match="unknown evidence"):
+    with pytest.raises(Exception, match="cited evidence is unknown"):
         A.resolve_citations(spark.createDataFrame([("q", ["E6"])], "query_id string, evidence_ids array<string>"), evidence(spark)).collect()
 
 
@@ -182,18 +183,114 @@ def test_reports(spark, tmp_path):
     assert R.fingerprint(spark, paths, str(tmp_path)) == hashlib.sha256(b"a\x001\x00b\x002\x00").hexdigest()
     assert len(R.run_id({"x": 1})) == 16
     out = str(tmp_path / "report.json")
-    assert not R.write_baseline({"status": "failed"}, out, True) and not R.write_baseline({"status": "passed"}, out, False) and R.write_baseline({"status": "passed"}, out, True)
+    assert not R.write_baseline(spark, {"status": "failed"}, out, True) and not R.write_baseline(spark, {"status": "passed"}, out, False) and R.write_baseline(spark, {"status": "passed"}, out, True)
+    assert R.write_baseline(spark, {"status": "passed", "n": 2}, out, True) and json.loads((tmp_path / "report.json").read_text())["n"] == 2
     made = []
     make = lambda: (made.append(1), spark.range(3))[1]
     assert R.cached(spark, str(tmp_path / "c"), "h", make).count() == 3 and R.cached(spark, str(tmp_path / "c"), "h", make).count() == 3 and len(made) == 1
     assert len(R.tree_snapshot(spark, str(tmp_path), {"features": [{"id": 1, "status": "x"}]}, excluded=("c/",))) == 64
 
 
+def generation_tables(spark, n=6):
+    """n answerable cases of one seller, each with its own chunk, and one that isn't answerable."""
+    ident = "seller_id string, document_id string, version string, section string"
+    texts = [(f"c{i}", "shop", f"d{i}", "1", "s", 0, f"Item{i} may be sent back within {i + 3} days. Item{i} costs {i} coins to ship.") for i in range(n)]
+    chunks = spark.createDataFrame(texts, f"chunk_id string, {ident}, chunk_position int, text string")
+    expected = spark.createDataFrame([(f"k{i}", "shop", f"d{i}", "1", "s") for i in range(n)], f"case_id string, {ident}")
+    rows = [(f"k{i}", "shop", f"What of Item{i}?", [f"Item{i} may be sent back within {i + 3} days", f"Item{i} costs {i} coins to ship"], True) for i in range(n)]
+    cases = spark.createDataFrame([*rows, ("no", "shop", "Who knows?", [], False)], "case_id string, seller_id string, query string, points array<string>, answerable boolean")
+    definitions = spark.createDataFrame([(f"k{i}", "holdout" if i % 3 == 0 else "tune", "Pigs fly over purple mountains.") for i in range(n)], "case_id string, split string, unsupported_sentence string")
+    return chunks, expected, cases, definitions
+
+
 def test_generation_run(spark):
-    shown = evidence(spark, 3).select(F.lit("case").alias("case_id"), F.explode(F.array(F.lit("gold"), F.lit("retrieved"))).alias("view"), "seller_id", "evidence_seller_id", "rank", "text")
-    cases = spark.createDataFrame([("case", "More text?", ["Text 1"])], "case_id string, query string, points array<string>")
-    views, judged = R.evaluate_generation(shown, cases, A.lexical_judge, lambda e: A.generate(e, transport=A.extractive))
-    assert {r["view"]: r["faithful_cases"] for r in views.collect()} == {"gold": 1, "retrieved": 1} and judged.count() == 2
+    chunks, expected, cases, definitions = generation_tables(spark)
+    gold = J.gold_evidence(chunks, expected)
+    assert gold.count() == 6 and {r["rank"] for r in gold.collect()} == {1}
+    thresholds = M.THRESHOLDS | {"cases": 6, "gold_relevant_cases": 6, "gold_complete_points": 6, "retrieved_relevant_cases": 6, "retrieved_complete_points": 6, "retrieved_conditional_completeness": 0.5}
+    run = lambda **k: J.generation_run(cases, gold, gold, definitions, exactly=6, holdout=2, thresholds=thresholds, **({"transport": A.extractive, "judge_transport": J.lexical_transport} | k))
+    report, results, failures = run(measured_at="then")
+    row = report.first()
+    assert row["status"] == "passed" and row["measured_at"] == "then" and failures.count() == 0 and results.count() == 12
+    assert row["calibration"]["agreement"] == 1 and row["calibration"]["label_count"] == 12 * 2 + 12 + 12 * 4 and row["holdout"]["cohens_kappa"] == 1
+    assert row["gold"]["faithful_cases"] == 6 and row["gold"]["available_answer_points"] == 12 and row["gold"]["covered_answer_points"] == 6
+    assert row["judge_prompt_tokens"] > 0 and row["generation_output_tokens"] > 0 and row["generation_p95"] is not None
+
+    def cites_nothing(url, payload, timeout):
+        return {"message": {"content": '{"answer": "x", "evidence_ids": []}'}}
+
+    report, results, failures = run(transport=cites_nothing)
+    assert report.first()["status"] == "failed" and failures.count() == 12 and results.count() == 0
+    foreign = gold.withColumn("seller_id", F.when(F.col("case_id") == "k1", "other").otherwise(F.col("seller_id")))
+    report, results, failures = J.generation_run(cases, gold, foreign, definitions, exactly=6, holdout=2, thresholds=thresholds, transport=A.extractive, judge_transport=J.lexical_transport)
+    assert report.first()["leakage"] == 1 and {tuple(r)[:2] for r in failures.collect()} == {("k1", "retrieved")} and report.first()["status"] == "failed"
+    with pytest.raises(EvaluationError):
+        J.answerable(cases)
+    with pytest.raises(EvaluationError):
+        J.gold_evidence(chunks.limit(0), expected)
+    with pytest.raises(EvaluationError):
+        J.calibration_examples(definitions.withColumn("split", F.lit("odd")), cases, gold, exactly=6, holdout=0)
+    with pytest.raises(EvaluationError):
+        J.calibrate(definitions, cases.where("answerable"), gold, transport=cites_nothing, exactly=6, holdout=2)
+
+
+def test_judge_batches(spark):
+    sent = []
+
+    def spy(url, payload, timeout):
+        sent.append(payload)
+        return J.lexical_transport(url, payload, timeout)
+
+    items = spark.createDataFrame([(f"e{i}", "q", "One two. Three four." if i % 2 else "One two.", ["one two"], ["E1"], ["one two", "other"]) for i in range(20)], "example string, query string, answer string, points array<string>, evidence_ids array<string>, evidence array<string>")
+    rows = J.judge(J.judged_items(items), "support", transport=J.lexical_transport).collect()
+    calls = {}
+    for r in rows:
+        calls.setdefault(r["call"], []).append(r["example"])
+        assert r[J.SUPPORT[0]] == [0] and r["error"] is None
+    assert sorted(map(len, calls.values())) == [2, 2, 8, 8] and sum(r["latency_ms"] is not None for r in rows) == 4
+    good = [{"example_index": 1, "supported_sentence_indices": [1, 0, 1], "relevant": True}, {"example_index": 0, "supported_sentence_indices": [], "relevant": False}]
+    assert [r["supported_sentence_indices"] for r in J.checked_results(good, [2, 2], J.SUPPORT)] == [[], [0, 1]]
+    for change in ({"example_index": 0}, {"example_index": True}, {"relevant": 1}, {"supported_sentence_indices": [2]}, {"supported_sentence_indices": [True]}, {"more": 1}):
+        with pytest.raises(EvaluationError):
+            J.checked_results([dict(good[0]) | change, dict(good[1])], [2, 2], J.SUPPORT)
+    for bad in (None, good[:1], [1, 2]):
+        with pytest.raises(EvaluationError):
+            J.checked_results(bad, [2, 2], J.SUPPORT)
+
+
+def test_installed_model():
+    def tags(url, payload, timeout):
+        return {"models": [{"name": "a", "digest": "1"}, {"model": "b", "size": 2}]}
+
+    assert J.installed_model("a", get=tags)["digest"] == "1" and J.installed_model("b", get=tags)["name"] == "b"
+    with pytest.raises(EvaluationUnavailable):
+        J.installed_model("c", get=tags)
+
+
+def test_retrieval_run_with_failing_cases(spark):
+    ident = "seller_id string, document_id string, version string, section string"
+    chunks = spark.createDataFrame([("c1", "s", "d1", "1", None, "refund days thirty"), ("c2", "s", "d2", "1", None, "shipping cost"), ("c3", "t", "d3", "1", None, "refund days")], f"chunk_id string, {ident}, text string")
+    cases = spark.createDataFrame([("a", "s", "refund days"), ("b", "s", "???"), ("c", "s", "  "), ("d", "s", None), ("e", "s", "shipping")], "case_id string, seller_id string, query string")
+    expected = spark.createDataFrame([(k, "s", "d1", "1", None) for k in "abcd"], f"case_id string, {ident}")
+    summed, report = R.evaluate_retrieval(chunks, cases, expected, measured_at="now")
+    row = summed.first()
+    assert (row["status"], row["error_rate"], row["graded_case_count"], row["ungraded_case_count"], row["recall_at_5"]) == ("failed", 0.6, 1, 4, 1.0)
+    assert (row["collected"], row["executed"], row["failed_cases"], row["indexed_chunks"], row["measured_at"]) == (5, 2, 3, 3, "now")
+    rows = {r["case_id"]: r for r in report.collect()}
+    assert [m["document_id"] for m in rows["a"]["matched"]] == ["d1"] and [x["document_id"] for x in rows["a"]["retrieved"]] == ["d1", "d2"]
+    assert rows["b"]["failure_reason"] == "the query has no words that make a vector" and rows["c"]["failure_reason"] == rows["d"]["failure_reason"] == "the query is blank" and rows["e"]["recall"] is None
+    assert R.evaluate_retrieval(chunks, cases.where("case_id = 'a'"), expected)[0].first()["status"] == "passed"
+
+
+def test_passages_in_documents(spark):
+    from siltstone.operators.evidence import containing
+
+    texts = ["a bb ccc dddd eeeee ff", "xa bb ccc dddd eeeeex", "bb ccc dddd", "a  bb ccc\ndddd eeeee", None, "", "one"]
+    passages = ["a bb ccc dddd eeeee", "bb ccc", "a  bb ccc\ndddd e", "one", None, "zz bb ccc dddd eeeee", "bb ccc dddd eeeee f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    items = spark.createDataFrame(list(enumerate(passages)), "item long, part string")
+    got = {(r["item"], r["doc"]) for r in containing(docs, items, doc_id="doc", text="text", passage_id="item", passage="part").collect()}
+    assert got == {(i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if p is not None and t is not None and p in t}
 
 
 def test_lifecycle(spark):

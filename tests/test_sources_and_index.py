@@ -9,7 +9,7 @@ from siltstone.operators import chunking as C
 from siltstone.operators import index as I
 from siltstone.operators import retrieval as R
 from siltstone.sources import corpus as S
-from siltstone.sources.pdf import literal_text, pdf_pages
+from siltstone.sources.pdf import Pdf, Scanner, pdf_pages, shown_text
 
 
 def pdf(pages, deflate=False):
@@ -27,7 +27,9 @@ def pdf(pages, deflate=False):
 def test_pdf(deflate):
     data = pdf([b"(one) Tj", rb"[(a\)b) -2 <6364>] TJ <65> Tj (x\101\n\q) Tj"], deflate)
     assert pdf_pages(data) == ["xA\nq\ne\na)b\ncd", "one"]
-    assert literal_text("(\\0612)") == "12"
+    assert list(Scanner(b"(\\0612 a(b(c))\\)) <48 6> /N [1 (x) 2 0 R] % note\n<< /A << /B 7 >> /C 3 0 R >> 1.5 ")) == ["12 a(b(c)))", "H`", "N", [1, "x", 2], {"A": {"B": 7}, "C": 3}, "1.5"]
+    assert shown_text(b"(a) Tj [(b]) (c)] TJ (d) Tj (open") == "a\nd\nb]\nc"
+    assert list(Pdf(b"%PDF\n1 0 obj endobj 2 1 obj (x) endobj 3 0 obj (y) endobj 3 0 obj << >> endobj 4 0 obj (z").objects.items()) == [(1, ("endobj", None)), (3, ({}, None))]
     with pytest.raises(IngestionError):
         pdf_pages(b"no")
 
@@ -37,7 +39,7 @@ def test_pdf_without_tree_and_bad_stream(spark):
     assert pdf_pages(flat) == ["hi\n"]
     loop = b"%PDF\n1 0 obj << /Type /Pages /Kids [1 0 R] >> endobj 2 0 obj << /Type /Page >> endobj"
     assert pdf_pages(loop) == [""]
-    bad = flat.replace(b"6 0 obj stream", b"6 0 obj /Filter /FlateDecode stream")
+    bad = flat.replace(b"6 0 obj stream", b"6 0 obj << /Filter /FlateDecode >> stream")
     rows = spark.createDataFrame([("s", "d", "pdf", bad), ("s", "e", "txt", b"\xff"), ("s", "f", "doc", b"x"), ("s", "g", "txt", b" \n"), (" ", "h", "txt", b"x"), ("s", "i", "md", b"# T\r\n\r\n## A\nx")], "seller_id string, document_id string, source_format string, content binary")
     got = {r["document_id"]: r for r in S.parsed(rows, strict=False).collect()}
     assert [bool(got[k]["error"]) for k in "defghi"] == [True] * 5 + [False] and got["i"]["document_name"] == "T" and got["i"]["sections"][0]["section"] == "A"
@@ -96,7 +98,7 @@ def chunks(spark, rows):
 
 def test_upsert_replace_delete(spark, tmp_path):
     path = str(tmp_path / "index")
-    first = chunks(spark, [("a", "d", 0, "returns refunds available"), ("a", "d", 1, "shipping abroad"), ("a", "e", 0, "warranty claims")])
+    first = chunks(spark, [("a", "d", 0, "coats may go back"), ("a", "d", 1, "shipping abroad"), ("a", "e", 0, "warranty claims")])
     ids = [r["chunk_id"] for r in I.index_chunks(spark, path, "a", first).collect()]
     I.index_chunks(spark, path, "a", first)
     I.index_chunks(spark, path, "b", chunks(spark, [("b", "d", 0, "other tenant")]))
@@ -115,6 +117,15 @@ def test_upsert_replace_delete(spark, tmp_path):
     assert I.list_indexed_chunks(spark, path, "a").count() == 1
     with pytest.raises(IndexingError):
         R.retrieve_chunks(spark, path, "a", "x", top_k=0)
+    twice = chunks(spark, [("a", "e", 0, "warranty claims")]).crossJoin(spark.createDataFrame([(i,) for i in range(6)], "n int")).withColumn("document_name", F.concat(F.lit("name"), "n"))
+    I.index_chunks(spark, path, "a", twice.repartition(4), order="n")
+    I.index_chunks(spark, path, "a", chunks(spark, [("a", f"f{i}", 0, "much more") for i in range(30)]))
+    stored = {r["document_id"]: json.loads(r["metadata"]) for r in I.list_indexed_chunks(spark, path, "a").collect()}
+    assert len(stored) == 31 and stored["e"]["document_name"] == "name5" and "n" not in stored["e"]
+    I.delete_documents(spark, path, "a", [f"f{i}" for i in range(30)])
+    last = spark.createDataFrame([("a", "e", 0, "warranty claims", f"row{i}") for i in range(4)], "seller_id string, document_id string, chunk_position int, text string, document_name string").coalesce(1)
+    I.index_chunks(spark, path, "a", last)
+    assert [json.loads(r["metadata"])["document_name"] for r in I.list_indexed_chunks(spark, path, "a").collect()] == ["row3"]
     I.index_chunks(spark, path, "a", chunks(spark, [("a", "z", 0, "two dimensions")]), dimensions=8)
     with pytest.raises(IndexingError):
         R.retrieve_chunks(spark, path, "a", "x")
