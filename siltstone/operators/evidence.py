@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 KEY_WORDS, MOST_SHORT = 3, 1_000
 
 
-def _keys(words: Column, first: Column, last: Column) -> Column:
-    """Every KEY_WORDS words in a row that begin at first .. last (from 1)."""
-    at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, KEY_WORDS), " ")))
+def _keys(words: Column) -> Column:
+    """A hash of every KEY_WORDS words in a row; the last ones, of fewer, are of no use and do no harm."""
+    shifted = F.arrays_zip(*(F.slice(words, i + 1, F.size(words)).alias(f"w{i}") if i else words.alias("w0") for i in range(KEY_WORDS)))
+    return F.transform(shifted, lambda words: F.xxhash64(words))
 
 
 def containing(docs: DataFrame, passages: DataFrame, *, doc_id: str, text: str, passage_id: str, passage: str) -> DataFrame:
@@ -26,14 +26,14 @@ def containing(docs: DataFrame, passages: DataFrame, *, doc_id: str, text: str,
     words = F.split(F.col(passage), " ")
     items = passages.where(F.col(passage).isNotNull()).select(passage_id, passage, words.alias("__words"))
     long = F.size("__words") >= KEY_WORDS + 2
-    keyed = items.where(long).select(passage_id, passage, _keys(F.col("__words"), F.lit(2), F.lit(2))[0].alias("__key"))
+    keyed = items.where(long).select(passage_id, passage, F.get(_keys(F.col("__words")), F.lit(1)).alias("__key"))
     short = items.where(~long).select(passage_id, passage)
     n_short = short.limit(MOST_SHORT + 1).count()
     if n_short > MOST_SHORT:
         raise ValueError(f"over {MOST_SHORT} passages have under {KEY_WORDS + 2} words")
     own = docs.where(F.col(text).isNotNull()).select(doc_id, text)
     found = F.split(F.col(text), " ")
-    met = own.select(doc_id, F.explode(F.array_distinct(_keys(found, F.lit(2), F.size(found) - KEY_WORDS))).alias("__key")).join(keyed.select("__key").distinct(), "__key")
+    met = own.select(doc_id, F.explode(F.array_distinct(_keys(found))).alias("__key")).join(keyed.select("__key").distinct(), "__key")
     pairs = met.join(keyed, "__key").select(doc_id, passage_id, passage)
     sure = own.join(pairs, doc_id).where(F.contains(text, passage)).select(passage_id, doc_id)
     if n_short:

@@ -42,21 +42,36 @@ def bm25(chunks: DataFrame, questions: DataFrame, *, chunk_id: str, question_id:
     sized = chunks.select(chunk_id, tenant, T.tokens(F.col("text")).alias("tokens"))
     totals = sized.groupBy(tenant).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
     wanted = asked.select(tenant, "token").distinct()
+    # counted where the chunk is: the exchange carries the questions' terms only
     terms = sized.select(chunk_id, tenant, F.size("tokens").alias("length"), F.explode("tokens").alias("token")).join(wanted, [tenant, "token"])
     tf = terms.groupBy(chunk_id, tenant, "length", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(tenant, "token").agg(F.count("*").alias("df"))
+    df = tf.groupBy(tenant, "token").agg(F.count("*").alias("df"))  # a row a term of the questions: partial sums, then few rows
+    known = df.join(totals, tenant)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = tf.join(df, [tenant, "token"]).join(F.broadcast(totals), tenant).select(chunk_id, tenant, "token", weight.alias("w"))
+    scored = tf.join(known, [tenant, "token"]).select(chunk_id, tenant, "token", weight.alias("w"))
     return scored.join(asked, [tenant, "token"]).groupBy(question_id, chunk_id, tenant).agg(F.round(F.sum("w"), digits).alias("bm25"))
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame, keys: list[str], *, query: str, weight: float = 0.5, top_k: int = 5, order: str = "chunk_id") -> DataFrame:
-    """Weighted sum of dense scores and lexical ones scaled to each query's best, reranked."""
+def hybrid(dense: DataFrame, lexical: DataFrame, keys: list[str], *, query: str, weight: float = 0.5, top_k: int = 5, order: str = "chunk_id", digits: int = 12) -> DataFrame:
+    """Weighted sum of dense scores and lexical ones scaled to each query's best, reranked; digits rounds it before ties go by order."""
     best = F.max("bm25").over(Window.partitionBy(query))
     scaled = lexical.withColumn("lexical", F.col("bm25") / F.when(best != 0, best))
-    both = dense.join(scaled.select(*keys, "lexical"), keys, "full").withColumn("hybrid", weight * F.coalesce("score", F.lit(0.0)) + (1 - weight) * F.coalesce("lexical", F.lit(0.0)))
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("hybrid"), order))).where(F.col("rank") <= top_k)
+    both = dense.join(scaled.select(*keys, "lexical"), keys, "full").withColumn("hybrid", F.round(weight * F.coalesce("score", F.lit(0.0)) + (1 - weight) * F.coalesce("lexical", F.lit(0.0)), digits))
+    return reranked(both, "hybrid", query=query, order=(order,), top_k=top_k)
+
+
+def reranked(found: DataFrame, score: str, *, query: str, order: tuple[str, ...] = ("chunk_id",), top_k: int = 5) -> DataFrame:
+    """found with new ranks by another score, the top_k of each query."""
+    return found.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(F.desc(score), *order))).where(F.col("rank") <= top_k)
+
+
+def with_metadata(rows: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """The rows that have all the values wanted, in a column or, where there is none of the name, in the stored metadata; None is null."""
+    for name, value in sorted(wanted.items()):
+        found = F.col(name) if name in rows.columns else F.get_json_object("metadata", f"$.{name}")
+        rows = rows.where(found.eqNullSafe(F.lit(value)))
+    return rows
 
 
 def with_parents(children: DataFrame, regions: DataFrame, keys: list[str]) -> DataFrame:

@@ -65,6 +65,34 @@ def rule_errors(tasks: DataFrame, states: tuple[str, ...], gates: tuple[str, ...
     return out.distinct()
 
 
+def evidence_errors(tasks: DataFrame, records: DataFrame, folder: str) -> DataFrame:
+    """(id, problem) of the verified tasks whose evidence doesn't hold: the first problem of each, null without one left out.
+
+    tasks: id, status, required_gates, evidence (paths); records: rows of schemas.EVIDENCE_RECORD
+    with their path. A record counts if its path is in the folder, it is the task's, passed with
+    exit code 0, and says its command, time, output and the SHA-256 of the state it ran on; the
+    records must cover all gates, on one state.
+    """
+    done = tasks.where("status = 'verified'").select("id", "required_gates", F.posexplode_outer("evidence").alias("i", "path"))
+    parts = F.split("path", "/")
+    inside = F.startswith("path", F.lit(f"{folder.rstrip('/')}/")) & ~F.array_contains(parts, "..")
+    full = (
+        (F.col("task_id") == F.col("id")) & (F.col("r.status") == "passed") & (F.col("exit_code") == 0) & (F.size("command") > 0) & (F.length("timestamp") > 0)
+        & (F.length(F.trim("stdout")) > 0) & (F.length("snapshot_sha256") == 64)
+    )
+    met = done.alias("t").join(records.alias("r"), "path", "left").select("id", "required_gates", "path", "gate", "snapshot_sha256", F.coalesce(inside, F.lit(False)).alias("inside"), F.col("task_id").isNotNull().alias("there"), F.coalesce(full, F.lit(False)).alias("good"))
+    some = F.col("path").isNotNull()
+    told = met.groupBy("id", "required_gates").agg(
+        F.bool_or(some & ~F.col("inside")).alias("outside"), F.bool_or(some & ~F.col("there")).alias("missing"), F.bool_or(some & F.col("there") & ~F.col("good")).alias("bad"),
+        F.collect_set("gate").alias("gates"), F.count_distinct("snapshot_sha256").alias("states"),
+    )
+    problem = (
+        F.when(F.col("outside"), "evidence outside its folder").when(F.col("missing"), "missing evidence").when(F.col("bad"), "unusable evidence")
+        .when(F.size(F.array_except("required_gates", "gates")) > 0, "a gate without evidence").when(F.col("states") != 1, "evidence of several states")
+    )
+    return told.select("id", problem.alias("problem")).where("problem is not null")
+
+
 def invalidate(tasks: DataFrame) -> DataFrame:
     """(id, status) when no started task lacks a verified prerequisite and no verified one has an unverified child.
 

@@ -7,28 +7,15 @@ md5 twin of the embedding model.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import embedding as E
 from siltstone.functions import text as T
 from siltstone.operators import answers, chunking, index, lifecycle, metrics, reports, retrieval, taskgraph, validation
-from siltstone.sources import corpus
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+from siltstone.operators.evidence import containing
+from siltstone.plans.registry import query
+from siltstone.sources import corpus, storage
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -45,29 +32,30 @@ def fixed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    """(item_id, doc_id, seller_id): the items, a stated set, searched for in every document."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    """(item_id, doc_id, seller_id): the items, a stated set, searched for in every document. Written, as queries need it several times."""
     docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("seller_id"), "text")
-    return docs.join(F.broadcast(items), F.contains("text", "item")).select("item_id", "doc_id", "seller_id")
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("item"))
+    found = containing(docs, items, doc_id="doc_id", text="text", passage_id="item_id", passage="item")
+    return storage.held(found.join(docs.select("doc_id", "seller_id"), "doc_id").select("item_id", "doc_id", "seller_id"), "gold")
 
 
-def cases(spark: SparkSession, d: str) -> DataFrame:
+def cases(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
     """(case_id, seller_id, query): an item asked in the least tenant that has its evidence; one without any, in one by its number."""
     items = table(spark, d, "benchmark")
-    home = gold(spark, d).groupBy("item_id").agg(F.min("seller_id").alias("home"))
+    home = found.groupBy("item_id").agg(F.min("seller_id").alias("home"))
     seller = F.coalesce("home", F.concat(F.lit("src"), F.col("item_id") % 20))
     return items.join(home, "item_id", "left").select(F.col("item_id").alias("case_id"), seller.alias("seller_id"), F.col("text").alias("query"))
 
 
-def expected(spark: SparkSession, d: str) -> DataFrame:
-    g, c = gold(spark, d).withColumnRenamed("item_id", "case_id"), cases(spark, d).select("case_id", "seller_id")
+def expected(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    g, c = found.withColumnRenamed("item_id", "case_id"), cases(spark, d, found).select("case_id", "seller_id")
     return g.join(c, ["case_id", "seller_id"]).select("case_id", "seller_id", F.col("doc_id").cast("string").alias("document_id"), F.lit("1").alias("version"), F.lit(None).cast("string").alias("section"))
 
 
-def retrieved(spark: SparkSession, d: str, top_k: int = 10) -> DataFrame:
-    asked = cases(spark, d).select("case_id", "seller_id", F.col("query").alias("text"))
-    found = retrieval.retrieve_batch(fixed(spark, d), asked, question_id="case_id", order=("doc_id", "chunk_position"), top_k=top_k, model=E.TWIN, digits=9)
-    return found.withColumn("document_id", F.col("doc_id").cast("string")).withColumn("version", F.lit("1")).withColumn("section", F.lit(None).cast("string"))
+def retrieved(spark: SparkSession, d: str, found: DataFrame, top_k: int = 10) -> DataFrame:
+    asked = cases(spark, d, found).select("case_id", "seller_id", F.col("query").alias("text"))
+    best = retrieval.retrieve_batch(fixed(spark, d), asked, question_id="case_id", order=("doc_id", "chunk_position"), top_k=top_k, model=E.TWIN, digits=9)
+    return best.withColumn("document_id", F.col("doc_id").cast("string")).withColumn("version", F.lit("1")).withColumn("section", F.lit(None).cast("string"))
 
 
 _CHUNKS = """
@@ -282,17 +270,6 @@ def config_homogeneity(spark, d):
     return index.configurations(rows)
 
 
-@query("""SELECT c_custkey AS chunk_id, c_name AS text, c_nationkey AS seller_id FROM customer WHERE c_mktsegment <> 'BUILDING'
-UNION ALL SELECT c_custkey, 'new ' || c_name, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'
-UNION ALL SELECT c_custkey + 1000000, 'new ' || c_name, c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING'""")
-def index_upsert(spark, d):
-    old = table(spark, d, "customer").select(F.col("c_custkey").alias("chunk_id"), F.col("c_name").alias("text"), F.col("c_nationkey").alias("seller_id"), "c_mktsegment")
-    changed = old.where("c_mktsegment = 'BUILDING'").select("chunk_id", F.concat(F.lit("new "), "text").alias("text"), "seller_id")
-    new = changed.unionByName(changed.withColumn("chunk_id", F.col("chunk_id") + 1000000)).withColumn("at", F.lit(1))
-    early = changed.withColumn("text", F.lit("stale")).withColumn("at", F.lit(0))  # a repeated key: the later row counts
-    return index.merged(old.drop("c_mktsegment"), index.last_of_batch(early.unionByName(new), "at"))
-
-
 @query("""SELECT l_orderkey AS document_id, CAST(l_linenumber AS INTEGER) AS chunk_position, 'kept' AS text FROM lineitem l WHERE l_orderkey % 7 <> 0
 UNION ALL SELECT DISTINCT l_orderkey, CAST(0 AS INTEGER), 'replaced' FROM lineitem WHERE l_orderkey % 7 = 0""")
 def index_replace(spark, d):
@@ -310,27 +287,50 @@ def gold_evidence(spark, d):
 
 @query(f"WITH {_GOLD} SELECT c.case_id, g.doc_id FROM gold g JOIN cases c ON g.item_id = c.case_id WHERE g.seller_id <> c.seller_id")
 def leakage(spark, d):
-    g = gold(spark, d).select(F.col("item_id").alias("case_id"), "doc_id", F.col("seller_id").alias("evidence_seller"))
-    return g.join(cases(spark, d), "case_id").where("evidence_seller <> seller_id").select("case_id", "doc_id")
+    found = gold(spark, d)
+    g = found.select(F.col("item_id").alias("case_id"), "doc_id", F.col("seller_id").alias("evidence_seller"))
+    return g.join(cases(spark, d, found), "case_id").where("evidence_seller <> seller_id").select("case_id", "doc_id")
 
 
 @query(f"WITH {_CASE_RANKS} SELECT case_id, recall FROM graded")
 def recall_at_5(spark, d):
-    return metrics.grade(cases(spark, d), expected(spark, d), retrieved(spark, d)).select("case_id", "recall")
+    g = gold(spark, d)
+    return metrics.grade(cases(spark, d, g), expected(spark, d, g), retrieved(spark, d, g)).select("case_id", "recall")
 
 
 @query(f"WITH {_CASE_RANKS} SELECT case_id, round(rr, 9) AS reciprocal_rank FROM graded")
 def mrr_at_10(spark, d):
-    graded = metrics.grade(cases(spark, d), expected(spark, d), retrieved(spark, d))
+    g = gold(spark, d)
+    graded = metrics.grade(cases(spark, d, g), expected(spark, d, g), retrieved(spark, d, g))
     return graded.select("case_id", F.round("reciprocal_rank", 9).alias("reciprocal_rank"))
 
 
-@query(f"""WITH {_CASE_RANKS} SELECT round(avg(recall), 9) AS recall_at_5, round(avg(rr), 9) AS mrr_at_10, count(recall) AS graded_case_count, count(*) - count(recall) AS ungraded_case_count,
-  CAST(0 AS BIGINT) AS seller_leakage_count, CAST(0 AS DOUBLE) AS error_rate, 'passed' AS status FROM graded""")
-def retrieval_metrics(spark, d):
+def evaluated(spark, d):
+    """A retrieval run over all tenants, with two more cases: one without words, one blank. They expect evidence and must fail."""
+    g = gold(spark, d)
     chunks = fixed(spark, d).select("seller_id", F.concat_ws("-", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_position").cast("string"), 9, "0")).alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("1").alias("version"), F.lit(None).cast("string").alias("section"), "text")
-    summed, _ = reports.evaluate_retrieval(chunks, cases(spark, d), expected(spark, d), model=E.TWIN)
-    return summed.select(F.round("recall_at_5", 9).alias("recall_at_5"), F.round("mrr_at_10", 9).alias("mrr_at_10"), "graded_case_count", "ungraded_case_count", "seller_leakage_count", "error_rate", "status")
+    odd = spark.createDataFrame([(-1, "src1", "???"), (-2, "src1", "  ")], "case_id long, seller_id string, query string")
+    asked, want = cases(spark, d, g), expected(spark, d, g)
+    return reports.evaluate_retrieval(chunks, asked.unionByName(odd), want.unionByName(want.limit(1).withColumn("case_id", F.lit(-1).cast("long"))), model=E.TWIN, measured_at="now")
+
+
+@query(f"""WITH {_CASE_RANKS} SELECT round(avg(recall), 9) AS recall_at_5, round(avg(rr), 9) AS mrr_at_10, count(recall) AS graded_case_count, count(*) - count(recall) + 2 AS ungraded_case_count,
+  CAST(0 AS BIGINT) AS seller_leakage_count, round(2.0 / (count(*) + 2), 9) AS error_rate, count(*) + 2 AS collected, count(*) AS executed, (SELECT count(*) FROM chunks) AS indexed_chunks, 'now' AS measured_at, 'failed' AS status FROM graded""")
+def retrieval_metrics(spark, d):
+    summed, _ = evaluated(spark, d)
+    rounded = [F.round(c, 9).alias(c) for c in ("recall_at_5", "mrr_at_10", "error_rate")]
+    return summed.select(*rounded, "graded_case_count", "ungraded_case_count", "seller_leakage_count", "collected", "executed", "indexed_chunks", "measured_at", "status")
+
+
+@query(f"""WITH {_CASE_RANKS}, shown AS (SELECT case_id, string_agg(doc_id || ':' || chunk_position, ',' ORDER BY rank) AS retrieved FROM ranked GROUP BY case_id),
+met AS (SELECT case_id, string_agg(doc_id, ',' ORDER BY CAST(doc_id AS VARCHAR)) AS matched FROM (SELECT DISTINCT r.case_id, r.doc_id FROM ranked r JOIN expected e ON e.case_id = r.case_id AND e.doc_id = r.doc_id WHERE r.rank <= 5) GROUP BY case_id)
+SELECT g.case_id, round(recall, 9) AS recall, coalesce(retrieved, '') AS retrieved, coalesce(matched, '') AS matched, CAST(NULL AS VARCHAR) AS failure_reason FROM graded g LEFT JOIN shown USING (case_id) LEFT JOIN met USING (case_id)
+UNION ALL SELECT -1, NULL, '', '', 'the query has no words that make a vector' UNION ALL SELECT -2, NULL, '', '', 'the query is blank'""")
+def retrieval_report(spark, d):
+    _, report = evaluated(spark, d)
+    told = lambda rows, one: F.coalesce(F.array_join(F.transform(rows, one), ","), F.lit(""))
+    chunk = lambda x: F.concat_ws(":", x["document_id"], F.element_at(F.split(x["chunk_id"], "-"), 2).cast("int").cast("string"))
+    return report.select("case_id", F.round("recall", 9).alias("recall"), told("retrieved", chunk).alias("retrieved"), told("matched", lambda x: x["document_id"]).alias("matched"), "failure_reason")
 
 
 @query("SELECT event_type, list_sort(list(value))[CAST(count(value) // 2 AS BIGINT) + 1] AS p50 FROM events GROUP BY event_type")
@@ -347,9 +347,10 @@ def latency_p95_nearest(spark, d):
 SELECT case_id, count(*) FILTER (WHERE relevant) / 5.0 AS precision, CAST(max(CAST(relevant AS INTEGER)) AS INTEGER) AS hit,
   round(sum(CASE WHEN relevant THEN 1 / log2(rank + 1) ELSE 0 END) / list_sum(list_transform(range(1, least(max(expected), 5) + 1), lambda i: 1 / log2(i + 1))), 9) AS ndcg FROM top GROUP BY case_id""")
 def hit_rate_ndcg(spark, d):
-    e = expected(spark, d).select("case_id", "document_id").distinct()
+    g = gold(spark, d)
+    e = expected(spark, d, g).select("case_id", "document_id").distinct()
     n = e.groupBy("case_id").agg(F.count("*").alias("expected"))
-    ranked = retrieved(spark, d, 5).join(e.withColumn("relevant", F.lit(True)), ["case_id", "document_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False))).join(n, "case_id")
+    ranked = retrieved(spark, d, g, 5).join(e.withColumn("relevant", F.lit(True)), ["case_id", "document_id"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(False))).join(n, "case_id")
     return metrics.rank_metrics(ranked).select("case_id", "precision", "hit", F.round("ndcg", 9).alias("ndcg"))
 
 
@@ -465,10 +466,9 @@ def report_equal(spark, d):
 
 
 @query(r"""SELECT conv_id, turn, i - 1 AS position, s AS sentence FROM (SELECT conv_id, turn, generate_subscripts(p, 1) AS i, unnest(p) AS s FROM (
-  SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(trim(text, chr(10) || chr(9) || ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(10) || chr(9) || ' ')), lambda x: x <> '') AS p FROM conversations WHERE role = 'assistant'))""")
+  SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(trim(text, chr(10) || chr(9) || ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(10) || chr(9) || ' ')), lambda x: x <> '') AS p FROM conversations))""")
 def sentences(spark, d):
-    said = table(spark, d, "conversations").where("role = 'assistant'")
-    return said.select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("position", "sentence")).withColumn("position", F.col("position").cast("long"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("position", "sentence")).withColumn("position", F.col("position").cast("long"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -485,7 +485,7 @@ SELECT item_id, doc_id, round(CASE WHEN len(p) = 0 THEN 0 ELSE CAST(len(list_int
 def lexical_support(spark, d):
     items = table(spark, d, "benchmark").select("item_id", F.concat("text", F.lit(" unheard")).alias("point"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    both = gold(spark, d).join(F.broadcast(items), "item_id").join(docs, "doc_id")
+    both = gold(spark, d).join(items, "item_id").join(docs, "doc_id")
     return both.select("item_id", "doc_id", F.round(T.lexical_support(F.col("point"), F.col("text")), 9).alias("support"))
 
 
@@ -497,7 +497,7 @@ def covered_subset(spark, d):
 
 
 def evidence(spark, d) -> DataFrame:
-    return retrieved(spark, d).withColumn("query_id", F.col("case_id")).withColumn("document_name", F.concat(F.lit("doc "), "document_id")).withColumn("page", F.col("rank"))
+    return retrieved(spark, d, gold(spark, d)).withColumn("query_id", F.col("case_id")).withColumn("document_name", F.concat(F.lit("doc "), "document_id")).withColumn("page", F.col("rank"))
 
 
 @query(f"""WITH {_CASE_RANKS} SELECT case_id AS query_id, CAST(3 - rank - 1 AS INTEGER) AS position, 'E' || rank AS evidence_id, 'doc ' || doc_id AS document_name, CAST(rank AS INTEGER) AS page FROM ranked WHERE rank <= 2""")
@@ -512,8 +512,8 @@ def evidence_cap(spark, d):
     return answers.labelled(evidence(spark, d)).select("case_id", "doc_id", "evidence_id")
 
 
-@query("""SELECT item_id, CASE item_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'response is not a JSON object' WHEN 2 THEN 'response must contain only answer and evidence_ids' WHEN 3 THEN 'answer is required'
-  WHEN 4 THEN 'evidence_ids are unknown' ELSE 'evidence_ids must be unique' END AS problem FROM benchmark""")
+@query("""SELECT item_id, CASE item_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'not a JSON object' WHEN 2 THEN 'other fields than answer and evidence_ids' WHEN 3 THEN 'no answer'
+  WHEN 4 THEN 'evidence named that wasn''t shown' ELSE 'evidence named twice' END AS problem FROM benchmark""")
 def answer_validate(spark, d):
     raw = F.element_at(F.array(*map(F.lit, (
         '{"answer":"a","evidence_ids":["E2","E1"]}', "not json", '{"answer":"a","evidence_ids":["E1"],"more":1}', '{"answer":"  ","evidence_ids":["E1"]}', '{"answer":"a","evidence_ids":["E9"]}', '{"answer":"a","evidence_ids":["E1","E1"]}',
@@ -523,8 +523,8 @@ def answer_validate(spark, d):
 
 @query()
 def answers_extractive(spark, d):
-    texts = fixed(spark, d).select("doc_id", "chunk_position", "text")
-    shown = retrieved(spark, d).where("rank <= 5").join(texts, ["doc_id", "chunk_position"]).join(cases(spark, d).select("case_id", "query"), "case_id")
+    g, texts = gold(spark, d), fixed(spark, d).select("doc_id", "chunk_position", "text")
+    shown = retrieved(spark, d, g).where("rank <= 5").join(texts, ["doc_id", "chunk_position"]).join(cases(spark, d, g).select("case_id", "query"), "case_id")
     return answers.generate(shown.withColumn("evidence_seller_id", F.col("seller_id")), query_id="case_id", transport=answers.extractive).select("case_id", "answer", "evidence_ids", "error")
 
 
@@ -563,7 +563,8 @@ def unresolved_topics(spark, d):
 
 @query(f"WITH {_CASE_RANKS} SELECT k.case_id, r.score, CASE WHEN r.score IS NULL THEN 'no_evidence' WHEN r.score < 0.5 THEN 'insufficient_evidence' END AS reason, r.score IS NULL OR r.score < 0.5 AS abstained FROM cases k LEFT JOIN ranked r ON r.case_id = k.case_id AND r.rank = 1")
 def abstain_threshold(spark, d):
-    best = cases(spark, d).select("case_id").join(retrieved(spark, d, 1).select("case_id", "score"), "case_id", "left")
+    g = gold(spark, d)
+    best = cases(spark, d, g).select("case_id").join(retrieved(spark, d, g, 1).select("case_id", "score"), "case_id", "left")
     return lifecycle.abstain(best, 0.5).select("case_id", "score", "reason", "abstained")
 
 
@@ -588,7 +589,7 @@ bm AS (SELECT a.case_id, tf.doc_id, tf.chunk_position, round(sum(ln(1 + (n - df
 @query(f"WITH {_BM25} SELECT case_id, doc_id, CAST(chunk_position AS INTEGER) AS chunk_position, bm25 FROM bm")
 def bm25(spark, d):
     chunks = fixed(spark, d).select("seller_id", F.struct("doc_id", "chunk_position").alias("chunk_id"), "text")
-    found = lifecycle.bm25(chunks, cases(spark, d).select("case_id", "seller_id", F.col("query").alias("text")), chunk_id="chunk_id", question_id="case_id", tenant="seller_id", digits=4)
+    found = lifecycle.bm25(chunks, cases(spark, d, gold(spark, d)).select("case_id", "seller_id", F.col("query").alias("text")), chunk_id="chunk_id", question_id="case_id", tenant="seller_id", digits=4)
     return found.select("case_id", "chunk_id.doc_id", "chunk_id.chunk_position", "bm25")
 
 

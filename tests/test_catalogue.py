@@ -7,7 +7,8 @@ import os
 import duckdb
 import pytest
 
-from siltstone.plans import catalogue
+from siltstone.plans import catalogue, entry_points  # noqa: F401
+from siltstone.plans.registry import ORACLE_SQL, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 
@@ -28,15 +29,15 @@ def connection():
     return con
 
 
-@pytest.mark.parametrize("name", list(catalogue.QUERIES))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, name):
-    df = catalogue.QUERIES[name](spark, DIR)
+    df = QUERIES[name](spark, DIR)
     columns = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    if name not in catalogue.ORACLE_SQL:
+    if name not in ORACLE_SQL:
         assert rows
         return
-    cursor = connection.execute(catalogue.ORACLE_SQL[name])
+    cursor = connection.execute(ORACLE_SQL[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     assert rows == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in cursor.fetchall()), key=repr)
