@@ -246,6 +246,46 @@ def test_toxicity_on_held_out_documents(spark):
     assert 0 <= model.score("", distance) < 0.7
 
 
+def test_toxicity_query_matches_a_model_made_by_hand(spark):
+    import pyarrow.parquet as pq
+
+    from siltstone.llm.queries import op4_toxicity
+
+    d = "/root/testdata/sf0.01"
+    ids, texts = (pq.read_table(f"{d}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "text"))
+    text = dict(zip(ids, texts, strict=True))
+    labels = pq.read_table(f"{d}/labels.parquet").to_pydict()
+    out = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    label = {i: t for i, t in zip(labels["doc_id"], labels["toxic"], strict=True) if i in text and not out(i)}
+    model = toxicity.Model(*([text[i] or "" for i in sorted(label) if label[i] == k] for k in (1, 0)))
+    distance = model.distance()
+    got = {r["doc_id"]: r for r in op4_toxicity(spark, d).collect()}
+    assert got.keys() == text.keys()
+    for i, t in text.items():
+        want = model.score(t or "", distance)
+        assert abs(got[i]["score"] - want) < 1e-9 and got[i]["held_out"] == out(i) and got[i]["predicted"] == (want >= 0.7), i
+
+
+def test_toxicity_of_odd_rows(spark):
+    own = lambda i: "".join(chr(97 + i // 7**k % 7) for k in range(4))
+    bad = "a filthybeast and b filthybeast or c filthybeast "
+    learn = [(i, " ".join(f"{own(i * 17 + k)} {'filthybeast' if i % 2 else 'gardens'} {own(i * 29 + k)}" for k in range(5))) for i in range(1, 121)]
+    odd = [(1000, None), (1001, ""), (1002, " \n"), (None, bad), (1003, bad * 20_000), (1004, "123 ?!"), (1, learn[0][1])]
+    docs = spark.createDataFrame([(i, t, 9.0, "k") for i, t in [*learn, *odd]], "doc_id long, text string, SCORE double, __score string")
+    labels = spark.createDataFrame([*((i, i % 2) for i, _ in learn), (1, 0), (None, 1), (2, None), (5000, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.score_texts(docs, model)
+    assert scored.columns == ["doc_id", "text", "__score", "score"]
+    rows = scored.collect()
+    by = {r["doc_id"]: r["score"] for r in rows}
+    assert len(rows) == 127 and all(0 <= r["score"] <= 1 for r in rows) and by[1000] == by[1001] == by[1002] == by[1004] < 0.5
+    assert by[None] > by[1000] and by[1003] > 0.7 and len({r["score"] for r in rows if r["doc_id"] == 1}) == 1
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(repr(r["doc_id"]) for r in rows if r["score"] < 0.7)
+    empty = docs.where(F.lit(False))
+    assert toxicity.drop_toxic(empty, labels).count() == 0 and toxicity.score_texts(empty, model).count() == 0
+
+
 def test_toxicity_without_labels(spark, sample):
     docs = frame(spark, sample)
     none = spark.createDataFrame([(None, 1, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
