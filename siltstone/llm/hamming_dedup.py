@@ -38,14 +38,16 @@ SHARE = (80, 100)
 PLACES, MOST_APART = 512, 147
 #: Masks under which the least member of a bucket is its pivot, one for each round; members of a bucket compared at once.
 PIVOTS, BLOCK = (0, 0x5DEECE66D1CE4E5B, 0x2545F4914F6CDD1D), 4096
+#: Blocks of a bucket from which on its members are told apart by a second chunk before they are compared.
+CROWDED = 8
 WORDS = 5
 #: Pairs of one node, at least, beyond which they are dealt to several tasks.
 PAIRS = 2_000
 
-_PREPARED = "doc long, mark long, n_shingles long, set binary, sketch binary, keys array<long>"
+_PREPARED = "doc long, mark long, n_shingles long, set binary, sketch binary, keys array<long>, sig binary"
 _LARGEST = np.iinfo(np.int64).max
-_NAMES = ["doc", "mark", "n_shingles", "set", "sketch", "keys"]
-_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+_NAMES = ["doc", "mark", "n_shingles", "set", "sketch", "keys", "sig"]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
 
 
 def chunk_keys(sigs: np.ndarray) -> np.ndarray:
@@ -61,6 +63,22 @@ def chunk_keys(sigs: np.ndarray) -> np.ndarray:
     return np.concatenate(out, axis=1).view(np.int64)
 
 
+def more_keys(sigs: np.ndarray) -> np.ndarray:
+    """(texts, keys) int64: for each chunk, and each choice of ERRORS + 1 numbers to leave out, a hash of the rest.
+
+    Two signatures at similarity 0.8 that agree in one chunk agree in such a key of another one but with probability 2e-11.
+    """
+    parts = sigs.reshape(len(sigs), CHUNKS, CHUNK).astype(np.uint64)
+    out = []
+    for left_out in combinations(range(CHUNK), ERRORS + 1):
+        kept = [i for i in range(CHUNK) if i not in left_out]
+        key = np.full(parts.shape[:2], sum(1 << i for i in kept) + 7, np.uint64) + np.arange(CHUNKS, dtype=np.uint64) * np.uint64(1 << CHUNK + 3)
+        for i in kept:
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
+        out.append(key)
+    return np.stack(out, axis=2).view(np.int64)
+
+
 def sketch_of(hashes: np.ndarray) -> bytes:
     """For each of PLACES equal ranges of the sorted hashes a byte of its least one, 0 if it has none."""
     starts = np.searchsorted(hashes, np.arange(PLACES, dtype=np.uint64) * np.uint64(2**64 // PLACES))
@@ -82,7 +100,7 @@ def _prepare(k: int):
                 sigs = signatures(flat, offsets, CHUNKS * CHUNK, seed=10).astype(np.uint16)
                 keys = chunk_keys(sigs).tolist()
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                columns = [batch.column("doc"), batch.column("mark"), [len(s) for s in sets], ids, [sketch_of(s) for s in sets], [q if len(s) else None for q, s in zip(keys, sets, strict=True)]]
+                columns = [batch.column("doc"), batch.column("mark"), [len(s) for s in sets], ids, [sketch_of(s) for s in sets], [q if len(s) else None for q, s in zip(keys, sets, strict=True)], [x.tobytes() for x in sigs]]
                 yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
 
     return run
@@ -150,10 +168,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        k, i, j = (batch.column(c).to_numpy() for c in ("key", "i", "j"))
-        cuts = (np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()
+        group_of = [batch.column(c).to_numpy() for c in ("key", "sub", "i", "j")]
+        cuts = (np.flatnonzero(np.any([x[1:] != x[:-1] for x in group_of], axis=0)) + 1).tolist()
         for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-            group = (k[start], i[start], j[start])
+            group = tuple(x[start] for x in group_of)
             if held and group != last:
                 yield pairs(held)
                 held = []
@@ -194,7 +212,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     rows = written(named.mapInArrow(_prepare(k), _PREPARED), "prepared")
     full = rows.where("set is not null and doc is not null")
     # one node for each shingle set, named by the least document that has it
-    nodes = written(full.groupBy("set").agg(F.min(F.struct("doc", "mark", "n_shingles", "sketch", "keys")).alias("one")).select("set", F.col("one.doc").alias("node"), "one.mark", "one.n_shingles", "one.sketch", "one.keys"), "nodes")
+    nodes = written(full.groupBy("set").agg(F.min(F.struct("doc", "mark", "n_shingles", "sketch", "keys", "sig")).alias("one")).select("set", F.col("one.doc").alias("node"), "one.mark", "one.n_shingles", "one.sketch", "one.keys", "one.sig"), "nodes")
 
     keyed = nodes.select(F.explode("keys").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -252,18 +270,42 @@ def _rest(left: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of open buckets, across components, that aren't far apart by sketch.
 
     Buckets are compared where they lie, in blocks of BLOCK members: a larger one is spread
-    over a task for each two of its blocks.
+    over a task for each two of its blocks. The members of a crowded bucket first part into
+    buckets of a second chunk, so that its rows don't grow with the square of its members.
     """
-    blocks = left.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n"))
-    placed = hot_join(left, blocks, "key", left.count()).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = placed.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    sizes = left.groupBy("key").agg(F.count("*").alias("n")).withColumn("members", F.col("n"))
+    placed = written(hot_join(left, sizes, "key", left.count()), "placed")
+    crowded = F.col("members") > CROWDED * BLOCK
+    plain = placed.where(~crowded).withColumn("sub", F.lit(0).cast("long"))
+    parted = placed.where(crowded).join(nodes.select("node", "sig", "keys"), "node").mapInArrow(_second, "key long, node long, root long, members long, sub long")
+    together = parted.groupBy("key", "sub").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key", "sub", "n", F.col("n").alias("size"))
+    rows = parted.drop("members")
+    parted = hot_join(rows, together, ["key", "sub"], placed.count()).withColumnRenamed("size", "members").select(plain.columns)
+    blocked = plain.unionByName(parted).withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = blocked.select("key", "sub", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     full = spread.join(nodes.select("node", "n_shingles", "sketch", "keys"), "node").select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_shingles", "sketch", "keys"
+        "key", "sub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_shingles", "sketch", "keys"
     )
-    dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = full.repartition("key", "sub", "i", "j").sortWithinPartitions("key", "sub", "i", "j")
     return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
+def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each member of a bucket once for every key of another chunk than the bucket's."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        subs = more_keys(sigs)
+        own = np.array(batch.column("keys").to_pylist(), np.int64)
+        # keys are listed by what they leave out, then by chunk
+        here = (own == batch.column("key").to_numpy()[:, None]).argmax(axis=1) % CHUNKS
+        others = np.stack([np.delete(x, c, axis=0).reshape(-1) for x, c in zip(subs, here.tolist(), strict=True)])
+        row = np.repeat(np.arange(batch.num_rows), others.shape[1])
+        taken = batch.select(["key", "node", "root", "members"]).take(pa.array(row))
+        yield pa.record_batch([*taken.columns, pa.array(others.reshape(-1))], ["key", "node", "root", "members", "sub"])
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
     """One row of each near-duplicate group of docs: that of the least id, and of its texts the one of least hash.
 

@@ -55,6 +55,29 @@ def test_blocks_of_one_bucket(spark, unique, monkeypatch):
     assert got == {(d, v[1]) for d, v in brute(unique, 2).items()}
 
 
+def test_crowded_buckets_part_by_a_second_chunk(spark, unique, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK", 2)
+    monkeypatch.setattr(H, "CROWDED", 1)
+    monkeypatch.setattr(H, "PIVOTS", (0,))
+    got = {(r["doc"], r["component"]) for r in H.near_groups(frame(spark, unique), k=2).collect()}
+    assert got == {(d, v[1]) for d, v in brute(unique, 2).items()}
+
+
+def test_second_keys_are_of_another_chunk():
+    import numpy as np
+    import pyarrow as pa
+
+    draw = np.random.default_rng(2)
+    sigs = draw.integers(0, 2**16, (3, H.CHUNKS * H.CHUNK)).astype(np.uint16)
+    keys = H.chunk_keys(sigs)
+    for at in (0, 5, 13, 31):
+        batch = pa.record_batch([pa.array(keys[:, at]), pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array([9, 9, 9]), pa.array([x.tobytes() for x in sigs]), pa.array(keys.tolist())], ["key", "node", "root", "members", "sig", "keys"])
+        told = next(H._second(iter([batch])))
+        assert told.num_rows == 3 * 7 * 6
+        mine = H.more_keys(sigs)[:, at % H.CHUNKS]
+        assert not set(told.column("sub").to_pylist()) & set(mine.reshape(-1).tolist())
+
+
 def test_one_of_a_group_stays(spark, unique):
     docs = frame(spark, [*unique, (None, "without an id"), (None, "without an id")])
     kept = H.drop_near_duplicates(docs)
