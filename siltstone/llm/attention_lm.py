@@ -20,11 +20,11 @@ from __future__ import annotations
 import base64
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
@@ -332,43 +332,52 @@ class Model:
             seen[a : a + n] = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
             codes[a : a + n].reshape(-1)[: len(wanted)] = wanted
         told = np.empty(ends[-1], np.float64)
+        room, ones = self.attention._room, np.ones(WINDOW, np.float32)
         for a in range(0, ends[-1], block):
             w = slice(a, a + block)
             last, real, wanted = seen[w, late], codes[w] >= 0, np.maximum(codes[w], 0)
-            both = kv_of[seen[w]] + kv_at
-            s = (q_of[last] + q_at) @ both[:, :, :WIDTH].transpose(0, 2, 1)
+            n = len(last)
+            both = np.take(kv_of, seen[w], axis=0, out=room("kv", n, WINDOW, 2 * WIDTH), mode="clip")
+            both += kv_at
+            query = np.take(q_of, last, axis=0, out=room("query", n, STRIDE, WIDTH), mode="clip")
+            query += q_at
+            s = np.matmul(query, both[:, :, :WIDTH].transpose(0, 2, 1), out=room("s", n, STRIDE, WINDOW))
             s += masks[first[w]]
             np.exp(s, out=s)
-            o = s @ both[:, :, WIDTH:]
-            o /= s.sum(axis=2, keepdims=True)
-            more = o.reshape(-1, WIDTH) @ p["out"]
+            o = np.matmul(s, both[:, :, WIDTH:], out=room("o", n, STRIDE, WIDTH))
+            o /= (s @ ones)[:, :, None]
+            more = np.matmul(o.reshape(-1, WIDTH), p["out"], out=room("d", n * STRIDE, GROUPS))
             hit = table[last, wanted].reshape(-1) + more[np.arange(len(more)), group[wanted.reshape(-1)]]
             np.exp(more, out=more)
-            total = np.einsum("nc,nc->n", share[last.reshape(-1)], more)
+            total = np.einsum("nc,nc->n", np.take(share, last.reshape(-1), axis=0, out=room("table", n * STRIDE, GROUPS), mode="clip"), more)
             told[w] = np.where(real, (hit - np.log(total)).reshape(real.shape), 0.0).sum(axis=1)
         sums = np.add.reduceat(told, ends[:-1])
         return [float(s + x[2]) for s, x in zip(sums, made, strict=True)]
 
 
+def _kind(n_subwords: int) -> np.dtype:
+    """What a subword is written as: a text's subwords travel as bytes, which nothing on the way takes apart."""
+    return np.dtype("<u2" if n_subwords <= 1 << 16 else "<u4")
+
+
 def tokenized(docs: DataFrame, content: bytes) -> DataFrame:
-    """docs (learn boolean, text and other columns) with mark, the text's hash, and ids, its subwords, in place of the text."""
+    """docs (text and other columns) with mark, the text's hash, and ids, its subwords as bytes, in place of the text."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoding(content)
+        kind = _kind(tokens.n_vocab)
         for batch in batches:
-            ids = [tokens.encode_ordinary(folded(t)) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in [*kept, "mark"]), pa.array(ids, pa.list_(pa.int32()))], [*kept, "mark", "ids"])
+            ids = [tokens.encode_to_numpy(folded(t), disallowed_special=()).astype(kind).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([*(batch.column(c) for c in [*kept, "mark"]), pa.array(ids, pa.binary())], [*kept, "mark", "ids"])
 
-    ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "mark long, ids array<int>"])
+    ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "mark long, ids binary"])
     return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(run, ddl)
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+def _documents(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[np.ndarray]:
     for batch in batches:
-        lists = batch.column("ids")
-        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        yield from (flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+        yield from (np.frombuffer(x, kind) for x in batch.column("ids").to_pylist())
 
 
 def fit(train: DataFrame, text: str = "text", path: str = TOKENIZER) -> Model:
@@ -380,13 +389,14 @@ def fit(train: DataFrame, text: str = "text", path: str = TOKENIZER) -> Model:
 
 
 def learn(sample: DataFrame, content: bytes) -> Model:
-    """A model of all rows of the written table (at, ids)."""
+    """A model of all rows of the written table (at, ids), as tokenized makes it."""
     n_subwords = encoding(content).n_vocab
+    kind = _kind(n_subwords)
 
     def subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(n_subwords, np.int64)
         for batch in batches:
-            n += np.bincount(batch.column("ids").flatten().to_numpy(), minlength=n_subwords)
+            n += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=n_subwords)
         some = np.flatnonzero(n)
         yield pa.record_batch([pa.array(some), pa.array(n[some])], ["k", "n"])
 
@@ -399,7 +409,7 @@ def learn(sample: DataFrame, content: bytes) -> Model:
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(INPUTS * CODES, np.int64)
-        for ids in _documents(batches):
+        for ids in _documents(batches, kind):
             inputs, codes, _ = tables.sequence(ids)
             np.add.at(n, inputs.astype(np.int64) * CODES + codes, 1)
         some = np.flatnonzero(n)
@@ -430,7 +440,7 @@ def _train(model: Model, sample: DataFrame, shares: int, steps: int) -> int:
             mine = sent.value
             net = Attention()
             net.p = {n: w.copy() for n, w in mine.attention.p.items()}
-            n = run(mine, net, _documents(batches))
+            n = run(mine, net, _documents(batches, _kind(len(mine.tables.code))))
             if n:
                 yield pa.record_batch([pa.array([n]), pa.array([b"".join(net.p[x].tobytes() for x in net.NAMES)])], ["n", "weights"])
 
@@ -472,24 +482,66 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
+class Words:
+    """words_of many texts at once: the distinct ones, of which the end is the last, and each text's as numbers (without its end)."""
+
+    def __init__(self, texts: pa.Array):
+        # the bytes aren't looked at as UTF-8 here: all functions are those of ASCII
+        bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string(), safe=False)))
+        lists = pc.ascii_split_whitespace(bare)
+        coded = lists.flatten().dictionary_encode()
+        self.distinct: list[bytes] = [*coded.dictionary.cast(pa.binary()).to_pylist(), _END]
+        number, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        empty = pc.binary_length(bare).to_numpy() == 0  # such a text is split into one empty word
+        size = np.diff(ends) - empty
+        if empty.any():
+            number = number[np.repeat(~empty, np.diff(ends))]
+        self.number, self.size = number, size
+        self.ends = np.cumsum(size)
+
+    def sums(self, value: np.ndarray) -> np.ndarray:
+        """Of each text the sum of its words' values, its end included."""
+        out = np.full(len(self.size), value[-1], value.dtype)
+        some = np.flatnonzero(self.size)
+        if len(some):
+            out[some] += np.add.reduceat(value[self.number], (self.ends - self.size)[some])
+        return out
+
+    def counts(self, learn: np.ndarray) -> np.ndarray:
+        """How often each distinct word comes in the texts that are learnt from."""
+        n = np.bincount(self.number[np.repeat(learn, self.size)], minlength=len(self.distinct))
+        n[-1] = learn.sum()
+        return n
+
+
 def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, block, n) over rows sorted by block: each block's distinct words with their counts in its training documents."""
 
-    def tell(block: int, found: Counter) -> Iterator[pa.RecordBatch]:
-        words, counts = list(found), np.fromiter(found.values(), np.int64, len(found))
-        for a in range(0, len(words), 100_000):
-            part = slice(a, a + 100_000)
-            h = hashed(words[part])
+    def tell(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        found = Words(rows.column("text").chunk(0))
+        counts = found.counts(rows.column("learn").to_numpy() > 0)
+        # an empty text's word is the end, which is counted as such
+        own = [i for i, w in enumerate(found.distinct[:-1]) if w] + [len(found.distinct) - 1]
+        for a in range(0, len(own), 100_000):
+            part = own[a : a + 100_000]
+            h = hashed([found.distinct[i] for i in part])
             yield pa.record_batch([pa.array(h), pa.array(np.full(len(h), block, np.int64)), pa.array(counts[part])], ["word", "block", "n"])
 
-    now, found = None, Counter()
+    now, held = None, []
     for batch in batches:
-        for block, learn, text in zip(*(batch.column(c).to_pylist() for c in ("block", "learn", "text")), strict=True):
-            if block != now:
-                yield from tell(now, found)
-                now, found = block, Counter()
-            found.update(words_of(text) if learn else dict.fromkeys(words_of(text), 0))
-    yield from tell(now, found)
+        if not batch.num_rows:
+            continue
+        blocks = batch.column("block").to_numpy()
+        cuts = (np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if held and blocks[a] != now:
+                yield from tell(now, held)
+                held = []
+            now = int(blocks[a])
+            held.append(batch.slice(a, b - a).select(["text", "learn"]))
+    if held:
+        yield from tell(now, held)
 
 
 #: The block of a row that sums up several words: how many occur, and how often.
@@ -552,14 +604,15 @@ def _scored(subwords: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        kind = _kind(len(model.tables.code))
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                scores = [x / math.log(10) for x in model.scores_of(list(_documents([part])))]
+                scores = [x / math.log(10) for x in model.scores_of(list(_documents([part], kind)))]
                 yield pa.record_batch([part.column("doc_id"), part.column("mark"), pa.array(scores, pa.float64())], ["doc_id", "mark", "score"])
 
-    kind = subwords.schema["doc_id"].dataType.simpleString()
-    return subwords.select("doc_id", "mark", "ids").mapInArrow(run, f"doc_id {kind}, mark long, score double").groupBy("doc_id", "mark").agg(F.min("score").alias("score"))
+    of = subwords.schema["doc_id"].dataType.simpleString()
+    return subwords.select("doc_id", "mark", "ids").mapInArrow(run, f"doc_id {of}, mark long, score double").groupBy("doc_id", "mark").agg(F.min("score").alias("score"))
 
 
 def _base_scores(named: DataFrame) -> DataFrame:
@@ -574,30 +627,20 @@ def _base_scores(named: DataFrame) -> DataFrame:
     other = told.where(F.col("block") != SUMMED)
 
     def score(docs_part: pa.Table, counts: pa.Table) -> pa.Table:
-        texts, learn = docs_part.column("text").to_pylist(), docs_part.column("learn").to_pylist()
-        own, each = Counter(), []
-        for t, yes in zip(texts, learn, strict=True):
-            each.append(words_of(t))
-            own.update(each[-1] if yes else dict.fromkeys(each[-1], 0))
-        words = list(own)
-        total = np.fromiter(own.values(), np.int64, len(words))
+        rows = docs_part.combine_chunks()
+        found = Words(rows.column("text").chunk(0))
+        total = found.counts(rows.column("learn").to_numpy() > 0)
         # what the other blocks have besides: sorted by hash, looked up by hash
         other, count = (np.array(counts.column(c).to_numpy()) for c in ("word", "total"))
         order = np.argsort(other)
         other, count = other[order], count[order]
-        h = hashed(words)
+        h = hashed(found.distinct)
         at = np.minimum(np.searchsorted(other, h), max(0, len(other) - 1))
         met = other[at] == h if len(other) else np.zeros(len(h), bool)
         total[met] = count[at[met]]
-        value = dict(zip(words, np.log10(total + SMOOTH_WORD).tolist(), strict=True))
-        unknown = {w for w, c in zip(words, total.tolist(), strict=True) if not c}
-        n_tokens, n_known, sums = [], [], []
-        for ws in each:
-            n_tokens.append(len(ws))
-            n_known.append(len(ws) - sum(map(unknown.__contains__, ws)))
-            sums.append(math.fsum(map(value.__getitem__, ws)))
         return pa.table({
-            **{c: docs_part.column(c) for c in ("doc_id", "mark", "held_out")}, "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "log_sum": pa.array(sums, pa.float64()),
+            **{c: rows.column(c) for c in ("doc_id", "mark", "held_out")}, "n_tokens": pa.array(found.size + 1, pa.int64()),
+            "n_known": pa.array(found.sums((total > 0).astype(np.int64))), "log_sum": pa.array(found.sums(np.log10(total + SMOOTH_WORD))),
         })
 
     kind = named.schema["doc_id"].dataType.simpleString()

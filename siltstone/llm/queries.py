@@ -14,6 +14,7 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hit words and benchmark items of every document; a null text has none, repeated rows are judged each, no documents give no rows."""
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.array_sort(F.transform("__items", lambda i: i.cast("string")))
     return found.select(
@@ -27,6 +28,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its entities replaced, checked for collisions; a null text stays null and has no entities."""
     replaced, _ = pii.replace_checked(table(spark, sf_dir, "documents").select("doc_id", "text"))
     entities = F.col("__entities")
     return replaced.select(
@@ -38,12 +40,14 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that a 100-byte string covers which starts earlier too; a null text is empty, rows of one id and text are one document."""
     found = bwt_merge.repeated_spans(table(spark, sf_dir, "documents"))
     removed = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learnt from the labelled ones that aren't held out; null and empty texts score as texts without words, without labels all score 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score_texts(docs, model)
@@ -51,20 +55,24 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word base and model score of every document, learnt from those that aren't held out; a null text is empty: its one token is the end."""
     return attention_lm.score_texts(table(spark, sf_dir, "documents"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, in the order of the ids; a null text is empty."""
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; a null URL has an empty host and path and is allowed."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and a digest of what stays of every document; a null or empty text is one empty line."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
@@ -72,11 +80,13 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's rate and its id draw, so that all sources have the same share; the null source is one of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_sources(docs)
 
 
 def op10_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document over two-word shingles; texts without words are groups of their own."""
     groups = hamming_dedup.near_groups(table(spark, sf_dir, "documents"), k=2)
     return groups.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 

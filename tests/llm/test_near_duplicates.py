@@ -130,6 +130,21 @@ def test_fingerprints_follow_order_and_edits(spark, unique):
         assert r["near_edited"] == M.likeness(own, other) and r["near_next"] == M.likeness(own, following)
 
 
+@pytest.mark.parametrize("rows", [[], [(1, "a b c d e f g h")], [(1, None)], [(5, "b b b"), (5, "a a a a"), (5, "a a a a"), (None, ""), (3, None), (9, "x" * 50)], [(i, "w " * 40_000 + str(i)) for i in range(3)]])
+def test_fingerprints_of_odd_tables(spark, rows):
+    import hashlib
+
+    docs = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, fingerprint string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_next"]) for r in M.fingerprint_edits(docs).collect()), key=repr)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want, words = [], WordHashes()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        n = len(t)
+        own, other = M.fingerprints([t, after], words)
+        want.append((i, n, hashlib.sha256((t[: n - n // 4] + after[: n // 4]).encode()).hexdigest(), M.likeness(own, other)))
+    assert got == sorted(want, key=repr)
+
+
 def test_estimates_are_near_the_truth(unique):
     words = WordHashes()
     texts = [t for _, t in unique if t and len(t.split()) > 100][:20]
