@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -67,13 +68,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made and that no plan will read again; other DataFrames are left alone."""
+    """Delete tables that ``written`` made and that no plan will read again; other DataFrames are left alone.
+
+    The driver then looks for garbage: with plans that are done Spark deletes their shuffle files too,
+    which else stay on the executors' disks until the driver's heap fills.
+    """
+    spark = None
     for table in tables:
         path = getattr(table, "_written_at", None)
         if path:
             spark = table.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if spark is not None:
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def small_or_plain(df: DataFrame, most: int) -> DataFrame:

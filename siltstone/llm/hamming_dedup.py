@@ -193,11 +193,13 @@ def _with_text(pairs: DataFrame, texts: DataFrame, end: str, total: int) -> Data
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough on the full sets of their texts."""
-    pairs = written(pairs, "pairs")
+    """The pairs (a, b) that are similar enough on the full sets of their texts, written."""
+    pairs = written(pairs, "pairs") if getattr(pairs, "_written_at", None) is None else pairs
     total = pairs.count()
     both = _with_text(_with_text(pairs, texts, "a", total), texts, "b", total)
-    return both.select("a", "b", "ta", "tb").mapInArrow(_linked(k), "a long, b long")
+    links = written(both.select("a", "b", "ta", "tb").mapInArrow(_linked(k), "a long, b long"), "links")
+    forget(pairs)
+    return links
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
@@ -231,7 +233,10 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
         labels = _joined(labels, verified(_apart(near, labels), texts, k))
         if left is not met:
             forget(left)
-    labels = _joined(labels, verified(_rest(_open(met, labels), nodes), texts, k))
+    left = _open(met, labels)
+    rest = _rest(left, nodes)
+    labels = _joined(labels, verified(rest, texts, k))
+    forget(rest, left, met, texts)
     # a root is the least node of its component, and a node the least document of its set
     named_sets = nodes.select("set", "node").join(labels.toDF("node", "root"), "node", "left").select("set", F.coalesce("root", "node").alias("root"))
     return rows.join(named_sets, "set", "left").select("doc", "mark", "n_shingles", F.coalesce("root", "doc").alias("component"))
@@ -260,10 +265,16 @@ def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
-    edges = written(edges, "links")
+    """The components of labels and edges; both are written, and go."""
     if labels is None:
-        return connected(edges)
-    return connected(labels.unionByName(edges)) if edges.limit(1).count() else labels
+        after = connected(edges)
+    elif edges.limit(1).count():
+        after = connected(labels.unionByName(edges))
+        forget(labels)
+    else:
+        after = labels
+    forget(edges)
+    return after
 
 
 def _rest(left: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -276,18 +287,21 @@ def _rest(left: DataFrame, nodes: DataFrame) -> DataFrame:
     sizes = left.groupBy("key").agg(F.count("*").alias("n")).withColumn("members", F.col("n"))
     placed = written(hot_join(left, sizes, "key", left.count()), "placed")
     crowded = F.col("members") > CROWDED * BLOCK
-    plain = placed.where(~crowded).withColumn("sub", F.lit(0).cast("long"))
-    parted = placed.where(crowded).join(nodes.select("node", "sig", "keys"), "node").mapInArrow(_second, "key long, node long, root long, members long, sub long")
-    together = parted.groupBy("key", "sub").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key", "sub", "n", F.col("n").alias("size"))
-    rows = parted.drop("members")
-    parted = hot_join(rows, together, ["key", "sub"], placed.count()).withColumnRenamed("size", "members").select(plain.columns)
-    blocked = plain.unionByName(parted).withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    plain = placed.withColumn("sub", F.lit(0).cast("long"))
+    if placed.where(crowded).limit(1).count():
+        parted = placed.where(crowded).join(nodes.select("node", "sig", "keys"), "node").mapInArrow(_second, "key long, node long, root long, members long, sub long")
+        together = parted.groupBy("key", "sub").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key", "sub", "n", F.col("n").alias("size"))
+        parted = hot_join(parted.drop("members"), together, ["key", "sub"], placed.count()).withColumnRenamed("size", "members").select(plain.columns)
+        plain = plain.where(~crowded).unionByName(parted)
+    blocked = plain.withColumn("blocks", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     spread = blocked.select("key", "sub", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     full = spread.join(nodes.select("node", "n_shingles", "sketch", "keys"), "node").select(
         "key", "sub", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "n_shingles", "sketch", "keys"
     )
     dealt = full.repartition("key", "sub", "i", "j").sortWithinPartitions("key", "sub", "i", "j")
-    return dealt.mapInArrow(_compare, "a long, b long").distinct()
+    pairs = written(dealt.mapInArrow(_compare, "a long, b long").distinct(), "apart")
+    forget(placed)
+    return pairs
 
 
 def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
