@@ -212,10 +212,11 @@ def embed_norms(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(E.norm(F.col("embedding")), 5).alias("norm"))
 
 
-@query()
+@query(f"SELECT doc_id, CASE WHEN len({_TOKENS.format('text')}) > 0 THEN CAST(1.0 AS DOUBLE) END AS norm FROM documents")
 def embed_blake2b(spark, d):
+    """Unit vectors of whole texts; which places words get is compared in blake2b_places."""
     rows = E.embed(table(spark, d, "documents").select("doc_id", "text"), strict=False)
-    return rows.select("doc_id", F.round(E.norm(F.col("embedding")), 9).alias("norm"), F.size(F.filter("embedding", lambda x: x != 0)).alias("places"))
+    return rows.select("doc_id", F.round(E.norm(F.col("embedding")), 9).alias("norm"))
 
 
 _DOT = "round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))), 6)"
@@ -489,11 +490,11 @@ def lexical_support(spark, d):
     return both.select("item_id", "doc_id", F.round(T.lexical_support(F.col("point"), F.col("text")), 9).alias("support"))
 
 
-@query("""SELECT doc_id, CAST(least(doc_id % 5, doc_id % 7) AS BIGINT) AS covered FROM labels""")
+@query("""SELECT doc_id, array_to_string(list_reverse(range(0, least(doc_id % 5, doc_id % 7))), ',') AS covered FROM labels""")
 def covered_subset(spark, d):
     upto = lambda n: F.slice(F.array(*map(F.lit, range(7))), 1, n.cast("int"))
-    kept = answers.covered_available(upto(F.col("doc_id") % 7), upto(F.col("doc_id") % 5))
-    return table(spark, d, "labels").select("doc_id", F.size(kept).cast("long").alias("covered"))
+    kept = answers.covered_available(F.reverse(upto(F.col("doc_id") % 7)), upto(F.col("doc_id") % 5))
+    return table(spark, d, "labels").select("doc_id", F.array_join(kept.cast("array<string>"), ",").alias("covered"))
 
 
 def evidence(spark, d) -> DataFrame:
@@ -521,11 +522,17 @@ def answer_validate(spark, d):
     return table(spark, d, "benchmark").select("item_id", answers.answer_problem(raw, F.array(F.lit("E1"), F.lit("E2"))).alias("problem"))
 
 
-@query()
+_SPLIT = "list_filter(list_distinct(string_split_regex(lower({0}), '\\s+')), lambda w: w <> '')"
+
+
+@query(f"""WITH {_CASE_RANKS}, shown AS (SELECT r.case_id, r.rank, c.text, len(list_intersect({_SPLIT.format('k.query')}, {_SPLIT.format('c.text')})) AS common
+  FROM ranked r JOIN chunks c USING (doc_id, chunk_position) JOIN cases k ON k.case_id = r.case_id WHERE r.rank <= 5)
+SELECT case_id, rtrim(trim(split_part(text, '. ', 1), chr(10) || chr(9) || ' '), '.') || '.' AS answer, 'E' || rank AS evidence_ids, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY common DESC, rank) AS n FROM shown) WHERE n = 1""")
 def answers_extractive(spark, d):
     g, texts = gold(spark, d), fixed(spark, d).select("doc_id", "chunk_position", "text")
     shown = retrieved(spark, d, g).where("rank <= 5").join(texts, ["doc_id", "chunk_position"]).join(cases(spark, d, g).select("case_id", "query"), "case_id")
-    return answers.generate(shown.withColumn("evidence_seller_id", F.col("seller_id")), query_id="case_id", transport=answers.extractive).select("case_id", "answer", "evidence_ids", "error")
+    return answers.generate(shown.withColumn("evidence_seller_id", F.col("seller_id")), query_id="case_id", transport=answers.extractive).select("case_id", "answer", F.array_join("evidence_ids", ",").alias("evidence_ids"), "error")
 
 
 @query("""SELECT rule, count(*) AS n FROM (
@@ -629,10 +636,17 @@ def exit_codes(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(metrics.combined_exit(F.col("user_id") % 11).alias("code"))
 
 
-@query()
+_SAID = r"regexp_replace(text, '[^\x20-\x7E\n]', '?', 'g')"
+
+
+@query(rf"""SELECT conv_id || '-' || turn AS document_id, CAST(1 AS INTEGER) AS pages, CASE WHEN t <> '' THEN md5(t) END AS digest, CASE WHEN t = '' THEN 'document text is empty' END AS error FROM (
+  SELECT conv_id, turn, trim(regexp_replace({_SAID}, '[ \t]+(\n|$)', '\1', 'g'), chr(9) || chr(10) || ' ') AS t FROM conversations)""")
 def pdf_pages(spark, d):
-    """Conversations as one-page PDF files, parsed again."""
-    said = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.regexp_replace("text", r"[^\x20-\x7E]|[()\\]", " ").alias("said"))
-    pdf = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Pages /Kids [2 0 R] >> endobj\n2 0 obj << /Type /Page /Contents 3 0 R >> endobj\n3 0 obj << >> stream\n("), "said", F.lit(") Tj\nendstream endobj\n"))
-    raw = said.select(F.lit("shop").alias("seller_id"), F.concat_ws("-", "conv_id", "turn").alias("document_id"), F.lit("pdf").alias("source_format"), pdf.cast("binary").alias("content"))
-    return corpus.parsed(raw, strict=False).select("document_id", F.size("pages").alias("pages"), F.length("text").alias("length"), "error")
+    """Conversations as one-page PDF files, parsed again: brackets and backslashes are escaped in the file."""
+    said = F.regexp_replace("text", r"[^\x20-\x7E\n]", "?")
+    for c in ("\\", "(", ")"):
+        said = F.replace(said, F.lit(c), F.lit(f"\\{c}"))
+    pdf = F.concat(F.lit("%PDF-1.4\n1 0 obj << /Type /Pages /Kids [2 0 R] >> endobj\n2 0 obj << /Type /Page /Contents 3 0 R >> endobj\n3 0 obj << >> stream\n("), said, F.lit(") Tj\nendstream endobj\n"))
+    raw = table(spark, d, "conversations").select(F.lit("shop").alias("seller_id"), F.concat_ws("-", "conv_id", "turn").alias("document_id"), F.lit("pdf").alias("source_format"), pdf.cast("binary").alias("content"))
+    good = F.col("error").isNull()
+    return corpus.parsed(raw, strict=False).select("document_id", F.size("pages").alias("pages"), F.when(good, F.md5(F.col("text").cast("binary"))).alias("digest"), "error")
