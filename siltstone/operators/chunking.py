@@ -66,23 +66,26 @@ def fixed_bounds(n: int, size: int, overlap: int) -> list[tuple[int, int]]:
     return [(s, min(s + size, n)) for s in starts]
 
 
+def _in_order(text: str, parts: Sequence[str]) -> list[tuple[int, int]]:
+    """Where each part lies in the text, each after the one before."""
+    ends = [0]
+    for part in parts:
+        place = text.find(part, ends[-1])
+        if place < 0:
+            raise ChunkingError("a page's text isn't in its document, or not in the pages' order")
+        ends.append(place + len(part))
+    return [(end - len(part), end) for part, end in zip(parts, ends[1:], strict=True)]
+
+
 def regions(text: str, section: str | None = None, pages: Sequence[dict] = ()) -> list[tuple[int, int, str | None, int | None]]:
     """(start, end, section, page): the pages with text, else what lies between level-two headings, else the whole."""
-    pages = [p for p in pages or () if p and p["text"]]
-    found, at = [], 0
-    for p in pages:
-        start = text.find(p["text"], at)
-        if start < 0:
-            raise ChunkingError("page text does not match document text")
-        at = start + len(p["text"])
-        found.append((start, at, section, p["page"]))
-    if pages:
-        return found
-    heads = [(m.start(), m[1].split(T.DASH, 1)[0].strip(T.SPACES)) for m in _HEADING.finditer(text)]
-    if not heads or heads[0][0] > 0:
-        heads.insert(0, (0, section))
-    ends = [*(start for start, _ in heads[1:]), len(text)]
-    return [(start, end, name, None) for (start, name), end in zip(heads, ends, strict=True)]
+    with_text = [p for p in pages or () if p and p["text"]]
+    if with_text:
+        spans = _in_order(text, [p["text"] for p in with_text])
+        return [(*span, section, p["page"]) for span, p in zip(spans, with_text, strict=True)]
+    names = {m.start(): m[1].split(T.DASH, 1)[0].strip(T.SPACES) for m in _HEADING.finditer(text)}
+    cuts = sorted({0, *names})
+    return [(a, b, names.get(a, section), None) for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
 
 
 def chunk_documents(docs: DataFrame, *, strategy: str = "recursive", chunk_size: int = 1000, overlap: int = 100, separators: Sequence[str] = SEPARATORS) -> DataFrame:
