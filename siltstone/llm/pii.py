@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import written
+from siltstone.llm.common import forget, written
 
 KEY = b"siltstone"
 
@@ -440,7 +440,9 @@ def collisions(pairs: DataFrame) -> DataFrame:
 def replace_checked(docs: DataFrame, text: str = "text", key: bytes = KEY, entities: str = "__entities") -> tuple[DataFrame, DataFrame]:
     """replace_pii's rows, written, and collisions of them; fails if surrogates are shared, entities split or kept."""
     replaced = written(replace_pii(docs, text, key, entities), "surrogates")
-    found = written(collisions(surrogate_table(replaced, entities)), "collisions")
+    pairs = written(surrogate_table(replaced, entities), "pairs")  # read several times below
+    found = written(collisions(pairs), "collisions")
+    forget(pairs)
     bad = found.where("problem <> 'original'").limit(5).collect()
     if bad:
         raise ValueError(f"surrogates are not distinct and coreferent: {[tuple(r) for r in bad]}")
