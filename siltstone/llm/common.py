@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -67,12 +68,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+GARBAGE_SECONDS = 10.0
+_looked = float("-inf")
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and that no plan will read again; other DataFrames are left alone.
 
-    The driver then looks for garbage: with plans that are done Spark deletes their shuffle files too,
-    which else stay on the executors' disks until the driver's heap fills.
+    Then, every GARBAGE_SECONDS at most, the driver looks for garbage: with plans that are done Spark
+    deletes their shuffle files too, which else stay on the executors' disks until the driver's heap fills.
     """
+    global _looked
     spark = None
     for table in tables:
         path = getattr(table, "_written_at", None)
@@ -80,9 +86,10 @@ def forget(*tables: DataFrame) -> None:
             spark = table.sparkSession
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if spark is not None:
+    if spark is not None and time.monotonic() - _looked > GARBAGE_SECONDS:
         gc.collect()
         spark._jvm.System.gc()
+        _looked = time.monotonic()
 
 
 def small_or_plain(df: DataFrame, most: int) -> DataFrame:
