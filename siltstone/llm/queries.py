@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import attention_lm, bwt_merge, decontaminate, hamming_dedup, line_dedup, minhash, mixing, pii, toxicity, url_filter
+from siltstone.llm import attention_lm, bwt_merge, decontaminate, fill_in_middle, hamming_dedup, line_dedup, minhash, mixing, pii, seed_extend, toxicity, url_filter
 from siltstone.llm.common import table
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -91,6 +91,23 @@ def op10_hamming_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 
 
+def op11_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a window of 13 words covers which a smaller doc_id has too; a null text has none, an id's own repeats stay."""
+    found = seed_extend.repeated_words(table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("ends", "starts", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix, middle and suffix of every text in the order of its form, and the text rebuilt from them; a null text is empty, and plain."""
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", digest(F.col("fim.output")).alias("output_sha256"),
+        digest(fill_in_middle.restored(F.col("fim.output"), F.col("fim.form"))).alias("restored_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii": op2_pii,
@@ -102,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_hamming_dedup": op10_hamming_dedup,
+    "op11_seed_extend": op11_seed_extend,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -204,4 +223,21 @@ u AS (
   SELECT u.doc_id, u.source, any_value(u.text) AS text, count(*) FILTER (WHERE p <= u) AS c FROM u JOIN cdf ON u.source = cdf.source GROUP BY u.doc_id, u.source
 )
 SELECT doc_id, source, text, CAST(unnest(range(1, c + 1)) AS INTEGER) AS copy FROM drawn""",
+    "op11_seed_extend": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+part AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+early AS (SELECT x, min(doc_id) AS one FROM part GROUP BY x HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM part JOIN early USING (x) WHERE doc_id > one),
+holes AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed, list_filter(w, lambda x, i: NOT list_contains(coalesce(ps, []), i)) AS left_ FROM d LEFT JOIN holes USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(left_, ' '), '')) AS kept_sha256 FROM kept""",
+    "op12_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM o""",
 }
