@@ -55,12 +55,12 @@ def nearest_rank(x: str, fraction: float) -> Column:
     return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY `{x}`)")
 
 
-def run_metrics(graded: DataFrame) -> DataFrame:
-    """One row over graded cases with latency_ms and failed: the metrics of a retrieval run."""
-    return graded.agg(
+def run_metrics(graded: DataFrame, *by: str) -> DataFrame:
+    """The metrics of a retrieval run over graded cases with latency_ms and failed: one row, or one for each group."""
+    return graded.groupBy(*by).agg(
         F.avg("recall").alias("recall_at_5"), F.avg("reciprocal_rank").alias("mrr_at_10"), F.count("recall").alias("graded_case_count"),
         (F.count("*") - F.count("recall")).alias("ungraded_case_count"), F.sum("leaked").alias("seller_leakage_count"),
-        (F.count_if("failed") / F.count("*")).alias("error_rate"), F.avg("latency_ms").alias("latency_mean"), upper_median("latency_ms").alias("latency_p50"),
+        F.try_divide(F.count_if("failed").cast("double"), F.count("*").cast("double")).alias("error_rate"), F.avg("latency_ms").alias("latency_mean"), upper_median("latency_ms").alias("latency_p50"),
     )
 
 

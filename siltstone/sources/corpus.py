@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -152,8 +153,8 @@ def ingest_seller_corpus(spark: SparkSession, seller_id: str, *, root: str, cata
     return parsed(raw, strict)
 
 
-def table_documents(docs: DataFrame) -> DataFrame:
-    """The driver's documents table as tenant documents: source is the seller, doc_id the document, lang the policy type."""
+def table_documents(docs: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """The driver's documents table as tenant documents: source is the seller, doc_id the document, lang the policy type; and columns named in ``more``."""
     return docs.select(
-        F.col("source").alias("seller_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("1").alias("version"), F.col("lang").alias("policy_type"), "text"
+        F.col("source").alias("seller_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("1").alias("version"), F.col("lang").alias("policy_type"), "text", *more
     )

@@ -41,9 +41,14 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in that folder, for files that stay."""
+    return f"{folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in that folder, deleted when the session ends."""
-    path = f"{folder(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     at, files = _at(spark, path)
     files.deleteOnExit(at)
     return path

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from jobs import queries as job_queries  # noqa: F401
 from siltstone.plans import catalogue, entry_points  # noqa: F401
 from siltstone.plans.registry import ORACLE_SQL, QUERIES
 
