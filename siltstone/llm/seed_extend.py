@@ -19,6 +19,7 @@ beyond its first and last seed; all classes of those two are extended, which dec
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +29,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bwt_merge import Rolling
-from siltstone.llm.common import WordHashes, hot_join, mixed, written
+from siltstone.llm.common import hot_join, mixed, written
 from siltstone.llm.line_dedup import NO_ID
 
 #: Words of a match at least, and of a seed.
 LENGTH, SEED = 13, 7
-#: Bytes of text that are hashed at once.
+#: Characters of text, or bytes, that are hashed at once.
 CHUNK = 2 << 20
 REPEATED, OPEN = 0, 1
 
 _SEEDS = pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("f", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("at", pa.int64())])
 _COLUMNS = _SEEDS.names[1:]
 _SEEDS_DDL = "kind int, h long, f long, doc long, mark long, at long"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 
 
@@ -57,32 +61,49 @@ def _least(order: np.ndarray, width: int) -> np.ndarray:
     return ((np.minimum(least[: len(least) - rest], least[rest:]) if rest else least) & _LOW).astype(np.int64)
 
 
-class Candidates:
-    """Of some texts every run of windows with one seed: text, first window, windows, seed's hash, candidate's hash."""
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word, CHUNK bytes at a time."""
+    hashes, places, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while a < len(data):
+        end = _SPACE.search(data, a + CHUNK)
+        b = end.start() if end else len(data)
+        part = np.frombuffer(b" " + data[a:b] + b" ", np.uint8)
+        space = _IS_SPACE[part]
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+        hashes.append(Rolling(part).of(starts, ends - starts))
+        places.append(starts + (a - 1))
+        a = b
+    return np.concatenate(hashes), np.concatenate(places)
 
-    def __init__(self, texts: list[str | None], words: WordHashes, length: int, seed: int):
+
+class Texts:
+    """The words of some texts, one text after the other, as hashes."""
+
+    def __init__(self, texts: list[str | None], length: int):
         self.length = length
-        found = [_words(t) for t in texts]
-        lengths = np.array([len(w) for w in found], np.int64)
-        self.begins = np.concatenate([[0], np.cumsum(lengths)])
-        self.rolling = Rolling(np.fromiter((words[w] for text in found for w in text), np.uint64, int(lengths.sum())))
-        self.text = self.start = self.count = np.zeros(0, np.int64)
-        self.h = self.f = np.zeros(0, np.uint64)
-        if not (lengths >= length).any():
-            return
+        parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        hashes, places = _word_hashes(b"\n".join(parts))
+        ends = np.cumsum([len(x) + 1 for x in parts])
+        self.begins = np.concatenate([[0], np.searchsorted(places, ends)])
+        self.rolling = Rolling(hashes)
+
+    def candidates(self, seed: int) -> tuple[np.ndarray, ...]:
+        """(text, first window, windows, seed's hash, content's hash) of every run of windows with one seed, text by text."""
+        lengths = np.diff(self.begins)
+        if not (lengths >= self.length).any():
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
         pieces = self.rolling.all_of(seed)
-        at = _least((pieces & _HIGH) | np.arange(len(pieces), dtype=np.uint64), length - seed + 1)
-        whole = np.repeat(np.arange(len(texts)), lengths)[: len(at)]  # the text of each window, if it ends there too
-        within = np.arange(len(at)) + length <= self.begins[whole + 1]
+        at = _least((pieces & _HIGH) | np.arange(len(pieces), dtype=np.uint64), self.length - seed + 1)
+        whole = np.repeat(np.arange(len(lengths)), lengths)[: len(at)]  # the text of each window, if it ends there too
+        within = np.arange(len(at)) + self.length <= self.begins[whole + 1]
         fresh = np.concatenate([[True], (at[1:] != at[:-1]) | (whole[1:] != whole[:-1])])
         starts = np.flatnonzero(fresh & within)
         # a run ends at the next one, or where the windows reach over the text's end
         ends = np.append(np.flatnonzero(fresh), len(at))
-        ends = np.minimum(ends[np.searchsorted(ends, starts, "right")], self.begins[whole[starts] + 1] - length + 1)
-        self.text, self.count = whole[starts], ends - starts
-        self.start = starts - self.begins[self.text]
-        self.h = pieces[at[starts]]
-        self.f = mixed(self.rolling.of(starts, self.count + length - 1) + self.count.astype(np.uint64))
+        ends = np.minimum(ends[np.searchsorted(ends, starts, "right")], self.begins[whole[starts] + 1] - self.length + 1)
+        text, count = whole[starts], ends - starts
+        content = mixed(self.rolling.of(starts, count + self.length - 1) + count.astype(np.uint64))
+        return text, starts - self.begins[text], count, pieces[at[starts]], content
 
     def windows(self, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two hashes of the window that begins there."""
@@ -124,14 +145,15 @@ def _seeded(length: int, seed: int):
     """Seeds of the documents. Of one class and chunk only the earliest document's occurrences go on; the others repeat them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             docs, marks, texts = batch.column("doc").to_numpy(), batch.column("mark").to_numpy(), batch.column("text").to_pylist()
             for a, b in _grouped(texts):
-                found = Candidates(texts[a:b], words, length, seed)
-                doc, mark, at = docs[a:b][found.text], marks[a:b][found.text], found.start << 32 | found.count
-                order = np.lexsort((doc, found.f, found.h))
-                h, f, doc, mark, at = (x[order] for x in (found.h, found.f, doc, mark, at))
+                by_doc = np.argsort(docs[a:b], kind="stable")
+                text, start, count, h, f = Texts([texts[a + i] for i in by_doc.tolist()], length).candidates(seed)
+                # documents come in order: so do the rows of a class when all are sorted by one hash of it
+                order = np.argsort(mixed(h ^ mixed(f)), kind="stable")
+                row = a + by_doc[text[order]]
+                h, f, doc, mark, at = h[order], f[order], docs[row], marks[row], start[order] << 32 | count[order]
                 later = _later(h, f, doc)
                 yield _rows(OPEN, *(x[~later] for x in (h, f, doc, mark, at)))
                 doc, mark, at = _merged(doc[later], mark[later], at[later])
@@ -141,7 +163,7 @@ def _seeded(length: int, seed: int):
 
 
 def _later(h: np.ndarray, f: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of rows sorted by (h, f, doc) those whose class has an earlier document."""
+    """Of rows that are sorted by class (h, f), and by doc within one, those whose class has an earlier document."""
     if not len(h):
         return np.zeros(0, bool)
     first = np.concatenate([[True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])])
@@ -186,16 +208,15 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _rows(OPEN, h, None, doc, mark, at)
 
 
-def _extended(length: int, seed: int):
+def _extended(length: int):
     """Every extension of the open candidates to ``length`` words: (w1, w2, doc, mark, start), from (doc, mark, text, list of at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             texts, wanted = batch.column("text").to_pylist(), batch.column("wanted").to_pylist()
             docs, marks = (batch.column(c).to_numpy() for c in ("doc", "mark"))
             for a, b in _grouped(texts):
-                found = Candidates(texts[a:b], words, length, seed)
+                found = Texts(texts[a:b], length)
                 at = np.array([x for w in wanted[a:b] for x in w], np.int64)
                 row = np.repeat(np.arange(b - a), [len(w) for w in wanted[a:b]])
                 start, count = at >> 32, at & 0xFFFFFFFF
@@ -241,7 +262,7 @@ def _joined(docs: DataFrame, doc_id: str, text: str, length: int, seed: int, res
 
     wanted = found.where(F.col("kind") == OPEN).groupBy(*key).agg(F.collect_set("at").alias("wanted"))
     # all columns of the dealt texts, so that both uses share one exchange
-    reached = written(dealt.join(wanted, key).mapInArrow(_extended(length, seed), "w1 long, w2 long, doc long, mark long, start long"), "extensions")
+    reached = written(dealt.join(wanted, key).mapInArrow(_extended(length), "w1 long, w2 long, doc long, mark long, start long"), "extensions")
     firsts = reached.groupBy("w1", "w2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where("first < last").drop("last")
     again = hot_join(reached, firsts, ["w1", "w2"], reached.count()).where("doc > first").select(*key, (F.shiftleft("start", 32) + 1).alias("at"))
 
