@@ -1,14 +1,13 @@
 """Fill-in-middle: texts are cut in units, and prefix, middle and suffix put in another order.
 
 Everything is relational. A text's matches are exploded with their positions; running sums of
-their lengths over a window tell where each unit ends; two cut requests a document meet the
-units by ordinal; the ends they find are aggregated to one row of offsets a document, and the
-text is cut there by substring.
-
-A match holds up to BLOCK units first, so that a document has one row for BLOCK units, not one
-for each: a request meets the block its ordinal is in, and only that block is exploded into
-units. Blocks travel as arrays of lengths, of the texts only the blocks with a cut; the text
-itself travels once, to meet its offsets.
+their numbers and lengths over a window tell which unit ends where; two cut requests a document
+meet them by unit ordinal; the ends they find are aggregated to one row of offsets a document,
+and the text is cut there by substring.
+
+A match holds up to BLOCK units, and only where a cut falls it is matched again unit by unit, so
+that a document doesn't have a row for each unit. Matches travel as two arrays of numbers and are
+exploded where they arrive; the text itself travels once, to meet its offsets.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import free_name, written
+from siltstone.llm.common import written
 from siltstone.llm.line_dedup import NO_ID
 
 #: Units of a block.
@@ -52,43 +51,46 @@ def restored(output: Column, form: Column) -> Column:
     return F.when(form == "psm", F.concat(parts[1], parts[3], parts[2])).when(form == "spm", F.concat(parts[2], parts[3], parts[1])).otherwise(output)
 
 
-def _matched(keyed: DataFrame, text: Column, unit: str, seed: int, plain: int, suffix_first: int) -> DataFrame:
-    """(doc, mark, n, requests, blocks): of each row the units of its text, the ordinals of the two cuts, and its blocks' lengths and, where a cut is, texts.
+def _matched(keyed: DataFrame, unit: str, seed: int, plain: int, suffix_first: int) -> DataFrame:
+    """(doc, mark, n, ordinals, units, chars) from (doc, mark, id, text): how many units a text has, after which of them it is cut
+    (0: before the first), and of each of its matches up to the last cut how many units and code points it has.
 
-    A plain text has no requests and no blocks.
+    A plain text has no ordinals and no matches.
     """
-    units = F.lit(f"(?:{unit}|{CODE_POINT})")
-    pieces = keyed.select("doc", "mark", "id", text.alias("text")).withColumn("piece", F.regexp_extract_all("text", F.concat(units, F.lit(f"{{1,{BLOCK}}}+")), F.lit(0)))
+    one_unit = F.lit(f"(?:{unit}|{CODE_POINT})")
+    matched = keyed.withColumn("piece", F.regexp_extract_all("text", F.concat(one_unit, F.lit(f"{{1,{BLOCK}}}+")), F.lit(0)))
+    within = lambda piece: F.regexp_extract_all(piece, one_unit, F.lit(0))
+    last = F.size(within(F.coalesce(F.try_element_at("piece", F.lit(-1)), F.lit(""))))
+    counted = matched.withColumn("n", (F.greatest(F.size("piece") - 1, F.lit(0)) * BLOCK + last).cast("long"))
     h = draws(F.col("id"), seed)
-    counted = pieces.withColumn("last", F.size(F.regexp_extract_all(F.coalesce(F.try_element_at("piece", F.lit(-1)), F.lit("")), units, F.lit(0))))
-    counted = counted.withColumn("n", (F.greatest(F.size("piece") - 1, F.lit(0)) * BLOCK + F.col("last")).cast("long"))
     one, other = (h[i] % (F.col("n") + 1) for i in (0, 1))
     cut = form_of(F.col("text"), h, plain, suffix_first) != "plain"
-    asked = counted.select("doc", "mark", "n", "piece", F.when(cut, F.array(F.least(one, other), F.greatest(one, other))).alias("requests"))
-    at = lambda i: F.floor((F.col("requests")[i] - 1) / BLOCK)
-    block = lambda x, i: F.struct(F.length(x).alias("length"), F.when((i == at(0)) | (i == at(1)), x).alias("text"))
-    return asked.select("doc", "mark", "n", "requests", F.when(F.col("requests").isNotNull(), F.transform("piece", block)).alias("blocks"))
+    asked = counted.select("doc", "mark", "n", "piece", F.when(cut, F.array(F.least(one, other), F.greatest(one, other))).alias("ordinals"))
+    block = lambda i: F.ceil(F.col("ordinals")[i] / BLOCK).cast("int") - 1
+    parts = F.transform(F.slice("piece", 1, block(1) + 1), lambda x, i: F.when((i == block(0)) | (i == block(1)), within(x)).otherwise(F.array(x)))
+    single = F.transform(F.slice("piece", 1, block(1) + 1), lambda x, i: F.when((i == block(0)) | (i == block(1)), F.array_repeat(F.lit(1), F.size(within(x)))).otherwise(F.array(F.lit(BLOCK))))
+    is_cut = F.col("ordinals").isNotNull()
+    return asked.select(
+        "doc", "mark", "n", "ordinals", F.when(is_cut, F.flatten(single)).alias("units"), F.when(is_cut, F.transform(F.flatten(parts), lambda x: F.length(x))).alias("chars")
+    )
 
 
-def offsets(matched: DataFrame, unit: str = CODE_POINT) -> DataFrame:
+def offsets(matched: DataFrame) -> DataFrame:
     """(doc, mark, n, start, end): how many code points of each text are before the middle, and before the suffix; null if it isn't cut."""
     key = ["doc", "mark"]
+    # a fixed number of partitions: their size in bytes says little of how many rows they are exploded to
+    n = int(matched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # rows that repeat an id and text are one document
-    once = matched.where(F.col("blocks").isNotNull()).groupBy(*key).agg(F.any_value("blocks").alias("blocks"))
-    running = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = once.select(*key, F.posexplode("blocks").alias("block", "b")).select(*key, "block", F.col("b.text").alias("text"), (F.sum("b.length").over(running) - F.col("b.length")).alias("before"))
-    found = blocks.where(F.col("text").isNotNull())
-
-    requests = matched.select(*key, "n", F.posexplode_outer("requests").alias("which", "ordinal"))
-    last = F.floor((F.col("ordinal") - 1) / BLOCK).cast("int")
-    asked = requests.where("ordinal > 0").select(*key, "which", last.alias("block"), (F.col("ordinal") - 1 - last * BLOCK).alias("place")).distinct()
-    units = asked.join(found, [*key, "block"]).select(*key, "block", "which", "before", "place", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?:{unit}|{CODE_POINT})"), F.lit(0))).alias("unit", "u"))
-    within = Window.partitionBy(*key, "block", "which").orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = units.withColumn("end", F.col("before") + F.sum(F.length("u")).over(within)).where("unit = place").select(*key, F.lit(None).cast("long").alias("n"), "which", "end")
-
-    every = ends.unionByName(requests.select(*key, "n", "which", F.when(F.col("ordinal") == 0, F.lit(0)).cast("long").alias("end")))
+    once = matched.where(F.col("units").isNotNull()).repartition(n, *key).groupBy(*key).agg(F.any_value(F.struct("units", "chars", "ordinals")).alias("d"))
+    matches = once.select(*key, "d.ordinals", F.posexplode(F.arrays_zip("d.units", "d.chars")).alias("at", "m")).select(*key, "ordinals", "at", "m.units", "m.chars")
+    running = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ended = matches.withColumn("ordinal", F.sum("units").over(running)).withColumn("end", F.sum("chars").over(running))
+    ended = ended.where(F.array_contains("ordinals", F.col("ordinal"))).select(*key, "ordinal", "end")
+
+    requests = matched.select(*key, "n", F.posexplode_outer("ordinals").alias("which", "ordinal"))
+    met = requests.join(ended, [*key, "ordinal"], "left").withColumn("end", F.when(F.col("ordinal") == 0, 0).otherwise(F.col("end")).cast("long"))
     of = lambda i: F.max(F.when(F.col("which") == i, F.col("end")))
-    return every.groupBy(*key).agg(F.max("n").alias("n"), of(0).alias("start"), of(1).alias("end"))
+    return met.groupBy(*key).agg(F.max("n").alias("n"), of(0).alias("start"), of(1).alias("end"))
 
 
 def fill_in_middle(
@@ -106,14 +108,16 @@ def fill_in_middle(
     content = F.coalesce(docs[text].cast("string"), F.lit(""))
     number = docs[doc_id].cast("long")
     keyed = docs.select(F.coalesce(number, F.lit(NO_ID)).alias("doc"), F.xxhash64(content).alias("mark"), number.alias("id"), content.alias("text"))
-    found = offsets(written(_matched(keyed, F.col("text"), unit, seed, plain, suffix_first), "units"), unit)
+    found = offsets(written(_matched(keyed, unit, seed, plain, suffix_first), "units"))
 
-    row = free_name(columns, "row")
-    named = docs.select(F.struct(*(docs[c].alias(c) for c in columns)).alias(row), F.coalesce(number, F.lit(NO_ID)).alias("doc"), F.xxhash64(content).alias("mark"), number.alias("id"), content.alias("text"))
+    # the text travels once: a null one is told by a flag
+    rest = [c for c in columns if c != text]
+    named = docs.select(F.struct(F.lit(1).alias("row"), *(docs[c].alias(f"c_{c}") for c in rest)).alias("rest"), docs[text].isNull().alias("no_text"), F.coalesce(number, F.lit(NO_ID)).alias("doc"), F.xxhash64(content).alias("mark"), number.alias("id"), content.alias("text"))
     joined = named.join(found, ["doc", "mark"], "left")
     form = form_of(F.col("text"), draws(F.col("id"), seed), plain, suffix_first)
     cut = joined.withColumn("form", form).withColumn("middle", F.col("end") - F.col("start"))
     piece = lambda a, n: F.substring(F.col("text"), a.cast("int"), n.cast("int"))
     output = arranged(F.col("form"), piece(F.lit(1), F.col("start")), piece(F.col("start") + 1, F.col("middle")), piece(F.col("end") + 1, F.length("text") - F.col("end")))
     told = F.struct(F.col("n"), F.col("form"), F.col("start").alias("prefix_chars"), F.col("middle").alias("middle_chars"), F.coalesce(output, F.col("text")).alias("output"))
-    return cut.select(*(F.col(row)[c].alias(c) for c in columns), told.cast(MADE).alias(made))
+    own = F.when(~F.col("no_text"), F.col("text"))
+    return cut.select(*((own if c == text else F.col("rest")[f"c_{c}"]).alias(c) for c in columns), told.cast(MADE).alias(made))
