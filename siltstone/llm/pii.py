@@ -9,7 +9,8 @@ is then checked over the whole table by ``collisions``.
 Names in Latin, Cyrillic or Greek letters are numbered, permuted, and spelled in syllables
 of their script with an ending of their gender. Names of other scripts get letters of
 their kind and Unicode page. Numbers keep their punctuation, their country code or country,
-and a valid check digit.
+and a valid check digit. Secrets (keys, tokens, passwords) are told by their form, or by a label
+before them, and keep their length, their case and where they have letters and digits.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import hashlib
 import ipaddress
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -29,11 +30,12 @@ from siltstone.llm.common import forget, written
 
 KEY = b"siltstone"
 
-# Titles by gender, given names by gender (they tell a name without a title, and its bearer's gender), the letters of
+# Titles by gender (n: none told), given names by gender (they tell a name without a title, and its bearer's gender), the letters of
 # each script that stand for each other, and the calling codes of two digits (1 and 7 have one, all others three).
 TITLES = {
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"),
-    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "г-жа"),
+    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "г-н"),
+    "n": ("Dr", "Prof", "Professor"),
 }
 GIVEN = {
     "f": ("Alice", "Anna", "Carmen", "Claire", "Elena", "Emma", "Eva", "Helga", "Ines", "Julia", "Karin", "Laura", "Lucia", "Maria", "Marie", "Mary", "Nina", "Olga", "Paula", "Rosa", "Sarah", "Sofia", "Susan", "Ursula"),
@@ -44,25 +46,43 @@ LETTERS = (
     "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъьё", "αεηιουω", "βγδζθκλμνξπρσςτφχψ", "άέήίόύώ",
 )
 CALLING = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
-DIGITS = "0123456789"
+DIGITS, HEX = "0123456789", "0123456789abcdef"
+# What is written before a name, and before a secret; beginnings of keys of well-known forms, and what follows them.
+NAME_LABELS = ("Name", "Contact", "Attn", "Dear", "Signed", "Sincerely", "Regards", "Customer", "Patient", "Employee")
+SECRET_LABELS = (
+    "token", "secret", "password", "passwd", "passphrase", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "private key", "private_key", "auth_key", "credential", "bearer",
+)
+KEY_FORMS = (
+    ("AKIA", "[A-Z0-9]{16}"), ("ASIA", "[A-Z0-9]{16}"), ("ghp_", "[A-Za-z0-9]{30,}"), ("gho_", "[A-Za-z0-9]{30,}"), ("github_pat_", "[A-Za-z0-9_]{30,}"), ("glpat-", "[A-Za-z0-9_-]{16,}"), ("sk-", "[A-Za-z0-9_-]{20,}"),
+    ("sk_live_", "[A-Za-z0-9]{16,}"), ("xox", "[abprs]-[A-Za-z0-9-]{10,}"), ("AIza", "[A-Za-z0-9_-]{30,}"), ("eyJ", r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+)
 #: Syllables of a name's surrogate, at least.
 LEAST_SYLLABLES = 3
 _CLASS = {c: (i, j) for i, letters in enumerate(LETTERS) for j, c in enumerate(letters)}
 _IDEOGRAPHS = range(0x4E00, 0x9FA6)
+_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 _DIGITAL = re.compile(
     r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.]*\w))"
     r"|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?![\w:]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\w)"
+    r"|(?<![\w.-])\d{3}([.-])\d{3}\6\d{4}(?![\w-]|\.\d)|(?<![\w.-])00[1-9]\d{0,2}[ .-]\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\w))"
     r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]))",
     re.ASCII,
 )
 _EMAIL = re.compile(r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})(?![\w@])")
-_TITLE = re.compile(r"(?<!\w)(?P<title>" + "|".join(t for g in ("f", "m") for t in TITLES[g]) + r")(?:\. ?| )(?P<first>[^\W\d_][\w'’-]*)(?: (?P<last>[^\W\d_][\w'’-]*))?")
+_TITLES = "|".join(t for g in ("f", "m", "n") for t in TITLES[g])
+_TITLE = re.compile(rf"(?<!\w)(?:(?:{_TITLES})(?:\. ?| ))*(?P<title>{_TITLES})(?:\. ?| )(?P<first>(?!(?:{_TITLES})(?!\w))[^\W\d_][\w'’-]*)(?: (?P<last>[^\W\d_][\w'’-]*))?")
+_LABELLED = re.compile(r"(?<!\w)(?:" + "|".join(NAME_LABELS) + r")(?:: ?|, ?| )(?:\n)?(?P<first>[^\W\d_a-z][^\W\d_]+) (?P<last>[^\W\d_a-z][^\W\d_]+(?:['’-][^\W\d_]+)*)(?!\w)")
+_KEY = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(start + rest for start, rest in KEY_FORMS) + r")(?![A-Za-z0-9])|(?<=-----)\s[A-Za-z0-9+/=\s]{40,}(?=-----END)")
+_KEY_STARTS = [*(start for start, _ in KEY_FORMS), "-----END"]
+_SECRET = re.compile(r"(?:" + "|".join(SECRET_LABELS) + r")(?![a-z])[\"'`]?\s{0,3}(?:(?P<sign>=>|:=|[=:]|\bis\b)|)\s{0,3}(?:(?P<quote>[\"'`])(?P<quoted>[^\s\"'`]{4,512})(?P=quote)|(?P<bare>[^\s\"'`,;<>()\[\]{}|]{6,512}))", re.IGNORECASE)
+_RANDOM = re.compile(r"(?=[^\s]*\d)[A-Za-z0-9+/_.~=-]{16,}|[0-9A-Fa-f]{16,}")
 _CALLED = re.compile(r"(?<!\w)(?P<first>" + "|".join(sorted((n for names in GIVEN.values() for n in names), key=len, reverse=True)) + r") (?P<last>[^\W\d_a-z][^\W\d_]+(?:['’-][^\W\d_]+)*)")
 _GENDER = {t: g for g, titles in TITLES.items() for t in titles}
+_GIVEN = [n for names in GIVEN.values() for n in names]
 _LISTED = {n.lower(): g for g, names in GIVEN.items() for n in names}
 
 
@@ -267,10 +287,12 @@ def _calling(digits: str) -> int:
 
 
 def canonical(kind: str, entity: str) -> str:
-    """What all spellings of an entity have in common. A number in (brackets) without a plus sign is one of calling code 1."""
+    """What all spellings of an entity have in common. A number without a plus sign or two zeros is one of calling code 1."""
     if kind == "phone":
         digits = "".join(c for c in entity if c in DIGITS)
-        return digits if entity.startswith("+") else f"1{digits}"
+        return digits if entity.startswith("+") else digits[2:] if entity.startswith("00") else f"1{digits}"
+    if kind == "secret":
+        return entity
     if kind == "ipv6":
         return ipaddress.IPv6Address(entity).exploded
     return _alnum(entity).lower() if kind in ("card", "iban", "ssn") else entity.lower()
@@ -303,7 +325,10 @@ def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
         digits = canonical(kind, entity)
         code = _calling(digits)
         new = _mapped([(int(d), 10) for d in digits[code:]], key, kind, f"{digits[:code]}/{len(digits)}")
-        return _digits_into(entity, [*(map(int, digits[:code]) if entity.startswith("+") else ()), *new])
+        before = "00" + digits[:code] if entity.startswith("00") else digits[:code] if entity.startswith("+") else ""
+        return _digits_into(entity, [*map(int, before), *new])
+    if kind == "secret":
+        return secret_surrogate(entity, key)
     if kind == "email":
         name, _, domain = entity.rpartition("@")
         body, _, top = domain.rpartition(".")
@@ -313,6 +338,48 @@ def surrogate(kind: str, entity: str, key: bytes = KEY) -> str:
     return shaped(entity, key, kind)
 
 
+def _is_hex(text: str) -> bool:
+    return len(text) > 7 and (all(c in HEX for c in text) or all(c in HEX.upper() for c in text))
+
+
+def secret_surrogate(secret: str, key: bytes) -> str:
+    """Hex digits stay hex digits of one case; else letters are permuted among those of their case, and digits. What is neither stays."""
+    hexadecimal = _is_hex(secret)
+    upper = hexadecimal and secret != secret.lower()
+    alphabets = [(HEX.upper() if upper else HEX) if hexadecimal else next((a for a in (DIGITS, _LOWER, _LOWER.upper()) if c in a), None) for c in secret]
+    shape = "".join(c if a is None else a[-1] for c, a in zip(secret, alphabets, strict=True))
+    made = secret
+    while made == secret or (_is_hex(made), made != made.lower()) != (hexadecimal, secret != secret.lower()):  # on, until it is a secret of this sort again
+        places = [(a.index(c), len(a)) for c, a in zip(made, alphabets, strict=True) if a is not None]
+        if not places:
+            break
+        values = iter(_mapped(places, key, "secret", shape))
+        made = "".join(c if a is None else a[next(values)] for c, a in zip(made, alphabets, strict=True))
+    return made
+
+
+def _has_any(text: str, words: Iterable[str]) -> bool:
+    """Whether a text has one of the words at all: much quicker than a pattern of them, and mostly it hasn't."""
+    return any(w in text for w in words)
+
+
+def _secrets(text: str) -> list[tuple[int, int, str]]:
+    """Keys of known forms, and what a label and a sign stand before: quoted, or with a digit or mark among six characters or more. Without a sign, only what looks random."""
+    found = [(*m.span(), "secret") for m in _KEY.finditer(text)] if _has_any(text, _KEY_STARTS) else []
+    low = text.lower()
+    if len(low) != len(text) or not _has_any(low, SECRET_LABELS):
+        low = text if len(low) != len(text) else ""
+    for m in _SECRET.finditer(text) if low else ():
+        if m["quoted"] and m["sign"]:
+            found.append((*m.span("quoted"), "secret"))
+        elif m["quoted"] or m["bare"]:
+            start, end = m.span("quoted" if m["quoted"] else "bare")
+            value = text[start:end].rstrip(".:!?")
+            if _RANDOM.fullmatch(value) or (m["sign"] and len(value) > 5 and any(not c.isalpha() for c in value) and "://" not in value):
+                found.append((start, start + len(value), "secret"))
+    return found
+
+
 def _cased(name: str, like: str) -> str:
     return name.upper() if len(like) > 1 and like == like.upper() else name if like == like.lower() else name[0].upper() + name[1:]
 
@@ -340,15 +407,23 @@ def _valid(kind: str, entity: str) -> bool:
 def detect(text: str) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, kind), in order.
 
-    A name is one with a title, or a listed given name before a capitalised word; where a text
-    has such a name, its bare parts count too.
+    A name is one with a title, a listed given name before a capitalised word, or two capitalised
+    words after a label (Name:, Dear); where a text has such a name, its bare parts count too.
+    Of entities that overlap the first counts, of those that begin together the longest; a secret
+    comes before all others.
     """
     found: list[tuple[int, int, str]] = []
     if "@" in text:
         found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
-    found += [(*m.span(), m.lastgroup) for m in _DIGITAL.finditer(text) if _valid(m.lastgroup, m[0])]
+    at = 0
+    while m := _DIGITAL.search(text, at):
+        good = _valid(m.lastgroup, m[0])
+        at = m.end() if good else m.start() + 1  # what isn't one may hold another
+        if good:
+            found.append((*m.span(), m.lastgroup))
+    found += _secrets(text)
     names: dict[str, str] = {}
-    for m in _TITLE.finditer(text):
+    for m in _TITLE.finditer(text) if _has_any(text, _GENDER) else ():
         first, last = m["first"], m["last"]
         if not first[0].isupper() and first[0].lower() != first[0].upper():
             continue
@@ -357,9 +432,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             names[last] = "family"
         else:
             names.setdefault(first, "family")
-    for m in _CALLED.finditer(text):
+    for m in _CALLED.finditer(text) if _has_any(text, _GIVEN) else ():
         names.setdefault(m["first"], f"given-{_LISTED[m['first'].lower()]}")
         names.setdefault(m["last"], "family")
+    for m in _LABELLED.finditer(text) if _has_any(text, NAME_LABELS) else ():
+        names.setdefault(m["first"], f"given-{_LISTED.get(m['first'].lower(), 'n')}")
+        names.setdefault(m["last"], "family")
     for name in list(names):
         if len(name) > 2:
             names.setdefault(name.upper(), names[name])
@@ -367,7 +445,9 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         spoken = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")(?!\w)")
         found += [(*m.span(), names[m[0]]) for m in spoken.finditer(text)]
     out: list[tuple[int, int, str]] = []
-    for start, end, kind in sorted(found, key=lambda x: (x[0], -x[1])):
+    hidden = sorted((x for x in found if x[2] == "secret"), key=lambda x: (x[0], -x[1]))
+    taken = [x for x in found if x[2] != "secret" and not any(x[0] < b and a < x[1] for a, b, _ in hidden)] if hidden else found
+    for start, end, kind in sorted([*hidden, *taken] if hidden else taken, key=lambda x: (x[0], -x[1])):
         if not out or start >= out[-1][1]:
             out.append((start, end, kind))
     return out
