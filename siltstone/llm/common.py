@@ -7,7 +7,7 @@ import re
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import xxhash
@@ -124,6 +124,20 @@ def free_name(columns: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+def plain_names(docs: DataFrame, *named: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """docs with its columns that begin like helper columns (``__``) under other names; what the columns ``named`` are called now; and
+
+    a function that gives such columns their names back, and leaves all others of its table as they are.
+    """
+    new: dict[str, str] = {}
+    for c in docs.columns:
+        if c.startswith("__"):
+            new[c] = free_name([*docs.columns, *new.values()], f"kept{c.rstrip('_')}")
+    old = {n: c for c, n in new.items()}
+    back = lambda df: df.select(*(F.col(f"`{c}`").alias(old.get(c, c)) for c in df.columns))
+    return docs.withColumnsRenamed(new) if new else docs, [new.get(c, c) for c in named], back if new else lambda df: df
+
+
 def folded(column: Column) -> Column:
     """A-Z lower-cased, other letters as they are."""
     return F.translate(column, UPPER, LOWER)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import forget, text_or_empty, written
+from siltstone.llm.common import forget, plain_names, text_or_empty, written
 from siltstone.llm.fm_index import FMIndex
 
 #: Words of a window; a document is contaminated if so much of it, or more, is hit.
@@ -207,8 +207,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _WHOLE = {"tinyint", "smallint", "int", "bigint"}
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, window: int = WINDOW, most: int | None = None) -> Iterator[Phrases]:
-    """The windows of all items with an id and a text, MOST_WINDOWS at a time; a long item may be in several blocks.
+def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, window: int = WINDOW, most: int | None = None) -> Iterator[tuple[Phrases, bool]]:
+    """The windows of all items with an id and a text, MOST_WINDOWS at a time, and whether more follow; a long item may be in several blocks.
 
     Ids are whole numbers, else they are taken as text. The driver holds about FETCHED bytes of items and one block.
     """
@@ -224,16 +224,20 @@ def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, window: int
     room = most
     for row in items.toLocalIterator():
         words, tail = stream_words(row["text"]), []
-        while fresh := list(islice(words, room if tail else room + window - 1)):
+        while True:
+            size = room if room > 0 else most
+            fresh = list(islice(words, size if tail else size + window - 1))
+            if not fresh:
+                break
+            if room <= 0:  # a block is told when there is more than it
+                yield Phrases(held, window), True
+                held, room = [], most
             piece = tail + fresh
             held.append((row["item"], piece))
             tail = piece[len(piece) - window + 1 :]
             room -= max(1, len(piece) - window + 1)
-            if room <= 0:
-                yield Phrases(held, window)
-                held, room = [], most
     if held:
-        yield Phrases(held, window)
+        yield Phrases(held, window), False
 
 
 def find_contamination(
@@ -259,23 +263,25 @@ def find_contamination(
     item = pa.int64() if whole else pa.string()
     added = f"__n_words long, __starts array<int>, __ends array<int>, __items array<{'long' if whole else 'string'}>"
     blocks = benchmark_blocks(benchmark, item_id, item_text, window)
-    now, after = next(blocks, None) or Phrases([], window), next(blocks, None)
+    now, more = next(blocks, (Phrases([], window), False))
 
     def searched(rows: DataFrame, phrases: Phrases, kept: list[str]):
         sent = spark.sparkContext.broadcast(phrases)
         ddl = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept), added])
         return rows.mapInArrow(_shards(sent, kept, inner, item), ddl), sent
 
-    if after is None:
+    if not more:
         return searched(chosen, now, keep)[0]
     mark = F.xxhash64(F.coalesce(F.col(f"`{inner}`"), F.lit("")))
     narrow = docs.select(docs[doc_id].alias("__id"), docs[text].alias(inner)).withColumn("__mark", mark)
     passes = []
-    while now is not None:
+    while True:
         found, sent = searched(narrow, now, ["__id", "__mark"])
         passes.append(written(found.where(F.size("__items") > 0) if passes else found, "pass"))
         sent.unpersist()
-        now, after = after, next(blocks, None)
+        if not more:
+            break
+        now, more = next(blocks)
     every = passes[0]
     for one in passes[1:]:
         every = every.unionByName(one)
@@ -306,7 +312,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """docs without the contaminated rows; all columns, and all other rows, as they are."""
     if docs.columns.count(text) != 1:
         raise ValueError(f"docs needs one column {text}")
-    return find_contamination(docs, benchmark, doc_id, text, keep=docs.columns).where(~is_contaminated()).select(*(f"`{c}`" for c in docs.columns))
+    docs, (doc_id, text), back = plain_names(docs, doc_id, text)
+    return back(find_contamination(docs, benchmark, doc_id, text, keep=docs.columns).where(~is_contaminated()).select(*(f"`{c}`" for c in docs.columns)))
 
 
 def text_spans(text: str | None, starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -339,5 +346,6 @@ def remove_passages(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id
     """
     if docs.columns.count(text) != 1:
         raise ValueError(f"docs needs one column {text}")
+    docs, (doc_id, text), back = plain_names(docs, doc_id, text)
     found = find_contamination(docs, benchmark, doc_id, text, keep=docs.columns).select(*(f"`{c}`" for c in docs.columns), "__starts", "__ends")
-    return found.mapInArrow(_cut(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return back(found.mapInArrow(_cut(text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import HOT_KEYS, WordHashes, forget, hot_join, mixed, shingles, text_or_empty, written
+from siltstone.llm.common import HOT_KEYS, WordHashes, forget, hot_join, mixed, plain_names, shingles, text_or_empty, written
 from siltstone.llm.components import connected
 from siltstone.llm.minhash import signatures
 
@@ -325,6 +325,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     All columns stay as they are. A text without words is a group of its own; rows without an id all stay.
     """
+    docs, (doc_id, text), back = plain_names(docs, doc_id, text)
     groups = near_groups(docs, doc_id, text, k)
     best = written(groups.where("doc = component").groupBy("doc").agg(F.min("mark").alias("mark"), F.count("*").alias("n")), "keepers")
     kept = docs.join(
@@ -333,4 +334,4 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     )
     if best.where("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["__doc"])
-    return kept.select(*(docs[c] for c in docs.columns)).unionByName(docs.where(docs[doc_id].isNull()))
+    return back(kept.select(*(docs[c] for c in docs.columns)).unionByName(docs.where(docs[doc_id].isNull())))

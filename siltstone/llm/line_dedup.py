@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import FOLD_BYTES, small_or_plain, text_or_empty, written
+from siltstone.llm.common import FOLD_BYTES, plain_names, small_or_plain, text_or_empty, written
 
 SPACE = " \t\n\v\f\r"
 #: A line key of fewer code points is left alone; so is one that fewer documents hold.
@@ -185,20 +185,23 @@ def kept_lines(text: str, keep: bytes | None) -> tuple[str, int, int]:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with text cut to the kept lines, and __n_lines, __n_dropped; other columns and all rows as they are.
+    """docs with text cut to the kept lines, and __n_lines, __n_dropped in place of columns of these names; other columns and all rows as they are.
 
     A text that loses nothing, null too, is returned unchanged.
     """
+    docs, (doc_id, text), back = plain_names(docs.drop("__n_lines", "__n_dropped"), doc_id, text)
     keep = bitmaps.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("keep").alias("__keep"))
     joined = docs.join(
         keep, (F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)) == keep["__doc"]) & (F.xxhash64(text_or_empty(docs, text)) == keep["__mark"]), "left"
     ).select(*(docs[c] for c in docs.columns), "__keep")
     cut = F.pandas_udf(_cut, "text string, n_lines long, n_dropped long")
     done = joined.withColumn("__cut", cut(F.col(text), F.col("__keep")))
-    return done.select(
-        *((F.col("__cut.text").alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns),
-        F.col("__cut.n_lines").alias("__n_lines"),
-        F.col("__cut.n_dropped").alias("__n_dropped"),
+    return back(
+        done.select(
+            *((F.col("__cut.text").alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns),
+            F.col("__cut.n_lines").alias("__n_lines"),
+            F.col("__cut.n_dropped").alias("__n_dropped"),
+        )
     )
 
 
@@ -209,8 +212,9 @@ def _cut(texts: pd.Series, keeps: pd.Series) -> pd.DataFrame:
 
 def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """docs without the long lines that many documents hold, except in the largest id that holds them."""
+    docs, (doc_id, text), back = plain_names(docs, doc_id, text)
     cut = apply_bitmaps(docs, keep_bitmaps(docs, doc_id, text, least_chars, least_docs), doc_id, text)
-    return cut.drop("__n_lines", "__n_dropped")
+    return back(cut.drop("__n_lines", "__n_dropped"))
 
 
 def with_length(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import free_name, small_or_plain
+from siltstone.llm.common import free_name, plain_names, small_or_plain
 
 #: Sources whose rates are broadcast at most; with more, the join is an ordinary one over so many parts of each source.
 MOST_SOURCES, PARTS = 5_000, 64
@@ -104,6 +104,7 @@ def mix_sources(
     global order.
     """
     number = free_name(docs.columns, number)
+    docs, (key, source), back = plain_names(docs, key, source)
     rates = source_rates(docs, source, weights, total)
     small = small_or_plain(rates, MOST_SOURCES)
     on = docs[source].eqNullSafe(small["__source"])
@@ -119,6 +120,6 @@ def mix_sources(
     upto = F.least("__count", F.col("__from") + (COPIES - 1))
     copies = runs.select(*own, F.explode(F.sequence(F.col("__from").cast("int"), upto.cast("int"))).alias(number))
     if not shuffle:
-        return copies
+        return back(copies)
     order = F.md5(F.concat_ws(":", F.lit(f"order{seed}"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), F.col(number)).cast("binary"))
-    return copies.repartition(order).sortWithinPartitions(order, F.col(f"`{key}`"), F.col(number))
+    return back(copies.repartition(order).sortWithinPartitions(order, F.col(f"`{key}`"), F.col(number)))

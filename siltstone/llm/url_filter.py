@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import folded, free_name, hot_join, small_or_plain
+from siltstone.llm.common import folded, free_name, hot_join, plain_names, small_or_plain
 
 #: Filter bits for each listed key; rows of the filter, and of the list, that are broadcast at most.
 BITS_A_KEY, MOST_BLOCKS, MOST_LISTED = 16, 65_536, 50_000
@@ -70,6 +70,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     names = []
     for wanted in ("host", "path", "rule", "verdict"):
         names.append(free_name([*pages.columns, *names], wanted))
+    pages, (url,), back = plain_names(pages, url)
     host, path = url_parts(pages[url].cast("string"))
     parted = pages.select("*", host.alias(names[0]), path.alias(names[1]))
 
@@ -82,7 +83,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     )
     n_listed = listed.count()
     if not n_listed:
-        return parted.select("*", F.lit(None).cast("string").alias(names[2]), F.lit("allow").alias(names[3]))
+        return back(parted.select("*", F.lit(None).cast("string").alias(names[2]), F.lit("allow").alias(names[3])))
     blocks = max(1, n_listed * BITS_A_KEY // (WORDS * WORD_BITS))
     bloom = small_or_plain(blocked_bloom(listed, "key", blocks), MOST_BLOCKS)
     exact = listed.select("key", "action")
@@ -109,4 +110,4 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     best = hits.groupBy("__host", "__path").agg(F.max(F.struct(F.length("key").alias("long"), "key", "action")).alias("__best"))
     judged = urls.join(best, ["__host", "__path"], "left").toDF(names[0], names[1], "n", "__best")
     found = hot_join(parted, judged, names[:2], total)
-    return found.select(*(f"`{c}`" for c in parted.columns), F.col("__best.key").alias(names[2]), F.coalesce("__best.action", F.lit("allow")).alias(names[3]))
+    return back(found.select(*(f"`{c}`" for c in parted.columns), F.col("__best.key").alias(names[2]), F.coalesce("__best.action", F.lit("allow")).alias(names[3])))

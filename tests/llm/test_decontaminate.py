@@ -77,7 +77,7 @@ def test_blocks_of_windows_lose_none(spark, monkeypatch):
     bench = spark.createDataFrame([(1, text), (2, "a b"), (3, " ".join(text.split()[:13])), (4, "")], "item_id long, text string")
     for most in (1, 5, 50, 10_000):
         windows = {}
-        for block in D.benchmark_blocks(bench, "item_id", "text", 13, most):
+        for block, _ in D.benchmark_blocks(bench, "item_id", "text", 13, most):
             names = {v: k for k, v in block.code.items()}
             for p, row in enumerate(block.symbols.tolist()):
                 windows.setdefault(tuple(names[c] for c in row if c), set()).update(block.items(p))
