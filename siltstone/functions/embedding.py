@@ -63,11 +63,16 @@ class Embedder:
         return np.bincount(places[:, 0], weights=places[:, 1], minlength=self.dimensions)
 
 
+def place_of(token: str, *, dimensions: int = DIMENSIONS, model: str = MODEL) -> tuple[int, int]:
+    """Place and sign of a token in vectors of this model and size."""
+    return Embedder(dimensions, model).place(token)
+
+
 def embed_text(text: str, *, dimensions: int = DIMENSIONS, model: str = MODEL) -> list[float]:
     """The unit vector of one text; blank, wordless and cancelling texts are errors."""
     counts = Embedder(dimensions, model).counts(text)
     if counts is None:
-        raise IndexingError("text must contain a word")
+        raise IndexingError("a vector needs a text with words")
     norm = float(np.sqrt((counts**2).sum()))
     if not norm:
         raise IndexingError("the words of the text cancel each other")
@@ -86,7 +91,7 @@ def embed(rows: DataFrame, *, text: str = "text", dimensions: int = DIMENSIONS,
                 counts = embedder.counts(value)
                 norm = 0.0 if counts is None else float(np.sqrt((counts**2).sum()))
                 if not norm and strict:
-                    raise IndexingError("text must contain a word, and its words must not cancel each other")
+                    raise IndexingError("a vector needs a text with words that do not cancel each other")
                 vectors.append((counts / norm).tolist() if norm else None)
             n = batch.num_rows
             added = [pa.array(vectors, pa.list_(pa.float64())), pa.array([model] * n), pa.array([dimensions] * n, pa.int32())]

@@ -23,7 +23,7 @@ def checked_config(strategy: str, chunk_size: int, overlap: int, separators: Seq
     if not whole(chunk_size) or chunk_size < 1:
         raise ChunkingError("chunk_size counts characters: a whole number from 1")
     if not whole(overlap) or not 0 <= overlap < chunk_size:
-        raise ChunkingError("overlap must be an integer smaller than chunk_size")
+        raise ChunkingError("overlap is a whole number from 0, below chunk_size")
     if not isinstance(separators, (tuple, list)) or not separators or not all(isinstance(s, str) and s for s in separators):
         raise ChunkingError("separators are strings, one at least, none of them empty")
 

@@ -79,6 +79,19 @@ def _matrix(lists: pa.ListArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1 if len(lists) else 0)
 
 
+def best_of(scores: np.ndarray, place: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, score) of the top_k rows of every column, ties by place: only rows that reach a column's top_k-th score are sorted."""
+    n = len(scores)
+    least = np.partition(scores, n - top_k, axis=0)[n - top_k] if n > top_k else np.full(scores.shape[1], -np.inf)
+    column, row = np.nonzero((scores >= least).T)
+    score = scores[row, column]
+    order = np.lexsort((place[row], -score, column))
+    row, column, score = row[order], column[order], score[order]
+    first = np.searchsorted(column, column)  # where the column's rows begin
+    kept = np.arange(len(column)) - first < top_k
+    return row[kept], column[kept], score[kept]
+
+
 def _scorer(sent, question_id: str, tenant: str | None, scoped: bool, kept: list[str], order: tuple[str, ...], top_k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, tenants, asked = sent.value
@@ -101,12 +114,10 @@ def _scorer(sent, question_id: str, tenant: str | None, scoped: bool, kept: list
                 mine = np.array(mine)
                 for a in range(0, len(questions), 256):  # a product of bounded size
                     part = questions[a : a + 256]
-                    s = np.round(vectors[mine] @ asked[part].T, digits)
-                    for j, q in enumerate(part):
-                        best = np.lexsort((place[mine], -s[:, j]))[:top_k]
-                        rows.append(mine[best])
-                        told += [ids[q]] * len(best)
-                        scores.append(s[best, j])
+                    row, column, score = best_of(np.round(vectors[mine] @ asked[part].T, digits), place[mine], top_k)
+                    rows.append(mine[row])
+                    told += [ids[part[j]] for j in column.tolist()]
+                    scores.append(score)
             if rows:
                 taken = batch.select(kept).take(pa.array(np.concatenate(rows)))
                 yield pa.record_batch([pa.array(told), pa.array(np.concatenate(scores)), *taken.columns], [question_id, "score", *kept])

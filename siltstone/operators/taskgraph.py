@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.sources import storage
+
 STARTED = ("in_progress", "implemented", "verified")
 
 
@@ -22,17 +24,22 @@ def edges(tasks: DataFrame) -> DataFrame:
 
 
 def cycles(tasks: DataFrame) -> DataFrame:
-    """(id) of the tasks on a cycle, or that wait for one: what is left when tasks without open needs are taken away, round by round."""
-    left = edges(tasks)
-    n = -1
-    while True:
-        rows = left.collect()  # a project's tasks, not data
-        if len(rows) in (0, n):
-            return left.select("id").distinct()
-        n = len(rows)
-        now = tasks.sparkSession.createDataFrame(rows, left.schema)
-        waiting = now.select(F.col("id").alias("needs")).distinct()
-        left = now.join(waiting, "needs", "left_semi").select("id", "needs")
+    """(id) of the tasks on a cycle, or that wait for one: what is left when tasks without open needs are taken away, round by round.
+
+    The rounds are as many as the longest chain that ends; each writes the edges that are left,
+    and the driver sees their number.
+    """
+    left = storage.held(edges(tasks), "edges")
+    n = left.count()
+    while n:
+        waiting = left.select(F.col("id").alias("needs")).distinct()
+        before, left = left, storage.held(left.join(waiting, "needs", "left_semi").select("id", "needs"), "edges")
+        storage.delete_held(before)
+        m = left.count()
+        if m == n:
+            break
+        n = m
+    return left.select("id").distinct()
 
 
 def rule_errors(tasks: DataFrame, states: tuple[str, ...], gates: tuple[str, ...]) -> DataFrame:
@@ -58,7 +65,7 @@ def rule_errors(tasks: DataFrame, states: tuple[str, ...], gates: tuple[str, ...
         e(cycles(tasks), "dependency cycle"),
     ]
     if active.count() > 1:
-        parts.append(e(active, "only one active leaf task allowed"))
+        parts.append(e(active, "several leaf tasks are active"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -96,23 +103,31 @@ def evidence_errors(tasks: DataFrame, records: DataFrame, folder: str) -> DataFr
 def invalidate(tasks: DataFrame) -> DataFrame:
     """(id, status) when no started task lacks a verified prerequisite and no verified one has an unverified child.
 
-    Each round blocks, or takes back to implemented, all tasks that must be; the driver loops as
-    often as the graph is deep and sees one count a round.
+    Each round writes what has to change because of the round before (blocked, or taken back to
+    implemented) and what follows from that alone is looked at next. The rounds are as many as
+    the graph is deep; the driver sees one count of each.
     """
-    needs = prerequisites(tasks)
+    needs = storage.held(prerequisites(tasks), "needs")
     parents = tasks.where("parent is not null").select("id", "parent")
-    now = tasks.select("id", "status")
+    base = tasks.select("id", "status")
+    fresh = base.where("status is null or status <> 'verified'").select("id")  # not verified since the last round
+    told: DataFrame | None = None  # (id, new) of all rounds
     while True:
-        unverified = now.where("status <> 'verified'").select(F.col("id").alias("u"))
-        waiting = needs.join(unverified, F.col("needs") == F.col("u"), "left_semi").select("id").distinct().withColumn("waiting", F.lit(True))
-        open_kids = parents.join(unverified, F.col("id") == F.col("u"), "left_semi").select(F.col("parent").alias("id")).distinct().withColumn("open_kid", F.lit(True))
-        state = now.join(waiting, "id", "left").join(open_kids, "id", "left")
-        new = F.when(F.col("status").isin(*STARTED) & F.coalesce("waiting", F.lit(False)), "blocked").when((F.col("status") == "verified") & F.coalesce("open_kid", F.lit(False)), "implemented").otherwise(F.col("status"))
-        after = state.select("id", "status", new.alias("new"))
-        rows = after.collect()  # a project's tasks, not data
-        now = tasks.sparkSession.createDataFrame([(r["id"], r["new"]) for r in rows], now.schema)
-        if all(r["status"] == r["new"] for r in rows):
-            return now
+        waiting = needs.join(fresh.select(F.col("id").alias("needs")), "needs", "left_semi").select("id").distinct().join(base.where(F.col("status").isin(*STARTED)).select("id"), "id", "left_semi").select("id", F.lit("blocked").alias("new"))
+        open_kids = parents.join(fresh, "id", "left_semi").select(F.col("parent").alias("id")).distinct().join(base.where("status = 'verified'").select("id"), "id", "left_semi").select("id", F.lit("implemented").alias("new"))
+        found = waiting.unionByName(open_kids).groupBy("id").agg(F.min("new").alias("new"))  # blocked before implemented
+        if told is not None:  # what is blocked stays so
+            known = told.groupBy("id").agg(F.min("new").alias("old"))
+            found = found.join(known, "id", "left").where("old is null or new < old").select("id", "new")
+        step = storage.held(found, "invalid")
+        if step.isEmpty():
+            break
+        told = step if told is None else told.unionByName(step)
+        fresh = step.join(base.where("status = 'verified'"), "id", "left_semi").select("id")
+    if told is None:
+        return base
+    last = told.groupBy("id").agg(F.min("new").alias("new"))
+    return base.join(last, "id", "left").select("id", F.coalesce("new", "status").alias("status"))
 
 
 def status_view(tasks: DataFrame) -> DataFrame:
@@ -137,7 +152,7 @@ def status_view(tasks: DataFrame) -> DataFrame:
         F.when(F.col("waiting").isNotNull(), F.concat(F.lit("waiting for "), F.array_join("waiting", ", "))),
         F.when((F.col("id") != milestone) & F.lit(current["status"] == "blocked"), F.concat(F.lit(f"{milestone}: "), F.lit(current["blocker"] or ""))),
         F.when(F.col("status") == "blocked", F.concat("id", F.lit(": "), F.coalesce("blocker", F.lit("")))),
-        F.when(F.lit(active is not None) & (F.col("id") != (active["id"] if active is not None else "")), F.lit(f"waiting for active task {active['id'] if active is not None else ''}")),
+        F.when(F.lit(active is not None) & (F.col("id") != (active["id"] if active is not None else "")), F.lit(f"after the active task {active['id'] if active is not None else ''}")),
     ))
     standing = F.when(F.size(reasons) > 0, "Blocked").when(F.col("status") == "in_progress", "Active").when(F.col("status") == "implemented", "Awaiting verification").otherwise("Eligible task")
     return rows.select(F.lit(milestone).alias("milestone"), "id", standing.alias("standing"), reasons.alias("reasons"))

@@ -639,7 +639,7 @@ def exit_codes(spark, d):
 _SAID = r"regexp_replace(text, '[^\x20-\x7E\n]', '?', 'g')"
 
 
-@query(rf"""SELECT conv_id || '-' || turn AS document_id, CAST(1 AS INTEGER) AS pages, CASE WHEN t <> '' THEN md5(t) END AS digest, CASE WHEN t = '' THEN 'document text is empty' END AS error FROM (
+@query(rf"""SELECT conv_id || '-' || turn AS document_id, CAST(1 AS INTEGER) AS pages, CASE WHEN t <> '' THEN md5(t) END AS digest, CASE WHEN t = '' THEN 'the document has no text' END AS error FROM (
   SELECT conv_id, turn, trim(regexp_replace({_SAID}, '[ \t]+(\n|$)', '\1', 'g'), chr(9) || chr(10) || ' ') AS t FROM conversations)""")
 def pdf_pages(spark, d):
     """Conversations as one-page PDF files, parsed again: brackets and backslashes are escaped in the file."""

@@ -6,13 +6,14 @@ that SQL can't compute (BLAKE2b places, PDF files) stand beside the values they
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone import schemas
 from siltstone.functions import embedding as E
 from siltstone.functions import text as T
 from siltstone.operators import answers, index, judging, lifecycle, metrics, reports, retrieval, taskgraph, validation
@@ -26,7 +27,7 @@ from siltstone.sources import corpus, storage
 _STRIPPED = "trim(regexp_replace(replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+(\\n|$)', '\\1', 'g'), chr(9) || chr(10) || ' ')"
 
 
-@query(rf"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'content is not valid UTF-8' WHEN doc_id % 7 = 1 THEN 'unsupported source_format doc' WHEN doc_id % 7 = 2 THEN 'document text is empty' END AS error,
+@query(rf"""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'content is not valid UTF-8' WHEN doc_id % 7 = 1 THEN 'unsupported source_format doc' WHEN doc_id % 7 = 2 THEN 'the document has no text' END AS error,
   CASE WHEN doc_id % 7 > 2 THEN md5('# Name' || chr(10) || {_STRIPPED.format("'x' || text")}) END AS digest, CASE WHEN doc_id % 7 > 2 THEN 'Name' END AS document_name FROM documents""")
 def ingest_bytes(spark, d):
     n = F.col("doc_id") % 7
@@ -37,35 +38,53 @@ def ingest_bytes(spark, d):
     return made.select(F.col("document_id").cast("long").alias("doc_id"), "error", F.when(good, F.md5(F.col("text").cast("binary"))).alias("digest"), F.when(good, F.col("document_name")).alias("document_name"))
 
 
-def _corpus(spark) -> str:
-    """A catalog of two sellers, one of them listed twice, and its files, written to a scratch folder."""
+def _files(spark, d) -> str:
+    """Every document as a text file, in a folder of its seller and one of its own; a seller has the documents of 500 ids of one source."""
     root = storage.scratch(spark, "corpus")
-    entry = lambda s, n, kind, path: {"document_id": n, "document_name": n.title(), "policy_type": "p", "version": "1", "format": kind, "path": path, "created_at": "then", "updated_at": "now"}
-    sellers = [("north", [entry("north", "returns", "markdown", "north/returns.md"), entry("north", "care", "txt", "care.txt"), entry("north", "lost", "txt", "north/lost.txt")]), ("south", [entry("south", "returns", "md", "south/returns.md")]), ("north", [entry("north", "late", "txt", "care.txt")])]
-    listed = {"corpus_id": "c", "corpus_version": "1", "created_at": "x", "notes": "", "sellers": [{"seller_id": s, "seller_name": s, "documents": e} for s, e in sellers]}
-    for name, text in (("corpus.json", json.dumps(listed)), ("north/returns.md", "# Returns\n## Window — days\nThirty days.\n"), ("care.txt", "Wash cold.\r\n"), ("south/returns.md", "# Returns\nSeven days.")):
-        storage.write_whole(spark, f"{root}/{name}", text.encode())
+    seller = F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 500))
+    table(spark, d, "documents").select("text", seller.alias("seller"), F.col("doc_id").alias("document")).write.partitionBy("seller", "document").text(root)
     return root
 
 
-@query("""SELECT * FROM (VALUES (0, 'returns', 'Returns', 'markdown', '# Returns' || chr(10) || '## Window — days' || chr(10) || 'Thirty days.', CAST(1 AS BIGINT), NULL),
-  (1, 'care', 'Care', 'txt', 'Wash cold.', 0, NULL), (2, 'lost', 'Lost', 'txt', NULL, 0, 'provide exactly one of text and content')) t(position, document_id, document_name, source_format, text, sections, error)""")
+def _catalogs(spark, root: str) -> str:
+    """A catalog for each seller of the files, listing them; some with a path or format that is wrong, and each seller with a second entry. Returns the pattern."""
+    path = F.regexp_extract("path", r"(seller=[^/]*/document=\d+/[^/]*)$", 1)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(path.alias("p"), F.regexp_extract("path", r"document=(\d+)", 1).cast("long").alias("n"), F.substring_index(path, "/", 1).alias("s"))
+    bad = lambda k, wrong, right: F.when(F.col("n") % 11 == k, wrong).otherwise(right)
+    at = bad(3, F.concat(F.lit("../"), "p"), bad(5, F.lit("seller=other/x"), bad(7, F.concat("s", F.lit("/gone.txt")), F.col("p"))))
+    fields = [F.col("n").cast("string").alias("document_id"), F.lit("").alias("document_name"), F.lit("p").alias("policy_type"), F.lit("1").alias("version"), bad(9, F.lit("pdf"), F.lit("text")).alias("format"), at.alias("path"), F.lit("then").alias("created_at"), F.lit("now").alias("updated_at")]
+    each = listed.groupBy("s").agg(F.collect_list(F.struct(*fields)).alias("documents"))
+    entry = lambda documents, name: F.struct(F.col("s").alias("seller_id"), F.lit(name).alias("seller_name"), documents.alias("documents"))
+    whole = F.struct(F.lit("c").alias("corpus_id"), F.lit("1").alias("corpus_version"), F.lit("x").alias("created_at"), F.lit("").alias("notes"), F.array(entry(F.col("documents"), "first"), entry(F.slice("documents", 1, 1), "late")).alias("sellers"))
+    each.select(F.to_json(whole).alias("value"), F.col("s").alias("of")).write.partitionBy("of").text(f"{root}/catalogs")
+    return "catalogs/*/*.txt"
+
+
+_SELLER = "'seller=' || source || '-' || doc_id // 500"
+
+
+@query(f"""SELECT {_SELLER} AS seller_id, doc_id, CASE doc_id % 11 WHEN 3 THEN 'path leaves its folder' WHEN 5 THEN 'path is another seller''s' WHEN 7 THEN 'either text or content is wanted' WHEN 9 THEN 'no PDF' END AS error,
+  CASE WHEN doc_id % 11 NOT IN (3, 5, 7, 9) THEN md5({_STRIPPED.format("text")}) END AS digest FROM documents""")
 def seller_corpus(spark, d):
-    made = corpus.ingest_seller_corpus(spark, "north", root=_corpus(spark), strict=False)
-    place = F.when(F.col("document_id") == "returns", 0).when(F.col("document_id") == "care", 1).otherwise(2)
-    return made.select(place.alias("position"), "document_id", "document_name", "source_format", "text", F.greatest(F.size("sections"), F.lit(0)).cast("long").alias("sections"), "error")
+    """The documents as files, listed in catalogs of their sellers: of a seller's two entries the first counts, and what can't be read says why."""
+    root = _files(spark, d)
+    made = corpus.ingest_corpus(spark, root=root, catalog=_catalogs(spark, root), strict=False)
+    why = F.when(F.contains("error", F.lit("PDF")), "no PDF").otherwise(F.element_at(F.split("error", ": "), -1))
+    return made.select("seller_id", F.col("document_id").cast("long").alias("doc_id"), why.alias("error"), F.when(F.col("error").isNull(), F.md5(F.col("text").cast("binary"))).alias("digest"))
 
 
-@query("SELECT 'south' AS seller_id, 'one' AS document_id, 'Returns' AS document_name, 'markdown' AS source_format, 'south/returns.md' AS source_path, '# Returns' || chr(10) || 'Seven days.' AS text")
+@query(f"SELECT {_SELLER} AS seller_id, doc_id, 'text' AS source_format, md5({_STRIPPED.format('text')}) AS digest FROM documents")
 def ingest_path(spark, d):
-    made = corpus.ingest_document(spark, " south ", "one", source_format="md", path="south/returns.md", root=_corpus(spark))
-    return made.select("seller_id", "document_id", "document_name", "source_format", "source_path", "text")
+    """Every file of the sellers' folders, with what its path says of it."""
+    made = corpus.ingest_files(spark, _files(spark, d), source_format="text", strict=False)
+    return made.select("seller_id", F.regexp_extract("document_id", r"document=(\d+)", 1).cast("long").alias("doc_id"), "source_format", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-@query("SELECT * FROM (VALUES ('north', CAST(3 AS BIGINT)), ('south', 1), ('north', 1)) t(seller_id, documents)")
+@query(f"WITH n AS (SELECT {_SELLER} AS seller_id, count(*) AS n FROM documents GROUP BY ALL) SELECT seller_id, 'first' AS seller_name, n AS documents FROM n UNION ALL SELECT seller_id, 'late', 1 FROM n")
 def catalog_json(spark, d):
-    listed = corpus.read_json(spark, f"{_corpus(spark)}/corpus.json", schemas.CATALOG).select(F.explode("sellers").alias("s"))
-    return listed.select("s.seller_id", F.size("s.documents").cast("long").alias("documents"))
+    root = _files(spark, d)
+    listed = corpus.read_catalog(spark, f"{root}/{_catalogs(spark, root)}")
+    return listed.groupBy("seller_id", "seller_name").agg(F.count("*").alias("documents"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'x y' WHEN doc_id % 4 = 3 THEN source END AS name FROM documents")
@@ -74,29 +93,46 @@ def required_strings(spark, d):
     return table(spark, d, "documents").select("doc_id", T.required(given, "name", False).alias("name"))
 
 
-def _pdf(*contents: bytes, deflate: bool = False, tree: bool = True) -> bytes:
-    """A file whose page tree lists its pages from last to first; without the tree they come as written."""
-    out = [b"%PDF-1.4\n%\xe2\xe3\n"]
-    for i, content in enumerate(contents):
-        body, head = (zlib.compress(content), b"<< /Filter /FlateDecode >>") if deflate else (content, b"<< /Length 1 >>")
-        out.append(b"%d 0 obj << /Type /Page /Contents [%d 0 R] >> endobj %d 0 obj %s stream\r\n%s\nendstream endobj\n" % (10 + 2 * i, 11 + 2 * i, 11 + 2 * i, head, body))
-    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in reversed(range(len(contents))))
-    return b"".join([*out, b"1 0 obj << /Type /Pages /Kids [1 0 R " + kids + b"] >> endobj\n"] if tree else out)
+def _literal(text: str) -> bytes:
+    return b"(" + b"".join(b"\\%03o" % c if c in b"()\\" else bytes([c]) for c in text.encode("latin-1")) + b")"
+
+
+def _pdf(number: int, text: str) -> bytes:
+    """A file with a page for each 600 characters, whose content is two streams: a literal, and in turn a hexadecimal string, an array and a deflated one.
+
+    Even numbers have a tree, which lists the pages from last to first and itself among them; else they come as written.
+    """
+    out, kids = [b"%PDF-1.4\n%\xe2\xe3\n"], []
+    for i, a in enumerate(range(0, len(text), 600)):
+        one, two = text[a : a + 300], text[a + 300 : a + 600]
+        spelled = b"<" + two.encode("latin-1").hex().encode() + b"> Tj"
+        if i % 3 == 1:
+            spelled = b"[" + _literal(two[:100]) + b" -250 <" + two[100:].encode("latin-1").hex().encode() + b">] TJ"
+        head, body = (b"<< /Filter /FlateDecode >>", zlib.compress(spelled)) if i % 3 == 2 else (b"<< /Length 1 >>", spelled)
+        n = 10 + 3 * i
+        out.append(b"%d 0 obj << /Type /Page /Contents [%d 0 R %d 0 R] >> endobj %d 0 obj << >> stream\r\n%s Tj\nendstream endobj\n%d 0 obj %s stream\n%s\r\nendstream endobj\n" % (n, n + 1, n + 2, n + 1, _literal(one), n + 2, head, body))
+        kids.append(b"%d 0 R" % n)
+    if number % 2 == 0:
+        out.append(b"1 0 obj << /Type /Pages /Kids [1 0 R " + b" ".join(reversed(kids)) + b"] >> endobj\n")
+    return b"".join(out)
 
 
-_PDFS = [
-    ("order", _pdf(b"(one) Tj", b"(two) Tj"), "two|one"), ("flat", _pdf(b"(one) Tj", b"(two) Tj", tree=False), "one|two"), ("deflated", _pdf(b"[(a) -3 <6263>] TJ (d) Tj <65> Tj", deflate=True), "d e a bc"),
-    ("escapes", _pdf(rb"(x\101\(y\)\q \0612) Tj (p(q)r) Tj () Tj"), "xA(y)q 12 p(q)r"), ("twice", _pdf(b"(old) Tj") + b"11 0 obj << >> stream\n(new) Tj\nendstream endobj", "new"),
-]
+def _pdfs(numbers: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([_pdf(n, t) for n, t in zip(numbers, texts, strict=True)])
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}', NULL)" for n, _, t in _PDFS) + ", ('bad', NULL, 'broken'), ('none', NULL, 'broken')) t(document_id, pages, error)")
+@query(rf"""WITH p AS (SELECT doc_id, i, substr(said, 600 * i + 1, 300) AS one, substr(said, 600 * i + 301, 300) AS two FROM (
+  SELECT doc_id, said, CAST(unnest(range(0, CAST(ceil(length(said) / 600.0) AS BIGINT))) AS INTEGER) AS i FROM (SELECT doc_id, {C._SAID} AS said FROM documents))),
+shown AS (SELECT doc_id, i, one || chr(10) || CASE WHEN i % 3 = 1 AND length(two) > 100 THEN substr(two, 1, 100) || chr(10) || substr(two, 101) ELSE two END AS said FROM p),
+page AS (SELECT doc_id, i, {_STRIPPED.format("said")} AS t FROM shown)
+SELECT doc_id, count(*) AS pages, CASE WHEN bool_or(t <> '') THEN md5(string_agg(t, '|' ORDER BY CASE WHEN doc_id % 2 = 0 THEN -i ELSE i END)) END AS digest FROM page GROUP BY doc_id""")
 def pdf_constants(spark, d):
-    bad = _pdf(b"(x) Tj", deflate=True).replace(zlib.compress(b"(x) Tj"), b"not deflated")
-    rows = [("s", n, "pdf", data) for n, data, _ in _PDFS] + [("s", "bad", "pdf", bad), ("s", "none", "pdf", b"no file")]
-    made = corpus.parsed(spark.createDataFrame(rows, "seller_id string, document_id string, source_format string, content binary"), strict=False)
-    pages = F.array_join(F.transform("pages", lambda p: F.replace(p["text"], F.lit("\n"), F.lit(" "))), "|")
-    return made.select("document_id", F.when(F.col("error").isNull(), pages).alias("pages"), F.when(F.col("error").isNotNull(), "broken").alias("error"))
+    """The documents as PDF files of many pages and every kind of string, scanned again."""
+    said = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^\x20-\x7E\n]", "?").alias("said"))
+    content = F.pandas_udf(_pdfs, "binary")("doc_id", "said")
+    made = corpus.parsed(said.select(F.lit("shop").alias("seller_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("pdf").alias("source_format"), content.alias("content")), strict=False)
+    pages = F.array_join(F.transform("pages", lambda p: p["text"]), "|")
+    return made.select(F.col("document_id").cast("long").alias("doc_id"), F.size("pages").cast("long").alias("pages"), F.when(F.col("error").isNull(), F.md5(pages.cast("binary"))).alias("digest"))
 
 
 # text and vectors
@@ -113,9 +149,9 @@ def fences(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.unfenced(fenced).alias("bare"))
 
 
-@query("""SELECT doc_id, list_aggregate(list_sort(list_filter(list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z0-9@.$%]+')), lambda w: length(w) > 2 AND w NOT IN ({}))), 'string_agg', ' ') AS words FROM documents""".format(", ".join(f"'{w}'" for w in T.STOP_WORDS)))
+@query("""SELECT doc_id, list_aggregate(list_sort(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9@.$%]+')), lambda w: length(w) > 2 AND w NOT IN ({}))), 'string_agg', ' ') AS words FROM documents""".format(", ".join(f"'{w}'" for w in T.STOP_WORDS)))
 def content_word_list(spark, d):
-    words = F.array_join(F.array_sort(T.content_words(F.substring("text", 1, 200))), " ")
+    words = F.array_join(F.array_sort(T.content_words(F.col("text"))), " ")
     return table(spark, d, "documents").select("doc_id", F.nullif(words, F.lit("")).alias("words"))
 
 
@@ -132,15 +168,23 @@ def chunk_id_any_script(spark, d):
     return C.fixed(spark, d).select("doc_id", "chunk_position", E.chunk_id(c).alias("chunk_id"))
 
 
-#: Words, and the place (of 256) and sign that BLAKE2b gives them.
-_PLACES = [("Refund", 83, -1), ("shipping", 116, -1), ("Straße", 12, 1), ("日本", 207, 1), ("x1_y", 144, 1), ("FOURTEEN", 78, 1)]
+#: Common words of the tables' languages; their places and signs, as BLAKE2b has them, are in the SQL as numbers.
+_COMMON = "the of and to in that is on for with der die das und nicht den von zu mit ein le la les de des et un une est que el los las por con para del una se".split()
+_PLACES = ", ".join(f"('{w}', {int.from_bytes(h[:4], 'big') % 256}, {1 if h[4] & 1 else -1})" for w in _COMMON for h in [hashlib.blake2b(w.encode(), digest_size=8).digest()])
 
 
-@query("SELECT word, CAST(place AS INTEGER) AS place, CAST(sign AS DOUBLE) AS sign FROM (VALUES " + ", ".join(f"('{w}', {p}, {s})" for w, p, s in _PLACES) + ") t(word, place, sign)")
+@query(f"""SELECT doc_id, place, CAST(sum(sign) AS BIGINT) AS weight FROM (SELECT doc_id, unnest({C._TOKENS.format("text")}) AS t FROM documents) JOIN (VALUES {_PLACES}) p(word, place, sign) ON t = word
+GROUP BY ALL HAVING sum(sign) <> 0""")
 def blake2b_places(spark, d):
-    rows = E.embed(spark.createDataFrame([(w, f"{w}, {w}!") for w, _, _ in _PLACES], "word string, text string"))
-    place = F.array_position(F.transform("embedding", lambda x: x != 0), True).cast("int") - 1
-    return rows.select("word", place.alias("place"), F.element_at("embedding", place + 1).alias("sign"))
+    """The vectors of whole texts, of which only the common words are left, taken apart again: the weight of every place."""
+    kept = F.array_join(F.filter(T.tokens(F.col("text")), lambda t: t.isin(*_COMMON)), " ")
+    rows = E.embed(table(spark, d, "documents").select("doc_id", kept.alias("text")), strict=False).where("embedding is not null")
+    told = rows.select("doc_id", "text", F.posexplode("embedding").alias("place", "x")).where("x <> 0")
+    # vectors have unit length: the length they were divided by is made anew from the words
+    counts = rows.select("doc_id", F.explode(F.split("text", " ")).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("n"))
+    places = spark.createDataFrame([(w, *E.place_of(w)) for w in _COMMON], "t string, place int, sign int")
+    norm = counts.join(places, "t").groupBy("doc_id", "place").agg(F.sum(F.col("n") * F.col("sign")).alias("w")).groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return told.join(norm, "doc_id").select("doc_id", "place", F.round(F.col("x") * F.col("norm")).cast("long").alias("weight"))
 
 
 # index and retrieval
@@ -292,9 +336,12 @@ def judge_batches(spark, d):
     return answers.batches_by_size(rows, "size", "at").select("conv_id", "turn", "batch")
 
 
-@query("""SELECT '{"additionalProperties": false, "properties": {"results": {"items": {"additionalProperties": false, "properties": {"example_index": {"type": "integer"}, "points": {"items": {"enum": [0, 1], "type": "integer"}, "type": "array", "uniqueItems": true}, "relevant": {"type": "boolean"}}, "required": ["example_index", "points", "relevant"], "type": "object"}, "maxItems": 3, "minItems": 3, "type": "array"}}, "required": ["results"], "type": "object"}' AS schema""")
+@query("""SELECT n, '{"additionalProperties": false, "properties": {"results": {"items": {"additionalProperties": false, "properties": {"example_index": {"type": "integer"}, "points": {"items": {"enum": [0, 1], "type": "integer"}, "type": "array", "uniqueItems": true}, "relevant": {"type": "boolean"}}, "required": ["example_index", "points", "relevant"], "type": "object"}, "maxItems": ' || n || ', "minItems": ' || n || ', "type": "array"}}, "required": ["results"], "type": "object"}' AS schema
+FROM (SELECT DISTINCT count(*) AS n FROM conversations GROUP BY conv_id)""")
 def judge_schema(spark, d):
-    return spark.createDataFrame([(json.dumps(answers.judge_schema(["points", "relevant"], 3, [0, 1]), sort_keys=True),)], "schema string")
+    """What a judge of a whole conversation must return, for every length that conversations have."""
+    made = F.udf(lambda n: json.dumps(answers.judge_schema(["points", "relevant"], n, [0, 1]), sort_keys=True), "string")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select("n").distinct().select("n", made("n").alias("schema"))
 
 
 # validation
@@ -378,36 +425,48 @@ def task_evidence(spark, d):
 
 # reports
 
-@query("SELECT sha256('a.txt\\x00one\\x00b/c.txt\\x00two\\x00'::BLOB) AS whole, sha256('b/c.txt\\x00two\\x00'::BLOB) AS part, substr(sha256('{\"a\": [1], \"b\": \"x\"}'), 1, 16) AS run_id")
-def fingerprints(spark, d):
+def _control_files(spark, d) -> tuple[str, list[str]]:
+    """A small file for each source, with how many documents and characters it has; (root, names)."""
     root = storage.scratch(spark, "files")
-    for name, content in (("b/c.txt", b"two"), ("a.txt", b"one")):
-        storage.write_whole(spark, f"{root}/{name}", content)
-    found = [reports.fingerprint(spark, [f"{root}/{n}" for n in names], root) for names in (("b/c.txt", "a.txt"), ("b/c.txt",))]
-    return spark.createDataFrame([(*found, reports.run_id({"b": "x", "a": [1]}))], "whole string, part string, run_id string")
+    rows = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    for r in rows:
+        storage.write_whole(spark, f"{root}/{r['source']}/sums.txt", f"{r['n']} documents, {r['chars']} characters".encode())
+    return root, sorted(f"{r['source']}/sums.txt" for r in rows)
+
+
+_CONTROL = "SELECT source, source || '/sums.txt' || chr(0) || count(*) || ' documents, ' || sum(length(text)) || ' characters' || chr(0) AS piece FROM documents GROUP BY source"
+
+
+@query(f"""WITH f AS ({_CONTROL}) SELECT sha256(string_agg(piece, '' ORDER BY source)) AS whole, sha256(string_agg(piece, '' ORDER BY source) FILTER (WHERE source <> 'src1')) AS part,
+  substr(sha256('{{"a": [' || count(*) || '], "b": "x"}}'), 1, 16) AS run_id FROM f""")
+def fingerprints(spark, d):
+    root, names = _control_files(spark, d)
+    found = [reports.fingerprint(spark, [f"{root}/{n}" for n in some], root) for some in (reversed(names), [n for n in names if not n.startswith("src1/")])]
+    return spark.createDataFrame([(*found, reports.run_id({"b": "x", "a": [len(names)]}))], "whole string, part string, run_id string")
 
 
-@query("SELECT sha256(sha256('keep.txt\\x00k\\x00'::BLOB) || '{\"features\": [{\"id\": 1}]}') AS snapshot")
+@query(f"""WITH f AS ({_CONTROL}) SELECT sha256((SELECT sha256(string_agg(piece, '' ORDER BY source)) FROM f WHERE source <> 'src1') || '{{"features": [' || string_agg('{{"id": ' || n_nationkey || '}}', ', ' ORDER BY n_nationkey) || ']}}') AS snapshot FROM nation""")
 def tree_snapshot(spark, d):
-    root = storage.scratch(spark, "tree")
-    for name, content in (("keep.txt", b"k"), ("drop/x.txt", b"d")):
-        storage.write_whole(spark, f"{root}/{name}", content)
-    made = reports.tree_snapshot(spark, root, {"features": [{"id": 1, "status": "verified", "blocker": None}]}, excluded=("drop/",))
+    """The sources' control files but one, and the nations as tasks without what may change of them."""
+    root, _ = _control_files(spark, d)
+    tasks = [{"id": r[0], "status": "verified", "blocker": None} for r in table(spark, d, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    made = reports.tree_snapshot(spark, root, {"features": tasks}, excluded=("src1/",))
     return spark.createDataFrame([(made,)], "snapshot string")
 
 
-@query("""SELECT * FROM (VALUES ('{"n": 2}', CAST(3 AS BIGINT), CAST(1 AS BIGINT))) t(report, cached_rows, runs)""")
+@query("""SELECT source, count(*) AS n, (SELECT count(*) FROM documents) + 1 AS pinned, CAST(1 AS BIGINT) AS runs FROM documents GROUP BY source""")
 def reports_kept(spark, d):
     """A pinned report is replaced whole, a failing one isn't pinned, and a cached run isn't made again."""
     root = storage.scratch(spark, "reports")
-    for report in ({"status": "passed", "n": 1}, {"status": "passed", "n": 2}, {"status": "failed", "n": 3}):
-        reports.write_baseline(spark, report, f"{root}/report.json", True)
+    docs = table(spark, d, "documents")
+    n = docs.count()
+    for status, value in (("passed", n), ("passed", n + 1), ("failed", n + 2)):
+        reports.write_baseline(spark, {"status": status, "n": value}, f"{root}/report.json", True)
     made: list[int] = []
     for _ in range(2):
-        kept = reports.cached(spark, f"{root}/run", "sha", lambda: (made.append(1), spark.range(3))[1])
-    text = F.to_json(F.struct(F.get_json_object("value", "$.n").cast("int").alias("n")))
-    one = spark.read.text(f"{root}/report.json", wholetext=True).select(F.replace(text, F.lit(":"), F.lit(": ")).alias("report"))
-    return one.crossJoin(kept.agg(F.count("*").alias("cached_rows"))).withColumn("runs", F.lit(len(made)).cast("long"))
+        kept = reports.cached(spark, f"{root}/run", "sha", lambda: (made.append(1), docs.groupBy("source").agg(F.count("*").alias("n")))[1])
+    pinned = spark.read.text(f"{root}/report.json", wholetext=True).select(F.get_json_object("value", "$.n").cast("long").alias("pinned"))
+    return kept.select("source", "n").crossJoin(F.broadcast(pinned)).withColumn("runs", F.lit(len(made)).cast("long"))
 
 
 @query("SELECT n_regionkey, count(*) AS n, run_id, 'k=' || run_id AS configuration FROM nation, (VALUES ('one'), ('two')) r(run_id) GROUP BY ALL")

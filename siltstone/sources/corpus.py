@@ -44,10 +44,10 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document, with its seller and place in the catalog."""
-    sellers = read_json(spark, path, schemas.CATALOG).select(F.posexplode("sellers").alias("seller_at", "s"))
-    return sellers.select("seller_at", "s.seller_id", "s.seller_name", F.posexplode("s.documents").alias("document_at", "d")).select(
-        "seller_at", "document_at", "seller_id", "seller_name", "d.*"
+    """One row a document, with its seller and place in the catalog; path: a file, or a pattern of several."""
+    sellers = read_json(spark, path, schemas.CATALOG).select(F.col("_metadata.file_path").alias("file"), F.posexplode("sellers").alias("seller_at", "s"))
+    return sellers.select("file", "seller_at", "s.seller_id", "s.seller_name", F.posexplode("s.documents").alias("document_at", "d")).select(
+        "file", "seller_at", "document_at", "seller_id", "seller_name", "d.*"
     )
 
 
@@ -67,9 +67,10 @@ def _pdf(contents: pd.Series) -> pd.DataFrame:
 def parsed(raw: DataFrame, strict: bool = True) -> DataFrame:
     """Rows of schemas.DOCUMENT from rows with seller_id, document_id, source_format, source_path and text or content.
 
-    Optional columns: document_name, policy_type, section, version, created_at, updated_at. A
-    row with another format, with bytes that aren't UTF-8 or no PDF, or without text is an error:
-    strict fails the job, else the column ``error`` says what is wrong (null if nothing).
+    Optional columns: document_name, policy_type, section, version, created_at, updated_at, and
+    scope, which says what is wrong with the row's path (null if nothing). A row with another
+    format, with bytes that aren't UTF-8 or no PDF, or without text is an error: strict fails the
+    job, else the column ``error`` says what is wrong (null if nothing).
     """
     have = raw.columns
     optional = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
@@ -80,7 +81,7 @@ def parsed(raw: DataFrame, strict: bool = True) -> DataFrame:
     rows = raw.select(
         T.required(F.col("seller_id"), "seller_id", False).alias("seller_id"), T.required(F.col("document_id"), "document_id", False).alias("document_id"),
         *(optional(c).alias(c) for c in ("document_name", "policy_type", "section", "version", "created_at", "updated_at")),
-        kind.alias("source_format"), optional("source_path").alias("source_path"), given.alias("given"), content.alias("content"),
+        kind.alias("source_format"), optional("source_path").alias("source_path"), optional("scope").alias("scope"), given.alias("given"), content.alias("content"),
         F.is_valid_utf8(content.cast("string")).alias("utf8"),
     )
     # only PDF rows carry bytes to the Python workers
@@ -91,14 +92,15 @@ def parsed(raw: DataFrame, strict: bool = True) -> DataFrame:
     from_pages = F.array_join(F.filter(F.transform(pages, lambda p: p["text"]), lambda t: t != ""), "\n\n")
     text = T.clean(F.when(F.col("given").isNotNull(), F.col("given")).when(F.col("source_format") == "pdf", from_pages).otherwise(F.col("content").cast("string")))
     error = (
-        F.when(F.col("seller_id").isNull(), "seller_id is required")
+        F.when(F.col("scope").isNotNull(), F.concat_ws(": ", "source_path", "scope"))
+        .when(F.col("seller_id").isNull(), "seller_id is required")
         .when(F.col("document_id").isNull(), "document_id is required")
         .when(~F.col("source_format").isin(*FORMATS), F.concat(F.lit("unsupported source_format "), "source_format"))
-        .when(F.col("given").isNotNull() == F.col("content").isNotNull(), "provide exactly one of text and content")
-        .when((F.col("source_format") == "pdf") & F.col("given").isNotNull(), "pdf requires content")
+        .when(F.col("given").isNotNull() == F.col("content").isNotNull(), "either text or content is wanted")
+        .when((F.col("source_format") == "pdf") & F.col("given").isNotNull(), "a PDF comes as content")
         .when(F.col("pdf.error").isNotNull(), F.col("pdf.error"))
         .when((F.col("source_format") != "pdf") & F.col("content").isNotNull() & ~F.col("utf8"), "content is not valid UTF-8")
-        .when(F.coalesce(F.length("text"), F.lit(0)) == 0, "document text is empty")
+        .when(F.coalesce(F.length("text"), F.lit(0)) == 0, "the document has no text")
     )
     done = rows.withColumn("text", text).withColumn("pages", F.coalesce(pages, F.array().cast(f"array<{schemas.PAGE}>"))).withColumn("error", error)
     done = done.withColumn("document_name", T.document_name(F.col("document_name"), F.col("text"), F.col("document_id"))).withColumn("sections", T.sections(F.col("text")))
@@ -116,9 +118,9 @@ def ingest_document(spark: SparkSession, seller_id: str, document_id: str, *, so
             raise IngestionError(f"{name} is required")
     kind = known_format(source_format)
     if sum(x is not None for x in (text, content, path)) != 1:
-        raise IngestionError("provide exactly one of text, content, or path")
+        raise IngestionError("one input is wanted: a text, bytes or a path")
     if text is not None and kind == "pdf":
-        raise IngestionError("pdf requires bytes content or a file path")
+        raise IngestionError("a PDF comes as bytes or a path, not as text")
     if path is not None:
         parts = [p for p in re.split("/", str(path)) if p not in ("", ".")]
         if not str(path).strip() or str(path).startswith("/") or ".." in parts or len(parts) > 1 and parts[0] != seller_id.strip():
@@ -132,25 +134,56 @@ def ingest_document(spark: SparkSession, seller_id: str, document_id: str, *, so
     return parsed(spark.createDataFrame([tuple(row.values())], ddl))
 
 
+def files_under(spark: SparkSession, root: str, seller_id: str | None = None, beside: bool = True) -> DataFrame:
+    """(path, content) of the files under root, by their full paths: all, or those in a seller's folder and, with ``beside``, in root itself."""
+    every = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if seller_id is None:
+        return every.load(root).select("path", "content")
+    found = [every.load(f"{root}/{seller_id}").select("path", "content")] if storage.exists(spark, f"{root}/{seller_id}") else []
+    if beside or not found:
+        found.append(spark.read.format("binaryFile").load(root).select("path", "content"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def ingest_files(spark: SparkSession, root: str, *, source_format: str | None = None, strict: bool = True) -> DataFrame:
+    """Every file in a seller's folder under root as a document: the folder is the seller, the rest of the path the document's id.
+
+    The format is the name's ending, or ``source_format``. Errors as in ``parsed``.
+    """
+    files = files_under(spark, root)
+    relative = F.substring(F.col("path"), F.lit(len(storage.qualified(spark, root)) + 2), F.length("path"))
+    named = files.select(relative.alias("source_path"), "content").where(F.contains("source_path", F.lit("/")))
+    ending = F.lower(F.substring_index("source_path", ".", -1))
+    return parsed(
+        named.select(F.substring_index("source_path", "/", 1).alias("seller_id"), F.regexp_replace("source_path", "^[^/]*/", "").alias("document_id"), "source_path", "content", (F.lit(source_format) if source_format else ending).alias("source_format")), strict
+    )
+
+
+def ingest_corpus(spark: SparkSession, *, root: str, catalog: str = "corpus.json", seller_id: str | None = None, strict: bool = True) -> DataFrame:
+    """All documents of a catalog, or of one seller: of each seller its first entry, joined with the files under root by path.
+
+    catalog: a path under root, or a pattern of several files. With strict the first document that
+    can't be read, or whose path is out of its seller's scope, fails the job; else its row says
+    why in the column ``error`` and all other documents are there.
+    """
+    listed = read_catalog(spark, f"{root}/{catalog}")
+    if seller_id is not None:
+        listed = listed.where(F.col("seller_id") == seller_id)
+    first = listed.groupBy("seller_id").agg(F.min(F.struct("file", "seller_at")).alias("first"))
+    listed = listed.join(first, "seller_id").where((F.col("file") == F.col("first.file")) & (F.col("seller_at") == F.col("first.seller_at"))).withColumn("scope", scope_violation(F.col("seller_id"), F.col("path")))
+    files = files_under(spark, root, seller_id, beside=seller_id is not None and not listed.where(~F.contains("path", F.lit("/"))).isEmpty())
+    full = F.concat(F.lit(f"{storage.qualified(spark, root)}/"), F.col("c.path"))
+    joined = listed.alias("c").join(files.alias("f"), F.when(F.col("c.scope").isNull(), full) == F.col("f.path"), "left")
+    described = [F.col(f"c.{c}").alias(c) for c in ("seller_id", "document_id", "document_name", "policy_type", "version", "created_at", "updated_at")]
+    raw = joined.select(*described, F.col("c.format").alias("source_format"), F.col("c.path").alias("source_path"), "f.content", F.col("c.scope").alias("scope"))
+    return parsed(raw, strict)
+
+
 def ingest_seller_corpus(spark: SparkSession, seller_id: str, *, root: str, catalog: str = "corpus.json", strict: bool = True) -> DataFrame:
-    """All documents of a seller: its first entry in the catalog, joined with the files under root by path."""
-    listed = read_catalog(spark, f"{root}/{catalog}").where(F.col("seller_id") == seller_id)
-    first = listed.agg(F.min("seller_at")).first()[0]
-    if first is None:
+    """All documents of a seller, as ``ingest_corpus`` has them; an unknown seller, or one without documents, fails."""
+    if read_catalog(spark, f"{root}/{catalog}").where(F.col("seller_id") == seller_id).isEmpty():
         raise IngestionError(f"unknown seller_id {seller_id!r}, or no documents")
-    listed = listed.where(F.col("seller_at") == first).withColumn("scope", scope_violation(F.col("seller_id"), F.col("path")))
-    bad = listed.where("scope is not null").select("path", "scope").first()
-    if bad is not None:
-        raise IngestionError(f"{bad['path']}: {bad['scope']}")
-    # the seller's folder, and files beside the catalog where a path has one part
-    reader = spark.read.format("binaryFile")
-    found = [reader.option("recursiveFileLookup", "true").load(f"{root}/{seller_id}")] if storage.exists(spark, f"{root}/{seller_id}") else []
-    if not found or not listed.where(~F.contains("path", F.lit("/"))).isEmpty():
-        found.append(spark.read.format("binaryFile").load(root))
-    files = reduce(DataFrame.unionByName, (f.select("path", "content") for f in found))
-    joined = listed.alias("c").join(files.alias("f"), F.col("f.path") == F.concat(F.lit(f"{storage.qualified(spark, root)}/"), F.col("c.path")), "left")
-    raw = joined.select("document_at", "c.seller_id", "c.document_id", "c.document_name", "c.policy_type", "c.version", "c.created_at", "c.updated_at", F.col("c.format").alias("source_format"), F.col("c.path").alias("source_path"), "f.content")
-    return parsed(raw, strict)
+    return ingest_corpus(spark, root=root, catalog=catalog, seller_id=seller_id, strict=strict)
 
 
 def table_documents(docs: DataFrame, more: Sequence[str] = ()) -> DataFrame:

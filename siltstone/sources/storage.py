@@ -58,7 +58,14 @@ def held(df: DataFrame, name: str) -> DataFrame:
     """df written to a scratch path: computed once, however often it is read."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._held_at = path
+    return out
+
+
+def delete_held(df: DataFrame) -> None:
+    """Delete a table that ``held`` made and no plan will read again."""
+    delete(df.sparkSession, df._held_at)
 
 
 def write_whole(spark: SparkSession, path: str, content: bytes) -> None:

@@ -170,7 +170,7 @@ def test_invalidation_and_cycles(spark):
 def test_status_view(spark):
     rows = [("p0", None, "verified", []), ("p1", None, "in_progress", ["p0"]), ("a", "p1", "in_progress", []), ("b", "p1", "not_started", []), ("c", "p1", "blocked", ["b"])]
     view = {r["id"]: (r["standing"], r["reasons"]) for r in G.status_view(tasks(spark, rows)).collect()}
-    assert view["a"] == ("Active", []) and view["b"] == ("Blocked", ["waiting for active task a"]) and view["c"][1] == ["waiting for b", "c: why", "waiting for active task a"]
+    assert view["a"] == ("Active", []) and view["b"] == ("Blocked", ["after the active task a"]) and view["c"][1] == ["waiting for b", "c: why", "after the active task a"]
     assert G.status_view(tasks(spark, [("p0", None, "verified", [])])).count() == 0
 
 

@@ -38,7 +38,7 @@ def test_growing_input(spark, places):
     first = texts(index_documents.run(spark, folder, out, mark))
     assert first == {("a", "1"): "red coats", ("a", "2"): "blue hats", ("b", "1"): "green boots"}
     told = deltas.documents(spark, out).groupBy("status", "error").count().collect()
-    assert {tuple(r) for r in told if r["status"] == "rejected" and r["error"] == "document text is empty"} == {("rejected", "document text is empty", 1)}
+    assert {tuple(r) for r in told if r["status"] == "rejected" and r["error"] == "the document has no text"} == {("rejected", "the document has no text", 1)}
     before = {p: os.path.getmtime(p) for p in glob.glob(f"{out}/**/*.parquet", recursive=True)}
 
     assert texts(index_documents.run(spark, folder, out, mark)) == first  # nothing new
