@@ -63,6 +63,13 @@ class Embedder:
         return np.bincount(places[:, 0], weights=places[:, 1], minlength=self.dimensions)
 
 
+    def unit(self, text: str | None) -> list[float] | None:
+        """The unit vector; None if the text has no word, or its words cancel each other."""
+        counts = self.counts(text)
+        norm = 0.0 if counts is None else float(np.sqrt((counts**2).sum()))
+        return (counts / norm).tolist() if norm else None
+
+
 def place_of(token: str, *, dimensions: int = DIMENSIONS, model: str = MODEL) -> tuple[int, int]:
     """Place and sign of a token in vectors of this model and size."""
     return Embedder(dimensions, model).place(token)
@@ -86,13 +93,9 @@ def embed(rows: DataFrame, *, text: str = "text", dimensions: int = DIMENSIONS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embedder = Embedder(dimensions, model)
         for batch in batches:
-            vectors = []
-            for value in batch.column(text).to_pylist():
-                counts = embedder.counts(value)
-                norm = 0.0 if counts is None else float(np.sqrt((counts**2).sum()))
-                if not norm and strict:
-                    raise IndexingError("a vector needs a text with words that do not cancel each other")
-                vectors.append((counts / norm).tolist() if norm else None)
+            vectors = [embedder.unit(value) for value in batch.column(text).to_pylist()]
+            if strict and None in vectors:
+                raise IndexingError("a vector needs a text with words that do not cancel each other")
             n = batch.num_rows
             added = [pa.array(vectors, pa.list_(pa.float64())), pa.array([model] * n), pa.array([dimensions] * n, pa.int32())]
             yield pa.record_batch([*(batch.column(c) for c in kept), *added], [*kept, "embedding", "embedding_model", "embedding_dimensions"])

@@ -45,12 +45,19 @@ def bm25(chunks: DataFrame, questions: DataFrame, *, chunk_id: str, question_id:
     # counted where the chunk is: the exchange carries the questions' terms only
     terms = sized.select(chunk_id, tenant, F.size("tokens").alias("length"), F.explode("tokens").alias("token")).join(wanted, [tenant, "token"])
     tf = terms.groupBy(chunk_id, tenant, "length", "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(tenant, "token").agg(F.count("*").alias("df"))  # a row a term of the questions: partial sums, then few rows
-    known = df.join(totals, tenant)
+    named = tf.withColumnRenamed(tenant, "tenant") if tenant != "tenant" else tf
+    scored = bm25_weights(named, totals.withColumnRenamed(tenant, "tenant") if tenant != "tenant" else totals, k1=k1, b=b)
+    met = scored.join(asked.withColumnRenamed(tenant, "tenant") if tenant != "tenant" else asked, ["tenant", "token"])
+    return met.groupBy(question_id, chunk_id, "tenant").agg(F.round(F.sum("w"), digits).alias("bm25")).withColumnRenamed("tenant", tenant)
+
+
+def bm25_weights(tf: DataFrame, totals: DataFrame, *, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """tf (tenant, token, tf, length and a chunk's key) with w, what the token adds to the chunk's score; totals: tenant, n chunks and their mean length."""
+    df = tf.groupBy("tenant", "token").agg(F.count("*").alias("df"))  # a row a term of the questions: partial sums, then few rows
+    known = df.join(totals, "tenant")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = tf.join(known, [tenant, "token"]).select(chunk_id, tenant, "token", weight.alias("w"))
-    return scored.join(asked, [tenant, "token"]).groupBy(question_id, chunk_id, tenant).agg(F.round(F.sum("w"), digits).alias("bm25"))
+    return tf.join(known, ["tenant", "token"]).withColumn("w", weight).drop("df", "n", "mean", "tf", "length")
 
 
 def hybrid(dense: DataFrame, lexical: DataFrame, keys: list[str], *, query: str, weight: float = 0.5, top_k: int = 5, order: str = "chunk_id", digits: int = 12) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone import schemas
 from siltstone.errors import EvaluationError
+from siltstone.sources import storage
 
 IDENTITY = ("seller_id", "document_id", "version", "section")
 #: The least that a generation report must reach.
@@ -55,6 +59,43 @@ def nearest_rank(x: str, fraction: float) -> Column:
     return F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY `{x}`)")
 
 
+#: Ranges that a selection cuts a group's values in, in every round; values of a group that are sorted at once, at most.
+RANGES, SORTED = 512, 4_096
+_GREATEST = sys.float_info.max
+
+
+def selected(rows: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
+    """(by, name, value) for each fraction by name: the value of nearest rank, ceil(n * fraction), of each group, exactly, whatever its size.
+
+    In every round a group's range of values is cut in RANGES, counted, and the one range that has
+    the rank is looked at next, until it has SORTED values at most or one value many times. So no
+    task holds a group's values: partial counts travel. Nulls and NaNs don't count; a group
+    without values has none.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
+    values = rows.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    wanted = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(f)).alias("f")) for n, f in fractions.items()))).alias("w")
+    state = values.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).select("*", wanted)
+    # a fraction is taken as the decimal number it is written as
+    rank = F.greatest(F.ceil(F.round(F.col("n") * F.col("w.f"), 9)), F.lit(1)).cast("long")
+    state = storage.held(state.select(*keys, "w.name", "n", "lo", "hi", rank.alias("rank")), "ranks")
+    same = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys], F.lit(True))
+    inside = lambda s: values.alias("x").join(s.alias("s"), same("x", "s") & F.col("x.v").between(F.col("s.lo"), F.col("s.hi"))).select("s.*", "x.v")
+    wide = (F.col("n") > SORTED) & (F.col("lo") < F.col("hi"))
+    while not state.where(wide).isEmpty():
+        # lo and hi are in different ranges, however close they are; infinite ones count as the greatest numbers
+        v, lo, hi = (F.greatest(F.least(F.col(c), F.lit(_GREATEST)), F.lit(-_GREATEST)) for c in ("v", "lo", "hi"))
+        share = F.when(hi / 2 - lo / 2 < _GREATEST / 2, (v - lo) / (hi - lo)).otherwise((v / 2 - lo / 2) / (hi / 2 - lo / 2))
+        counted = inside(state.where(wide)).withColumn("at", F.least(F.floor(share * RANGES), F.lit(RANGES - 1))).groupBy(*keys, "name", "rank", "at").agg(F.count("*").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("m").over(Window.partitionBy(*keys, "name").orderBy("at"))
+        next_ = counted.withColumn("upto", upto).where("upto >= rank and upto - m < rank").select(*keys, "name", F.col("m").alias("n"), F.col("low").alias("lo"), F.col("high").alias("hi"), (F.col("rank") - (F.col("upto") - F.col("m"))).alias("rank"))
+        before, state = state, storage.held(state.where(~wide).unionByName(next_), "ranks")
+        storage.delete_held(before)
+    done = state.where("lo = hi").select(*keys, "name", F.col("lo").alias("value"))
+    last = inside(state.where("lo < hi")).groupBy(*keys, "name", "rank").agg(F.sort_array(F.collect_list("v")).alias("vs")).select(*keys, "name", F.element_at("vs", F.col("rank").cast("int")).alias("value"))
+    return done.unionByName(last).select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), "name", "value")
+
+
 def run_metrics(graded: DataFrame, *by: str) -> DataFrame:
     """The metrics of a retrieval run over graded cases with latency_ms and failed: one row, or one for each group."""
     return graded.groupBy(*by).agg(

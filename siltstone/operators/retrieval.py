@@ -48,12 +48,13 @@ def retrieve_chunks(spark: SparkSession, path: str, seller_id: str, query: str,
 
 
 def top_k_of(
-    rows: DataFrame, asked: DataFrame, *, question_id: str, vector: str, order: tuple[str, ...], tenant: str | None = None, row_tenant: str | None = None, top_k: int = 5, digits: int = 12
-) -> DataFrame:
+    rows: DataFrame, asked: DataFrame, *, question_id: str, vector: str, order: tuple[str, ...], tenant: str | None = None, row_tenant: str | None = None, top_k: int = 5, digits: int = 12,
+    row_vector: str | None = None,
+) -> DataFrame:
     """(question_id, row_tenant, score, rank, *order) of each question's top_k rows: in its tenant, or in every one, or (without row_tenant) in all.
 
-    rows: order, row_tenant and a vector, rows with a null in vector or row_tenant left out;
-    asked: question_id, tenant and a vector. The questions are a stated set, sent in blocks of
+    rows: order, row_tenant and a vector (of another name, if row_vector is given), rows with a
+    null in vector or row_tenant left out; asked: question_id, tenant and a vector. The questions are a stated set, sent in blocks of
     MOST_QUESTIONS: each batch of rows is one matrix product, and sends on only its own best
     top_k, so that the exchange carries candidates, not scores. Ties go by order.
     """
@@ -63,7 +64,7 @@ def top_k_of(
     named = asked.where(F.col(vector).isNotNull()).select(F.col(question_id).alias("q"), (F.col(tenant) if tenant else F.lit(None).cast("string")).alias("t"), F.col(vector).cast("array<double>").alias("v"))
     keys = [row_tenant] if row_tenant else []
     kept = [*keys, *order]
-    usable = rows.select(*kept, F.col(vector).cast("array<double>").alias("__v")).dropna(subset=["__v", *keys])
+    usable = rows.select(*kept, F.col(row_vector or vector).cast("array<double>").alias("__v")).dropna(subset=["__v", *keys])
     ddl = ", ".join([f"`{question_id}` {asked.schema[question_id].dataType.simpleString()}", "score double", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)])
     found = None
     for k in range(blocks):

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import embedding as E
 from siltstone.functions import text as T
-from siltstone.operators import answers, index, judging, lifecycle, metrics, reports, retrieval, taskgraph, validation
+from siltstone.functions import sql as sql_functions
+from siltstone.operators import answers, clusters, conversations, index, judging, lifecycle, metrics, postings, reports, retrieval, taskgraph, validation
 from siltstone.plans import catalogue as C
 from siltstone.plans.catalogue import table
-from siltstone.plans.registry import query
+from siltstone.plans.registry import ORACLE_SQL, query
 from siltstone.sources import corpus, storage
 
 # sources
@@ -423,6 +424,73 @@ def task_evidence(spark, d):
     return taskgraph.evidence_errors(tasks, records, "evidence")
 
 
+@query(ORACLE_SQL["topk_embeddings"])
+def topk_pruned(spark, d):
+    """Exact top five of stored vectors through cells: what a cell can't reach isn't read."""
+    path = storage.scratch(spark, "cells")
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    clusters.write_cells(v, path, id_column="vec_id", vector="embedding", cells=16, rounds=5)
+    asked = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    found, _ = clusters.nearest(spark, path, asked, query_id="query_id", vector="embedding", order=("vec_id",), digits=6)
+    return found.select("query_id", "vec_id", "score", "rank")
+
+
+@query()
+def question_clusters(spark, d):
+    """The users' turns in eight groups of like words; compared with a plain loop in the tests."""
+    asked = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), "text")
+    vectors = storage.held(E.embed(asked, model=E.TWIN, strict=False), "questions")
+    centres = clusters.kmeans(vectors, id_column="question_id", vector="embedding", k=8, rounds=5)
+    return clusters.assigned(vectors.select("question_id", "embedding"), centres, vector="embedding").select("question_id", "cell")
+
+
+@query("""SELECT conv_id, turn, coalesce(string_agg(text, '|') OVER (PARTITION BY conv_id ORDER BY turn, text ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), '') AS memory FROM conversations""")
+def conversation_memory(spark, d):
+    """The three turns before each, from a stream that gets the early turns in one batch and the late ones in the next."""
+    folder, out, mark = (storage.scratch(spark, n) for n in ("turns", "memory", "mark"))
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    for part in (F.col("turn") < 2, F.col("turn") >= 2):
+        turns.where(part).write.mode("append").parquet(folder)
+        memory = conversations.remember(spark.readStream.schema(turns.schema).parquet(folder), 3)
+        memory.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("conv_id", "turn", F.array_join("memory", "|").alias("memory"))
+
+
+@query("""SELECT l_returnflag, name, list_sort(list(CAST(l_extendedprice AS DOUBLE)))[CAST(greatest(ceil(round(count(*) * f, 9)), 1) AS BIGINT)] AS value FROM lineitem, (VALUES ('p50', 0.5), ('p95', 0.95), ('max', 1.0)) v(name, f) GROUP BY l_returnflag, name, f""")
+def selected_quantiles(spark, d):
+    return metrics.selected(table(spark, d, "lineitem"), "l_extendedprice", {"p50": 0.5, "p95": 0.95, "max": 1.0}, "l_returnflag")
+
+
+# SQL
+
+@query(ORACLE_SQL["chunk_recursive"])
+def chunk_lateral(spark, d):
+    """Recursive chunks by a table function in SQL."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT d.doc_id, c.chunk_position, c.start, c.end FROM {docs} d, LATERAL chunk_text(d.text, 'recursive', 1000, 100) c", docs=table(spark, d, "documents"))
+
+
+@query(f"""WITH {C._CASE_RANKS}, asked AS (SELECT DISTINCT g.item_id, g.seller_id FROM gold g),
+near AS (SELECT k.item_id, cv.seller_id, cv.doc_id, cv.chunk_position, sum(cv.w * qv.w) AS dot FROM asked k JOIN qv USING (item_id) JOIN cv ON cv.p = qv.p AND cv.seller_id = k.seller_id GROUP BY ALL),
+scored AS (SELECT k.item_id, c.seller_id, c.doc_id, c.chunk_position, round(coalesce(n.dot, 0) / c.n / q.n, 9) AS score FROM asked k JOIN cn c USING (seller_id) JOIN qn q USING (item_id)
+  LEFT JOIN near n ON n.item_id = k.item_id AND n.doc_id = c.doc_id AND n.chunk_position = c.chunk_position)
+SELECT item_id, seller_id, doc_id, CAST(chunk_position AS INTEGER) AS chunk_position, CAST(row_number() OVER (PARTITION BY item_id, seller_id ORDER BY score DESC, doc_id, chunk_position) AS INTEGER) AS rank, score
+FROM scored QUALIFY rank <= 5""")
+def question_flow(spark, d):
+    """Chunk, embed, ask and rank in Spark SQL alone: each item in the sellers that have documents with its text."""
+    sql_functions.register(spark, model=E.TWIN)
+    names = {n: table(spark, d, n) for n in ("documents", "benchmark")}
+    return spark.sql(
+        """WITH chunks AS (SELECT d.doc_id, d.source AS seller_id, c.chunk_position, embed_text(c.text) AS v FROM {documents} d, LATERAL chunk_text(d.text, 'fixed', 1000, 100) c),
+        asked AS (SELECT DISTINCT b.item_id, d.source AS seller_id, b.text FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text)),
+        questions AS (SELECT item_id, seller_id, embed_text(text) AS v FROM asked),
+        scored AS (SELECT q.item_id, c.seller_id, c.doc_id, c.chunk_position, round(cosine(q.v, c.v), 9) AS score FROM questions q JOIN chunks c ON c.seller_id = q.seller_id WHERE q.v IS NOT NULL AND c.v IS NOT NULL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, seller_id ORDER BY score DESC, doc_id, chunk_position) AS rank FROM scored)
+        SELECT item_id, seller_id, doc_id, chunk_position, rank, score FROM ranked WHERE rank <= 5""",
+        **names,
+    )
+
+
 # reports
 
 def _control_files(spark, d) -> tuple[str, list[str]]:
@@ -479,6 +547,17 @@ def experiment_log(spark, d):
 
 # ranking
 
+@query(f"WITH {C._BM25} SELECT case_id, doc_id, CAST(chunk_position AS INTEGER) AS chunk_position, bm25 FROM bm")
+def bm25_stored(spark, d):
+    """The same ranking from stored postings: the chunks' texts are read once, when those are written."""
+    path = storage.scratch(spark, "postings")
+    chunks = C.fixed(spark, d).select("seller_id", F.struct("doc_id", "chunk_position").alias("chunk_id"), "text")
+    postings.write_postings(chunks, path, chunk_id="chunk_id", tenant="seller_id")
+    asked = C.cases(spark, d, C.gold(spark, d)).select("case_id", "seller_id", F.col("query").alias("text"))
+    found = postings.bm25(spark, path, asked, question_id="case_id", tenant="seller_id", digits=4)
+    return found.select("case_id", "chunk_id.doc_id", "chunk_id.chunk_position", "bm25")
+
+
 @query(f"""WITH {C._BM25.replace(C._GOLD + ',' + C._CHUNKS, C._CASE_RANKS.strip())}, best AS (SELECT *, bm25 / nullif(max(bm25) OVER (PARTITION BY case_id), 0) AS lexical FROM bm),
 both_ AS (SELECT coalesce(r.case_id, b.case_id) AS case_id, coalesce(r.doc_id, b.doc_id) AS doc_id, coalesce(r.chunk_position, b.chunk_position) AS chunk_position, round(0.5 * coalesce(r.score, 0) + 0.5 * coalesce(b.lexical, 0), 6) AS hybrid
   FROM ranked r FULL JOIN best b ON b.case_id = r.case_id AND b.doc_id = r.doc_id AND b.chunk_position = r.chunk_position)
