@@ -175,11 +175,9 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     return each.mapInPandas(pack, "doc long, mark long, n_lines int, n_dropped int, keep binary")
 
 
-def kept_lines(text: str, keep: bytes | None) -> tuple[str, int, int]:
+def kept_lines(text: str, keep: bytes) -> tuple[str, int, int]:
     """The text that a bitmap leaves, its lines before, and how many it loses."""
     lines = text.split("\n")
-    if keep is None:
-        return text, len(lines), 0
     bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=len(lines))
     return "\n".join(x for x, b in zip(lines, bits.tolist(), strict=True) if b), len(lines), int(len(lines) - bits.sum())
 
@@ -194,20 +192,23 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", t
     joined = docs.join(
         keep, (F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID)) == keep["__doc"]) & (F.xxhash64(text_or_empty(docs, text)) == keep["__mark"]), "left"
     ).select(*(docs[c] for c in docs.columns), "__keep")
-    cut = F.pandas_udf(_cut, "text string, n_lines long, n_dropped long")
-    done = joined.withColumn("__cut", cut(F.col(text), F.col("__keep")))
+    # only texts that lose lines go to Python, and come back
+    kept = F.col("__keep").isNull()
+    done = joined.withColumn("__cut", F.pandas_udf(_cut, "text string, n_lines long, n_dropped long")(F.when(~kept, F.coalesce(F.col(text), F.lit(""))), F.col("__keep")))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lines = F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1
     return back(
         done.select(
-            *((F.col("__cut.text").alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns),
-            F.col("__cut.n_lines").alias("__n_lines"),
-            F.col("__cut.n_dropped").alias("__n_dropped"),
+            *((F.when(kept, F.col(text)).otherwise(F.col("__cut.text")).alias(c) if c == text else F.col(f"`{c}`")) for c in docs.columns),
+            F.when(kept, lines.cast("long")).otherwise(F.col("__cut.n_lines")).alias("__n_lines"),
+            F.when(kept, F.lit(0).cast("long")).otherwise(F.col("__cut.n_dropped")).alias("__n_dropped"),
         )
     )
 
 
 def _cut(texts: pd.Series, keeps: pd.Series) -> pd.DataFrame:
-    made = [kept_lines(t or "", k) for t, k in zip(texts, keeps, strict=True)]
-    return pd.DataFrame({"text": [t if k is None else m[0] for t, k, m in zip(texts, keeps, made, strict=True)], "n_lines": [m[1] for m in made], "n_dropped": [m[2] for m in made]})
+    made = [(None, None, None) if k is None else kept_lines(t, k) for t, k in zip(texts, keeps, strict=True)]
+    return pd.DataFrame(made, columns=["text", "n_lines", "n_dropped"])
 
 
 def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
