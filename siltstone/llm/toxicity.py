@@ -47,27 +47,46 @@ def _segments(word: str) -> set[str]:
     return {*(w[:k] for k in SEGMENT if k <= len(w)), f"{w} "}
 
 
-def _contexts(texts: list[list[str]], wanted: set[str] | None = None) -> tuple[Counter, int]:
-    """How many distinct contexts (a word between its neighbours) hold each segment, and how many there are.
+class Vocabulary(dict):
+    """Words to numbers from 1, in the order they are met. 0 stands for no word."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+    def numbers(self, text: str) -> np.ndarray:
+        return np.array([self[w] for w in words_of(text)], np.int64)
+
+
+def _contexts(texts: list[np.ndarray], words: int) -> tuple[np.ndarray, int]:
+    """In how many distinct contexts (a word between its neighbours) each word is, and how many there are; words: one more than the largest number.
 
     Copies and near copies repeat their contexts, so they count once; a word that is used again and again counts each time.
     """
-    seen: set[int] = set()
+    none = np.zeros(1, np.int64)
+    flat = np.concatenate([none, *(x for t in texts for x in (t, none))])
+    before, here, after = flat[:-2], flat[1:-1], flat[2:]
+    real = here > 0
+    pair = np.unique(before[real] * words + here[real], return_inverse=True)[1]
+    first = np.unique(pair * words + after[real], return_index=True)[1]
+    return np.bincount(here[real][first], minlength=words), len(first)
+
+
+def _by_segment(counts: np.ndarray, vocabulary: Vocabulary, wanted: set[str] | None = None) -> Counter:
     found = Counter()
-    for words in texts:
-        for three in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
-            h = hash(three)
-            if h not in seen:
-                seen.add(h)
-                found.update(_segments(three[1]) if wanted is None else _segments(three[1]) & wanted)
-    return found, len(seen)
+    for word, n in vocabulary.items():
+        if count := int(counts[n]):
+            for s in _segments(word) if wanted is None else _segments(word) & wanted:
+                found[s] += count
+    return found
 
 
-def toxic_segments(toxic: list[list[str]], ordinary: list[list[str]]) -> list[str]:
+def toxic_segments(toxic: list[np.ndarray], ordinary: list[np.ndarray], vocabulary: Vocabulary) -> list[str]:
     """What toxic texts have far more often than ordinary ones, strongest first; of nested ones the longest strong one."""
-    a, n = _contexts(toxic)
+    (a, n), (b, m) = (_contexts(part, len(vocabulary) + 1) for part in (toxic, ordinary))
+    a = _by_segment(a, vocabulary)
     wanted = {s for s, x in a.items() if x >= LEAST_CONTEXTS}
-    b, m = _contexts(ordinary, wanted)
+    b = _by_segment(b, vocabulary, wanted)
     strength: dict[str, float] = {}
     for s in wanted:
         x, y = a[s], b[s]
@@ -108,8 +127,11 @@ class Distance(dict):
 
     def features(self, words: list[str]) -> np.ndarray:
         """Per mille-like shares of windows beyond each threshold, clipped: 1 is one window in fifty."""
-        saved = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return np.array([min(4.0, 50.0 * int((saved >= t).sum()) / (len(words) + 1)) for t in THRESHOLDS])
+        return shares(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+
+
+def shares(saved: np.ndarray) -> np.ndarray:
+    return np.array([min(4.0, 50.0 * int((saved >= t).sum()) / (len(saved) + 1)) for t in THRESHOLDS])
 
 
 def _regression(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -130,16 +152,19 @@ class Model:
     """Two dictionaries and the weights of the window shares; scores 0 if there was nothing to learn from."""
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
-        texts = [[words_of(t) for t in part] for part in (toxic, ordinary)]
-        segments = toxic_segments(*texts) if all(texts) else []
-        common = [w for w, _ in sorted(Counter(w for t in texts[1] for w in t).items(), key=lambda x: (-x[1], x[0]))[: ORDINARY_WORDS * 2]]
+        vocabulary = Vocabulary()
+        texts = [[vocabulary.numbers(t) for t in part] for part in (toxic, ordinary)]
+        segments = toxic_segments(*texts, vocabulary) if all(texts) else []
+        counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *texts[1]]), minlength=len(vocabulary) + 1)
+        common = sorted((w for w, n in vocabulary.items() if counts[n]), key=lambda w: (-counts[vocabulary[w]], w))[: ORDINARY_WORDS * 2]
         common = [w for w in common if not any(f" {w} ".startswith(s) for s in segments)][:ORDINARY_WORDS]
         both = " " + " ".join(reversed(common)) + " "
         self.contents = [x.encode("utf-16-le", "surrogatepass") for x in (both, both + " ".join(reversed(segments)))]
         self.weights = None
         if segments:
             distance = self.distance()
-            x = np.array([distance.features(t) for part in texts for t in part])
+            saved = np.array([0, *(distance[w] for w in vocabulary)])
+            x = np.array([shares(saved[t]) for part in texts for t in part])
             self.weights = _regression(x, np.repeat([1.0, 0.0], [len(toxic), len(ordinary)]))
 
     def distance(self) -> Distance:
