@@ -94,9 +94,29 @@ def _store(spark: SparkSession, rows: DataFrame, path: str) -> None:
         storage.delete(spark, staged)
 
 
-def _touched(rows: DataFrame) -> list[int]:
-    """The buckets of rows' documents, BUCKETS at most."""
-    return [r[0] for r in rows.select(bucket_of("document_id").alias("bucket")).distinct().collect()]
+#: Folders of sellers and buckets that a plan names one by one, at most; beyond, rows are matched by a join.
+MOST_FOLDERS = 10_000
+
+
+def _touched(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """What is stored in the folders of (seller_id, document_id): the others aren't read, unless there are very many."""
+    pairs = keys.select("seller_id", bucket_of("document_id").alias("bucket")).distinct()
+    folder = F.concat_ws("/", F.col("bucket").cast("string"), "seller_id")
+    named = [r[0] for r in pairs.select(folder.alias("f")).limit(MOST_FOLDERS + 1).collect()]
+    stored = _stored(spark, path)
+    return stored.where(folder.isin(named)) if len(named) <= MOST_FOLDERS else stored.join(pairs, ["seller_id", "bucket"], "left_semi").select(*stored.columns)
+
+
+def _upsert(spark: SparkSession, path: str, chunks: DataFrame, dimensions: int, model: str, replace_documents: bool, order: str | None) -> DataFrame:
+    at = order or "__at"
+    ordered = chunks if order else chunks.withColumn(at, F.monotonically_increasing_id())
+    rows = storage.held(last_of_batch(index_rows(ordered, dimensions=dimensions, model=model, order=at), at), "batch")
+    open_index(spark, path)
+    old = _touched(spark, path, rows).drop("bucket")
+    if replace_documents:
+        old = old.join(rows.select("seller_id", "document_id").distinct(), ["seller_id", "document_id"], "left_anti")
+    _store(spark, merged(old, rows), path)
+    return rows.select("seller_id", "document_id", "chunk_position", "chunk_id")
 
 
 def index_chunks(
@@ -114,30 +134,35 @@ def index_chunks(
         raise IndexingError("a batch without chunks can't be indexed")
     if not mixed_sellers(chunks, seller_id).isEmpty():
         raise IndexingError(f"the batch has chunks that aren't {seller_id}'s")
-    at = order or "__at"
-    ordered = chunks if order else chunks.withColumn(at, F.monotonically_increasing_id())
-    rows = storage.held(last_of_batch(index_rows(ordered, dimensions=dimensions, model=model, order=at), at), "batch")
-    open_index(spark, path)
-    old = _stored(spark, path, seller_id).where(F.col("bucket").isin(_touched(rows))).drop("bucket")
-    if replace_documents:
-        old = old.join(rows.select("seller_id", "document_id").distinct(), ["seller_id", "document_id"], "left_anti")
-    _store(spark, merged(old, rows), path)
-    return rows.select("document_id", "chunk_position", "chunk_id")
+    return _upsert(spark, path, chunks, dimensions, model, replace_documents, order).drop("seller_id")
+
+
+def index_all(spark: SparkSession, path: str, chunks: DataFrame, *, dimensions: int = E.DIMENSIONS, model: str = E.MODEL, replace_documents: bool = False, order: str | None = None) -> DataFrame:
+    """Embed and upsert a batch of many sellers in one job, as index_chunks does for one; returns (seller_id, document_id, chunk_position, chunk_id).
+
+    A chunk without a seller fails the batch; an empty batch changes nothing.
+    """
+    checked = chunks.withColumn("seller_id", T.required(F.col("seller_id"), "seller_id"))
+    return _upsert(spark, path, checked, dimensions, model, replace_documents, order)
 
 
-def delete_documents(spark: SparkSession, path: str, seller_id: str, document_ids: list[str]) -> None:
-    """Remove all chunks of some of a seller's documents; only their buckets are written."""
+def delete_documents(spark: SparkSession, path: str, seller_id: str, document_ids: DataFrame | list[str]) -> None:
+    """Remove all chunks of some of a seller's documents (a table with document_id, or a list); only their buckets are written."""
     seller_id = _required(seller_id, "seller_id")
-    gone = spark.createDataFrame([(d,) for d in document_ids], "document_id string")
-    buckets = _touched(gone)
-    table = _stored(spark, path, seller_id).where(F.col("bucket").isin(buckets))
-    kept = table.join(F.broadcast(gone), "document_id", "left_anti").drop("bucket")
-    left = set(_touched(kept))
-    if left:
-        _store(spark, kept, path)
-    for bucket in buckets:
-        if bucket not in left:
-            storage.delete(spark, f"{path}/seller_id={seller_id}/bucket={bucket}")
+    ids = document_ids if isinstance(document_ids, DataFrame) else spark.createDataFrame([(d,) for d in document_ids], "document_id string")
+    delete_all(spark, path, ids.select(F.lit(seller_id).alias("seller_id"), "document_id"))
+
+
+def delete_all(spark: SparkSession, path: str, documents: DataFrame) -> None:
+    """Remove all chunks of documents (seller_id, document_id) of any sellers. A bucket that is left without rows loses its folder."""
+    gone = storage.held(documents.select("seller_id", "document_id").distinct(), "gone")
+    kept = storage.held(_touched(spark, path, gone).join(gone, ["seller_id", "document_id"], "left_anti"), "kept")
+    folders = ["seller_id", "bucket"]
+    emptied = gone.select("seller_id", bucket_of("document_id").alias("bucket")).distinct().join(kept.select(*folders).distinct(), folders, "left_anti")
+    if not kept.isEmpty():
+        _store(spark, kept.drop("bucket"), path)
+    for seller, bucket in emptied.toLocalIterator():
+        storage.delete(spark, f"{path}/seller_id={seller}/bucket={bucket}")
 
 
 def list_indexed_chunks(spark: SparkSession, path: str, seller_id: str) -> DataFrame:

@@ -190,52 +190,49 @@ def blake2b_places(spark, d):
 
 # index and retrieval
 
-_WORDY = "regexp_matches(text, '[\\p{L}\\p{N}]') AND length(text) >= 50"
+def _wordy(spark, d) -> DataFrame:
+    """The fixed chunks that have a vector, as rows to index."""
+    rows = C.fixed(spark, d).select("seller_id", F.col("doc_id").cast("string").alias("document_id"), "chunk_position", "start", "end", "text")
+    return E.embed(rows, model=E.TWIN, strict=False).where("embedding is not null").drop("embedding", "embedding_model", "embedding_dimensions")
 
 
-def _wordy(spark, d, seller: str) -> DataFrame:
-    """A seller's fixed chunks of 50 characters or more with a letter or digit, as rows to index."""
-    rows = C.fixed(spark, d).where((F.col("seller_id") == seller) & F.col("text").rlike(r"[\p{L}\p{N}]") & (F.length("text") >= 50))
-    return rows.select("seller_id", F.col("doc_id").cast("string").alias("document_id"), "chunk_position", "start", "end", "text")
-
-
-@query(f"""WITH {C._CHUNKS} SELECT doc_id AS document_id, CAST(chunk_position AS INTEGER) AS chunk_position, md5(text) AS digest, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE 'late' END AS document_name
-FROM (SELECT * REPLACE (CAST(doc_id AS VARCHAR) AS doc_id), doc_id AS n FROM chunks) t(doc_id, seller_id, chunk_position, text, s, e, n) WHERE seller_id = 'src1' AND {_WORDY}""".replace("doc_id % 3", "n % 3"))
+@query(f"""WITH {C._VECTORS} SELECT k.seller_id, CAST(k.doc_id AS VARCHAR) AS document_id, CAST(k.chunk_position AS INTEGER) AS chunk_position, md5(text) AS digest, CASE WHEN k.doc_id % 3 = 0 THEN 'again' ELSE 'late' END AS document_name
+FROM chunks k JOIN cn USING (doc_id, chunk_position)""")
 def index_upsert(spark, d):
-    """Write an index in two batches, the first with each chunk twice, and list it: the last row of a key stays."""
+    """Write the index of all sellers in two batches, the first with each chunk twice, and list it: the last row of a key stays."""
     path = storage.scratch(spark, "index")
-    rows = _wordy(spark, d, "src1")
+    rows = _wordy(spark, d)
     early, late = (rows.withColumn("document_name", F.lit(name)).withColumn("n", F.lit(n)) for n, name in enumerate(("early", "late")))
-    index.index_chunks(spark, path, "src1", late.unionByName(early), model=E.TWIN, order="n")
-    index.index_chunks(spark, path, "src1", rows.where(F.col("document_id").cast("long") % 3 == 0).withColumn("document_name", F.lit("again")), model=E.TWIN)
-    stored = index.list_indexed_chunks(spark, path, "src1")
-    return stored.select("document_id", "chunk_position", F.md5(F.col("text").cast("binary")).alias("digest"), F.get_json_object("metadata", "$.document_name").alias("document_name"))
+    index.index_all(spark, path, late.unionByName(early), model=E.TWIN, order="n")
+    index.index_all(spark, path, rows.where(F.col("document_id").cast("long") % 3 == 0).withColumn("document_name", F.lit("again")), model=E.TWIN)
+    stored = index.read_index(spark, path)
+    return stored.select("seller_id", "document_id", "chunk_position", F.md5(F.col("text").cast("binary")).alias("digest"), F.get_json_object("metadata", "$.document_name").alias("document_name"))
 
 
-@query(f"""WITH {C._CHUNKS} SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(chunk_position AS INTEGER) AS chunk_position, 'kept' AS document_name FROM chunks WHERE seller_id = 'src2' AND doc_id % 3 = 1 AND {_WORDY}
-UNION ALL SELECT DISTINCT CAST(doc_id AS VARCHAR), CAST(0 AS INTEGER), 'new' FROM chunks WHERE seller_id = 'src2' AND doc_id % 3 = 2 AND {_WORDY}""")
+@query(f"""WITH {C._VECTORS}, k AS (SELECT k.* FROM chunks k JOIN cn USING (doc_id, chunk_position))
+SELECT seller_id, CAST(doc_id AS VARCHAR) AS document_id, CAST(chunk_position AS INTEGER) AS chunk_position, 'kept' AS document_name FROM k WHERE doc_id % 3 = 1
+UNION ALL SELECT DISTINCT seller_id, CAST(doc_id AS VARCHAR), CAST(0 AS INTEGER), 'new' FROM k WHERE doc_id % 3 = 2""")
 def index_lifecycle(spark, d):
-    """Index a seller, replace a third of its documents by one chunk each, and delete another third."""
+    """Index all sellers, replace a third of the documents by one chunk each, and delete another third."""
     path = storage.scratch(spark, "index")
-    rows = _wordy(spark, d, "src2")
-    index.index_chunks(spark, path, "src2", rows.withColumn("document_name", F.lit("kept")), model=E.TWIN)
+    rows = _wordy(spark, d)
+    index.index_all(spark, path, rows.withColumn("document_name", F.lit("kept")), model=E.TWIN)
     third = F.col("document_id").cast("long") % 3
     new = rows.where(third == 2).select("seller_id", "document_id").distinct().select("*", F.lit(0).alias("chunk_position"), F.lit(0).alias("start"), F.lit(9).alias("end"), F.lit("new words").alias("text"), F.lit("new").alias("document_name"))
-    if not new.isEmpty():
-        index.index_chunks(spark, path, "src2", new, model=E.TWIN, replace_documents=True)
-    index.delete_documents(spark, path, "src2", [r[0] for r in rows.where(third == 0).select("document_id").distinct().collect()])
-    stored = index.list_indexed_chunks(spark, path, "src2")
-    return stored.select("document_id", "chunk_position", F.get_json_object("metadata", "$.document_name").alias("document_name"))
+    index.index_all(spark, path, new, model=E.TWIN, replace_documents=True)
+    index.delete_all(spark, path, rows.where(third == 0).select("seller_id", "document_id"))
+    stored = index.read_index(spark, path)
+    return stored.select("seller_id", "document_id", "chunk_position", F.get_json_object("metadata", "$.document_name").alias("document_name"))
 
 
 @query(f"""WITH {C._VECTORS}, one AS (SELECT item_id FROM benchmark ORDER BY item_id LIMIT 1),
 dots AS (SELECT cv.doc_id, cv.chunk_position, sum(cv.w * qv.w) AS dot FROM qv JOIN one USING (item_id) JOIN cv ON cv.p = qv.p GROUP BY ALL)
 SELECT CAST(row_number() OVER (ORDER BY score DESC) AS INTEGER) AS rank, score FROM (
   SELECT round(coalesce(dot, 0) / cn.n / (SELECT n FROM qn JOIN one USING (item_id)), 9) AS score FROM cn LEFT JOIN dots USING (doc_id, chunk_position)
-  JOIN (SELECT doc_id, chunk_position FROM chunks WHERE {_WORDY}) USING (doc_id, chunk_position) WHERE cn.seller_id = 'src1' ORDER BY score DESC LIMIT 10)""")
+  WHERE cn.seller_id = 'src1' ORDER BY score DESC LIMIT 10)""")
 def retrieve_one(spark, d):
     path = storage.scratch(spark, "index")
-    index.index_chunks(spark, path, "src1", _wordy(spark, d, "src1"), model=E.TWIN)
+    index.index_all(spark, path, _wordy(spark, d), model=E.TWIN)
     asked = table(spark, d, "benchmark").orderBy("item_id").first()["text"]
     found = retrieval.retrieve_chunks(spark, path, "src1", asked, top_k=10)
     return found.select("rank", F.round("score", 9).alias("score"))
