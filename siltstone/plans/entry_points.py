@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.errors import GenerationUnavailableError
 from siltstone.functions import embedding as E
 from siltstone.functions import text as T
 from siltstone.functions import sql as sql_functions
-from siltstone.operators import answers, clusters, conversations, index, judging, lifecycle, metrics, postings, reports, retrieval, taskgraph, validation
+from siltstone.operators import answers, chunking, clusters, conversations, index, judging, lifecycle, metrics, postings, reports, retrieval, taskgraph, validation
 from siltstone.plans import catalogue as C
 from siltstone.plans.catalogue import table
 from siltstone.plans.registry import ORACLE_SQL, query
@@ -122,20 +123,37 @@ def _pdfs(numbers: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([_pdf(n, t) for n, t in zip(numbers, texts, strict=True)])
 
 
-@query(rf"""WITH p AS (SELECT doc_id, i, substr(said, 600 * i + 1, 300) AS one, substr(said, 600 * i + 301, 300) AS two FROM (
+_PAGES = rf"""p AS (SELECT doc_id, i, substr(said, 600 * i + 1, 300) AS one, substr(said, 600 * i + 301, 300) AS two FROM (
   SELECT doc_id, said, CAST(unnest(range(0, CAST(ceil(length(said) / 600.0) AS BIGINT))) AS INTEGER) AS i FROM (SELECT doc_id, {C._SAID} AS said FROM documents))),
 shown AS (SELECT doc_id, i, one || chr(10) || CASE WHEN i % 3 = 1 AND length(two) > 100 THEN substr(two, 1, 100) || chr(10) || substr(two, 101) ELSE two END AS said FROM p),
-page AS (SELECT doc_id, i, {_STRIPPED.format("said")} AS t FROM shown)
-SELECT doc_id, count(*) AS pages, CASE WHEN bool_or(t <> '') THEN md5(string_agg(t, '|' ORDER BY CASE WHEN doc_id % 2 = 0 THEN -i ELSE i END)) END AS digest FROM page GROUP BY doc_id""")
-def pdf_constants(spark, d):
-    """The documents as PDF files of many pages and every kind of string, scanned again."""
+page AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN -i ELSE i END AS o, {_STRIPPED.format("said")} AS t FROM shown)"""
+
+
+def _parsed_pdfs(spark, d) -> DataFrame:
     said = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"[^\x20-\x7E\n]", "?").alias("said"))
     content = F.pandas_udf(_pdfs, "binary")("doc_id", "said")
-    made = corpus.parsed(said.select(F.lit("shop").alias("seller_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("pdf").alias("source_format"), content.alias("content")), strict=False)
+    return corpus.parsed(said.select(F.lit("shop").alias("seller_id"), F.col("doc_id").cast("string").alias("document_id"), F.lit("pdf").alias("source_format"), content.alias("content")), strict=False)
+
+
+@query(f"WITH {_PAGES} SELECT doc_id, count(*) AS pages, CASE WHEN bool_or(t <> '') THEN md5(string_agg(t, '|' ORDER BY o)) END AS digest FROM page GROUP BY doc_id")
+def pdf_constants(spark, d):
+    """The documents as PDF files of many pages and every kind of string, scanned again."""
+    made = _parsed_pdfs(spark, d)
     pages = F.array_join(F.transform("pages", lambda p: p["text"]), "|")
     return made.select(F.col("document_id").cast("long").alias("doc_id"), F.size("pages").cast("long").alias("pages"), F.when(F.col("error").isNull(), F.md5(pages.cast("binary"))).alias("digest"))
 
 
+@query(f"""WITH {_PAGES}, numbered AS (SELECT doc_id, o, t, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS page FROM page),
+placed AS (SELECT doc_id, page, t, coalesce(sum(length(t) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM numbered WHERE t <> ''),
+cut AS (SELECT *, unnest(range(0, greatest(CAST(ceil((length(t) - 500) / 450.0) AS BIGINT), 0) + 1)) AS k FROM placed)
+SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, k) - 1 AS INTEGER) AS chunk_position, CAST(s + 450 * k AS INTEGER) AS start, CAST(s + least(450 * k + 500, length(t)) AS INTEGER) AS "end", md5(substr(t, 450 * k + 1, 500)) AS digest FROM cut""")
+def chunk_pages(spark, d):
+    """Chunks of PDF documents: none reaches over the end of its page, and each says which page it is from."""
+    docs = _parsed_pdfs(spark, d).where("error is null").drop("error")
+    chunks = chunking.chunk_documents(docs, strategy="fixed", chunk_size=500, overlap=50)
+    return chunks.select(F.col("document_id").cast("long").alias("doc_id"), "page", "chunk_position", "start", "end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # text and vectors
 
 @query("SELECT item_id, rtrim(text, '.!?') || '.' AS sentence FROM benchmark")
@@ -342,6 +360,26 @@ def judge_schema(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n")).select("n").distinct().select("n", made("n").alias("schema"))
 
 
+def _unreliable(url: str, payload: dict, timeout: float) -> dict:
+    """A judge that is gone, answers for an example that it wasn't given, or answers in no JSON, by the length of the question; else a lexical one."""
+    case = len(json.loads(payload["messages"][1]["content"])["examples"][0]["question"]) % 4
+    if case == 0:
+        raise GenerationUnavailableError("the judge is gone")
+    if case == 1:
+        return {"message": {"content": json.dumps({"results": [{"example_index": 7, "supported_sentence_indices": [0], "relevant": True}]})}}
+    return {"message": {"content": "so it is"}} if case == 2 else judging.lexical_transport(url, payload, timeout)
+
+
+@query("""SELECT conv_id || '-' || turn AS example, CASE length(text) % 4 WHEN 0 THEN 'the judge is gone' WHEN 1 THEN 'a judge gives one result to each example' WHEN 2 THEN 'the judge''s reply is no JSON' END AS error,
+  CASE WHEN length(text) % 4 = 3 THEN '0' END AS supported FROM conversations""")
+def judge_failures(spark, d):
+    """A judge that fails for some examples: those say why, and the others are judged."""
+    said = F.array(F.lit("Coats go back within thirty days."))
+    items = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("example"), F.col("text").alias("query"), said[0].alias("answer"), F.array(F.lit("E1")).alias("evidence_ids"), said.alias("points"), said.alias("evidence"))
+    told = judging.judge(judging.judged_items(items), "support", transport=_unreliable, most=1)
+    return told.select("example", "error", F.array_join(F.col("supported_sentence_indices").cast("array<string>"), ",").alias("supported"))
+
+
 # validation
 
 @query("""SELECT rule, label, message FROM (VALUES """ + ", ".join(f"({n}, '{r}')" for n, r in enumerate(("document_identity", "document_unique", "document_path", "document_readable", "document_empty", "document_title", "document_seller", "document_version", "document_sections"), 1)) + """) t(n, rule)
