@@ -10,6 +10,8 @@ its number, which replaces what it had written. INDEX and MARK belong together.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ OPTIONS = {"strategy", "chunk_size", "overlap", "separators", "model", "dimensio
 def as_pattern(path: str) -> str:
     """The path as a pattern that matches it alone: a stream takes one file, or a folder, only so."""
     path = path.rstrip("/")
-    return f"{path[:-1]}[{path[-1]}]"
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path[:-1]) + f"[{path[-1]}]"
 
 
 def raw_documents(rows: DataFrame) -> DataFrame:

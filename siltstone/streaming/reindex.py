@@ -1,9 +1,8 @@
-"""Optional: keep an index up to date from a stream of documents, one upsert a micro-batch and seller."""
+"""Keep a bucketed index up to date from a stream of documents: one upsert of all sellers a micro-batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.operators import chunking
@@ -11,15 +10,13 @@ from siltstone.operators import index as I
 
 
 def reindex(documents: DataFrame, path: str, checkpoint: str, **chunk_options) -> StreamingQuery:
-    """Chunk, embed and replace the documents of each micro-batch; a replayed batch writes the same rows again."""
+    """Chunk, embed and replace the documents of each micro-batch; a replayed batch writes the same rows again.
+
+    Each batch writes the buckets it touches anew. Where that is much more than the batch itself,
+    ``operators.deltas`` appends instead.
+    """
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        held = batch.persist()
-        try:
-            for (seller,) in held.select("seller_id").distinct().toLocalIterator():
-                chunks = chunking.chunk_documents(held.where(F.col("seller_id") == seller), **chunk_options)
-                I.index_chunks(held.sparkSession, path, seller, chunks, replace_documents=True)
-        finally:
-            held.unpersist()
+        I.index_all(batch.sparkSession, path, chunking.chunk_documents(batch, **chunk_options), replace_documents=True)
 
     return documents.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
