@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.errors import GenerationUnavailableError
+from siltstone.errors import EvaluationError, GenerationUnavailableError
 from siltstone.functions import embedding as E
 from siltstone.functions import text as T
 from siltstone.functions import sql as sql_functions
@@ -291,11 +291,27 @@ _POINTS = "'Item' || item_id || ' may be sent back within ' || (item_id % 9 + 3)
 FROM (SELECT item_id, {_POINTS} FROM benchmark), (VALUES ('supported'), ('unsupported')) k(kind)""")
 def calibration_examples(spark, d):
     _, cases, gold, _, definitions = _made(spark, d)
-    made = judging.calibration_examples(definitions, judging.answerable(cases, None), gold, exactly=None, holdout=None)
+    n, h = definitions.count(), definitions.where("split = 'holdout'").count()
+    made = judging.calibration_examples(definitions, judging.answerable(cases, n), gold, exactly=n, holdout=h)
     told = lambda f: F.array_join(F.col(f"expected.{f}").cast("array<string>"), ",")
     return made.select("case_id", "split", "kind", "answer", told("supported_sentence_indices").alias("supported"), told("available_answer_point_indices").alias("available"), told("covered_answer_point_indices").alias("covered"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
 
 
+@query("""WITH n AS (SELECT count(*) AS n FROM benchmark), w AS (SELECT n, unnest([n - 1, n, n + 1]) AS wanted FROM n)
+SELECT wanted, CASE WHEN wanted = n THEN n END AS found, CASE WHEN wanted <> n THEN n || ' answerable cases where ' || wanted || ' are wanted' END AS problem FROM w""")
+def answerable_count(spark, d):
+    """The cases that can be answered, where as many are wanted; one more or less fails."""
+    _, cases, _, _, _ = _made(spark, d)
+    n = cases.where("answerable").count()
+    told = []
+    for wanted in (n - 1, n, n + 1):
+        try:
+            told.append((wanted, judging.answerable(cases, wanted).count(), None))
+        except EvaluationError as error:
+            told.append((wanted, None, str(error)))
+    return spark.createDataFrame(told, "wanted long, found long, problem string")
+
+
 def _run(spark, d):
     _, cases, gold, found, definitions = _made(spark, d)
     n = gold.count()
