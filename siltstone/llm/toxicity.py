@@ -167,6 +167,12 @@ class Model:
             x = np.array([shares(saved[t]) for part in texts for t in part])
             self.weights = _regression(x, np.repeat([1.0, 0.0], [len(toxic), len(ordinary)]))
 
+    @classmethod
+    def of(cls, contents: tuple[bytes, bytes], weights: list[float] | None) -> Model:
+        made = cls([], [])
+        made.contents, made.weights = [bytes(c) for c in contents], None if weights is None else np.array(weights)
+        return made
+
     def distance(self) -> Distance:
         return Distance(*self.contents)
 
@@ -183,19 +189,25 @@ def held_out(doc_id: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """Fit on a bounded sample of the labelled rows that aren't held out. Of several labels of an id the largest counts."""
+    """Fit on a bounded sample of the labelled rows that aren't held out, in one task. Of several labels of an id the largest counts."""
     named = labels.select(labels[doc_id].cast("long").alias("__id"), labels[label].cast("int").alias("__label")).dropna()
     chosen = named.where(~held_out("__id")).groupBy("__id").agg(F.max("__label").alias("__label"))
-    parts = []
-    for value, most in ((1, MOST_TOXIC), (0, MOST_ORDINARY)):
-        ids = chosen.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(most)
-        parts.append(F.broadcast(ids.select("__id")))
-    texts = []
-    for ids in parts:
-        rows = docs.select(docs[doc_id].cast("long").alias("__id"), text_or_empty(docs, text).alias("__text")).join(ids, "__id")
-        # repeated rows of an id may be more than the ids: bounded again
-        texts.append([r[0] for r in rows.groupBy("__id").agg(F.max("__text").alias("t")).select("t").collect()])
-    return Model(*texts)
+    sample = [chosen.where(F.col("__label") == value).orderBy(F.xxhash64("__id"), "__id").limit(most) for value, most in ((1, MOST_TOXIC), (0, MOST_ORDINARY))]
+    rows = docs.select(docs[doc_id].cast("long").alias("__id"), text_or_empty(docs, text).alias("__text")).join(F.broadcast(sample[0].unionByName(sample[1])), "__id")
+    # repeated rows of an id may be more than the ids: bounded again
+    one = rows.groupBy("__id", "__label").agg(F.max("__text").alias("__text")).repartition(1).sortWithinPartitions("__id")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[int, list[str]] = {1: [], 0: []}
+        for batch in batches:
+            for value, t in zip(batch.column("__label").to_pylist(), batch.column("__text").to_pylist(), strict=True):
+                texts[value].append(t)
+        made = Model(texts[1], texts[0])
+        weights = None if made.weights is None else made.weights.tolist()
+        yield pa.record_batch([pa.array([c], pa.binary()) for c in made.contents] + [pa.array([weights], pa.list_(pa.float64()))], ["ordinary", "toxic", "weights"])
+
+    told = one.mapInArrow(learn, "ordinary binary, toxic binary, weights array<double>").collect()  # one row, of two small dictionaries
+    return Model.of((told[0][0], told[0][1]), told[0][2]) if told else Model([], [])
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
