@@ -41,8 +41,8 @@ INPUTS = CODES + 1 + HASHED
 WINDOW, STRIDE, WIDTH = 48, 32, 16
 #: UTF-8 bytes of the texts on which one task starts the attention, least steps of that, windows of a step there and later.
 WARM_BYTES, STEPS, BATCH, LATER_BATCH = 4 << 20, 1_500, 64, 128
-#: Tasks, at most, that train at a time and send their weights; windows that such a task holds and shuffles.
-UNITS, HELD = 256, 8_192
+#: Windows that a task which goes on holds and shuffles.
+HELD = 8_192
 SMOOTH_WORD, SMOOTH_CODE = 0.1, 0.5
 #: Logits aren't larger: their exponentials stay finite without a look for the largest.
 MOST_LOGIT = 60
@@ -428,6 +428,27 @@ def subword_bytes(content: bytes, ids: np.ndarray) -> list[bytes]:
     return [tokens.decode_single_token_bytes(i) for i in ids.tolist()]
 
 
+def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The mean of the partition's (n, weights), by n."""
+    total, n = None, 0
+    for batch in batches:
+        for k, w in zip(batch.column("n").to_pylist(), batch.column("weights").to_pylist(), strict=True):
+            part = np.frombuffer(w, np.float32).astype(np.float64) * k
+            total = part if total is None else total + part
+            n += k
+    if n:
+        yield pa.record_batch([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()])], ["n", "weights"])
+
+
+def averaged(rows: DataFrame, partitions: int) -> tuple[int, np.ndarray] | None:
+    """The sum of n and the mean of weights by n over (n, weights), a row a partition at most; None without rows. The driver gets a cube root of them."""
+    for k in (round(partitions ** (2 / 3)), round(partitions ** (1 / 3))):
+        rows = rows.repartition(max(1, k)).mapInArrow(_mean, "n long, weights binary")
+    found = rows.toArrow()
+    told = list(_mean(iter(found.to_batches())))
+    return (told[0].column("n")[0].as_py(), np.frombuffer(told[0].column("weights")[0].as_py(), np.float32)) if told else None
+
+
 def _train(model: Model, sample: DataFrame, shares: int, steps: int) -> int:
     """Train the attention on all rows of (at, ids): first on one of ``shares``, then on the others from there. The number of windows."""
     spark = sample.sparkSession
@@ -444,16 +465,16 @@ def _train(model: Model, sample: DataFrame, shares: int, steps: int) -> int:
             if n:
                 yield pa.record_batch([pa.array([n]), pa.array([b"".join(net.p[x].tobytes() for x in net.NAMES)])], ["n", "weights"])
 
-        found = rows.mapInArrow(weights, "n long, weights binary").collect()  # a row a task
-        if found:
-            flat = np.average([np.frombuffer(r["weights"], np.float32) for r in found], axis=0, weights=[r["n"] for r in found]).astype(np.float32)
-            at = 0
-            for name in Attention.NAMES:
-                w = model.attention.p[name]
-                model.attention.p[name] = flat[at : at + w.size].reshape(w.shape)
-                at += w.size
+        found = averaged(rows.mapInArrow(weights, "n long, weights binary"), rows.rdd.getNumPartitions())
+        if found is None:
+            return 0
+        at = 0
+        for name in Attention.NAMES:
+            w = model.attention.p[name]
+            model.attention.p[name] = found[1][at : at + w.size].reshape(w.shape)
+            at += w.size
         sent.unpersist()
-        return sum(r["n"] for r in found)
+        return found[0]
 
     def start(mine: Model, net: Attention, documents: Iterator[np.ndarray]) -> int:
         n = 0
@@ -466,7 +487,7 @@ def _train(model: Model, sample: DataFrame, shares: int, steps: int) -> int:
         return net.train_on(mine.parts(documents, HELD), mine.tables.next_group)
 
     n = trained(sample.where(share == 0).repartition(1).sortWithinPartitions("at"), start)
-    return n + (trained(sample.where(share != 0).coalesce(UNITS), go_on) if shares > 1 else 0)
+    return n + (trained(sample.where(share != 0), go_on) if shares > 1 else 0)
 
 
 #: The end of a text, as a word: no word is empty.

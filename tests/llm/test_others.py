@@ -291,6 +291,42 @@ def test_pii_against_brute_force(spark, monkeypatch):
         pii.replace_checked(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_segments_by_plain_counts():
+    """The toxic dictionary's segments against sets of contexts, counted one by one."""
+    draw = Random(8)
+    common, bad = [f"wort{chr(97 + i)}{'xyz'[i % 3] * (i % 4)}" for i in range(40)], ["schimpfer", "schimpfen", "boeses", "boeser"]
+    ordinary = [" ".join(draw.choices(common, k=60)) for _ in range(40)]
+    toxic = [" ".join(draw.choices(common + bad * 4, k=60)) for _ in range(25)]
+    toxic += toxic[:5]  # copies count once
+    vocabulary = toxicity.Vocabulary()
+    got = toxicity.toxic_segments(*([vocabulary.numbers(t) for t in part] for part in (toxic, ordinary)), vocabulary)
+
+    def contexts(texts):
+        found = {three for t in texts for w in [["", *t.split(), ""]] for three in zip(w, w[1:], w[2:], strict=False)}
+        counts = Counter()
+        for _, word, _ in found:
+            for k in range(5, 11):
+                if k <= len(word) + 1:
+                    counts[f" {word}"[:k]] += 1
+            if f" {word} " not in {f" {word}"[:k] for k in range(5, 11)}:
+                counts[f" {word} "] += 1
+        return counts, len(found)
+
+    (a, n), (b, m) = contexts(toxic), contexts(ordinary)
+    strong = {}
+    for s, x in a.items():
+        y = b[s]
+        expected = [n * (x + y) / (n + m), m * (x + y) / (n + m)]
+        g = 2 * sum(o * math.log(o / e) for o, e in zip((x, y), expected, strict=True) if o)
+        if x >= 6 and g >= 30 and x / n >= 3 * (y + 0.5) / m:
+            strong[s] = g
+    want = {}
+    for s, g in strong.items():
+        want.setdefault(s[:5], []).append((g, s))
+    best = {stem: max((s for g, s in group if g >= 0.8 * max(group)[0]), key=lambda s: (len(s), s)) for stem, group in want.items()}
+    assert set(got) == set(best.values()) and len(got) >= 2
+
+
 def test_toxicity_on_held_out_documents(spark):
     import pyarrow.parquet as pq
 
@@ -397,15 +433,23 @@ def test_language_model_learns_from_few_texts_and_from_many_copies(spark, monkey
     for text in ("one text of a few words", "another text", "a third one"):
         model = A.fit(frame(spark, [(1, text)]).select("doc_id", "text"))
         assert model.n_windows == 1 and np.ptp(model.tables.next) > 0
-    sent = []
     monkeypatch.setattr(A, "WARM_BYTES", 1_000)
-    average = np.average
-    monkeypatch.setattr(np, "average", lambda x, **k: (sent.append(sum(map(np.size, x))), average(x, **k))[1])
     copies = [(i, "a hot text that a third of all rows hold") for i in range(300)]
-    model = A.fit(frame(spark, copies).select("doc_id", "text"))
-    one = sum(w.size for w in model.attention.p.values())
-    # copies under other ids part, and tasks send weights, never documents
-    assert model.n_windows == 300 and len(sent) == 2 and max(sent) <= A.UNITS * one
+    # copies under other ids part
+    assert A.fit(frame(spark, copies).select("doc_id", "text")).n_windows == 300
+
+
+def test_weights_are_averaged_in_rounds(spark):
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    rows = [(int(n), draw.standard_normal(5).astype(np.float32)) for n in draw.integers(1, 50, 40)]
+    df = spark.createDataFrame([(n, w.tobytes()) for n, w in rows], "n long, weights binary").repartition(27)
+    n, w = A.averaged(df, 27)
+    assert n == sum(n for n, _ in rows) and np.allclose(w, np.average([w for _, w in rows], axis=0, weights=[n for n, _ in rows]), atol=1e-6)
+    assert A.averaged(df.where(F.lit(False)), 27) is None and A.averaged(df.limit(1), 1)[0] > 0
+    plan = df.repartition(9).mapInArrow(A._mean, "n long, weights binary").repartition(3).mapInArrow(A._mean, "n long, weights binary")
+    assert plan.count() <= 3  # what reaches the driver
 
 
 def test_windows_score_each_code_once_and_sum_to_one():
