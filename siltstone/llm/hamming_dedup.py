@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import HOT_KEYS, WordHashes, forget, hot_join, mixed, plain_names, shingles, text_or_empty, written
 from siltstone.llm.components import connected
-from siltstone.llm.minhash import signatures
+from siltstone.llm.minhash import band_keys, signatures
 
 CHUNKS, CHUNK, ERRORS, BITS = 8, 4, 1, 16
 #: Link from this share on: intersection * SHARE[1] >= union * SHARE[0].
@@ -89,7 +89,7 @@ def sketch_of(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def _prepare(k: int):
+def _prepare(k: int, bands: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for whole in batches:
@@ -98,7 +98,7 @@ def _prepare(k: int):
                 flat, offsets = shingles([t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], k, words)
                 sets = [np.unique(flat[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 sigs = signatures(flat, offsets, CHUNKS * CHUNK, seed=10).astype(np.uint16)
-                keys = chunk_keys(sigs).tolist()
+                keys = (band_keys(flat, offsets) if bands else chunk_keys(sigs)).tolist()
                 ids = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 columns = [batch.column("doc"), batch.column("mark"), [len(s) for s in sets], ids, [sketch_of(s) for s in sets], [q if len(s) else None for q, s in zip(keys, sets, strict=True)], [x.tobytes() for x in sigs]]
                 yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], _NAMES)
@@ -202,16 +202,18 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     return links
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS) -> DataFrame:
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = WORDS, bands: bool = False) -> DataFrame:
     """(doc, mark, n_shingles, component) for each row of docs: the least id of its near-duplicate group.
 
     doc is the id and mark the text's hash. A text with fewer than k words is one shingle; a
     null or empty text, or one of white space, has none and is linked with nothing. Rows of one id
     are one document, linked by any of its texts. Rows without an id take no part: their
     component is null. An empty table gives no rows.
+
+    bands: buckets are bands of MinHash signatures instead (see minhash); all else is the same.
     """
     named = docs.select(docs[doc_id].cast("long").alias("doc"), F.xxhash64(text_or_empty(docs, text)).alias("mark"), text_or_empty(docs, text).alias("text"))
-    rows = written(named.mapInArrow(_prepare(k), _PREPARED), "prepared")
+    rows = written(named.mapInArrow(_prepare(k, bands), _PREPARED), "prepared")
     full = rows.where("set is not null and doc is not null")
     # one node for each shingle set, named by the least document that has it
     nodes = written(full.groupBy("set").agg(F.min(F.struct("doc", "mark", "n_shingles", "sketch", "keys", "sig")).alias("one")).select("set", F.col("one.doc").alias("node"), "one.mark", "one.n_shingles", "one.sketch", "one.keys", "one.sig"), "nodes")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordHashes, shingles, text_or_empty, written
+from siltstone.llm.common import WordHashes, mixed, shingles, text_or_empty, written
 
 #: Permutations, bytes kept of each number, words of a shingle, least similarity.
 PERMUTATIONS, KEPT_BYTES, WORDS, LEAST = 128, 2, 5, 0.8
@@ -155,6 +155,15 @@ def least_equal(least: float) -> int:
     return PERMUTATIONS
 
 
+def band_keys(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, bands) int64: a hash of each band of each text's signature, in as many bands as bands_for(LEAST) says."""
+    sigs = signatures(flat, offsets).astype(np.uint64).reshape(len(offsets) - 1, bands_for(LEAST), -1)
+    keys = np.broadcast_to(np.arange(1, sigs.shape[1] + 1, dtype=np.uint64), sigs.shape[:2])
+    for i in range(sigs.shape[2]):
+        keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + sigs[:, :, i])
+    return keys.view(np.int64)
+
+
 def signature_bands(docs: DataFrame, doc_id: str, text: str, k: int, bands: int) -> DataFrame:
     """(doc, set, keys, signature): for each document with words its shingle set's hash, band keys and signature."""
 

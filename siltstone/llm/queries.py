@@ -64,6 +64,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document over five-word shingles, by signature bands with similarity verified on full sets."""
+    groups = hamming_dedup.near_groups(table(spark, sf_dir, "documents"), bands=True)
+    return groups.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page; a null URL has an empty host and path and is allowed."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
@@ -115,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_attention_lm": op5_attention_lm,
     "op6_fingerprints": op6_fingerprints,
+    "minhash_groups": minhash_groups,
     "op7_url_filter": op7_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_mixing": op9_mixing,
@@ -127,6 +134,20 @@ _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 _ITEM_WORDS = rf"regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED_WORDS = rf"regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+')"
 
+def _near_groups_sql(k: int) -> str:
+    words = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SPACED_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: {words}) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS goal FROM w UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.goal = edge.a)
+SELECT w.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(goal) AS component_id, min(goal) = w.doc_id AS kept
+FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id"""
+
+
 #: op5's model isn't SQL; its base score is tested against a brute-force version.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": f"""
@@ -166,16 +187,8 @@ kept AS (
 ), told AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
 SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.x, ''))) AS kept_sha256
 FROM n LEFT JOIN kept USING (doc_id) LEFT JOIN told USING (doc_id)""",
-    "op10_hamming_dedup": f"""
-WITH RECURSIVE w AS (SELECT doc_id, {_SPACED_WORDS} AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM w),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
-link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
-edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
-reach AS (SELECT doc_id, doc_id AS goal FROM w UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON reach.goal = edge.a)
-SELECT w.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(goal) AS component_id, min(goal) = w.doc_id AS kept
-FROM w JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id""",
+    "op10_hamming_dedup": _near_groups_sql(2),
+    "minhash_groups": _near_groups_sql(5),
     "op7_url_filter": """
 WITH cut AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages

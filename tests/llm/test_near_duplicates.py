@@ -1,6 +1,7 @@
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,18 @@ def brute(rows, k):
     return {d: (len(s), top(d)) for d, s in sets.items()}
 
 
+def test_groups_by_signature_bands(spark, unique):
+    """The same groups where buckets are bands; every pair at 0.8 shares one but for a probability of a millionth."""
+    got = {(r["doc"], r["n_shingles"], r["component"]) for r in H.near_groups(frame(spark, unique), bands=True).collect()}
+    assert got == {(d, n, c) for d, (n, c) in brute(unique, 5).items()}
+    flat = np.arange(1, 2_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    near = np.concatenate([flat[:1_800], flat[:200] + np.uint64(7)])
+    keys = M.band_keys(np.concatenate([flat, near, flat]), np.array([0, 2_000, 4_000, 6_000]))
+    assert keys.shape == (3, M.bands_for(M.LEAST)) and (keys[0] == keys[2]).all()
+    assert 5 < (keys[0] == keys[1]).sum() < keys.shape[1]  # at a similarity of 0.82 a band of four is shared with 0.45
+    assert len(set(keys[0].tolist())) == keys.shape[1]
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_groups_match_brute_force(spark, sample, unique, k):
     got = {(r["doc"], r["n_shingles"], r["component"]) for r in H.near_groups(frame(spark, sample), k=k).collect()}
