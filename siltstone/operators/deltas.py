@@ -19,6 +19,8 @@ from siltstone.operators import chunking, index
 from siltstone.sources import corpus
 
 INDEXED, REJECTED, DELETED = "indexed", "rejected", "deleted"
+#: The epoch of compacted rows: a stream's are from 0.
+BEFORE = -1
 _INDEX_COLUMNS = [c.split()[0] for c in schemas.INDEX.split(", ")]
 _KEPT = [c for c in schemas.DOCUMENT_COLUMNS if c != "seller_id"]
 _DOCUMENTS = f"{schemas.DOCUMENT}, status string, error string, epoch long"
@@ -86,3 +88,15 @@ def current(spark: SparkSession, path: str, seller_id: str | None = None) -> Dat
     if seller_id is not None:
         docs, chunks = (t.where(F.col("seller_id") == seller_id) for t in (docs, chunks))
     return chunks.join(_latest(docs), ["seller_id", "document_id", "epoch"], "left_semi").select(*_INDEX_COLUMNS, "start", "end", "epoch")
+
+
+def compacted(spark: SparkSession, path: str, to: str) -> None:
+    """Write what counts at one path to another, as an epoch before all others: later epochs go on there, with the same checkpoint.
+
+    Deleted documents and older rows are left behind. Nothing at ``path`` changes, and the same
+    call again writes the same.
+    """
+    create(spark, to)
+    docs = documents(spark, path).where(F.col("status") != DELETED).drop("epoch")
+    _written(spark, docs, f"{to}/documents/epoch={BEFORE}", _DOCUMENTS.replace(", epoch long", ""))
+    _written(spark, current(spark, path).drop("epoch"), f"{to}/chunks/epoch={BEFORE}", _CHUNKS.replace(", epoch long", ""))

@@ -106,6 +106,22 @@ def test_batches_of_files_and_an_empty_folder(spark, places):
     assert rows.count() == 6 and rows.select("epoch").distinct().count() > 1
 
 
+def test_a_compacted_index_goes_on(spark, places, tmp_path):
+    folder, out, mark = places
+    arrive(spark, folder, [(i, f"words of {i}", f"s{i % 2}", "en", "1", None) for i in range(20)])
+    index_documents.run(spark, folder, out, mark)
+    arrive(spark, folder, [(i, f"new words of {i}", f"s{i % 2}", "en", "2", i % 3 == 0) for i in range(10)])
+    before = texts(index_documents.run(spark, folder, out, mark))
+    to = str(tmp_path / "compacted")
+    for _ in range(2):
+        deltas.compacted(spark, out, to)
+        assert texts(deltas.current(spark, to)) == before and len(before) == 16
+    assert deltas.documents(spark, to).count() == 16 and texts(deltas.current(spark, out)) == before
+    arrive(spark, folder, [(1, "newest", "s1", "en", "3", None), (0, "back", "s0", "en", "3", None), (19, "x", "s1", "en", "3", True)])
+    after = texts(index_documents.run(spark, folder, to, mark))
+    assert after == {**{k: t for k, t in before.items() if k != ("s1", "19")}, ("s1", "1"): "newest", ("s0", "0"): "back"}
+
+
 def test_many_rows_of_one_document(spark):
     rows = spark.range(1000).select(F.lit("a").alias("k"), F.when(F.col("id") != 500, F.col("id")).alias("at"), "id")
     assert [tuple(r) for r in deltas.last_rows(rows, ["k"], "at").collect()] == [("a", 999, 999)]
