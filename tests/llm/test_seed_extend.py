@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,9 +58,50 @@ def test_other_lengths(spark, sample, length, seed):
     assert told(S.repeated_words(frame(spark, rows), length=length, seed=seed)) == brute(rows, length)
 
 
-def test_small_chunks_and_batches(spark, sample, monkeypatch):
-    """Runs and seeds over the edges of chunks and of the batches that a partition is read in."""
-    monkeypatch.setattr(S, "CHUNK", 300)
+def test_words_are_hashed_alike_in_any_chunks(monkeypatch):
+    data = ("ab\tcd  ef\x0b\x1cgh é\u2028x " * 7 + "one" + "y" * 40 + " z").encode()
+    hashes, places = S._word_hashes(data)
+    assert [data[p:].split()[0] for p in places.tolist()] == data.split() and len(set(hashes.tolist())) == len(set(data.split()))
+    for chunk in (1, 2, 5, 11, 64):
+        monkeypatch.setattr(S, "CHUNK", chunk)
+        again = S._word_hashes(data)
+        assert (again[0] == hashes).all() and (again[1] == places).all()
+    assert not len(S._word_hashes(b"")[0]) and not len(S._word_hashes(b" \n ")[0])
+
+
+@pytest.mark.parametrize(("chunk", "size", "cut"), [(300, 3, 0.4), (50, 1, 0.5), (1 << 20, 7, 0.0), (900, 1000, 0.97)])
+def test_edges_of_chunks_batches_and_partitions(sample, monkeypatch, chunk, size, cut):
+    """The steps of a job in this process, with small chunks and batches and a partition border anywhere."""
+    monkeypatch.setattr(S, "CHUNK", chunk)
+    rows = [(i, t) for n, (i, t) in enumerate(odd_rows(sample)[-150:]) if i is not None]
+    rows = list({i: (i, t) for i, t in rows}.values())
+    batch = lambda part: pa.record_batch([pa.array([d for d, _ in part], pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array([t for _, t in part], pa.string())], ["doc", "mark", "text"])
+    made = pa.Table.from_batches([x for half in (rows[::2], rows[1::2]) for x in S._seeded(13, 7)(iter([batch(half)]))]).to_pylist()
+    runs = [(r["doc"], r["at"]) for r in made if r["kind"] == S.REPEATED]
+    dealt = sorted(made, key=lambda r: (r["h"], r["f"], r["doc"]))
+    border = int(len(dealt) * cut)
+    open_ = []
+    for part in (dealt[:border], dealt[border:]):
+        batches = [pa.RecordBatch.from_pylist(part[i : i + size], S._SEEDS) for i in range(0, len(part), size)]
+        for r in pa.Table.from_batches(list(S._settle(iter(batches)))).to_pylist() if batches else []:
+            (runs if r["kind"] == S.REPEATED else open_).append((r["doc"], r["at"]))
+    texts, windows = dict(rows), []
+    wanted = {d: [at for x, at in open_ if x == d] for d in {d for d, _ in open_}}
+    if wanted:
+        given = pa.record_batch([pa.array(list(wanted)), pa.array([0] * len(wanted), pa.int64()), pa.array([texts[d] for d in wanted]), pa.array(list(wanted.values()), pa.list_(pa.int64()))], ["doc", "mark", "text", "wanted"])
+        windows = pa.Table.from_batches(list(S._extended(13)(iter([given])))).to_pylist()
+    first = {}
+    for w in windows:
+        first[w["w1"], w["w2"]] = min(w["doc"], first.get((w["w1"], w["w2"]), w["doc"]))
+    runs += [(w["doc"], w["start"] << 32 | 1) for w in windows if w["doc"] > first[w["w1"], w["w2"]]]
+    got = []
+    for d, t in rows:
+        spans = S._spans([at for x, at in set(runs) if x == d], 13)
+        got.append((d, len(S._words(t)), [a for a, _ in spans], [b for _, b in spans], S._left(S._words(t), spans)))
+    assert sorted(got, key=repr) == brute(rows) and any(g[2] for g in got)
+
+
+def test_small_batches(spark, sample):
     rows = odd_rows(sample)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
