@@ -446,7 +446,7 @@ def averaged(rows: DataFrame, partitions: int) -> tuple[int, np.ndarray] | None:
         rows = rows.repartition(max(1, k)).mapInArrow(_mean, "n long, weights binary")
     found = rows.toArrow()
     told = list(_mean(iter(found.to_batches())))
-    return (told[0].column("n")[0].as_py(), np.frombuffer(told[0].column("weights")[0].as_py(), np.float32)) if told else None
+    return (told[0].column("n")[0].as_py(), np.frombuffer(told[0].column("weights")[0].as_py(), np.float32).copy()) if told else None
 
 
 def _train(model: Model, sample: DataFrame, shares: int, steps: int) -> int:
