@@ -128,3 +128,16 @@ def test_chunk_id(spark, text):
     c = {k: F.lit(v).cast("string" if isinstance(v, (str, type(None))) else "int") for k, v in values.items()}
     want = hashlib.sha256(json.dumps(values, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
     assert spark.range(1).select(E.chunk_id(c)).first()[0] == want
+
+
+def test_section_map_of_very_many_sections(spark):
+    """A repeated name's last text counts, names stay in the order they came in, and a text of thousands of sections takes seconds."""
+    import time
+
+    parts = [(f"N{i % 3000}" if i % 7 else "", f"t{i}") for i in range(6000)]
+    text = "x\n" + "\n".join(f"## {name}\n{body}" for name, body in parts)
+    began = time.perf_counter()
+    made = spark.createDataFrame([(text,), ("no sections",), (None,)], "text string").select(F.map_entries(T.section_map(F.col("text"))).alias("m")).collect()
+    assert time.perf_counter() - began < 20
+    assert list(map(tuple, made[0].m)) == list(dict(parts).items())
+    assert made[1].m == [] and made[2].m is None
