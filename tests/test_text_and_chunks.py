@@ -141,3 +141,29 @@ def test_section_map_of_very_many_sections(spark):
     assert time.perf_counter() - began < 20
     assert list(map(tuple, made[0].m)) == list(dict(parts).items())
     assert made[1].m == [] and made[2].m is None
+
+
+def test_chunk_id_takes_no_python(spark, capsys):
+    """JSON of any script is escaped by expressions; what Python's json makes is what comes out."""
+    import hashlib
+    import json
+
+    texts = ["plain", "gr\u00fc\u00df\n\u2028", "\U0001f600 x", "back\\u00FFslash \\\\ \"q\"", "\x0b\x1f\x01 \x7f \u00e9", "\t\u4e00/"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_position int, text string")
+    c = {n: F.col(n) for n in ("chunk_position", "text")} | {"document_id": F.lit("d"), "end": F.lit(2), "seller_id": F.lit("s"), "start": F.lit(1), "version": F.lit(None).cast("string")}
+    made = rows.select("chunk_position", E.chunk_id(c).alias("id"))
+    made.explain()
+    assert "Python" not in capsys.readouterr().out
+    identity = lambda i, t: {"chunk_position": i, "document_id": "d", "end": 2, "seller_id": "s", "start": 1, "text": t, "version": None}
+    assert dict(made.collect()) == {i: hashlib.sha256(json.dumps(identity(i, t), sort_keys=True, separators=(",", ":")).encode()).hexdigest() for i, t in enumerate(texts)}
+
+
+def test_vectors_are_made_a_slice_at_a_time(spark):
+    """However many rows a batch has: a worker holds the vectors of a few hundred, and nulls stay in their places."""
+    rows = spark.range(2500).selectExpr("id", "if(id % 3 = 0, '???', concat('word', id)) text").coalesce(1)
+    sizes = E.embed(rows, strict=False).select("id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n")).orderBy("id").collect()
+    assert [r.n for r in sizes] == [None if r.id % 3 == 0 else 256 for r in sizes]
+    assert [r.id for r in E.with_vector(rows).orderBy("id").collect()] == [i for i in range(2500) if i % 3]
+    import pyarrow as pa
+
+    assert max(b.num_rows for b in E._slices(iter([pa.record_batch([pa.array(range(10_000))], ["x"])]))) <= 500
