@@ -38,14 +38,23 @@ def scope_violation(seller_id: Column, path: Column) -> Column:
     )
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The object of a JSON file as one row; anything but an object of this schema fails."""
-    return spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """The object of a JSON file as one row, or with ``lines`` that of each line; anything but objects of this schema fails."""
+    return spark.read.schema(schema).json(path, multiLine=not lines, mode="FAILFAST")
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document, with its seller and place in the catalog; path: a file, or a pattern of several."""
-    sellers = read_json(spark, path, schemas.CATALOG).select(F.col("_metadata.file_path").alias("file"), F.posexplode("sellers").alias("seller_at", "s"))
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row a document, with its seller and place in the catalog; path: a file, or a pattern of several.
+
+    With ``lines`` a file has a catalog on each line, as there are of very many sellers. Its place is the
+    file's and, for the line, a number that grows in the file: ``file`` orders them.
+    """
+    catalogs = read_json(spark, path, schemas.CATALOG, lines)
+    file = F.col("_metadata.file_path")
+    if lines:  # numbers grow within a part of a file, and parts by where they begin
+        number = lambda n: F.lpad(n.cast("string"), 20, "0")
+        file = F.concat_ws("#", file, number(F.col("_metadata.file_block_start")), number(F.monotonically_increasing_id()))
+    sellers = catalogs.select(file.alias("file"), "sellers").select("file", F.posexplode("sellers").alias("seller_at", "s"))
     return sellers.select("file", "seller_at", "s.seller_id", "s.seller_name", F.posexplode("s.documents").alias("document_at", "d")).select(
         "file", "seller_at", "document_at", "seller_id", "seller_name", "d.*"
     )
@@ -134,14 +143,33 @@ def ingest_document(spark: SparkSession, seller_id: str, document_id: str, *, so
     return parsed(spark.createDataFrame([tuple(row.values())], ddl))
 
 
+#: The folder under a root that holds many small files as rows of a table. Readers of files pass over names that begin so.
+PACKED = "_packed"
+
+
+def pack(files: DataFrame, root: str) -> None:
+    """Add files (path under root, content) as rows of a Parquet table: for more small files than a file system, or the driver that lists them, can bear.
+
+    What reads the files under root reads both kinds alike. A path that is there twice is two files.
+    """
+    files.select("path", "content").write.mode("append").parquet(f"{root}/{PACKED}")
+
+
 def files_under(spark: SparkSession, root: str, seller_id: str | None = None, beside: bool = True) -> DataFrame:
-    """(path, content) of the files under root, by their full paths: all, or those in a seller's folder and, with ``beside``, in root itself."""
+    """(path, content) of the files under root, packed ones too, by their full paths: all, or those in a seller's folder and, with ``beside``, in root itself."""
     every = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if seller_id is None:
-        return every.load(root).select("path", "content")
-    found = [every.load(f"{root}/{seller_id}").select("path", "content")] if storage.exists(spark, f"{root}/{seller_id}") else []
-    if beside or not found:
+    found = []
+    if seller_id is None or storage.exists(spark, f"{root}/{seller_id}"):
+        found.append(every.load(root if seller_id is None else f"{root}/{seller_id}").select("path", "content"))
+    packed = storage.exists(spark, f"{root}/{PACKED}")
+    if seller_id is not None and (beside or not found and not packed):
         found.append(spark.read.format("binaryFile").load(root).select("path", "content"))
+    if packed:
+        rows = spark.read.schema("path string, content binary").parquet(f"{root}/{PACKED}")
+        if seller_id is not None:
+            mine = F.startswith("path", F.lit(f"{seller_id}/"))
+            rows = rows.where(mine | ~F.contains("path", F.lit("/")) if beside else mine)
+        found.append(rows.select(F.concat(F.lit(f"{storage.qualified(spark, root)}/"), "path").alias("path"), "content"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -159,14 +187,16 @@ def ingest_files(spark: SparkSession, root: str, *, source_format: str | None =
     )
 
 
-def ingest_corpus(spark: SparkSession, *, root: str, catalog: str = "corpus.json", seller_id: str | None = None, strict: bool = True) -> DataFrame:
+def ingest_corpus(spark: SparkSession, *, root: str, catalog: str = "corpus.json", seller_id: str | None = None, strict: bool = True, lines: bool = False) -> DataFrame:
     """All documents of a catalog, or of one seller: of each seller its first entry, joined with the files under root by path.
 
-    catalog: a path under root, or a pattern of several files. With strict the first document that
+    catalog: a path under root, or a pattern of several files, with ``lines`` of a catalog on each line. With strict the first document that
     can't be read, or whose path is out of its seller's scope, fails the job; else its row says
     why in the column ``error`` and all other documents are there.
     """
-    listed = read_catalog(spark, f"{root}/{catalog}")
+    listed = read_catalog(spark, f"{root}/{catalog}", lines)
+    if lines:  # which lines are numbered how is settled once
+        listed = storage.held(listed, "catalog")
     if seller_id is not None:
         listed = listed.where(F.col("seller_id") == seller_id)
     first = listed.groupBy("seller_id").agg(F.min(F.struct("file", "seller_at")).alias("first"))

@@ -160,3 +160,37 @@ def test_stream_reindexes(spark, tmp_path):
     spark.createDataFrame([("a", "d", "new words")], ddl).write.mode("append").parquet(source)
     stream()
     assert [r["text"] for r in I.list_indexed_chunks(spark, path, "a").collect()] == ["new words"] and I.list_indexed_chunks(spark, path, "b").count() == 1
+
+
+def test_packed_files_and_catalogs_by_line(spark, tmp_path):
+    """Packed files are read like those beside them, in every scope; of a seller on several lines the first entry counts."""
+    root = str(tmp_path / "root")
+    for path, text in (("a/x/one.md", "one"), ("top.md", "top")):
+        (tmp_path / "root" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "root" / path).write_text(text)
+    packed = spark.createDataFrame([("a/y/two.md", b"two"), ("b/three.md", b"three"), ("ab/five.md", b"five"), ("low.md", b"low")], "path string, content binary")
+    S.pack(packed.where("path not like 'b/%'"), root)
+    S.pack(packed.where("path like 'b/%'"), root)
+    found = lambda **scope: {r.path.removeprefix(f"file:{root}/"): bytes(r.content).decode() for r in S.files_under(spark, root, **scope).collect()}
+    assert found() == {"a/x/one.md": "one", "top.md": "top", "a/y/two.md": "two", "b/three.md": "three", "ab/five.md": "five", "low.md": "low"}
+    assert found(seller_id="a", beside=False) == {"a/x/one.md": "one", "a/y/two.md": "two"}
+    assert found(seller_id="b") == {"b/three.md": "three", "low.md": "low", "top.md": "top"}
+    assert {(r.seller_id, r.document_id, r.text) for r in S.ingest_files(spark, root).collect()} == {("a", "x/one.md", "one"), ("a", "y/two.md", "two"), ("b", "three.md", "three"), ("ab", "five.md", "five")}
+
+    entry = lambda seller, name, *paths: {"seller_id": seller, "seller_name": name, "documents": [{"document_id": p, "path": p, "format": "md"} for p in paths]}
+    lines = [{"sellers": [entry("a", "first", "a/x/one.md", "a/y/two.md"), entry("a", "second", "a/gone.md")]}, {"sellers": [entry("b", "b", "b/three.md")]}, {"sellers": [entry("a", "late", "a/gone.md")]}]
+    (tmp_path / "root" / "all.json").write_text("\n".join(json.dumps(x) for x in lines))
+    assert S.read_catalog(spark, f"{root}/all.json", lines=True).count() == 5
+    made = S.ingest_corpus(spark, root=root, catalog="all.json", lines=True)
+    assert {(r.seller_id, r.document_id, r.text) for r in made.collect()} == {("a", "a/x/one.md", "one"), ("a", "a/y/two.md", "two"), ("b", "b/three.md", "three")}
+
+
+def test_ingest_queries_write_few_files(spark, monkeypatch):
+    """The documents of a table aren't a file and a folder each: what is written doesn't grow by a file a document."""
+    import glob
+
+    from siltstone.plans import entry_points as P
+
+    root = P._files(spark, "/root/testdata/sf0.01")
+    assert len(glob.glob(f"{root}/**/*.txt", recursive=True)) == 2
+    assert S.files_under(spark, root).count() == 1000
