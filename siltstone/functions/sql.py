@@ -28,7 +28,7 @@ def _vectors(model: str, dimensions: int):
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embedder = E.Embedder(dimensions, model)
         for texts in parts:
-            yield pd.Series([embedder.unit(t) for t in texts], dtype=object)
+            yield pd.Series([embedder.direction(t) for t in texts], dtype=object)
 
     return run
 

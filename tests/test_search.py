@@ -172,3 +172,11 @@ def test_selection_in_rounds(spark, monkeypatch, sorted_at_once):
     assert got == want
     assert [r["value"] for r in metrics.selected(spark.createDataFrame(rows, "g string, v double").where("g = 'b'"), "v", {"m": 0.5}).collect()] == [3.0]
     assert metrics.selected(spark.createDataFrame([], "v double"), "v", {"m": 0.5}).count() == 0
+
+
+def test_question_flow_ranks_in_blocks(spark):
+    """Scores are matrix products in tasks: no row of the plan is a pair of a question and a chunk."""
+    from siltstone.plans import entry_points as P
+
+    plan = P.question_flow(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "zipwith" not in plan.lower() and "Join" not in plan.replace("LateralJoin", "")
