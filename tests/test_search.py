@@ -180,3 +180,14 @@ def test_question_flow_ranks_in_blocks(spark):
 
     plan = P.question_flow(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "zipwith" not in plan.lower() and "Join" not in plan.replace("LateralJoin", "")
+
+
+def test_passages_are_found_in_one_pass_over_the_keys(spark):
+    """The texts' words are hashed when keys are written, and not again in the plan; a document that has a key twice counts once."""
+    from siltstone.operators.evidence import containing
+
+    docs = spark.createDataFrame([(1, "x a b c d e y a b c d e"), (2, "a b c d e"), (3, "a b c d"), (4, None)], "doc int, text string")
+    found = containing(docs, spark.createDataFrame([(7, "a b c d e")], "item int, passage string"), doc_id="doc", text="text", passage_id="item", passage="passage")
+    assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(text" not in plan
