@@ -194,3 +194,15 @@ def test_ingest_queries_write_few_files(spark, monkeypatch):
     root = P._files(spark, "/root/testdata/sf0.01")
     assert len(glob.glob(f"{root}/**/*.txt", recursive=True)) == 2
     assert S.files_under(spark, root).count() == 1000
+
+
+def test_long_literal_is_read_by_runs():
+    """Brackets and escapes are met, what lies between is taken at once: 20 MB in seconds."""
+    import time
+
+    run = b"x" * 5_000_000
+    began = time.perf_counter()
+    made = Scanner(b"(" + run + b"(a\\)b)" + run + b"\\101" + run + run + b") Tj").next()
+    assert time.perf_counter() - began < 2
+    x = run.decode()
+    assert made == x + "(a)b)" + x + "A" + x + x
