@@ -206,3 +206,16 @@ def test_long_literal_is_read_by_runs():
     assert time.perf_counter() - began < 2
     x = run.decode()
     assert made == x + "(a)b)" + x + "A" + x + x
+
+
+def test_wordless_chunks_are_left_out(spark, tmp_path):
+    """Asked for, and not by a pass of their own; the folder that is read is the one that is written."""
+    path = str(tmp_path / "index")
+    rows = [("a", "d", 0, "coats may go back"), ("a", "d", 1, "???"), ("b", "e", 0, ""), ("b", "e", 1, "warranty")]
+    with pytest.raises(Exception):
+        I.index_all(spark, path, chunks(spark, rows))
+    told = I.index_all(spark, path, chunks(spark, rows), wordless=True)
+    I.index_all(spark, path, chunks(spark, [("a", "d", 2, "more"), ("a", "d", 3, "...")]), wordless=True)
+    assert sorted((r.document_id, r.chunk_position) for r in told.collect()) == [("d", 0), ("e", 1)]
+    assert sorted((r.document_id, r.chunk_position) for r in I.read_index(spark, path).collect()) == [("d", 0), ("d", 2), ("e", 1)]
+    assert not list(tmp_path.glob("*-staged-*"))

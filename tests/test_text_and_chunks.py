@@ -167,3 +167,23 @@ def test_vectors_are_made_a_slice_at_a_time(spark):
     import pyarrow as pa
 
     assert max(b.num_rows for b in E._slices(iter([pa.record_batch([pa.array(range(10_000))], ["x"])]))) <= 500
+
+
+def test_a_slice_has_the_vectors_of_its_texts(spark, monkeypatch):
+    """Texts are summed together, in parts by their tokens, as each by itself; words of ASCII need no pattern, and places are forgotten in two steps."""
+    every = "".join(f"a{chr(c)}B{chr(c)} " for c in range(0x2100))
+    assert all(E.words(t) == E._TOKEN.findall(t.casefold()) for t in (every, every[: 5 * 128], "", "_ x__9\x1c\x0by"))
+    monkeypatch.setattr(E, "_TOKENS", 7)
+    monkeypatch.setattr(E, "_REMEMBERED", 3)
+    texts = [None, "one two two", "???", "grüß an alle " * 9, *(f"w{i} w{i % 5} of" for i in range(40)), ""]
+    for dimensions in (3, 256):
+        embedder = E.Embedder(dimensions)
+        found, good = embedder.directions(texts)
+        for text, row, has in zip(texts, found, good, strict=True):
+            plain = [0] * dimensions
+            for token in E._TOKEN.findall((text or "").casefold()):
+                place, sign = E.place_of(token, dimensions=dimensions)
+                plain[place] += sign
+            norm = sum(x * x for x in plain) ** 0.5
+            assert has == (norm > 0) and row.tolist() == [x / (norm or 1) for x in plain]
+        assert len(embedder.known) <= 3 and len(embedder.known.aside) <= 3
