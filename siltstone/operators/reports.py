@@ -60,8 +60,7 @@ def evaluate_retrieval(
     if "embedding" in chunks.columns:
         model, dimensions = retrieval.one_configuration(chunks) or (model, dimensions)
     asked = storage.held(E.embed(cases.select("case_id", "seller_id", F.coalesce("query", F.lit("")).alias("query")), text="query", model=model, dimensions=dimensions, strict=False), "asked")
-    vectors = chunks if "embedding" in chunks.columns else E.embed(chunks.select("seller_id", *order, "text"), model=model, dimensions=dimensions, strict=False)
-    found = storage.held(retrieval.top_k_of(vectors, asked, question_id="case_id", vector="embedding", order=order, tenant="seller_id", row_tenant="seller_id", top_k=top_k), "retrieved")
+    found = storage.held(retrieval.top_k_of(chunks, asked, question_id="case_id", vector="embedding", order=order, tenant="seller_id", row_tenant="seller_id", top_k=top_k, embedded=None if "embedding" in chunks.columns else ("text", model, dimensions)), "retrieved")
     graded = metrics.grade(cases, expected, found)
     blank = F.length(T.strip(F.col("query"))) == 0
     why = F.when(blank, "the query is blank").when(F.col("embedding").isNull(), "the query has no words that make a vector")

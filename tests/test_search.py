@@ -191,3 +191,18 @@ def test_passages_are_found_in_one_pass_over_the_keys(spark):
     assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "split(text" not in plan
+
+
+def test_texts_are_embedded_where_they_are_scored(spark, monkeypatch):
+    """One worker makes vectors and scores them; the ranking is that over stored vectors, in one block of questions or several."""
+    texts = ["coats may go back", "???", None, "shipping coats abroad", "warranty claims", "coats", "back and back", ""]
+    chunks = spark.createDataFrame([(s, f"{i:02}", t) for s in ("a", "b") for i, t in enumerate(texts)], "seller_id string, chunk_id string, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(("coats", "go back", "claims abroad", "...", "warranty"))], "q int, text string")
+    search = lambda rows: retrieval.retrieve_batch(rows, asked, question_id="q", top_k=3)
+    ranked = lambda found: sorted((r["q"], r["seller_id"], r["rank"], r["chunk_id"], r["score"]) for r in found.collect())
+    once = search(chunks)
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    stored = ranked(search(E.embed(chunks, strict=False)))
+    assert len(stored) == 24 and ranked(once) == stored
+    monkeypatch.setattr(retrieval, "MOST_QUESTIONS", 2)
+    assert ranked(search(chunks)) == stored
