@@ -61,7 +61,7 @@ def write_epoch(spark: SparkSession, path: str, raw: DataFrame, epoch: int, *, o
 
     good = docs.where(F.col("status") == INDEXED).drop("status", "error", "epoch")
     chunks = chunking.chunk_documents(good, **chunk_options)
-    rows = index.index_rows(chunks, model=model, dimensions=dimensions, strict=False).withColumns({c: F.get_json_object("metadata", f"$.{c}").cast("int") for c in ("start", "end")})
+    rows = index.index_rows(chunks, model=model, dimensions=dimensions, strict=False, also=("start", "end"))
     _written(spark, rows, f"{path}/chunks/epoch={epoch}", _CHUNKS.replace(", epoch long", ""))
     return docs
 
