@@ -20,7 +20,8 @@ from __future__ import annotations
 import base64
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ SMOOTH_WORD, SMOOTH_CODE = 0.1, 0.5
 MOST_LOGIT = 60
 #: UTF-8 bytes of a block of documents, whose distinct words one task holds.
 BLOCK_BYTES = 12 << 20
+#: UTF-8 bytes of texts that are cut into subwords together, at least.
+CUT_BYTES = 8 << 20
 
 
 def vocabulary(path: str = TOKENIZER) -> bytes:
@@ -140,11 +143,32 @@ def windows(inputs: np.ndarray) -> np.ndarray:
     return np.where((at < 0) | (at >= len(inputs)), -1, at)
 
 
+def _laid(made: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of texts' (inputs, codes): inputs (n, WINDOW), BOS where there are none, codes (n, STRIDE), -1 where there are none, and whether a window is its text's first."""
+    counts = [-(-len(c) // STRIDE) for _, c in made]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    seen = np.full((ends[-1], WINDOW), BOS, np.int32)
+    codes = np.full((ends[-1], STRIDE), -1, np.int32)
+    first = np.zeros(ends[-1], bool)
+    first[ends[:-1]] = True
+    for (inputs, wanted), a, n in zip(made, ends[:-1].tolist(), counts, strict=True):
+        padded = np.full(WINDOW - STRIDE + n * STRIDE, BOS, np.int32)
+        padded[WINDOW - STRIDE : WINDOW - STRIDE + len(inputs)] = inputs
+        seen[a : a + n] = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+        codes[a : a + n].reshape(-1)[: len(wanted)] = wanted
+    return seen, codes, first
+
+
 def _mask() -> np.ndarray:
     query = np.arange(WINDOW - STRIDE, WINDOW)[:, None]
     return np.where(np.arange(WINDOW)[None, :] <= query, 0.0, -1e9).astype(np.float32)
 
 
+_MASK = _mask()
+#: Where the numbers of each input lie in e.
+_PLACES = np.arange(INPUTS * WIDTH).reshape(INPUTS, WIDTH)
+
+
 class Scratch(dict):
     """Arrays that are written anew in every step: fresh ones would cost more than the sums in them."""
 
@@ -173,24 +197,35 @@ class Attention:
     def __getstate__(self):
         return self.__dict__ | {"_room": Scratch(np.float32)}
 
-    def forward(self, seen: np.ndarray, absent: np.ndarray, room: Scratch):
-        """seen: (n, WINDOW) inputs; absent: where there are none, all or none of a row's first places. Attention output (n, STRIDE, WIDTH) and what backward needs."""
-        p, n, late = self.p, len(seen), slice(WINDOW - STRIDE, WINDOW)
+    def products(self) -> tuple[np.ndarray, np.ndarray]:
+        """wq wk and wv out: queries meet the places as they are, and what they gather of them goes to the logits at once. Keys and values needn't be made."""
+        p, kind = self.p, self.p["e"].dtype.type
+        return p["wq"] @ p["wk"].T * kind(1 / math.sqrt(WIDTH)), p["wv"] @ p["out"]
+
+    def gathered(self, seen: np.ndarray, absent: np.ndarray, a: np.ndarray, room: Scratch):
+        """Of each query the mean of the places by their weights (n, STRIDE, WIDTH), and what backward needs: places, scored ones, queries and weights."""
+        p, n = self.p, len(seen)
         x = np.take(p["e"], seen, axis=0, out=room("x", n, WINDOW, WIDTH), mode="clip")
         x += p["pos"]
         scored = room("scored", n, STRIDE, WIDTH)
-        scored[:] = x[:, late]
-        side = lambda name, a, w: np.matmul(a.reshape(-1, WIDTH), w, out=room(name, a.shape[0] * a.shape[1], WIDTH)).reshape(a.shape)
-        q, k, v = side("q", scored, p["wq"] * room.kind(1 / math.sqrt(WIDTH))), side("k", x, p["wk"]), side("v", x, p["wv"])
-        s = np.matmul(q, k.transpose(0, 2, 1), out=room("s", n, STRIDE, WINDOW))
-        s += _mask()
+        scored[:] = x[:, WINDOW - STRIDE :]
+        q = np.matmul(scored.reshape(-1, WIDTH), a, out=room("q", n * STRIDE, WIDTH)).reshape(scored.shape)
+        s = np.matmul(q, x.transpose(0, 2, 1), out=room("s", n, STRIDE, WINDOW))
+        s += _MASK
         some = np.flatnonzero(absent.any(axis=1))
         if len(some):
             s[some] += np.where(absent[some], room.kind(-1e9), room.kind(0))[:, None, :]
-        np.minimum(s, MOST_LOGIT, out=s)
+        if s.max() > MOST_LOGIT:
+            np.minimum(s, MOST_LOGIT, out=s)
         np.exp(s, out=s)
-        s /= (s @ np.ones(WINDOW, room.kind))[:, :, None]
-        return np.matmul(s, v, out=room("o", n, STRIDE, WIDTH)), (x, scored, q, k, v, s)
+        # here and not later: products with a sum's inverse would fall below what floats hold
+        s *= 1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, room.kind)).reshape(n, STRIDE, 1)
+        return np.matmul(s, x, out=room("o", n, STRIDE, WIDTH)), (x, scored, q, s)
+
+    def forward(self, seen: np.ndarray, absent: np.ndarray, room: Scratch):
+        """seen: (n, WINDOW) inputs; absent: where there are none, all or none of a row's first places. Attention output (n, STRIDE, WIDTH) and what it was made from."""
+        o, made = self.gathered(seen, absent, self.products()[0], room)
+        return o @ self.p["wv"], made
 
     def train(self, made: tuple[np.ndarray, ...], table: np.ndarray, steps: int, seed: int = 6) -> None:
         """Adam over shuffled batches: each window once, and again until there have been ``steps`` of them.
@@ -219,53 +254,66 @@ class Attention:
         return windows_seen
 
     def _adam(self):
-        m, r = ({n: np.zeros_like(w) for n, w in self.p.items()} for _ in range(2))
+        m, r, more = ({n: np.zeros_like(w) for n, w in self.p.items()} for _ in range(3))
         step = 0
 
         def by(gradients: dict[str, np.ndarray], rate: float) -> None:
             nonlocal step
             step += 1
             for name, g in gradients.items():
-                m[name] += 0.1 * (g - m[name])
-                r[name] += 0.01 * (g * g - r[name])
-                self.p[name] -= np.float32(rate) * (m[name] / (1 - 0.9**step)) / (np.sqrt(r[name] / (1 - 0.99**step)) + 1e-8)
+                mean, square, t = m[name], r[name], more[name]
+                mean *= 0.9
+                mean += np.multiply(g, 0.1, out=t)
+                square *= 0.99
+                np.multiply(g, g, out=t)
+                t *= 0.01
+                square += t
+                np.multiply(square, 1 / (1 - 0.99**step), out=t)
+                np.sqrt(t, out=t)
+                t += 1e-8
+                np.divide(mean, t, out=t)
+                t *= rate / (1 - 0.9**step)
+                self.p[name] -= t
 
         return by
 
     def _gradients(self, seen, absent, last, codes, table) -> dict[str, np.ndarray]:
         p = self.p
-        room = self._room if self._room.kind == p["e"].dtype.type else Scratch(p["e"].dtype.type)
-        n, groups = len(seen), p["out"].shape[1]
-        o, (x, scored, q, k, v, s) = self.forward(seen, absent, room)
-        rows = lambda a: a.reshape(-1, WIDTH)
-        d = np.matmul(rows(o), p["out"], out=room("d", n * STRIDE, groups))
+        kind = p["e"].dtype.type
+        room = self._room if self._room.kind == kind else Scratch(kind)
+        a, b = self.products()
+        n, groups = len(seen), b.shape[1]
+        o, (x, scored, q, s) = self.gathered(seen, absent, a, room)
+        rows = lambda w: w.reshape(-1, WIDTH)
+        d = np.matmul(rows(o), b, out=room("d", n * STRIDE, groups))
         d += np.take(table, last.reshape(-1), axis=0, out=room("table", n * STRIDE, groups), mode="clip") if table.dtype == d.dtype else table[last.reshape(-1)]
-        np.minimum(d, MOST_LOGIT, out=d)
+        if d.max() > MOST_LOGIT:
+            np.minimum(d, MOST_LOGIT, out=d)
         np.exp(d, out=d)
-        wanted = codes.reshape(-1)
-        weight = (wanted >= 0) / room.kind(max(1, (wanted >= 0).sum()))
-        d *= (weight / (d @ np.ones(groups, d.dtype))).astype(d.dtype)[:, None]
+        wanted, total = codes.reshape(-1), d @ np.ones(groups, kind)
         real = np.flatnonzero(wanted >= 0)
-        d.reshape(-1)[real * groups + wanted[real]] -= weight[real]
-        do = np.matmul(d, p["out"].T, out=room("do", n * STRIDE, WIDTH)).reshape(o.shape)
-        dv = np.matmul(s.transpose(0, 2, 1), do, out=room("dv", n, WINDOW, WIDTH))
-        ds = np.matmul(do, v.transpose(0, 2, 1), out=room("ds", n, STRIDE, WINDOW))
-        # the sum of ds * s over the keys is that of do * o over the width
-        ds -= np.einsum("ij,ij->i", rows(do), rows(o)).reshape(n, STRIDE, 1)
+        # rows of WIDTH are scaled, not those of all groups or of all places
+        d.reshape(-1)[real * groups + wanted[real]] -= total[real]
+        scale = np.where(wanted >= 0, 1 / (total * max(1, len(real))), kind(0)).astype(kind)[:, None]
+        do = np.matmul(d, b.T, out=room("do", n * STRIDE, WIDTH))
+        do *= scale
+        db = np.multiply(rows(o), scale, out=room("scaled", n * STRIDE, WIDTH)).T @ d
+        # the sum of ds * s over the places is that of do * o over the width; it is taken off from what the places get and give
+        off = np.einsum("ij,ij->i", do, rows(o)).reshape(n, STRIDE, 1)
+        do = do.reshape(o.shape)
+        ds = np.matmul(do, x.transpose(0, 2, 1), out=room("ds", n, STRIDE, WINDOW))
         ds *= s
-        dq = np.matmul(ds, k, out=room("dq", n, STRIDE, WIDTH))
-        dq *= room.kind(1 / math.sqrt(WIDTH))
-        dk = np.matmul(ds.transpose(0, 2, 1), q, out=room("dk", n, WINDOW, WIDTH))
-        dx = np.matmul(rows(dk), p["wk"].T, out=room("dx", n * WINDOW, WIDTH))
-        dx += np.matmul(rows(dv), p["wv"].T, out=room("more", n * WINDOW, WIDTH))
-        placed = dx.reshape(x.shape)
-        placed[:, WINDOW - STRIDE :] += np.matmul(rows(dq), p["wq"].T, out=room("own", n * STRIDE, WIDTH)).reshape(dq.shape)
+        dq = np.matmul(ds, x, out=room("dq", n, STRIDE, WIDTH))
+        o *= off
+        dq -= o
+        do -= np.multiply(q, off, out=o)
+        dx = np.matmul(s.transpose(0, 2, 1), do, out=room("dx", n, WINDOW, WIDTH))
+        dx += np.matmul(ds.transpose(0, 2, 1), q, out=room("more", n, WINDOW, WIDTH))
+        da = rows(scored).T @ rows(dq) * kind(1 / math.sqrt(WIDTH))
+        dx[:, WINDOW - STRIDE :] += np.matmul(rows(dq), a.T, out=room("own", n * STRIDE, WIDTH)).reshape(dq.shape)
         de = np.zeros_like(p["e"])
-        order = np.argsort(seen.astype(np.uint16), axis=None, kind="stable")  # by radix
-        told = seen.reshape(-1)[order]
-        first = np.flatnonzero(np.concatenate([[True], told[1:] != told[:-1]]))
-        de[told[first]] = np.add.reduceat(np.take(dx, order, axis=0, out=room("sorted", n * WINDOW, WIDTH), mode="clip"), first)
-        return {"e": de, "pos": placed.sum(axis=0), "wq": rows(scored).T @ rows(dq), "wk": rows(x).T @ rows(dk), "wv": rows(x).T @ rows(dv), "out": rows(o).T @ d}
+        np.add.at(de.reshape(-1), np.take(_PLACES, seen, axis=0).reshape(-1), dx.reshape(-1))
+        return {"e": de, "pos": dx.sum(axis=0), "wq": da @ p["wk"], "wk": da.T @ p["wq"], "wv": db @ p["out"].T, "out": p["wv"].T @ db}
 
 
 class Model:
@@ -283,23 +331,23 @@ class Model:
 
     def parts(self, documents: Iterator[np.ndarray], held: float = math.inf) -> Iterator[tuple[np.ndarray, ...]]:
         """Windows of documents' ids, as Attention.train takes them: about ``held`` at a time."""
+        group = np.append(self.tables.group, -1).astype(np.int16)  # the last one of code -1
+
+        def laid(made: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+            seen, codes, first = _laid(made)
+            absent = np.zeros((len(seen), WINDOW), bool)
+            absent[first, : WINDOW - STRIDE] = True
+            return seen, absent, seen[:, WINDOW - STRIDE :], group[codes]
+
         made, n = [], 0
         for ids in documents:
-            seen, absent, last, codes = self._windows(*self.tables.sequence(ids)[:2])
-            made.append((seen, absent, last, np.where(codes < 0, -1, self.tables.group[codes])))
-            n += len(seen)
+            made.append(self.tables.sequence(ids)[:2])
+            n += -(-len(made[-1][0]) // STRIDE)
             if n >= held:
-                yield tuple(np.concatenate(x) for x in zip(*made, strict=True))
+                yield laid(made)
                 made, n = [], 0
         if made:
-            yield tuple(np.concatenate(x) for x in zip(*made, strict=True))
-
-    @staticmethod
-    def _windows(inputs: np.ndarray, codes: np.ndarray):
-        at = windows(inputs)
-        absent = at < 0
-        last = at[:, WINDOW - STRIDE :]
-        return np.where(absent, BOS, inputs[at]), absent, np.where(last < 0, BOS, inputs[last]), np.where(last < 0, -1, codes[last])
+            yield laid(made)
 
     def scores(self, texts: list[str | bytes]) -> list[float]:
         """The natural logarithm of each text's probability."""
@@ -310,48 +358,39 @@ class Model:
         made = [self.tables.sequence(ids) for ids in documents]
         if not made:
             return []
-        p, table, group = self.attention.p, self.tables.next, self.tables.group
+        table, group = self.tables.next, self.tables.group
         share = np.exp(self.tables.next_group)
-        scale = np.float32(1 / math.sqrt(WIDTH))
+        p, (a, b) = self.attention.p, self.attention.products()
         late = slice(WINDOW - STRIDE, WINDOW)
-        q_of, q_at = (p["e"] @ p["wq"]) * scale, (p["pos"][late] @ p["wq"]) * scale
-        kv = np.hstack([p["wk"], p["wv"]])
-        kv_of, kv_at = p["e"] @ kv, p["pos"] @ kv
-        # seen positions: all before the query; in a text's first window none before the text. Later ones are never looked at
-        masks = np.stack([_mask(), _mask()])
-        masks[1, :, : WINDOW - STRIDE] = -1e9
-        counts = [-(-len(c) // STRIDE) for _, c, _ in made]
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        seen = np.full((ends[-1], WINDOW), BOS, np.int32)
-        codes = np.full((ends[-1], STRIDE), -1, np.int32)
-        first = np.zeros(ends[-1], np.int64)
-        first[ends[:-1]] = 1
-        for (inputs, wanted, _), a, n in zip(made, ends[:-1].tolist(), counts, strict=True):
-            padded = np.full(WINDOW - STRIDE + n * STRIDE, BOS, np.int32)
-            padded[WINDOW - STRIDE : WINDOW - STRIDE + len(inputs)] = inputs
-            seen[a : a + n] = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
-            codes[a : a + n].reshape(-1)[: len(wanted)] = wanted
-        told = np.empty(ends[-1], np.float64)
+        q_of, q_at = p["e"] @ a, p["pos"][late] @ a
+        # seen places: all before the query; in a text's first window none before the text. Later ones are never looked at
+        before = np.where(np.arange(WINDOW) < WINDOW - STRIDE, np.float32(-1e9), np.float32(0))
+        seen, codes, first = _laid([x[:2] for x in made])
+        real, wanted = codes >= 0, np.maximum(codes, 0)
+        hit = table[seen[:, late], wanted]
+        place = np.arange(block * STRIDE) * GROUPS
+        at = group[wanted].reshape(len(seen), -1)
+        total = np.empty(codes.shape, np.float32)
         room, ones = self.attention._room, np.ones(WINDOW, np.float32)
-        for a in range(0, ends[-1], block):
-            w = slice(a, a + block)
-            last, real, wanted = seen[w, late], codes[w] >= 0, np.maximum(codes[w], 0)
-            n = len(last)
-            both = np.take(kv_of, seen[w], axis=0, out=room("kv", n, WINDOW, 2 * WIDTH), mode="clip")
-            both += kv_at
-            query = np.take(q_of, last, axis=0, out=room("query", n, STRIDE, WIDTH), mode="clip")
-            query += q_at
-            s = np.matmul(query, both[:, :, :WIDTH].transpose(0, 2, 1), out=room("s", n, STRIDE, WINDOW))
-            s += masks[first[w]]
+        for i in range(0, len(seen), block):
+            w = slice(i, i + block)
+            last, n = seen[w, late], len(seen[w])
+            x = np.take(p["e"], seen[w], axis=0, out=room("x", n, WINDOW, WIDTH), mode="clip")
+            x += p["pos"]
+            q = np.take(q_of, last, axis=0, out=room("query", n, STRIDE, WIDTH), mode="clip")
+            q += q_at
+            s = np.matmul(q, x.transpose(0, 2, 1), out=room("s", n, STRIDE, WINDOW))
+            s += _MASK
+            s[first[w]] += before
             np.exp(s, out=s)
-            o = np.matmul(s, both[:, :, WIDTH:], out=room("o", n, STRIDE, WIDTH))
-            o /= (s @ ones)[:, :, None]
-            more = np.matmul(o.reshape(-1, WIDTH), p["out"], out=room("d", n * STRIDE, GROUPS))
-            hit = table[last, wanted].reshape(-1) + more[np.arange(len(more)), group[wanted.reshape(-1)]]
+            o = np.matmul(s, x, out=room("o", n, STRIDE, WIDTH))
+            o /= (s.reshape(-1, WINDOW) @ ones).reshape(n, STRIDE, 1)
+            more = np.matmul(o.reshape(-1, WIDTH), b, out=room("d", n * STRIDE, GROUPS))
+            hit[w] += np.take(more.reshape(-1), place[: n * STRIDE] + at[w].reshape(-1)).reshape(n, STRIDE)
             np.exp(more, out=more)
-            total = np.einsum("nc,nc->n", np.take(share, last.reshape(-1), axis=0, out=room("table", n * STRIDE, GROUPS), mode="clip"), more)
-            told[w] = np.where(real, (hit - np.log(total)).reshape(real.shape), 0.0).sum(axis=1)
-        sums = np.add.reduceat(told, ends[:-1])
+            np.einsum("nc,nc->n", np.take(share, last.reshape(-1), axis=0, out=room("table", n * STRIDE, GROUPS), mode="clip"), more, out=total[w].reshape(-1))
+        told = np.where(real, hit - np.log(total), np.float32(0)).sum(axis=1, dtype=np.float64)
+        sums = np.add.reduceat(told, np.flatnonzero(first))
         return [float(s + x[2]) for s, x in zip(sums, made, strict=True)]
 
 
@@ -360,16 +399,76 @@ def _kind(n_subwords: int) -> np.dtype:
     return np.dtype("<u2" if n_subwords <= 1 << 16 else "<u4")
 
 
+class Subwords:
+    """The tokenizer over many texts at once: what lies between spaces is cut once, however often it comes.
+
+    No subword reaches from what isn't white space into white space, and a space before something else
+    begins one. So texts may be cut there, and the parts are cut as they would be in their texts.
+    """
+
+    def __init__(self, content: bytes):
+        self.tokens = encoding(content)
+        self.kind = _kind(self.tokens.n_vocab)
+        self.size = np.array([len(x) for x in subword_bytes(self.tokens, range(self.tokens.n_vocab))])
+
+    def one(self, text: str) -> np.ndarray:
+        return self.tokens.encode_to_numpy(text, disallowed_special=())
+
+    def __call__(self, texts: list[str]) -> pa.Array:
+        """Of each folded text its subwords as bytes."""
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        number, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        parts = coded.dictionary
+        # white space after a space: such a space begins no subword of its own
+        odd = pc.or_(pc.equal(pc.binary_length(parts), 0), pc.utf8_is_space(pc.utf8_slice_codeunits(parts, 0, 1))).to_numpy(zero_copy_only=False)
+        spaced = pc.if_else(pa.array(odd), "", pc.binary_join_element_wise("", parts, " "))
+        size = pc.binary_length(spaced).to_numpy()
+        found = self.one(spaced.buffers()[2].to_pybytes()[: size.sum()].decode() if size.any() else "")
+        cut = np.searchsorted(np.cumsum(self.size[found]), np.cumsum(size), side="right")
+        begin, count = np.concatenate([[0], cut])[number], np.diff(cut, prepend=0)[number]
+        whole = set()
+        if odd.any():
+            strange = odd[number]
+            strange[ends[:-1]] = False
+            whole = set(np.unique(np.searchsorted(ends, np.flatnonzero(strange), side="right") - 1).tolist())
+        # a text's first part has no space before it
+        first = [self.one(texts[i] if i in whole else w) for i, w in enumerate(parts.take(coded.indices.take(pa.array(ends[:-1]))).to_pylist())]
+        for i in whole:
+            count[ends[i] : ends[i + 1]] = 0
+        count[ends[:-1]] = [len(x) for x in first]
+        begin[ends[:-1]] = len(found) + np.cumsum(count[ends[:-1]]) - count[ends[:-1]]
+        found = np.concatenate([found, *first]).astype(self.kind)
+        till = np.cumsum(count)
+        flat = found[np.repeat(begin - till + count, count) + np.arange(till[-1] if len(till) else 0)]
+        offsets = np.concatenate([[0], till[ends[1:] - 1]]) * self.kind.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+
+
+def _together(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
+    """Batches, as many at a time as have ``most`` bytes of a column, the last of them included."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def tokenized(docs: DataFrame, content: bytes) -> DataFrame:
     """docs (text and other columns) with mark, the text's hash, and ids, its subwords as bytes, in place of the text."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoding(content)
-        kind = _kind(tokens.n_vocab)
-        for batch in batches:
-            ids = [tokens.encode_to_numpy(folded(t), disallowed_special=()).astype(kind).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in [*kept, "mark"]), pa.array(ids, pa.binary())], [*kept, "mark", "ids"])
+        subwords = Subwords(content)
+        for rows in _together(batches, "text", CUT_BYTES):
+            if not rows.num_rows:
+                continue
+            ids = subwords([folded(t) for t in rows.column("text").to_pylist()])
+            yield from pa.table([*(rows.column(c) for c in [*kept, "mark"]), ids], [*kept, "mark", "ids"]).to_batches()
 
     ddl = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), "mark long, ids binary"])
     return docs.withColumn("mark", F.xxhash64("text")).mapInArrow(run, ddl)
@@ -418,14 +517,13 @@ def learn(sample: DataFrame, content: bytes) -> Model:
     keys, counts = summed(pairs)  # one row a pair of codes at most
     tables.learn_next(keys, counts.astype(np.float64))
     model = Model(tables, content)
-    size = sum(n * len(b) for n, b in zip(times.tolist(), subword_bytes(content, seen), strict=True))
+    size = sum(n * len(b) for n, b in zip(times.tolist(), subword_bytes(encoding(content), seen.tolist()), strict=True))
     model.n_windows = _train(model, sample, max(1, -(-size // WARM_BYTES)), STEPS)
     return model
 
 
-def subword_bytes(content: bytes, ids: np.ndarray) -> list[bytes]:
-    tokens = encoding(content)
-    return [tokens.decode_single_token_bytes(i) for i in ids.tolist()]
+def subword_bytes(tokens: tiktoken.Encoding, ids: Iterable[int]) -> list[bytes]:
+    return [tokens.decode_single_token_bytes(i) for i in ids]
 
 
 def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,6 +601,13 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
+def _bytes_of(texts: pa.StringArray) -> list[bytes]:
+    """Those of texts without nulls, in a third of to_pylist's time."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).tolist()
+    data = texts.buffers()[2].to_pybytes() if ends[-1] else b""
+    return [data[a:b] for a, b in pairwise(ends)]
+
+
 class Words:
     """words_of many texts at once: the distinct ones, of which the end is the last, and each text's as numbers (without its end)."""
 
@@ -511,7 +616,7 @@ class Words:
         bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.string(), safe=False)))
         lists = pc.ascii_split_whitespace(bare)
         coded = lists.flatten().dictionary_encode()
-        self.distinct: list[bytes] = [*coded.dictionary.cast(pa.binary()).to_pylist(), _END]
+        self.distinct: list[bytes] = [*_bytes_of(coded.dictionary), _END]
         number, ends = coded.indices.to_numpy(), lists.offsets.to_numpy()
         empty = pc.binary_length(bare).to_numpy() == 0  # such a text is split into one empty word
         size = np.diff(ends) - empty

@@ -533,3 +533,36 @@ def test_gradients():
         down = loss()
         net.p[name][i] += 1e-5
         assert abs((up - down) / 2e-5 - grads[name][i]) < 1e-5, name
+
+
+def test_subwords_of_many_texts_are_those_of_each_and_repeated_parts_are_cut_once():
+    import random
+
+    tokens, many = A.encoding(A.vocabulary()), A.Subwords(A.vocabulary())
+    draw = random.Random(1)
+    signs = [*" " * 6, "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "a", "b", "'s", "don't", "é", "1", "23", "...", "中文", "\0", "word", "\ufffd", "𝒳"]
+    for _ in range(100):
+        texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(draw.randint(0, 30))]
+        assert many(texts).to_pylist() == [tokens.encode_to_numpy(t, disallowed_special=()).astype(many.kind).tobytes() for t in texts]
+    cut = []
+
+    class Counting:
+        def encode_to_numpy(self, text, **options):
+            cut.append(len(text))
+            return tokens.encode_to_numpy(text, **options)
+
+    many.tokens = Counting()
+    many(["a text whose words come again and again" * 500] * 3)
+    assert sum(cut) < 100  # the distinct words, not 58,500 characters
+
+
+def test_a_step_makes_no_keys_and_values():
+    import numpy as np
+
+    net, draw = A.Attention(), np.random.default_rng(1)
+    seen = draw.integers(0, A.INPUTS, (4, A.WINDOW)).astype(np.int32)
+    last = seen[:, A.WINDOW - A.STRIDE :]
+    table = draw.standard_normal((A.INPUTS, A.GROUPS)).astype(np.float32)
+    net._gradients(seen, np.zeros(seen.shape, bool), last, draw.integers(-1, A.GROUPS, last.shape), table)
+    # of arrays with a row a place: the places and what they get, and one to add to it
+    assert sorted(k for k, v in net._room.items() if v.size == seen.size * A.WIDTH) == ["dx", "more", "x"]
