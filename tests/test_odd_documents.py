@@ -11,7 +11,7 @@ from siltstone.plans.registry import ORACLE_SQL, QUERIES
 
 def agreed(spark, path, name, texts):
     """The query's rows over documents with these texts, in order, after they were found to be the SQL's."""
-    rows = [(i, text, "en", f"src{i % 3}", len(text)) for i, text in enumerate(texts)]
+    rows = [(i, text, "en", f"src{i % 3}", None if text is None else len(text)) for i, text in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
@@ -38,3 +38,11 @@ def test_words_that_cancel_each_other(spark, tmp_path):
         E.embed(docs.where("doc_id = 0")).collect()
     with pytest.raises(Exception, match="cancel"):
         E.embed(docs.where("doc_id = 4"), unsigned=True).collect()
+
+
+def test_texts_that_have_no_page(spark, tmp_path):
+    """Empty texts and nulls have no page, blank ones pages without text. Texts end everywhere about the borders of strings and pages."""
+    ends = [1, 99, 100, 101, 299, 300, 301, 399, 400, 401, 599, 600, 601, 899, 900, 901, 1200, 1500, 1801]
+    texts = ["", "", None, " ", "\n" * 700, *(("word (x) \\ \n" * 200)[:n] for n in ends), *((" " * 300 + "x" + "\n" * 1500)[:n] for n in ends)]
+    found = agreed(spark, tmp_path, "pdf_constants", texts)
+    assert {r[0] for r in found} == set(range(3, len(texts))) and {r[0] for r in found if r[2] is None} >= {3, 4}
