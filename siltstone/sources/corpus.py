@@ -18,6 +18,8 @@ from siltstone.sources.pdf import pdf_pages
 
 FORMATS = ("pdf", "markdown", "txt", "text")
 ALIASES = {"md": "markdown"}
+#: The error of a document that was read, but is empty or blank.
+NO_TEXT = "the document has no text"
 
 
 def known_format(name: str | None) -> str:
@@ -109,7 +111,7 @@ def parsed(raw: DataFrame, strict: bool = True) -> DataFrame:
         .when((F.col("source_format") == "pdf") & F.col("given").isNotNull(), "a PDF comes as content")
         .when(F.col("pdf.error").isNotNull(), F.col("pdf.error"))
         .when((F.col("source_format") != "pdf") & F.col("content").isNotNull() & ~F.col("utf8"), "content is not valid UTF-8")
-        .when(F.coalesce(F.length("text"), F.lit(0)) == 0, "the document has no text")
+        .when(F.coalesce(F.length("text"), F.lit(0)) == 0, NO_TEXT)
     )
     done = rows.withColumn("text", text).withColumn("pages", F.coalesce(pages, F.array().cast(f"array<{schemas.PAGE}>"))).withColumn("error", error)
     done = done.withColumn("document_name", T.document_name(F.col("document_name"), F.col("text"), F.col("document_id"))).withColumn("sections", T.sections(F.col("text")))

@@ -46,3 +46,12 @@ def test_texts_that_have_no_page(spark, tmp_path):
     texts = ["", "", None, " ", "\n" * 700, *(("word (x) \\ \n" * 200)[:n] for n in ends), *((" " * 300 + "x" + "\n" * 1500)[:n] for n in ends)]
     found = agreed(spark, tmp_path, "pdf_constants", texts)
     assert {r[0] for r in found} == set(range(3, len(texts))) and {r[0] for r in found if r[2] is None} >= {3, 4}
+
+
+def test_files_without_text(spark, tmp_path):
+    """Empty and blank files are read; what is wrong with a path or a format is told of them too. The first is a file by itself, the others are packed."""
+    texts = ["", "", "", "", " ", "", "\n\t", "", "", "", "x ", "", "# Title", " \n", "", "y", "", "", "", "", ""]
+    found = {r[1]: r for r in agreed(spark, tmp_path, "seller_corpus", texts)}
+    empty = "d41d8cd98f00b204e9800998ecf8427e"
+    assert len(found) == len(texts) and {i for i, r in found.items() if r[2:] == (None, empty)} == {0, 1, 2, 4, 6, 8, 11, 13, 17, 19}
+    assert {found[i][2] for i in (3, 14)} == {"path leaves its folder"} and {found[i][2] for i in (9, 20)} == {"no PDF"}
